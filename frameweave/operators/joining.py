@@ -24,15 +24,20 @@ def with_default(
 
 
 def question_from_prompt(prompt: Column) -> Column:
-    """Question inside a prompt: the line before the answer instruction, lower-cased.
+    """Lower-cased question inside a prompt, NULL for a prompt of no known shape.
 
-    Prompts with an OCR hint carry the question in front of it.
+    Known shapes: OCR tokens with `Question: .. Short answer:`; three lines with a reference OCR
+    line first or in the middle; two lines with the question first.
     """
     lines = F.split(prompt, "\n")
-    before_hint = F.trim(F.split_part(prompt, F.lit("Reference OCR token:"), F.lit(1)))
-    text = F.when(prompt.contains("Reference OCR token:"), F.element_at(F.split(before_hint, "\n"), -1))
-    text = F.coalesce(text, F.when(F.size(lines) >= 2, F.get(lines, F.size(lines) - 2)), prompt)
-    return F.lower(F.trim(text))
+    tagged = F.regexp_extract(prompt, r"(?s)Question: (.*?) Short answer:", 1)
+    hinted = prompt.contains("Reference OCR token: ") & (F.size(lines) == 3)
+    at = F.when(prompt.startswith("Reference OCR token:"), F.lit(1)).otherwise(F.lit(0))
+    return F.lower(
+        F.when(prompt.startswith("OCR tokens: "), tagged)
+        .when(hinted, F.get(lines, at))
+        .when(F.size(lines) == 2, F.get(lines, 0))
+    )
 
 
 def combine_models(

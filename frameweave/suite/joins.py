@@ -23,29 +23,28 @@ def answer_types(t):
 
 @query(
     "prompt_questions_j2",
-    """SELECT c.conv_id, c.turn, c.role, length(c.text) AS answer_chars
-       FROM conversations c""",
+    """WITH c AS (SELECT conv_id, turn, role, lower(replace(text, chr(10), ' ')) AS q, length(text) AS n
+                  FROM conversations)
+       SELECT a.conv_id, a.turn AS asked_turn, a.role, b.turn, b.n AS answer_chars
+       FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.q = b.q""",
 )
 def prompt_questions(t):
     question = F.regexp_replace(F.col("text"), "\n", " ")
+    tail = F.lit("\nAnswer the question using a single word or phrase.")
+    hint = F.lit("Reference OCR token: exit, 12")
+    prompt = (
+        F.when(F.col("turn") % 4 == 0, F.concat(question, tail))
+        .when(F.col("turn") % 4 == 1, F.concat(F.lit("OCR tokens: a b. Question: "), question, F.lit(" Short answer:")))
+        .when(F.col("turn") % 4 == 2, F.concat(hint, F.lit("\n"), question, tail))
+        .otherwise(F.concat(question, F.lit("\n"), hint, tail))
+    )
     prompts = t.conversations.select(
-        F.col("conv_id").alias("image_id"),
-        "role",
-        F.col("turn").alias("asked_turn"),
-        F.concat(F.lit("<image>\n"), question, F.lit("\nAnswer the question using a single word or phrase.")).alias(
-            "prompt"
-        ),
+        "conv_id", "role", F.col("turn").alias("asked_turn"), J.question_from_prompt(prompt).alias("question")
     )
-    keyed = prompts.select("image_id", "role", "asked_turn", J.question_from_prompt(F.col("prompt")).alias("question"))
     notes = t.conversations.select(
-        F.col("conv_id").alias("image_id"),
-        "turn",
-        F.lower(F.trim(question)).alias("question"),
-        F.length("text").cast("long").alias("answer_chars"),
+        "conv_id", "turn", F.lower(question).alias("question"), F.length("text").cast("long").alias("answer_chars")
     )
-    # Two turns of one conversation may hold the same words: pair them by turn as well.
-    joined = keyed.join(notes, ["image_id", "question"]).where(F.col("asked_turn") == F.col("turn"))
-    return joined.select(F.col("image_id").alias("conv_id"), "turn", "role", "answer_chars")
+    return prompts.join(notes, ["conv_id", "question"]).drop("question")
 
 
 @query(
