@@ -20,6 +20,11 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
+def pair(key: str | Column, value: Column, names: tuple[str, str] = ("key", "value")) -> Column:
+    key = F.lit(key) if isinstance(key, str) else key
+    return F.struct(key.alias(names[0]), value.cast("string").alias(names[1]))
+
+
 def judge_summary(df: DataFrame, pred: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Yes and no by substring, accuracy over both, mean whole score over all rows.
 
@@ -100,18 +105,11 @@ def attribute_accuracy(
     df: DataFrame, attributes: Sequence[str], multi: Sequence[str], correct: Column
 ) -> DataFrame:
     """Accuracy for every value of every attribute; a `multi` attribute holds an array."""
-    single = [
-        F.struct(F.lit(a).alias("key"), F.col(a).cast("string").alias("value")) for a in attributes
-    ]
-    pairs = F.array(*single)
+    pairs = [F.array(*[pair(a, F.col(a)) for a in attributes])]
     for m in multi:
-        pairs = F.concat(
-            pairs,
-            F.transform(
-                F.array_distinct(F.col(m)),
-                lambda v, m=m: F.struct(F.lit(m).alias("key"), v.cast("string").alias("value")),
-            ),
-        )
+        name = F.lit(m)
+        pairs.append(F.transform(F.array_distinct(m), lambda v: pair(name, v)))  # noqa: B023
+    pairs = F.concat(*pairs)
     flat = df.select(correct.alias("_right"), F.inline(pairs))
     return flat.groupBy("key", "value").agg(
         F.count_if("_right").alias("correct"),
@@ -200,17 +198,18 @@ def question_metrics(
     plausible: str,
 ) -> DataFrame:
     """Accuracy overall, binary and open, per type, steps and words; validity and plausibility."""
+    named = ("metric", "value")
     rows = df.select(
         F.when(correct, 1.0).otherwise(0.0).alias("_right"),
         F.array_contains(valid, F.col(predicted)).alias("_valid"),
         F.array_contains(plausible, F.col(predicted)).alias("_plausible"),
         F.array(
-            F.struct(F.lit("accuracy").alias("metric"), F.lit("").alias("value")),
-            F.struct(F.when(F.col(structural) == "query", "open").otherwise("binary"), F.lit("")),
-            F.struct(F.lit("structural"), F.col(structural)),
-            F.struct(F.lit("semantic"), F.col(semantic)),
-            F.struct(F.lit("steps"), steps.cast("string")),
-            F.struct(F.lit("words"), n_words.cast("string")),
+            pair("accuracy", F.lit(""), named),
+            pair(F.when(F.col(structural) == "query", "open").otherwise("binary"), F.lit(""), named),
+            pair("structural", F.col(structural), named),
+            pair("semantic", F.col(semantic), named),
+            pair("steps", steps, named),
+            pair("words", n_words, named),
         ).alias("_keys"),
     )
     scores = (
@@ -222,15 +221,9 @@ def question_metrics(
         share(F.col("_valid")).alias("validity"),
         share(F.col("_plausible")).alias("plausibility"),
         F.count(F.lit(1)).alias("n"),
-    ).select(
-        F.inline(
-            F.array(
-                F.struct(
-                    F.lit("validity").alias("metric"), F.lit("").alias("value"), F.col("validity").alias("score"), "n"
-                ),
-                F.struct(F.lit("plausibility"), F.lit(""), F.col("plausibility"), F.col("n")),
-            )
-        )
+    )
+    checks = checks.unpivot("n", ["validity", "plausibility"], "metric", "score").withColumn(
+        "value", F.lit("")
     )
     return scores.unionByName(checks)
 
@@ -346,13 +339,11 @@ def capability_scores(df: DataFrame, capability: str, scores: str, runs: int) ->
 
     The spread of the total over runs is its population standard deviation.
     """
-    single = F.transform(
-        F.array_distinct(capability),
-        lambda c: F.struct(F.lit("capability").alias("level"), c.alias("name")),
-    )
+    named = ("level", "name")
+    single = F.transform(F.array_distinct(capability), lambda c: pair("capability", c, named))
     combined = F.array(
-        F.struct(F.lit("set"), F.array_join(F.array_sort(F.array_distinct(capability)), "_")),
-        F.struct(F.lit("total"), F.lit("total")),
+        pair("set", F.array_join(F.array_sort(F.array_distinct(capability)), "_"), named),
+        pair("total", F.lit("total"), named),
     )
     flat = df.select(F.col(scores).alias("_s"), F.inline(F.concat(single, combined)))
     sums = [F.sum(F.get("_s", r)).alias(f"_r{r}") for r in range(runs)]

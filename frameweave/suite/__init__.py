@@ -5,6 +5,8 @@ from __future__ import annotations
 import importlib
 
 AREAS = (
+    "sequences",
+    "corpus",
     "scores",
     "joins",
     "tables",

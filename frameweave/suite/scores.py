@@ -287,25 +287,22 @@ def grounding(t):
 
 @query(
     "detection_a13",
-    """WITH b AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_linenumber * 10.0 AS x, l_quantity AS w, 100 * l_discount + 5 AS h,
-                    100 * l_tax AS shift FROM lineitem),
-            p AS (SELECT *, x + shift AS px1, 20 + shift AS py1, x + shift + w AS px2, 20 + shift + h AS py2 FROM b),
-            i AS (SELECT *, greatest(least(px2, x + w) - greatest(px1, x) + 1, 0) * greatest(least(py2, 20 + h) - greatest(py1, 20) + 1, 0) AS inner_area,
-                    (w + 1) * (h + 1) AS area FROM p),
-            u AS (SELECT *, inner_area / (2 * area - inner_area) AS iou, shift < 8 AS told FROM i)
-       SELECT count(*) AS total, count(CASE WHEN told AND round(iou, 9) >= 0.5 THEN 1 END) AS hits,
-              round(avg(CASE WHEN told AND round(iou, 9) >= 0.5 THEN 1.0 ELSE 0 END), 6) AS accuracy FROM u""",
+    """WITH b AS (SELECT o_orderkey AS id, (o_custkey % 30) * 10.0 AS x, 10.0 + o_custkey % 40 AS w, 5.0 + o_orderkey % 25 AS h,
+                    o_orderkey % 11 AS shift FROM orders),
+            i AS (SELECT *, greatest(w - shift + 1, 0) * greatest(h - shift + 1, 0) AS inner_area, (w + 1) * (h + 1) AS area FROM b),
+            u AS (SELECT shift < 8 AND inner_area / (2 * area - inner_area) >= 0.5 AS hit FROM i)
+       SELECT count(*) AS total, count(CASE WHEN hit THEN 1 END) AS hits,
+              round(avg(CASE WHEN hit THEN 1.0 ELSE 0 END), 6) AS accuracy FROM u""",
 )
 def detection(t):
-    x, w = F.col("l_linenumber") * 10.0, F.col("l_quantity")
-    h, shift = F.col("l_discount") * 100 + 5, F.col("l_tax") * 100
-    ids = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")
-    gold = t.lineitem.select(ids, F.array(x, F.lit(20.0), w, h).alias("gold"))
-    pred = t.lineitem.where(F.col("l_tax") * 100 < 8).select(
-        ids, F.array(x + shift, shift + 20, x + shift + w, shift + 20 + h).alias("pred")
+    x, w = F.col("o_custkey") % 30 * 10.0, F.col("o_custkey") % 40 + 10.0
+    h, shift = F.col("o_orderkey") % 25 + 5.0, F.col("o_orderkey") % 11
+    key = F.col("o_orderkey").alias("id")
+    gold = t.orders.select(key, F.array(x, F.lit(20.0), w, h).alias("gold"))
+    pred = t.orders.where(shift < 8).select(
+        key, F.array(x + shift, shift + 20.0, x + shift + w, shift + 20.0 + h).alias("pred")
     )
-    joined_bar = 0.5 - 5e-10  # the SQL compares at nine digits
-    return r6(M.detection_accuracy(gold, pred, "id", "pred", "gold", joined_bar), "accuracy")
+    return r6(M.detection_accuracy(gold, pred, "id", "pred", "gold"), "accuracy")
 
 
 @query(
