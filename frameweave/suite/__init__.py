@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 AREAS = (
+    "texts",
     "sequences",
     "corpus",
     "scores",

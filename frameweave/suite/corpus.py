@@ -108,8 +108,8 @@ def shard_shuffle(t):
     f"""WITH q AS (SELECT lang, floor(count(*) * 120 / (SELECT count(*) FROM documents) + 1e-9) AS quota FROM documents GROUP BY lang),
              p AS (SELECT doc_id, lang, {u_sql(42, 'doc_id')} AS u FROM documents WHERE doc_id NOT IN (SELECT item_id FROM benchmark)),
              r AS (SELECT p.*, CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY u, doc_id) <= quota THEN 1 ELSE 2 END AS pass FROM p JOIN q USING (lang)),
-             f AS (SELECT *, row_number() OVER (ORDER BY pass, u, doc_id) AS at FROM r)
-        SELECT doc_id, lang, pass FROM f WHERE at <= 120""",
+             f AS (SELECT *, row_number() OVER (ORDER BY pass, u, doc_id) AS pos FROM r)
+        SELECT doc_id, lang, pass FROM f WHERE pos <= 120""",
 )
 def stratified_sample(t):
     exclude = t.benchmark.select(F.col("item_id").alias("doc_id"))
@@ -144,8 +144,8 @@ def equal_share(t):
     "token_blocks_k4",
     """WITH w AS (SELECT doc_id, unnest(list_append(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), '</s>')) AS tok,
                     generate_subscripts(list_append(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), '</s>'), 1) AS i FROM documents),
-            o AS (SELECT tok, row_number() OVER (ORDER BY doc_id, i) - 1 AS at, count(*) OVER () AS n FROM w)
-       SELECT at // 512 AS block, string_agg(tok, ' ' ORDER BY at) AS tokens FROM o WHERE (at // 512 + 1) * 512 <= n GROUP BY 1""",
+            o AS (SELECT tok, row_number() OVER (ORDER BY doc_id, i) - 1 AS pos, count(*) OVER () AS n FROM w)
+       SELECT pos // 512 AS block, string_agg(tok, ' ' ORDER BY pos) AS tokens FROM o WHERE (pos // 512 + 1) * 512 <= n GROUP BY 1""",
 )
 def token_blocks(t):
     rows = t.documents.select("doc_id", words(F.col("text")).alias("tokens"))
