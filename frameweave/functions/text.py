@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from frameweave.functions.binding import let
 from frameweave.functions.hashing import u
 
 
@@ -72,13 +73,17 @@ def parse_choice(
     """
     for mark in EDGE_MARKS:
         response = F.trim(response, F.lit(mark))
-    padded = F.concat(F.lit(" "), response, F.lit(" "))
     letters = F.array(*[F.lit(c) for c in choices])
+    guess = F.get(letters, F.floor(u(seed, row_id) * len(choices)).cast("int"))
+    padded = F.concat(F.lit(" "), response, F.lit(" "))
+    return F.coalesce(let(padded, lambda p: _mentioned(p, letters, texts)), guess)
 
+
+def _mentioned(padded: Column, letters: Column, texts: Column | None) -> Column:
     def latest(found: Column) -> Column:
         # Largest start wins, the earlier option on a tie.
         best = F.array_max(F.filter(found, lambda x: x["start"] >= 0))
-        return F.get(letters, -best["back"])
+        return let(best, lambda b: F.get(letters, -b["back"]))
 
     def mention(left: str, right: str) -> Column:
         return F.transform(
@@ -98,8 +103,7 @@ def parse_choice(
             ),
         )
         picked = F.coalesce(picked, F.when(word_count(padded) > 5, latest(content)))
-    guess = F.get(letters, F.floor(u(seed, row_id) * len(choices)).cast("int"))
-    return F.coalesce(picked, guess)
+    return picked
 
 
 def science_answer(text: Column, options: Sequence[str]) -> Column:
@@ -181,40 +185,74 @@ def _normal_numbers(items: Column) -> Column:
 
 
 def parse_open(response: Column) -> Column:
-    """Candidate answers in a free response as struct(words, numbers)."""
-    text = F.lower(F.trim(strip(response), F.lit(".")))
-    clauses = F.split(text, "\n")
-    last = F.size(clauses) - 1
-
-    def tail(clause: Column, leads: Sequence[str]) -> Column:
-        kept = F.lit("")
-        for lead in leads:
-            after = strip(F.substring_index(clause, lead, -1))
-            shorter = (kept == "") | (F.length(after) < F.length(kept))
-            kept = F.when(clause.contains(lead) & shorter, after).otherwise(kept)
-        return kept
-
-    plain = F.transform(clauses, lambda c, i: tail(c, KEY_LEADS))
-    with_equals = F.transform(
-        clauses, lambda c, i: F.when(i == last, tail(c, (*KEY_LEADS, "="))).otherwise(F.get(plain, i))
-    )
-    keys = F.filter(with_equals, lambda k: (k != "") & ~k.isin(*EMPTY_TAILS))
-    keys = F.when(F.size(keys) == 0, F.array(text)).otherwise(keys)
-    numbers = F.flatten(
-        F.transform(
-            keys,
-            lambda k: F.concat(*[F.regexp_extract_all(k, F.lit(p), F.lit(0)) for p in NUMBER_PATTERNS]),
+    """Candidate answers in a free response as struct(words, numbers).
+
+    Each line gives its shortest tail after a lead word (an equals sign too on the last line); the
+    tails and the numbers in them are normalised.
+    """
+    leads = F.array(*[F.lit(x) for x in KEY_LEADS])
+    with_equals = F.array(*[F.lit(x) for x in (*KEY_LEADS, "=")])
+
+    def tail(clause: Column, marks: Column) -> Column:
+        said = F.filter(marks, lambda m: clause.contains(m))
+        after = F.transform(said, lambda m: strip(F.element_at(_split_plain(clause, m), -1)))
+        return F.aggregate(
+            after,
+            F.lit(""),
+            lambda kept, a: F.when((kept == "") | (F.length(a) < F.length(kept)), a).otherwise(kept),
+        )
+
+    def keys(text: Column) -> Column:
+        clauses = F.split(text, "\n")
+        tails = F.transform(
+            clauses, lambda c, i: tail(c, F.when(i == F.size(clauses) - 1, with_equals).otherwise(leads))
+        )
+        told = F.filter(tails, lambda k: (k != "") & ~k.isin(*EMPTY_TAILS))
+        return let(told, lambda k: F.when(F.size(k) == 0, F.array(text)).otherwise(k))
+
+    def numbers(found: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                found,
+                lambda k: F.concat(*[F.regexp_extract_all(k, F.lit(p), F.lit(0)) for p in NUMBER_PATTERNS]),
+            )
         )
+
+    text = F.lower(F.trim(strip(response), F.lit(".")))
+    return let(
+        let(let(text, keys), lambda k: F.concat(k, numbers(k))),
+        lambda found: F.struct(
+            _normal_words(found).alias("words"), _normal_numbers(found).alias("numbers")
+        ),
     )
-    found = F.concat(keys, numbers)
-    return F.struct(_normal_words(found).alias("words"), _normal_numbers(found).alias("numbers"))
+
+
+def _split_plain(text: Column, mark: Column) -> Column:
+    """Split at a literal mark."""
+    return F.split(text, F.concat(F.lit(r"\Q"), mark, F.lit(r"\E")))
 
 
 def open_correct(gold: Column, parsed: Column) -> Column:
     """True if a gold string lies in a predicted string, or a gold number is predicted."""
-    gold_words, gold_numbers = _normal_words(gold), _normal_numbers(gold)
-    said = F.exists(parsed["words"], lambda p: F.exists(gold_words, lambda g: p.contains(g)))
-    return said | F.arrays_overlap(parsed["numbers"], gold_numbers)
+
+    def check(both: Column) -> Column:
+        said = F.exists(
+            both["words"], lambda p: F.exists(both["gold_words"], lambda g: p.contains(g))
+        )
+        return said | F.arrays_overlap(both["numbers"], both["gold_numbers"])
+
+    return let(
+        let(
+            parsed,
+            lambda p: F.struct(
+                p["words"].alias("words"),
+                p["numbers"].alias("numbers"),
+                _normal_words(gold).alias("gold_words"),
+                _normal_numbers(gold).alias("gold_numbers"),
+            ),
+        ),
+        check,
+    )
 
 
 # ---- canonical answers ------------------------------------------------------------------------
@@ -356,7 +394,10 @@ def canonical_answer(text: Column) -> Column:
     low = F.lower(text)
     for old, new in ((",", ""), ("?", ""), ("'s", " 's")):
         low = F.replace(low, F.lit(old), F.lit(new))
-    base = strip(F.translate(strip(low), "\n\t", "  "))
+    return let(strip(F.translate(strip(low), "\n\t", "  ")), _canonical)
+
+
+def _canonical(base: Column) -> Column:
     digits_with_comma = base.rlike(r"\d,+\d")
     out = base
     for mark in MARKS:
@@ -376,12 +417,15 @@ def soft_vote(prediction: Column, answers: Column) -> Column:
 
     With c of n annotators giving the predicted answer, c of them see c-1 matches and n-c see c.
     """
-    n = F.size(answers)
-    c = F.size(F.filter(answers, lambda a: a == prediction))
-    third = F.lit(3.0)
-    return (
-        c * F.least(F.lit(1.0), F.greatest(c - 1, F.lit(0)) / third) + (n - c) * F.least(F.lit(1.0), c / third)
-    ) / n
+    n, third = F.size(answers), F.lit(3.0)
+    return let(
+        F.size(F.filter(answers, lambda a: a == prediction)),
+        lambda c: (
+            c * F.least(F.lit(1.0), F.greatest(c - 1, F.lit(0)) / third)
+            + (n - c) * F.least(F.lit(1.0), c / third)
+        )
+        / n,
+    )
 
 
 # ---- graded matches ---------------------------------------------------------------------------
@@ -504,12 +548,17 @@ def judge_reply(reply: Column) -> Column:
 
 def cut_repetition(text: Column) -> Column:
     """Text up to the first sentence that was said before, ignoring case."""
-    parts = F.split(text, r"\.")
-    low = F.transform(parts, F.lower)
-    repeated = F.transform(low, lambda x, i: F.array_position(low, x) < i + 1)
-    first = F.array_position(repeated, True)
-    kept = F.when(first == 0, parts).otherwise(F.slice(parts, F.lit(1), first.cast("int") - 1))
-    return F.array_join(kept, ".")
+    parts, low = F.split(text, r"\."), F.split(F.lower(text), r"\.")
+    first = let(
+        low,
+        lambda all_low: F.array_position(
+            F.transform(all_low, lambda x, i: F.array_position(all_low, x) < i + 1), True
+        ),
+    )
+    return let(
+        first.cast("int"),
+        lambda f: F.array_join(F.when(f == 0, parts).otherwise(F.slice(parts, F.lit(1), f - 1)), "."),
+    )
 
 
 # Sentence ends, closing quotes that stay with them, opening quotes.

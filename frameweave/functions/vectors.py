@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from frameweave.functions.binding import let
+
 Distance = Callable[[Column, Column], Column]
 
 
@@ -67,25 +69,44 @@ def ssim(a: str | Column, b: str | Column, span: float = 1.0) -> Column:
     """Structural similarity over the whole vector, with the usual constants for range `span`."""
     a, b = doubles(a), doubles(b)
     n = F.size(a).cast("double")
-    mean_a, mean_b = total(a) / n, total(b) / n
-    var_a = total(F.transform(a, lambda x: x * x)) / n - mean_a * mean_a
-    var_b = total(F.transform(b, lambda x: x * x)) / n - mean_b * mean_b
-    cov = dot(a, b) / n - mean_a * mean_b
     c1, c2 = (0.01 * span) ** 2, (0.03 * span) ** 2
-    return ((2 * mean_a * mean_b + c1) * (2 * cov + c2)) / (
-        (mean_a * mean_a + mean_b * mean_b + c1) * (var_a + var_b + c2)
+    moments = F.struct(
+        (total(a) / n).alias("ma"),
+        (total(b) / n).alias("mb"),
+        (dot(a, a) / n).alias("aa"),
+        (dot(b, b) / n).alias("bb"),
+        (dot(a, b) / n).alias("ab"),
     )
 
+    def score(m: Column) -> Column:
+        ma, mb = m["ma"], m["mb"]
+        spread = (m["aa"] - ma * ma) + (m["bb"] - mb * mb)
+        return ((2 * ma * mb + c1) * (2 * (m["ab"] - ma * mb) + c2)) / (
+            (ma * ma + mb * mb + c1) * (spread + c2)
+        )
+
+    return let(moments, score)
+
 
 def unit(a: str | Column) -> Column:
-    size = norm(a)
-    return F.transform(doubles(a), lambda x: F.when(size > 0, x / size).otherwise(F.lit(0.0)))
+    v = doubles(a)
+    return let(
+        norm(v),
+        lambda size: F.transform(v, lambda x: F.when(size > 0, x / size).otherwise(F.lit(0.0))),
+    )
 
 
 def minmax(a: str | Column) -> Column:
     v = doubles(a)
-    low, high = F.array_min(v), F.array_max(v)
-    return F.transform(v, lambda x: F.when(high > low, (x - low) / (high - low)).otherwise(F.lit(0.0)))
+    return let(
+        F.struct(F.array_min(v).alias("low"), F.array_max(v).alias("high")),
+        lambda b: F.transform(
+            v,
+            lambda x: F.when(b["high"] > b["low"], (x - b["low"]) / (b["high"] - b["low"])).otherwise(
+                F.lit(0.0)
+            ),
+        ),
+    )
 
 
 DISTANCES: dict[str, Distance] = {

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from frameweave.functions.binding import let
 from frameweave.functions.text import words
 from frameweave.plans.ordering import order_rows
 
@@ -144,9 +145,9 @@ def completion_labels(ids: Column, marker: Sequence[int]) -> Column:
     k = len(marker)
     want = F.array(*[F.lit(m) for m in marker])
     starts = F.transform(ids, lambda x, i: F.when(F.slice(ids, i + 1, k) == want, i))
-    last = F.array_max(starts)
-    return F.transform(
-        ids, lambda x, i: F.when(last.isNotNull() & (i >= last + k), x).otherwise(F.lit(IGNORE))
+    return let(
+        F.coalesce(F.array_max(starts), F.lit(2**31 - 1 - k)),
+        lambda last: F.transform(ids, lambda x, i: F.when(i >= last + k, x).otherwise(F.lit(IGNORE))),
     )
 
 
@@ -160,12 +161,12 @@ def interleaved_text(
 
     `matched` holds one 0-based sentence index per image; only the first `max_images` count.
     """
-    used = F.slice(matched, 1, max_images)
     clean = F.transform(sentences, lambda s: F.replace(s, F.lit(token), F.lit(token.upper())))
-    marked = F.transform(
-        clean,
-        lambda s, i: F.concat(
-            F.array_join(F.array_repeat(F.lit(token + "\n"), F.size(F.filter(used, lambda m: m == i))), ""), s
+    marked = let(
+        F.slice(matched, 1, max_images),
+        lambda used: F.transform(
+            clean,
+            lambda s, i: F.concat(F.repeat(F.lit(token + "\n"), F.size(F.filter(used, lambda m: m == i))), s),
         ),
     )
     text = F.array_join(marked, " ")
@@ -192,23 +193,28 @@ def recover_turns(question: Column, answer: Column, n_images: Column, token: str
         return F.struct(F.lit(who).alias("from"), value.alias("value"))
 
     parts = F.split(question, "\nQuestion: ")
-    asked = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
-    last = F.size(asked) - 1
-    pairs = F.transform(
-        asked,
-        lambda p, i: F.array(
-            turn(
-                "human",
-                F.concat(
-                    F.when(i == 0, F.lit(token + "\n")).otherwise(F.lit("")),
-                    F.when(i == last, F.replace(p, F.lit("\n"), F.lit(""))).otherwise(
-                        F.split_part(p, F.lit("\nAnswer: "), F.lit(1))
+
+    def dialogue(asked: Column) -> Column:
+        last = F.size(asked) - 1
+        return F.transform(
+            asked,
+            lambda p, i: F.array(
+                turn(
+                    "human",
+                    F.concat(
+                        F.when(i == 0, F.lit(token + "\n")).otherwise(F.lit("")),
+                        F.when(i == last, F.replace(p, F.lit("\n"), F.lit(""))).otherwise(
+                            F.split_part(p, F.lit("\nAnswer: "), F.lit(1))
+                        ),
                     ),
                 ),
+                turn(
+                    "gpt", F.when(i == last, answer).otherwise(F.split_part(p, F.lit("\nAnswer: "), F.lit(2)))
+                ),
             ),
-            turn("gpt", F.when(i == last, answer).otherwise(F.split_part(p, F.lit("\nAnswer: "), F.lit(2)))),
-        ),
-    )
+        )
+
+    pairs = let(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), dialogue)
     bare = question
     for mark in (token + "\n", "\n" + token, token):
         bare = F.replace(bare, F.lit(mark), F.lit(""))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from frameweave.functions.binding import let
 from frameweave.plans.ordering import order_rows
 
 
@@ -173,8 +174,10 @@ def assign_segments(
 
 def uncovered(have: Column, wanted: Column) -> Column:
     """Items of `wanted` that `have` lacks, ignoring case; repeats are kept."""
-    lowered = F.transform(have, F.lower)
-    return F.filter(wanted, lambda x: ~F.array_contains(lowered, F.lower(x)))
+    return let(
+        F.array_distinct(F.transform(have, F.lower)),
+        lambda known: F.filter(wanted, lambda x: ~F.array_contains(known, F.lower(x))),
+    )
 
 
 def shard_ranges(shards: DataFrame, order: Sequence[str], n: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from frameweave.functions.binding import let
 from frameweave.plans.ordering import order_rows
 
 
@@ -350,7 +351,10 @@ def capability_scores(df: DataFrame, capability: str, scores: str, runs: int) ->
     per = flat.groupBy("level", "name").agg(F.count(F.lit(1)).alias("n"), *sums)
     pct = F.transform(F.array(*[F.col(f"_r{r}") for r in range(runs)]), lambda s: s / F.col("n") * 100)
     mean = F.aggregate(pct, F.lit(0.0), lambda a, x: a + x) / runs
-    spread = F.sqrt(F.aggregate(pct, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / runs)
+    spread = let(
+        mean,
+        lambda m: F.sqrt(F.aggregate(pct, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / runs),
+    )
     return per.select(
         "level",
         "name",
