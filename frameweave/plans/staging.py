@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Rows a side may have before it is no longer broadcast.
+# Rows and bytes a side may have before it is no longer broadcast.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 _local_roots: dict[str, str] = {}
 
@@ -41,9 +43,35 @@ def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True if `df` has at most `rows` rows; reads no further than needed to know."""
-    return df.limit(rows + 1).count() <= rows
+def row_bytes(df: DataFrame) -> Column:
+    """Rough size of a row: 8 bytes per number, the length of texts, all values of arrays."""
+
+    def width(c: Column, t: T.DataType) -> Column:
+        if isinstance(t, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
+        if isinstance(t, T.ArrayType):
+            inner = t.elementType
+            if isinstance(inner, (T.ArrayType, T.StringType, T.StructType, T.BinaryType)):
+                total = F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + width(x, inner))
+            else:
+                total = F.size(c).cast("long") * 8
+            return F.coalesce(total, F.lit(0).cast("long"))
+        if isinstance(t, T.StructType):
+            return sum((width(c[f.name], f.dataType) for f in t), F.lit(0).cast("long"))
+        return F.lit(8).cast("long")
+
+    return sum((width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(0).cast("long"))
+
+
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True if `df` has at most `rows` rows that take at most about `max_bytes`.
+
+    Rows are counted first, without their values and no further than needed; only a table of few
+    rows is measured.
+    """
+    if df.limit(rows + 1).count() > rows:
+        return False
+    return (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= max_bytes
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 import importlib
 
 AREAS = (
+    "memories",
+    "streams",
+    "vectors",
     "texts",
     "sequences",
     "corpus",
