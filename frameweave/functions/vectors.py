@@ -89,22 +89,27 @@ def ssim(a: str | Column, b: str | Column, span: float = 1.0) -> Column:
 
 
 def unit(a: str | Column) -> Column:
-    v = doubles(a)
+    """Vector of length 1; an all-zero vector stays as it is."""
     return let(
-        norm(v),
-        lambda size: F.transform(v, lambda x: F.when(size > 0, x / size).otherwise(F.lit(0.0))),
+        doubles(a),
+        lambda v: let(
+            norm(v),
+            lambda size: F.transform(v, lambda x: F.when(size > 0, x / size).otherwise(F.lit(0.0))),
+        ),
     )
 
 
 def minmax(a: str | Column) -> Column:
-    v = doubles(a)
+    """Values scaled to 0..1; a constant vector becomes zeros."""
+
+    def scale(v: Column, b: Column) -> Column:
+        span = b["high"] - b["low"]
+        return F.transform(v, lambda x: F.when(span > 0, (x - b["low"]) / span).otherwise(F.lit(0.0)))
+
     return let(
-        F.struct(F.array_min(v).alias("low"), F.array_max(v).alias("high")),
-        lambda b: F.transform(
-            v,
-            lambda x: F.when(b["high"] > b["low"], (x - b["low"]) / (b["high"] - b["low"])).otherwise(
-                F.lit(0.0)
-            ),
+        doubles(a),
+        lambda v: let(
+            F.struct(F.array_min(v).alias("low"), F.array_max(v).alias("high")), lambda b: scale(v, b)
         ),
     )
 

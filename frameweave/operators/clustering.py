@@ -18,7 +18,7 @@ from frameweave.functions.binding import let
 from frameweave.functions.hashing import u
 from frameweave.functions.vectors import DISTANCES, Distance, cosine, doubles, minmax, squared, unit
 from frameweave.plans.ordering import order_rows, top_rows
-from frameweave.plans.staging import materialise, small_side
+from frameweave.plans.staging import materialise, small_side, spread
 
 VECTORS = "array<array<double>>"
 
@@ -464,34 +464,40 @@ def constrained_assign(
 
 
 def _assign_rounds(rows: DataFrame, instance: str, point: str) -> DataFrame:
-    """Points propose to their clusters in order of priority; each cluster takes a prefix that fits."""
+    """Points ask their clusters in order of priority; a cluster takes the askers that fit.
+
+    A point heavier than the room left does not ask. Of the others a cluster takes the longest run
+    by priority that fits, so it takes at least the first. Cycles over all clusters go on until one
+    places nothing; then no point left over fits anywhere.
+    """
+    key = [instance, "label"]
     clusters = rows.select(F.max(F.size("_p"))).first()[0]
     ranked = F.array_sort(
         F.transform("_p", lambda p, i: F.struct((-p).alias("p"), i.cast("long").alias("j")))
     )
-    open_ = rows.withColumn("_r", ranked)
-    used = None
-    placed = None
-    for turn in range(clusters):
-        asks = open_.where(F.size("_r") > turn).select(
-            instance, point, "_w", "_r", F.get("_r", turn)["j"].alias("label"), F.get("_r", turn)["p"].alias("_pr")
-        )
-        run = order_rows(asks, [instance, "label"], ["_pr", point]).running(_load=F.col("_w")).df
-        if used is not None:
-            run = run.join(small_side(used), [instance, "label"], "left").withColumn(
-                "_load", F.col("_load") + F.coalesce("_used", F.lit(0.0))
-            ).drop("_used")
-        run = materialise(run.withColumn("_ok", F.col("_load") <= 1 + 1e-12))
-        won = run.where("_ok").select(instance, point, "_w", "label")
-        placed = won if placed is None else materialise(placed.unionByName(won))
-        used = materialise(placed.groupBy(instance, "label").agg(F.sum("_w").alias("_used")))
-        open_ = run.where(~F.col("_ok")).select(instance, point, "_w", "_r")
-        if open_.isEmpty():
-            break
-    rest = rows.select(instance, point).join(placed, [instance, point], "left_anti")
-    return placed.select(instance, point, "label").unionByName(
-        rest.withColumn("label", F.lit(-1).cast("long"))
-    )
+    open_ = rows.withColumn("_r", ranked).select(instance, point, "_w", "_r")
+    placed = open_.select(instance, point, "_w", F.lit(0).cast("long").alias("label")).limit(0)
+    progress = True
+    while progress and not open_.isEmpty():
+        progress = False
+        for turn in range(clusters):
+            used = materialise(placed.groupBy(*key).agg(F.sum("_w").alias("_used")))
+            asks = open_.where(F.size("_r") > turn).select(
+                instance, point, "_w", F.get("_r", turn)["j"].alias("label"), F.get("_r", turn)["p"].alias("_pr")
+            )
+            asks = asks.join(small_side(used), key, "left").withColumn(
+                "_room", 1 + 1e-12 - F.coalesce("_used", F.lit(0.0))
+            )
+            asks = materialise(asks.where(F.col("_w") <= F.col("_room")).drop("_used"))
+            if asks.isEmpty():
+                continue
+            run = order_rows(asks, key, ["_pr", point]).running(_load=F.col("_w")).df
+            won = materialise(run.where(F.col("_load") <= F.col("_room")).select(instance, point, "_w", "label"))
+            placed = materialise(placed.unionByName(won))
+            open_ = materialise(open_.join(won.select(instance, point), [instance, point], "left_anti"))
+            progress = True
+    rest = open_.select(instance, point, F.lit(-1).cast("long").alias("label"))
+    return placed.select(instance, point, "label").unionByName(rest)
 
 
 # ---- pooling, PCA, soft-DTW -------------------------------------------------------------------
@@ -530,44 +536,61 @@ def project(df: DataFrame, row_id: Sequence[str], x: str, components: int) -> tu
     return out, [float(v) for v in model.explainedVariance.toArray()]
 
 
-def soft_dtw_value(d: np.ndarray, gamma: float, bandwidth: float = 0.0) -> float:
-    """Soft-DTW of one distance matrix, computed along anti-diagonals."""
-    n, m = d.shape
-    r = np.full((n + 2, m + 2), np.inf)
-    r[0, 0] = 0.0
+def soft_dtw_values(d: np.ndarray, gamma: float, bandwidth: float = 0.0) -> np.ndarray:
+    """Soft-DTW of a stack of equally sized distance matrices, along anti-diagonals."""
+    count, n, m = d.shape
+    r = np.full((count, n + 2, m + 2), np.inf)
+    r[:, 0, 0] = 0.0
     for diagonal in range(2, n + m + 1):
         i = np.arange(max(1, diagonal - m), min(n, diagonal - 1) + 1)
         j = diagonal - i
         if bandwidth > 0:
             near = np.abs(i - j) <= bandwidth
             i, j = i[near], j[near]
-        before = np.stack([r[i - 1, j - 1], r[i - 1, j], r[i, j - 1]])
+        before = np.stack([r[:, i - 1, j - 1], r[:, i - 1, j], r[:, i, j - 1]])
         low = before.min(0)
-        live = np.isfinite(low)
-        gap = np.exp(-(before[:, live] - low[live]) / gamma).sum(0)
-        r[i[live], j[live]] = d[i[live] - 1, j[live] - 1] + low[live] - gamma * np.log(gap)
-    return float(r[n, m])
+        base = np.where(np.isfinite(low), low, 0.0)
+        with np.errstate(divide="ignore"):
+            soft = base - gamma * np.log(np.exp(-(before - base) / gamma).sum(0))
+        r[:, i, j] = d[:, i - 1, j - 1] + soft
+    return r[:, n, m]
 
 
 def soft_dtw(gamma: float = 1.0, normalise: bool = False, bandwidth: float = 0.0) -> Callable[[Column, Column], Column]:
     """Arrow UDF over two columns of sequences (array of vectors): squared-Euclid soft-DTW.
 
-    `normalise` subtracts half of both self-distances, so equal sequences give 0.
+    Pairs of equal lengths in a batch are computed together. `normalise` subtracts half of both
+    self-distances, so equal sequences give 0.
     """
 
-    def cost(a: np.ndarray, b: np.ndarray) -> float:
-        gap = ((a[:, None, :] - b[None, :, :]) ** 2).sum(2)
-        return soft_dtw_value(gap, gamma, bandwidth)
+    def cost(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        gap = ((a[:, :, None, :] - b[:, None, :, :]) ** 2).sum(3)
+        return soft_dtw_values(gap, gamma, bandwidth)
+
+    def matrix(sequence) -> np.ndarray:
+        return np.stack([np.asarray(v, float) for v in sequence])
 
     @F.pandas_udf(T.DoubleType())
     def run(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(left, right):
-            a, b = np.stack([np.asarray(v, float) for v in a]), np.stack([np.asarray(v, float) for v in b])
-            value = cost(a, b)
-            if normalise:
-                value -= 0.5 * (cost(a, a) + cost(b, b))
-            out.append(value)
-        return pd.Series(out, dtype=float)
+        out = np.full(len(left), np.nan)
+        sizes = list(zip(left.map(len), right.map(len)))
+        for size in set(sizes):
+            at = [i for i, s in enumerate(sizes) if s == size]
+            for part in range(0, len(at), 256):
+                rows = at[part : part + 256]
+                a = np.stack([matrix(left.iloc[i]) for i in rows])
+                b = np.stack([matrix(right.iloc[i]) for i in rows])
+                value = cost(a, b)
+                if normalise:
+                    value = value - 0.5 * (cost(a, a) + cost(b, b))
+                out[rows] = value
+        return pd.Series(out)
 
     return run
+
+
+def pairwise_soft_dtw(
+    pairs: DataFrame, left: str, right: str, out: str = "distance", **options
+) -> DataFrame:
+    """Soft-DTW of the two sequences of every row of a pair table."""
+    return spread(pairs).withColumn(out, soft_dtw(**options)(F.col(left), F.col(right)))

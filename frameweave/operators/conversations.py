@@ -142,6 +142,10 @@ def training_labels(
 
 def completion_labels(ids: Column, marker: Sequence[int]) -> Column:
     """Labels that keep only what follows the last occurrence of the response marker."""
+    return let(ids, lambda bound: _after_marker(bound, marker))
+
+
+def _after_marker(ids: Column, marker: Sequence[int]) -> Column:
     k = len(marker)
     want = F.array(*[F.lit(m) for m in marker])
     starts = F.transform(ids, lambda x, i: F.when(F.slice(ids, i + 1, k) == want, i))

@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameweave.functions.vectors import doubles, norm
+from frameweave.functions.vectors import doubles, unit
 from frameweave.plans.ordering import order_rows, top_rows
+from frameweave.plans.staging import spread
 
 # Bytes of vectors that one side may bring to a task.
 BLOCK_BYTES = 64 << 20
@@ -271,26 +272,22 @@ def hashed_vectors(df: DataFrame, row_id: str, text: str, dim: int = 64, out: st
     Words are counted per (row, slot), so a long text costs one small row per slot and not an
     array update per word. A text without words gives the zero vector.
     """
-    tokens = df.select(
+    tokens = spread(df.select(row_id, text)).select(
         row_id, F.explode(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")).alias("_w")
     )
+    # A word is hashed once per row it occurs in, however often it is repeated there.
+    tokens = tokens.groupBy(row_id, "_w").agg(F.count(F.lit(1)).alias("_n"))
     digest = F.md5("_w")
     slot = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dim
     sign = F.when(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") < 8, 1).otherwise(-1)
-    slots = tokens.groupBy(row_id, slot.alias("_slot")).agg(F.sum(sign).alias("_v"))
+    slots = tokens.groupBy(row_id, slot.alias("_slot")).agg(F.sum(sign * F.col("_n")).alias("_v"))
     packed = slots.groupBy(row_id).agg(F.map_from_entries(F.collect_list(F.struct("_slot", "_v"))).alias("_m"))
     full = F.transform(
         F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")),
         lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0)).cast("double"),
     )
-    dense = df.select(row_id).join(packed, row_id, "left").select(
-        row_id, F.coalesce(full, F.array_repeat(F.lit(0.0), dim)).alias("_d")
-    )
-    size = norm("_d")
-    return dense.withColumn("_n", size).select(
-        row_id,
-        F.when(F.col("_n") > 0, F.transform("_d", lambda x: x / F.col("_n"))).otherwise(F.col("_d")).alias(out),
-    )
+    dense = F.coalesce(full, F.array_repeat(F.lit(0.0), dim))
+    return df.select(row_id).join(packed, row_id, "left").select(row_id, unit(dense).alias(out))
 
 
 def text_vectors(

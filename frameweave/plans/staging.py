@@ -43,6 +43,15 @@ def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition before costly per-row work when the input has fewer splits than the cluster cores.
+
+    A large table already has enough splits and passes unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def row_bytes(df: DataFrame) -> Column:
     """Rough size of a row: 8 bytes per number, the length of texts, all values of arrays."""
 

@@ -13,18 +13,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 MEMBER_SCHEMA = "shard string, key string, ext string, bytes binary"
+SAMPLE_SCHEMA = "shard string, key string, members map<string, binary>"
 CATALOG_SCHEMA = "url string, nsamples long, filesize long, md5sum string, error string"
 
 
+def _locate(url: str):
+    return pafs.FileSystem.from_uri(url) if "://" in url else (pafs.LocalFileSystem(), url)
+
+
 def open_stream(url: str):
     """Sequential reader for a local path or any URI that Arrow's file systems know."""
-    if "://" in url:
-        fs, path = pafs.FileSystem.from_uri(url)
-    else:
-        fs, path = pafs.LocalFileSystem(), url
+    fs, path = _locate(url)
     return fs.open_input_stream(path)
 
 
+def open_file(url: str):
+    """Seekable reader of the same."""
+    fs, path = _locate(url)
+    return fs.open_input_file(path)
+
+
 def split_name(name: str) -> tuple[str, str] | None:
     """Sample key and extension: the base name is cut at its first dot."""
     folder, _, base = name.rpartition("/")
@@ -41,51 +49,84 @@ class _Shard(InputPartition):
 
 
 class ShardReader(DataSourceReader):
-    """One input partition per archive; members are streamed, never held together."""
+    """One input partition per archive; at most one sample is held at a time."""
 
-    def __init__(self, options):
+    def __init__(self, options, samples: bool):
         self.urls = options["paths"].split("\n")
+        self.samples = samples
 
     def partitions(self) -> Sequence[InputPartition]:
         return [_Shard(u) for u in self.urls]
 
     def read(self, partition: _Shard) -> Iterator[tuple]:
+        # An unreadable rest of a shard is left out here and reported by `shard_catalog`.
+        read = self._read_samples if self.samples else self._read_members
+        return read(partition.url)
+
+    def _read_members(self, url: str) -> Iterator[tuple]:
         try:
-            with open_stream(partition.url) as raw, tarfile.open(fileobj=raw, mode="r|*") as tar:
+            with open_stream(url) as raw, tarfile.open(fileobj=raw, mode="r|*") as tar:
                 for member in tar:
                     name = split_name(member.name) if member.isfile() else None
                     if name is not None:
-                        yield partition.url, name[0], name[1], tar.extractfile(member).read()
+                        yield url, name[0], name[1], tar.extractfile(member).read()
+        except (tarfile.TarError, EOFError, OSError):
+            return
+
+    def _read_samples(self, url: str) -> Iterator[tuple]:
+        """Headers first, then the bytes sample by sample, as members need not be neighbours."""
+        try:
+            with open_file(url) as raw, tarfile.open(fileobj=raw, mode="r:*") as tar:
+                groups: dict[str, list] = {}
+                try:
+                    for member in tar:
+                        name = split_name(member.name) if member.isfile() else None
+                        if name is not None:
+                            groups.setdefault(name[0], []).append((name[1], member))
+                except (tarfile.TarError, EOFError, OSError):
+                    pass
+                for key, members in groups.items():
+                    held = {ext: tar.extractfile(member).read() for ext, member in members}
+                    if all(len(held[ext]) == member.size for ext, member in members):
+                        yield url, key, held
         except (tarfile.TarError, EOFError, OSError):
-            return  # an unreadable rest of a shard is reported by `shard_catalog`
+            return
 
 
 class ShardSource(DataSource):
-    """`spark.read.format("tar_shards").option("paths", "a.tar\\nb.tar")`."""
+    """`spark.read.format("tar_shards").option("paths", "a.tar\nb.tar")`: one row per sample,
+    or per member with `.option("rows", "members")`."""
 
     @classmethod
     def name(cls) -> str:
         return "tar_shards"
 
+    def _samples(self) -> bool:
+        return self.options.get("rows", "samples") == "samples"
+
     def schema(self) -> str:
-        return MEMBER_SCHEMA
+        return SAMPLE_SCHEMA if self._samples() else MEMBER_SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return ShardReader(self.options)
+        return ShardReader(self.options, self._samples())
 
 
-def read_members(spark: SparkSession, urls: Sequence[str]) -> DataFrame:
+def _shard_reader(spark: SparkSession, urls: Sequence[str], rows: str) -> DataFrame:
     spark.dataSource.register(ShardSource)
-    return spark.read.format("tar_shards").option("paths", "\n".join(urls)).load()
+    return spark.read.format("tar_shards").option("rows", rows).option("paths", "\n".join(urls)).load()
+
+
+def read_members(spark: SparkSession, urls: Sequence[str]) -> DataFrame:
+    return _shard_reader(spark, urls, "members")
 
 
 def read_samples(spark: SparkSession, urls: Sequence[str]) -> DataFrame:
-    """One row per sample: `members` maps extension to bytes."""
-    return (
-        read_members(spark, urls)
-        .groupBy("shard", "key")
-        .agg(F.map_from_entries(F.collect_list(F.struct("ext", "bytes"))).alias("members"))
-    )
+    """One row per sample: `members` maps extension to bytes.
+
+    A sample never spans shards, so members are grouped where they are read and no bytes are
+    shuffled.
+    """
+    return _shard_reader(spark, urls, "samples")
 
 
 def list_shards(spark: SparkSession, folder: str) -> list[str]:

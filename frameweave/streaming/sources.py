@@ -87,7 +87,7 @@ def windowed_counts(
 
 
 def session_counts(frames: DataFrame, keys: list[str], gap: str, late: str = "10 minutes") -> DataFrame:
-    """Counts per session: rows less than `gap` apart."""
+    """Counts per session: rows less than `gap` apart. At least one key is needed."""
     return (
         frames.withWatermark("ts", late)
         .groupBy(F.session_window("ts", gap), *keys)

@@ -268,8 +268,8 @@ def soft_dtw(t):
     series = daily.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("day", "v"))).alias("s"))
     series = series.select("user_id", F.transform("s", lambda p: F.array(p["v"] / 100)).alias("s"))
     before = series.select((F.col("user_id") + 1).alias("user_id"), F.col("s").alias("p"))
-    gap = C.soft_dtw(1.0, normalise=True)
-    return series.join(before, "user_id").select("user_id", F.round(gap("s", "p"), 6).alias("distance"))
+    out = C.pairwise_soft_dtw(series.join(before, "user_id"), "s", "p", gamma=1.0, normalise=True)
+    return out.select("user_id", F.round("distance", 6).alias("distance"))
 
 
 @query(
