@@ -573,8 +573,13 @@ def sentences(text: Column) -> Column:
     A piece that opens with a quote right after a sentence end stays with that sentence.
     """
     ends = ENDS.replace(".", r"\.").replace("?", r"\?")
-    cut = f"(?<=[{ends}][{CLOSING}]{{0,2}})(?![{ends}{CLOSING}{OPENING}])(?=[\\s\\S])"
-    return F.filter(F.split(text, cut), lambda x: x != "")
+    follows = f"(?![{ends}{CLOSING}{OPENING}]|\\z)"
+    # Marking the ends and cutting at the mark needs no look-behind at every character. A text that
+    # holds the mark itself is cut with one.
+    mark = "\u0001"
+    marked = F.split(F.regexp_replace(text, f"([{ends}][{CLOSING}]{{0,2}}){follows}", f"$1{mark}"), mark)
+    behind = F.split(text, f"(?<=[{ends}][{CLOSING}]{{0,2}}){follows}")
+    return F.filter(F.when(text.contains(mark), behind).otherwise(marked), lambda x: x != "")
 
 
 def _pieces(text: str, marks: Sequence[str], size: int) -> list[str]:

@@ -17,7 +17,13 @@ from frameweave.functions.vectors import Distance, cosine, euclidean, squared, s
 from frameweave.operators.clustering import lloyd
 from frameweave.operators.sequencing import chunk_rows
 from frameweave.plans.ordering import GROUP_ROWS, order_rows, top_rows
-from frameweave.plans.staging import materialise, small_side
+from frameweave.plans.staging import (
+    BROADCAST_BYTES,
+    BROADCAST_ROWS,
+    materialise,
+    row_bytes,
+    small_side,
+)
 from frameweave.sources.sinks import merge_keep_saved
 
 # ---- gate and short memory --------------------------------------------------------------------
@@ -285,10 +291,16 @@ def descend(
     `roots` (query_id, stream, depth, seq) limits a question to some roots, such as those that
     existed when it was asked; by default all roots of the stream count.
 
-    One round per level. The upper levels are small and broadcast behind a size check; in the lower
-    ones the parent key spreads the questions of a busy stream over many partitions.
+    One round per level. Levels of a checked size are broadcast, which the upper ones are; in the
+    larger ones the parent key spreads the questions of a busy stream over many partitions.
     """
     table = nodes.select("stream", "depth", "seq", "parent_seq", "vector", "text")
+    sizes = table.groupBy("depth").agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes(table)).alias("b"))
+    small = {r.depth for r in sizes.collect() if r.n <= BROADCAST_ROWS and r.b <= BROADCAST_BYTES}
+
+    def hinted(level: DataFrame, depth: int) -> DataFrame:
+        return F.broadcast(level) if depth in small else level
+
     if roots is None:
         tops = queries.join(small_side(forest_roots(table)), "stream")
     else:
@@ -317,7 +329,8 @@ def descend(
             "vector",
             "text",
         )
-        step = now.withColumnRenamed("seq", "_ps").drop("depth").join(small_side(children), ["stream", "_ps"])
+        children = hinted(children, depth - 1)
+        step = now.withColumnRenamed("seq", "_ps").drop("depth").join(children, ["stream", "_ps"])
         best = step.groupBy("query_id", "stream", "root_depth", "root_seq").agg(
             F.min_by(
                 F.struct(

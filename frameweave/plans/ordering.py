@@ -14,12 +14,14 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from frameweave.plans.staging import materialise
+from frameweave.plans.staging import materialise, row_bytes
 
-# Rows of one group that a single task may sort in a window.
+# Rows and bytes of one group that a single task may sort in a window.
 GROUP_ROWS = 1_000_000
+GROUP_BYTES = 512 << 20
 
 
 def as_columns(order: Sequence[str | Column]) -> list[Column]:
@@ -32,6 +34,14 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return sizes.agg(F.max("n")).first()[0] or 0
 
 
+def rows_per_task(df: DataFrame, group_rows: int) -> int:
+    """`group_rows`, or fewer where rows are wide, such as frames with long vectors."""
+    if not any(isinstance(f.dataType, (T.ArrayType, T.BinaryType, T.StringType)) for f in df.schema):
+        return group_rows
+    width = df.limit(64).agg(F.avg(row_bytes(df))).first()[0] or 1
+    return max(1, min(group_rows, int(GROUP_BYTES / width)))
+
+
 @dataclass(frozen=True)
 class Ordered:
     """Rows numbered from 0 within `keys`; `blocked` when a group may exceed one task."""
@@ -177,6 +187,7 @@ def order_rows(
 ) -> Ordered:
     """Number rows from 0 within `keys` by the total order `order`; `size` adds the group count."""
     keys, order = tuple(keys), as_columns(order)
+    group_rows = rows_per_task(df, group_rows)
     if largest_group(df, keys) <= group_rows:
         whole = Window.partitionBy(*keys)
         out = df.withColumn(seq, F.row_number().over(whole.orderBy(*order)).cast("long") - 1)

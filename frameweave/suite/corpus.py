@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from frameweave.functions.hashing import u
 from frameweave.functions.text import words
 from frameweave.operators import corpus as C
+from frameweave.plans.staging import spread
 from frameweave.suite.registry import query
 
 U = "('0x' || substr(md5('{seed}:' || {id}), 1, 8))::BIGINT / 4294967296.0"
@@ -148,7 +149,7 @@ def equal_share(t):
        SELECT pos // 512 AS block, string_agg(tok, ' ' ORDER BY pos) AS tokens FROM o WHERE (pos // 512 + 1) * 512 <= n GROUP BY 1""",
 )
 def token_blocks(t):
-    rows = t.documents.select("doc_id", words(F.col("text")).alias("tokens"))
+    rows = spread(t.documents.select("doc_id", "text")).select("doc_id", words(F.col("text")).alias("tokens"))
     out = C.token_blocks(rows, ["doc_id"], "tokens", 512, F.lit("</s>"))
     return out.select("block", F.array_join("tokens", " ").alias("tokens"))
 
@@ -161,7 +162,7 @@ def token_blocks(t):
 )
 def sequence_packs(t):
     # Each row is kept once and no pack exceeds a limit; the packing is compared in the tests.
-    rows = t.documents.select(
+    rows = spread(t.documents.select("doc_id", "text")).select(
         "doc_id", F.size(words(F.col("text"))).alias("l"), (F.col("doc_id") % 4).alias("i")
     )
     packs = C.pack_sequences(rows, "doc_id", F.col("l"), F.col("i"), 2048, 8, 42)

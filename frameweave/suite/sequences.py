@@ -198,14 +198,17 @@ def unique_ids(t):
 @query(
     "probe_grid_w15",
     """WITH e AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS seq FROM embeddings),
-            g AS (SELECT l.l AS length, d.d AS depth, floor(d.d * l.l + 1e-9)::BIGINT AS marker
-                  FROM (VALUES (50), (200), (400)) l(l), (VALUES (0.0::DOUBLE), (0.3), (1.0)) d(d) WHERE NOT (l.l = 200 AND d.d = 1.0))
-       SELECT length::BIGINT AS length, depth, seq + CASE WHEN seq >= marker THEN 1 ELSE 0 END AS position, vec_id FROM e, g WHERE seq < length
+            l AS (SELECT unnest([count(*) // 10, count(*) // 2, count(*)]) AS length, count(*) // 2 AS half FROM e GROUP BY ()),
+            g AS (SELECT length, d.d AS depth, floor(d.d * length + 1e-9)::BIGINT AS marker
+                  FROM l, (VALUES (0.0::DOUBLE), (0.3), (1.0)) d(d) WHERE NOT (length = half AND d.d = 1.0))
+       SELECT length, depth, seq + CASE WHEN seq >= marker THEN 1 ELSE 0 END AS position, vec_id FROM e, g WHERE seq < length
        UNION ALL SELECT length, depth, marker, NULL FROM g""",
 )
 def probe_grid(t):
-    done = t.spark.createDataFrame([(200, 1.0)], "length long, depth double")
-    return W.probe_grid(t.embeddings.select("vec_id"), ["vec_id"], "vec_id", [50, 200, 400], [0.0, 0.3, 1.0], done)
+    n = t.embeddings.count()
+    done = t.spark.createDataFrame([(n // 2, 1.0)], "length long, depth double")
+    lengths, depths = [n // 10, n // 2, n], [0.0, 0.3, 1.0]
+    return W.probe_grid(t.embeddings.select("vec_id"), ["vec_id"], "vec_id", lengths, depths, done)
 
 
 @query(

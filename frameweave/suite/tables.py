@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from frameweave.operators import selecting as S
 from frameweave.plans.ordering import order_rows
-from frameweave.plans.staging import staging_root
+from frameweave.plans.staging import spread, staging_root
 from frameweave.sources import annotations as A
 from frameweave.sources import shards as H
 from frameweave.sources import sinks as K
@@ -348,7 +348,7 @@ def option_rounds(t):
     "readable_words_p6",
     """WITH w AS (SELECT l_orderkey AS image, l_linenumber AS line, l_shipdate, l_partkey,
                          CASE WHEN l_returnflag = 'N' THEN '.' ELSE l_returnflag || l_linenumber END AS text,
-                         l_quantity AS width, 100 * l_discount + 1 AS height, l_linestatus = 'O' AS legible,
+                         l_quantity AS width, floor(100 * l_discount + 0.5) + 1 AS height, l_linestatus = 'O' AS legible,
                          l_tax >= 0.07 AS vertical FROM lineitem),
             k AS (SELECT image, width * height AS area FROM w WHERE text <> '.' AND legible AND NOT vertical
                   AND width * height >= 5000 * 0.01 AND width * height >= 60)
@@ -356,14 +356,14 @@ def option_rounds(t):
 )
 def readable_words(t):
     x, y = F.col("l_linenumber") * 10.0, (F.col("l_suppkey") % 50) * 1.0
-    w, h = F.col("l_quantity"), F.col("l_discount") * 100 + 1
+    w, h = F.col("l_quantity"), F.floor(F.col("l_discount") * 100 + 0.5) + 1.0
     corners = F.array(F.array(x, y), F.array(x + w, y), F.array(x + w, y + h), F.array(x, y + h))
-    words = t.lineitem.select(
+    words = spread(t.lineitem).select(
         F.col("l_orderkey").alias("image"),
         F.when(F.col("l_returnflag") == "N", ".")
         .otherwise(F.concat("l_returnflag", F.col("l_linenumber").cast("string")))
         .alias("text"),
-        F.transform(corners, lambda p: F.transform(p, lambda v: F.round(v, 6))).alias("vertices"),
+        corners.alias("vertices"),
         (F.col("l_linestatus") == "O").alias("legible"),
         (F.col("l_tax") >= 0.07).alias("vertical"),
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from frameweave.functions import text as X
 from frameweave.operators import conversations as C
 from frameweave.plans.ordering import order_rows
+from frameweave.plans.staging import spread
 from frameweave.sources.sinks import merge_keep_saved
 from frameweave.suite.registry import query
 
@@ -55,7 +56,7 @@ def open_answer(t):
         .otherwise(F.concat(F.lit("It could be of kind "), F.lower("o_orderpriority")))
     )
     gold = F.array(price.cast("decimal(15,2)").cast("string"), F.col("o_orderpriority"))
-    return t.orders.select("o_orderkey", X.open_correct(gold, X.parse_open(response)).alias("correct"))
+    return spread(t.orders).select("o_orderkey", X.open_correct(gold, X.parse_open(response)).alias("correct"))
 
 
 @query(
@@ -115,7 +116,7 @@ SELECT conv_id, turn, array_to_string(list_transform(list_filter(w, lambda x: x
 
 @query("canonical_answer_t6", CANONICAL_SQL)
 def canonical_answer(t):
-    return t.conversations.select("conv_id", "turn", X.canonical_answer(F.col("text")).alias("answer"))
+    return spread(t.conversations).select("conv_id", "turn", X.canonical_answer(F.col("text")).alias("answer"))
 
 
 @query(
@@ -131,7 +132,7 @@ def relaxed_accuracy(t):
         price.cast("string"), F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit(" "), answer)).otherwise("n/a")
     )
     ok = X.best_relaxed(answer, F.transform(notes, F.trim))
-    return t.lineitem.groupBy("l_returnflag", "l_linenumber").agg(
+    return spread(t.lineitem).groupBy("l_returnflag", "l_linenumber").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg(ok.cast("double")), 6).alias("accuracy")
     )
 
@@ -208,7 +209,7 @@ WITH p AS (SELECT doc_id, string_split(text, '.') AS parts, string_split(lower(t
 
 @query("cut_repetition_t11", CUT_SQL + "SELECT * FROM c")
 def cut_repetition(t):
-    return t.documents.select("doc_id", X.cut_repetition(F.col("text")).alias("caption"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", X.cut_repetition(F.col("text")).alias("caption"))
 
 
 @query(
@@ -232,7 +233,7 @@ def prompt_work_list(t):
        SELECT doc_id, unnest(p) AS sentence, generate_subscripts(p, 1) - 1 AS pos FROM c""",
 )
 def sentences(t):
-    return t.documents.select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("pos", "sentence")).withColumn(
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("pos", "sentence")).withColumn(
         "pos", F.col("pos").cast("long")
     )
 
@@ -240,7 +241,7 @@ def sentences(t):
 @query("document_chunks_t13")
 def document_chunks(t):
     chunk = X.document_chunks(500, 150, ("!", "?", "।", ".", " "))
-    return t.documents.select("doc_id", F.posexplode(chunk("text")).alias("pos", "chunk"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", F.posexplode(chunk("text")).alias("pos", "chunk"))
 
 
 # ---- dialogue ----------------------------------------------------------------------------------
@@ -388,7 +389,7 @@ def completion_labels(t):
     ids = F.transform(X.words(F.col("text")), lambda w: F.length(w))
     labels = C.completion_labels(ids, [3, 2])
     n = F.size(F.filter(labels, lambda x: x != C.IGNORE)).cast("long")
-    return t.conversations.select("conv_id", "turn", n.alias("labelled"))
+    return spread(t.conversations).select("conv_id", "turn", n.alias("labelled"))
 
 
 INTERLEAVED = """
