@@ -18,7 +18,7 @@ from frameweave.functions.binding import let
 from frameweave.functions.hashing import u
 from frameweave.functions.vectors import DISTANCES, Distance, cosine, doubles, minmax, squared, unit
 from frameweave.plans.ordering import order_rows, top_rows
-from frameweave.plans.staging import materialise, small_side, spread
+from frameweave.plans.staging import materialise, small_side
 
 VECTORS = "array<array<double>>"
 
@@ -592,5 +592,10 @@ def soft_dtw(gamma: float = 1.0, normalise: bool = False, bandwidth: float = 0.0
 def pairwise_soft_dtw(
     pairs: DataFrame, left: str, right: str, out: str = "distance", **options
 ) -> DataFrame:
-    """Soft-DTW of the two sequences of every row of a pair table."""
-    return spread(pairs).withColumn(out, soft_dtw(**options)(F.col(left), F.col(right)))
+    """Soft-DTW of the two sequences of every row of a pair table.
+
+    The work per pair is large and the rows are small, so the pairs are dealt evenly to the shuffle
+    partitions instead of staying in the few partitions their size would give.
+    """
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.repartition(parts).withColumn(out, soft_dtw(**options)(F.col(left), F.col(right)))

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from frameweave.functions.vectors import doubles, unit
 from frameweave.plans.ordering import order_rows, top_rows
-from frameweave.plans.staging import spread
 
 # Bytes of vectors that one side may bring to a task.
 BLOCK_BYTES = 64 << 20
@@ -272,7 +271,7 @@ def hashed_vectors(df: DataFrame, row_id: str, text: str, dim: int = 64, out: st
     Words are counted per (row, slot), so a long text costs one small row per slot and not an
     array update per word. A text without words gives the zero vector.
     """
-    tokens = spread(df.select(row_id, text)).select(
+    tokens = df.select(
         row_id, F.explode(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")).alias("_w")
     )
     # A word is hashed once per row it occurs in, however often it is repeated there.

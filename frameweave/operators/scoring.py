@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from frameweave.functions.binding import let
+from frameweave.functions.text import judge_prompt, judge_reply
 from frameweave.plans.ordering import order_rows
 
 
@@ -45,6 +46,30 @@ def judge_summary(df: DataFrame, pred: str, score: str, by: Sequence[str] = ())
     )
 
 
+def judge_predictions(
+    predictions: DataFrame,
+    done: DataFrame | None,
+    keys: Sequence[str],
+    judge: Callable[[Column], Column],
+) -> DataFrame:
+    """Verdicts for predictions (question, label, predict) that have none yet, beside the saved ones.
+
+    `judge` is a column function from prompt to reply, such as an Arrow UDF around a model. Replies
+    that cannot be read keep their reason in `reject`.
+    """
+    todo = predictions if done is None else predictions.join(done, list(keys), "left_anti")
+    reply = judge(judge_prompt(F.col("question"), F.col("label"), F.col("predict")))
+    # The reply is a column of its own, so the model is asked once per row.
+    asked = todo.withColumn("_reply", reply).withColumn("_r", judge_reply(F.col("_reply")))
+    new = asked.select(
+        *predictions.columns,
+        F.col("_r.pred").alias("llama_pred"),
+        F.col("_r.score").alias("score"),
+        F.col("_r.reject").alias("reject"),
+    )
+    return new if done is None else done.unionByName(new)
+
+
 def class_summary(df: DataFrame, cls: str, score: str, pred: str) -> DataFrame:
     """Total and mean score and exact-`yes` accuracy per class."""
     return df.groupBy(cls).agg(

@@ -44,9 +44,10 @@ def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Repartition before costly per-row work when the input has fewer splits than the cluster cores.
+    """Repartition a table just read, before costly per-row work, if it has fewer splits than cores.
 
-    A large table already has enough splits and passes unchanged, without a shuffle.
+    A large table already has enough splits and passes unchanged, without a shuffle. Not for the
+    result of a join or an aggregation: counting its partitions would run its shuffles.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

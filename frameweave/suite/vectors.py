@@ -9,6 +9,7 @@ from frameweave.operators import clustering as C
 from frameweave.operators import retrieval as R
 from frameweave.operators import sequencing as W
 from frameweave.plans.ordering import order_rows
+from frameweave.plans.staging import spread
 from frameweave.suite.registry import query
 from frameweave.suite.texts import DIALOGUE, dialogue
 
@@ -319,7 +320,7 @@ n AS (SELECT id, sqrt(sum(v * v)) AS n FROM v GROUP BY id)
     + """SELECT id AS doc_id, slot, round(v / n, 6) AS value FROM v JOIN n USING (id) WHERE v <> 0""",
 )
 def text_vectors(t):
-    vec = R.text_vectors(t.documents, "doc_id", "text")
+    vec = R.text_vectors(spread(t.documents.select("doc_id", "text")), "doc_id", "text")
     flat = vec.select("doc_id", F.posexplode("vector").alias("slot", "value")).where("value <> 0")
     return flat.select("doc_id", F.col("slot").cast("long").alias("slot"), F.round("value", 6).alias("value"))
 

@@ -171,3 +171,27 @@ def test_distance_functions(spark):
     assert got[4] == pytest.approx((27 + 64) ** (1 / 3))
     assert got[5] == pytest.approx(1) and got[6] == 0 and got[7] == pytest.approx(1)
     assert got[8] == [0, 0] and got[9] == [0, 1] and got[10] == [0, 0]
+
+
+def test_staging_folder_comes_from_the_session():
+    from types import SimpleNamespace as NS
+
+    from frameweave.plans.staging import staging_root
+
+    def session(folder, master):
+        context = NS(master=master, applicationId=f"{master}-app")
+        return NS(conf=NS(get=lambda key, default: folder), sparkContext=context)
+
+    assert staging_root(session("hdfs://shared/ck/", "yarn")) == "hdfs://shared/ck"
+    with pytest.raises(ValueError):
+        staging_root(session(None, "yarn"))
+    assert "frameweave-stage-" in staging_root(session(None, "local[2]"))
+
+
+def test_wide_rows_lower_the_window_bound(spark):
+    from frameweave.plans import ordering
+
+    narrow = spark.range(10)
+    wide = narrow.withColumn("v", F.array_repeat(F.lit(1.0), 4096))
+    assert ordering.rows_per_task(narrow, 1_000_000) == 1_000_000
+    assert ordering.rows_per_task(wide, 1_000_000) < 20_000

@@ -201,3 +201,17 @@ def test_labels(spark):
     assert got == {1: ([1, 2, 3], [x, x, 3]), 2: ([4, 5], [x, 5]), 3: ([6, 7], [x, x])}
     assert one(spark, C.completion_labels(F.col("v"), [7, 8]), v=[1, 7, 8, 2, 7, 8, 3]) == [x] * 6 + [3]
     assert one(spark, C.completion_labels(F.col("v"), [7, 8]), v=[1, 7]) == [x, x]
+
+
+def test_judging_resumes(spark):
+    rows = [(i, f"q{i}", "a", "b") for i in range(4)]
+    preds = spark.createDataFrame(rows, "id int, question string, label string, predict string")
+
+    @F.pandas_udf("string")
+    def model(prompts):
+        return prompts.map(lambda p: "{'llama_pred': 'no', 'score': 1}" if "q3" not in p else "pardon?")
+
+    first = scoring.judge_predictions(preds.where("id < 2"), None, ["id"], model)
+    saved = first.withColumn("score", F.lit(5.0))
+    out = {r.id: (r.llama_pred, r.score, r.reject) for r in scoring.judge_predictions(preds, saved, ["id"], model).collect()}
+    assert out == {0: ("no", 5.0, None), 1: ("no", 5.0, None), 2: ("no", 1.0, None), 3: (None, None, "no object")}
