@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameweave.llm import exact_dedup, mixing, pii, secrets
-from frameweave.plans.staging import staging_root
+from frameweave.llm import bpe, exact_dedup, mixing, pii, rans, secrets
+from frameweave.plans.staging import materialise, staging_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -34,6 +34,27 @@ def _fresh(spark: SparkSession, kind: str) -> str:
     return f"{staging_root(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def _vocabulary(name: str) -> str:
+    """File of a public tokenizer, on every machine of the cluster."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op1_rans_tokens")
+def op1(spark, folder):
+    path = _fresh(spark, "tokens")
+    docs = _table(spark, folder, "documents")
+    tokens = materialise(rans.tokenize(docs, _vocabulary("byte_bpe_50k.json"), end_id=0))
+    rans.write_tokens(tokens, path, vocabulary=50_257)
+    return rans.token_report(spark, path)
+
+
+@query("op4_bpe_round_trip")
+def op4(spark, folder):
+    return bpe.round_trip_report(_table(spark, folder, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
 @query("op2_secret_scan")
 def op2(spark, folder):
     """A first scan: the ledger starts empty, so every distinct text is scanned once."""
