@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameweave.llm import bpe, exact_dedup, mixing, pii, rans, secrets
+from frameweave.llm import bpe, exact_dedup, mixing, pii, rans, secrets, toxicity
 from frameweave.plans.staging import materialise, staging_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,8 @@ def op7(spark, folder):
 )
 def op8(spark, folder):
     return exact_dedup.copy_report(_table(spark, folder, "documents"))
+
+
+@query("op9_toxicity")
+def op9(spark, folder):
+    return toxicity.toxicity_report(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
