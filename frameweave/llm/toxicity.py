@@ -1,7 +1,7 @@
 """Toxicity by a learned lexicon, misspellings included, with context windows.
 
 1. Lexicon. On a bounded sample of labelled rows, words and word beginnings are counted per class;
-   those that mark toxic texts beyond chance become terms. A beginning becomes a stem when no single
+   those that mark toxic texts beyond chance become terms. A beginning (with letters to follow) becomes a stem when no single
    word explains it, as in languages that put endings on it.
 2. Matching. The terms form a trie, and a Levenshtein automaton of one or two edits runs over it.
    Their product is made deterministic while texts are read, so a word costs one look-up per letter,
@@ -68,7 +68,7 @@ class Matcher:
     """Product of a lexicon trie and a Levenshtein automaton, made deterministic on demand.
 
     `match(word)` gives (term number, edits) of the closest term, the first listed on ties, or None.
-    A stem matches if some beginning of the word is close enough to it.
+    A stem matches if a beginning of the word is close enough to it and more letters follow.
     """
 
     def __init__(self, terms: list[Term]):
@@ -143,13 +143,14 @@ class Matcher:
         if len(self._words) >= MEMORY or len(self._sets) >= MEMORY // 10:
             self._reset()
         state, best = self._start, None
-        for c in word:
+        last = len(word) - 1
+        for i, c in enumerate(word):
             found = self._next[state].get(c)
             state = self._step(state, c) if found is None else found
             if not self._sets[state]:
                 break
             stem = self._passing[state]
-            if stem and (best is None or stem < best):
+            if stem and i < last and (best is None or stem < best):
                 best = stem
         else:
             end = self._at_end[state]
@@ -232,7 +233,7 @@ def count_terms(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1)):
                 words = {w for w in _WORD.findall(text.as_py().lower()) if 3 <= len(w) <= 40}
-                stems = {w[:k] + "*" for w in words for k in STEM_LENGTHS if len(w) >= k}
+                stems = {w[:k] + "*" for w in words for k in STEM_LENGTHS if len(w) > k}
                 counts[toxic.as_py()].update(words | stems)
         terms = list(counts[True].keys() | counts[False].keys())
         for i in range(0, len(terms), 50_000):
