@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameweave.llm import bpe, exact_dedup, mixing, pii, rans, secrets, toxicity
+from frameweave.llm import bpe, exact_dedup, mixing, ngram_join, pii, rans, secrets, toxicity
 from frameweave.plans.staging import materialise, staging_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,8 @@ def op8(spark, folder):
 @query("op9_toxicity")
 def op9(spark, folder):
     return toxicity.toxicity_report(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+@query("op5_ngram_jaccard")
+def op5(spark, folder):
+    return ngram_join.near_duplicates(_table(spark, folder, "documents"), k=4, num=85, den=100)
