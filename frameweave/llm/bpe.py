@@ -2,8 +2,7 @@
 
 A pair of adjacent bytes that stands inside no vocabulary token can never be merged across, so it
 marks a certain cut: the fragments of a word on both sides are encoded on their own and their ids
-concatenated. Fragments recur far more often than words, and a remembered fragment costs one
-dictionary look-up.
+concatenated. Fragments and whole runs between white space are remembered, as most recur.
 """
 
 from __future__ import annotations
@@ -12,27 +11,20 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from itertools import chain
 from operator import add
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Words and fragments remembered per Python worker; a full memory is emptied and refilled.
-MEMORY = 400_000
+from frameweave.llm.chunks import CHUNKS, LETTERS, PIECES, UNUSUAL, Memory, in_letters, packed
 
 # Fixed by the vocabulary file: contractions, runs of letters, single digits, runs of other signs.
-_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ʯⱥⱦ"
-_PIECES = re.compile(rf"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\s0-9{_LETTERS}]+")
-# Signs for which the pattern above and lower() are certain to do what the library does.
-_UNUSUAL = re.compile("[^\t-\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧‰-›]")
-
-
-def byte_letters() -> list[str]:
-    """The printable stand-in of each byte in byte-level vocabularies."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    spare = iter(range(256, 512))
-    return [chr(b if b in set(plain) else next(spare)) for b in range(256)]
+_PIECES = re.compile(rf"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\s0-9{LETTERS}]+")
+_SEPARATORS = re.compile("[\x1c-\x1f]")  # white space for str.split(), not for the library
+_OTHER_SPACE = re.compile(r"[^\S\x1c-\x1f]+")
 
 
 class WordBpe:
@@ -58,10 +50,11 @@ class WordBpe:
         self.token = {i: t for t, i in (self.vocab | self.special).items()}
         self.number = {i: str(i) for i in self.token}
         self._cut_special = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
-        self._letters = byte_letters()
+        self.width = 2 if len(self.token) <= 1 << 16 else 4
         self.inside = self._inside_pairs()
-        self._fragments: dict[tuple[str, bool], tuple[int, ...]] = {}
-        self._words: dict[str, tuple[int, ...]] = {}
+        self._fragment = Memory(self._of_fragment, PIECES)
+        self._chunk = Memory(self._of_chunk, CHUNKS)
+        self._word = Memory(self._of_word, PIECES)
         self._library = Tokenizer.from_file(path)
 
     def _inside_pairs(self) -> frozenset[str]:
@@ -79,56 +72,41 @@ class WordBpe:
             return [word]
         return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]
 
-    def _merge(self, fragment: str, last: bool) -> tuple[int, ...]:
-        found = self._fragments.get((fragment, last))
-        if found is None:
-            model = self._last if last else self._inner
-            found = tuple([t.id for t in model.tokenize(fragment)])
-            if len(fragment) < 64:
-                if len(self._fragments) >= MEMORY:
-                    self._fragments.clear()
-                self._fragments[fragment, last] = found
-        return found
-
-    def word_ids(self, word: str) -> tuple[int, ...]:
-        letters = self._letters
-        coded = word if word.isascii() and word.isalnum() else "".join([letters[b] for b in word.encode()])
-        found = self._coded(coded)
-        if len(word) < 64:
-            if len(self._words) >= MEMORY:
-                self._words.clear()
-            self._words[word] = found
-        return found
-
-    def _plain(self, text: str) -> Iterator[tuple[int, ...]]:
-        if _UNUSUAL.search(text):
+    def _of_fragment(self, fragment: str) -> bytes:
+        """Ids of a fragment (in byte letters); one that ends a word has a trailing blank."""
+        model = self._last if fragment[-1] == " " else self._inner
+        return packed([t.id for t in model.tokenize(fragment.removesuffix(" "))], self.width)
+
+    def _of_word(self, word: str) -> bytes:
+        return self._of_letters(in_letters(word))
+
+    def _of_letters(self, coded: str) -> bytes:
+        *inner, last = self.fragments(coded)
+        if not inner:
+            return self._of_fragment(last + " ")  # the word itself is remembered
+        return b"".join(map(self._fragment.__getitem__, [*inner, last + " "]))
+
+    def _of_chunk(self, chunk: str) -> bytes:
+        """Ids of a run without white space."""
+        if UNUSUAL.search(chunk):
             # Signs of other scripts: the library itself normalises and splits, with its tables.
-            library = self._library
-            whole = library.normalizer.normalize_str(text)
-            for coded, _ in library.pre_tokenizer.pre_tokenize_str(whole):
-                yield self._coded(coded)
-            return
-        known, make = self._words.get, self.word_ids
-        for word in _PIECES.findall(text.lower()):
-            yield known(word) or make(word)
-
-    def _coded(self, coded: str) -> tuple[int, ...]:
-        pieces = self.fragments(coded)
-        if len(pieces) == 1:
-            return self._merge(coded, True)
-        return tuple(chain.from_iterable(self._merge(p, i == len(pieces) - 1) for i, p in enumerate(pieces)))
+            whole = self._library.normalizer.normalize_str(chunk)
+            return b"".join(self._of_letters(c) for c, _ in self._library.pre_tokenizer.pre_tokenize_str(whole))
+        return b"".join(map(self._word.__getitem__, _PIECES.findall(chunk.lower())))
+
+    def _plain(self, text: str) -> bytes:
+        # The tokenizer drops white space, so no id depends on signs on both sides of it.
+        chunks = _OTHER_SPACE.split(text) if _SEPARATORS.search(text) else text.split()
+        return b"".join(map(self._chunk.__getitem__, chunks))
 
     def encode(self, text: str) -> list[int]:
-        found = self._cut_special.search(text)
-        if not found:
-            return list(chain.from_iterable(self._plain(text)))
-        ids, at = [], 0
+        """Ids of a whole text, special tokens in it included."""
+        parts, at = [], 0
         for m in self._cut_special.finditer(text):
-            ids += chain.from_iterable(self._plain(text[at : m.start()]))
-            ids.append(self.special[m[0]])
+            parts += [self._plain(text[at : m.start()]), packed([self.special[m[0]]], self.width)]
             at = m.end()
-        ids += chain.from_iterable(self._plain(text[at:]))
-        return ids
+        parts.append(self._plain(text[at:]))
+        return np.frombuffer(b"".join(parts), f"<u{self.width}").tolist()
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.token.__getitem__, ids))
@@ -150,9 +128,6 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", out: str = "ids
     Rows are handled one by one in Arrow batches, so empty tables, repeated rows, null ids and
     other columns pass through. A column named `out` must not exist.
     """
-    from pyspark.sql import functions as F
-    from pyspark.sql import types as T
-
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def ids(column: pa.Array) -> pa.Array:
         bpe = codec(path)
@@ -163,9 +138,6 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", out: str = "ids
 
 def decode_ids(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds `out`: the text of each id array, special tokens included; null ids give empty text."""
-    from pyspark.sql import functions as F
-    from pyspark.sql import types as T
-
     @F.arrow_udf(T.StringType())
     def texts(column: pa.Array) -> pa.Array:
         bpe = codec(path)

@@ -17,16 +17,20 @@ File format: a Parquet folder with one row per block, and beside it the shared f
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from frameweave.llm.chunks import CHUNKS, LETTERS, PIECES, UNUSUAL, Memory, in_letters, packed
 from frameweave.plans.staging import materialise, small_side
 
 SCALE_BITS = 20
@@ -146,67 +150,106 @@ def decode_block(row: dict, table: Table, segment: int | None = None, step: int
 
 # ---- tables -------------------------------------------------------------------------------------
 
-_tokenizers: dict[str, object] = {}
+class ChunkEncoder:
+    """Byte-level tokenizer of the tokenizers library, with memories of chunks and pre-tokens.
 
+    A pre-token of the byte-level pattern holds a space only at its beginning or within a run of
+    white space, so a text may be cut before any space that follows another sign, and the ids of the
+    chunks concatenated. A new chunk is cut by the pattern, and the library's model merges each new
+    pre-token. Chunks with special tokens or signs of other scripts go to the library whole.
+    """
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
-        import os
-
+    def __init__(self, path: str, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel unit
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.no_truncation()
-        t.no_padding()
-        _tokenizers[path] = t
-    return _tokenizers[path]
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.model, self.width = self.library.model, width
+        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self._whole = re.compile("|".join([UNUSUAL.pattern, *map(re.escape, special)]))
+        self._chunk = Memory(self._of_chunk, CHUNKS)
+        self._piece = Memory(self._of_piece, PIECES)
+
+    def _of_piece(self, piece: str) -> bytes:
+        return packed([t.id for t in self.model.tokenize(in_letters(piece))], self.width)
+
+    def _of_chunk(self, chunk: str) -> bytes:
+        if chunk[1:].isalpha() and chunk.isascii() and chunk[0] == " ":
+            return self._piece[chunk]
+        if self._whole.search(chunk):
+            return packed(self.library.encode(chunk, add_special_tokens=False).ids, self.width)
+        return b"".join(map(self._piece.__getitem__, _PRE_TOKEN.findall(chunk)))
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a whole text as little-endian integers."""
+        if _SPACE_AFTER_SPACE.search(text):
+            chunks = _CUT.split(text)
+        else:
+            head, *rest = text.split(" ")
+            chunks = [head, *map(" ".__add__, rest)]
+        return b"".join(map(self._chunk.__getitem__, chunks))
+
+
+_SPACE_AFTER_SPACE = re.compile(r"\s ")
+_CUT = re.compile(r"(?<=\S)(?= )")
+# Fixed by the byte-level tokenizer, with the letters and digits of usual signs spelled out.
+_PRE_TOKEN = re.compile(
+    rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+"
+)
+_encoders: dict[str, ChunkEncoder] = {}
+
+
+def _encoder(path: str, width: int) -> ChunkEncoder:
+    if path not in _encoders:
+        _encoders[path] = ChunkEncoder(path, width)
+    return _encoders[path]
+
 
+def id_width(vocabulary: int) -> int:
+    """Bytes in which an id is held before it is coded."""
+    return 2 if vocabulary <= 1 << 16 else 4
 
-#: Characters given to the tokenizer at once.
-_AT_ONCE = 1 << 20
 
+def unpack(data: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), f"<u{width}")
 
-def tokenize(docs: DataFrame, path: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids) with the ids of each whole text and `end_id`, as little-endian uint32 bytes.
+
+def tokenize(
+    docs: DataFrame, path: str, end_id: int, vocabulary: int, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """(doc_id, ids) with the ids of each whole text and `end_id`, packed (see `unpack`).
 
     A null text counts as empty and gives the end id alone.
     """
+    width = id_width(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, end = _tokenizer(path), np.array([end_id], "<u4").tobytes()
-
-        def send(keys: list, texts: list) -> pa.RecordBatch:
-            coded = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            ids = [np.array(e.ids, "<u4").tobytes() + end for e in coded]
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
+        encoder, end = _encoder(path, width), packed([end_id], width)
+        compress = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            keys, texts, size = [], [], 0
-            for key, value in zip(batch.column(0), batch.column(1)):
-                keys.append(key.as_py())
-                texts.append(value.as_py() or "")
-                size += len(texts[-1])
-                if size >= _AT_ONCE:
-                    yield send(keys, texts)
-                    keys, texts, size = [], [], 0
-            if keys:
-                yield send(keys, texts)
+            ids = [compress(encoder.encode(v.as_py() or "") + end) for v in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, ids binary")
 
 
-def count_ids(tokens: DataFrame) -> DataFrame:
+def count_ids(tokens: DataFrame, vocabulary: int) -> DataFrame:
     """(symbol, n) over all documents; each task sends one row per id that it met."""
+    width = id_width(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
+        total = np.zeros(vocabulary, np.int64)
+        held: list[np.ndarray] = []
         for batch in batches:
-            ids = np.frombuffer(b"".join(v.as_py() for v in batch.column(0)), "<u4")
-            if len(ids):
-                seen = np.bincount(ids, minlength=len(total))
-                seen[: len(total)] += total
-                total = seen
+            for value in batch.column(0):
+                held.append(unpack(value.as_py(), width))
+                if len(held) == 500:
+                    total += np.bincount(np.concatenate(held), minlength=vocabulary)
+                    held = []
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=vocabulary)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["symbol", "n"])
 
@@ -243,19 +286,20 @@ _ARROW = pa.schema(
 def write_tokens(tokens: DataFrame, path: str, vocabulary: int, block: int = BLOCK) -> None:
     """Write (doc_id, ids) to `path`/blocks and `path`/table in ascending order of doc_id.
 
-    Null ids come first; rows of the same id are ordered by their token ids. Documents are
+    Null ids come first; rows of the same id are ordered by their packed token ids. Documents are
     range-partitioned by id, so a part is a bounded range and a long document only fills more
     blocks. The frequency table has one entry per vocabulary id, whatever the size of the corpus.
     """
     spark = tokens.sparkSession
     counts = np.zeros(vocabulary, np.int64)
-    for row in count_ids(tokens).collect():  # at most one row per vocabulary id
+    for row in count_ids(tokens, vocabulary).collect():  # at most one row per vocabulary id
         counts[row.symbol] = row.n
     freq = frequencies(counts)
     spark.createDataFrame([(i, int(f)) for i, f in enumerate(freq)], "symbol long, freq long").coalesce(1).write.parquet(
         f"{path}/table"
     )
     sent = spark.sparkContext.broadcast(freq)
+    width = id_width(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(sent.value)
@@ -279,7 +323,7 @@ def write_tokens(tokens: DataFrame, path: str, vocabulary: int, block: int = BLO
         for batch in batches:
             for doc, value, at in zip(batch.column(0), batch.column(1), batch.column(2)):
                 part, doc = at.as_py(), doc.as_py()
-                ids = np.frombuffer(value.as_py(), "<u4")
+                ids = unpack(value.as_py(), width)
                 while n + len(ids) >= block:
                     room = block - n
                     held.append(ids[:room])

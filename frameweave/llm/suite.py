@@ -45,7 +45,7 @@ def _vocabulary(name: str) -> str:
 def op1(spark, folder):
     path = _fresh(spark, "tokens")
     docs = _table(spark, folder, "documents")
-    tokens = materialise(rans.tokenize(docs, _vocabulary("byte_bpe_50k.json"), end_id=0))
+    tokens = materialise(rans.tokenize(docs, _vocabulary("byte_bpe_50k.json"), 0, vocabulary=50_257))
     rans.write_tokens(tokens, path, vocabulary=50_257)
     return rans.token_report(spark, path)
 

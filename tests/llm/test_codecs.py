@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import brute
-from frameweave.llm import bpe, rans
+from frameweave.llm import bpe, chunks, rans
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -47,7 +47,7 @@ def test_words_equal_library(spark):
 
 def test_cuts_are_forced():
     codec = bpe.WordBpe(WORDS)
-    word = "".join(codec._letters)
+    word = "".join(chunks.byte_letters())
     assert "".join(codec.fragments(word)) == word
     assert len(codec.fragments(word)) > 100
     for piece in codec.fragments(word):
@@ -97,11 +97,19 @@ def want_tokens(rows):
     return want
 
 
+def test_chunks_equal_library():
+    library, encoder, rng = Tokenizer.from_file(BYTES), rans.ChunkEncoder(BYTES, 2), random.Random(9)
+    pool = [" ", " ", "  ", "\n", "\t", "\xa0", "\u2003", "\x1c", "'s", "don't", "a", "É", "1", ".", "<|endoftext|>", "é́", "😀"]
+    texts = ["".join(rng.choices(pool, k=rng.randint(0, 25))) for _ in range(5000)] + [t or "" for t in TEXTS]
+    for text in texts:
+        assert np.frombuffer(encoder.encode(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_token_files(spark, tmp_path):
     texts = TEXTS + [f"word{i} " * (i % 50) for i in range(300)]
     docs = frame(spark, texts).repartition(5)
     path = str(tmp_path / "tokens")
-    tokens = rans.tokenize(docs, BYTES, 0)
+    tokens = rans.tokenize(docs, BYTES, 0, 50257)
     rans.write_tokens(tokens, path, 50257, block=700)  # many documents span blocks
     got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in rans.token_report(spark, path).collect())
     assert got == want_tokens(list(enumerate(texts)))
@@ -113,7 +121,7 @@ def test_token_files_null_ids_and_repeats(spark, tmp_path):
     rows = [(None, "n"), (3, "b"), (3, "b"), (1, "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     path = str(tmp_path / "tokens")
-    rans.write_tokens(rans.tokenize(docs, BYTES, 0), path, 50257)
+    rans.write_tokens(rans.tokenize(docs, BYTES, 0, 50257), path, 50257)
     got = sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in rans.token_report(spark, path).collect()), key=lambda r: r[1])
     assert got == want_tokens([(None, "n"), (1, "z"), (3, "b"), (3, "b")])
 
@@ -121,5 +129,5 @@ def test_token_files_null_ids_and_repeats(spark, tmp_path):
 def test_no_documents(spark, tmp_path):
     path = str(tmp_path / "tokens")
     docs = spark.createDataFrame([], "doc_id long, text string, start int")
-    rans.write_tokens(rans.tokenize(docs, BYTES, 0), path, 50257)
+    rans.write_tokens(rans.tokenize(docs, BYTES, 0, 50257), path, 50257)
     assert rans.token_report(spark, path).count() == 0
