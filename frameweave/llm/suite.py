@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameweave.llm import bpe, exact_dedup, mixing, ngram_join, pii, rans, secrets, toxicity
+from frameweave.llm import bpe, exact_dedup, mixing, ngram_join, pii, rans, secrets, toxicity, vector_forest
 from frameweave.plans.staging import materialise, staging_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,8 @@ def op9(spark, folder):
 @query("op5_ngram_jaccard")
 def op5(spark, folder):
     return ngram_join.near_duplicates(_table(spark, folder, "documents"), k=4, num=85, den=100)
+
+
+@query("op10_vector_forest")
+def op10(spark, folder):
+    return vector_forest.near_vectors(_table(spark, folder, "embeddings"))
