@@ -114,3 +114,18 @@ def mix(
         .withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
         .select(*docs.columns, "source_size", "target", "taken")
     )
+
+
+def repeat_mixed(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """`docs` (doc_id, source, text and more) with each row as often as the mix takes it.
+
+    Only the numbers of a row go through the mix; its text is written once with a row number and
+    joined back by it. Options go to `mix`. Rows without words are not taken.
+    """
+    rows = docs.withColumns({"_row": F.monotonically_increasing_id(), "_size": word_count(text)})
+    rows = materialise(rows)  # fixes the row numbers
+    narrow = rows.select("doc_id", "source", F.col("_size").alias("size"), F.col("_row").alias("row"))
+    taken = mix(narrow, **options).where("taken > 0")
+    taken = materialise(taken.select(F.col("row").alias("_row"), (F.col("taken") / F.col("size")).cast("int").alias("_times")))
+    out = rows.join(small_side(taken), "_row")
+    return out.withColumn("_pass", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
