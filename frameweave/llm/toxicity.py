@@ -17,7 +17,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,9 @@ SAMPLE = 20_000
 #: Terms kept at most, best first.
 TERMS = 2_000
 STEM_LENGTHS = (4, 5, 6, 7)
-#: A term must be this many times as frequent in toxic texts as in clean ones.
-LIFT = 20.0
+#: A term must be this many times as frequent in toxic texts as in clean ones; at FULL_LIFT a hit
+#: counts fully, below it by the logarithm.
+LIFT, FULL_LIFT = 6.0, 100.0
 #: Share of clean sample texts in which misspelled hits of a term may occur by accident.
 ACCIDENTS = 2e-4
 #: Code points on each side of a hit that are looked at.
@@ -56,6 +57,7 @@ class Term:
     text: str
     stem: bool
     edits: int
+    weight: float = 1.0
 
 
 def allowed_edits(text: str, stem: bool) -> int:
@@ -185,7 +187,7 @@ def features(matcher: Matcher, text: str) -> list[float]:
     n, hits = matcher.hits(text)
     direct, quoted, terms = 0.0, 0.0, set()
     for term, edits, start, end in hits:
-        weight = BY_EDITS[edits]
+        weight = BY_EDITS[edits] * matcher.terms[term].weight
         if in_quotation(text, start, end):
             quoted += weight
             continue
@@ -254,15 +256,16 @@ def _tail(t: Column, c: Column, q: float) -> Column:
     return -n * (p * F.log(p / F.lit(q)) + rest)
 
 
-def choose_terms(found: list[tuple[str, int]]) -> list[Term]:
-    """Words and stems from (candidate, toxic texts); a trailing * marks a beginning.
+def choose_terms(found: list[tuple[str, int, float]]) -> list[Term]:
+    """Words and stems from (candidate, toxic texts, lift); a trailing * marks a beginning.
 
     Of beginnings that contain each other the shortest leads: if one word makes up most of its
     texts, the words themselves are terms; otherwise it is a stem, made as long as it stays as
     frequent.
     """
-    words = {t: n for t, n in found if not t.endswith("*")}
-    starts = {t[:-1]: n for t, n in found if t.endswith("*")}
+    words = {t: n for t, n, _ in found if not t.endswith("*")}
+    starts = {t[:-1]: n for t, n, _ in found if t.endswith("*")}
+    lifts = {t: lift for t, _, lift in found}
     stems: list[str] = []
     led: list[str] = []
     for p in sorted(starts, key=lambda s: (len(s), s)):
@@ -276,7 +279,10 @@ def choose_terms(found: list[tuple[str, int]]) -> list[Term]:
     plain = [w for w in words if not any(w.startswith(s) for s in stems)]
     out = [(words[w], w, False) for w in plain] + [(starts[s], s, True) for s in stems]
     out.sort(key=lambda x: (-x[0], x[1]))
-    return [Term(text, stem, allowed_edits(text, stem)) for _, text, stem in out[:TERMS]]
+    return [
+        Term(text, stem, allowed_edits(text, stem), min(1.0, math.log(lifts[text + "*" * stem]) / math.log(FULL_LIFT)))
+        for _, text, stem in out[:TERMS]
+    ]
 
 
 def accidental_terms(rows: DataFrame, terms: list[Term], n_clean: int) -> set[int]:
@@ -327,12 +333,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     lift = ((t + 0.5) / (n_toxic + 1)) / ((c + 0.5) / (n_clean + 1))
     chance = _tail(t, c, q)
     good = counts.where((t / (t + c) > q) & (lift >= LIFT) & (chance + math.log(tested) <= 0))
-    best = good.orderBy(chance, "term").limit(8 * TERMS).select("term", "toxic").collect()
-    terms = choose_terms([(r.term, r.toxic) for r in best])
+    best = good.orderBy(chance, "term").limit(8 * TERMS).select("term", "toxic", lift.alias("lift")).collect()
+    terms = choose_terms([tuple(r) for r in best])
     if not terms:
         return Model()
     strict = accidental_terms(rows, terms, n_clean)
-    terms = [Term(t.text, t.stem, 0 if i in strict else t.edits) for i, t in enumerate(terms)]
+    terms = [replace(t, edits=0) if i in strict else t for i, t in enumerate(terms)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(terms)

@@ -127,17 +127,18 @@ def test_context_windows():
 
 
 def test_held_out_accuracy(spark):
-    folder = "/root/testdata/sf0.01"
+    """On the largest table at hand; sf0.01 has six held-out toxic documents only."""
+    folder = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.toxicity_report(docs, labels).join(labels, "doc_id", "left").collect()
     assert len(rows) == docs.count()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
     held = [r for r in rows if r.held_out and r.toxic is not None]
-    assert np.mean([r.predicted == r.toxic for r in held]) >= 0.9
+    assert np.mean([r.predicted == r.toxic for r in held]) >= 0.97
     ranked = [(r.score, r.toxic) for r in held]
     pairs = [(a > b) + (a == b) / 2 for a, x in ranked for b, y in ranked if x > y]
-    assert np.mean(pairs) >= 0.85
+    assert np.mean(pairs) >= 0.93
 
 
 def test_toxicity_without_labels(spark):
