@@ -236,8 +236,8 @@ def _refill(spread: DataFrame, lost: DataFrame, k: int, seed: int, done: int) ->
     return holes.join(drawn, ["instance", "run", "_h"]).select("instance", "run", "label", "centre")
 
 
-def _plus_plus(spread: DataFrame, k: int, d: Distance, seed: int) -> DataFrame:
-    """Each next centre is drawn with probability proportional to its squared distance.
+def _plus_plus(spread: DataFrame, k: int, d: Distance, seed: int, weight: str | None = None) -> DataFrame:
+    """Each next centre is drawn with probability proportional to its squared distance (times weight).
 
     The draw takes the largest ln(u)/weight, one round per centre.
     """
@@ -249,7 +249,7 @@ def _plus_plus(spread: DataFrame, k: int, d: Distance, seed: int) -> DataFrame:
     centres = materialise(centres)
     for j in range(1, k):
         near = assign(spread, centre_arrays(centres, keys, "label", "centre"), "x", keys, d)
-        draw = F.log(u(f"{seed}/{j}", "run", "instance", "point") + 1e-12) / F.pow("distance", F.lit(2.0))
+        draw = F.log(u(f"{seed}/{j}", "run", "instance", "point") + 1e-12) / (F.pow("distance", F.lit(2.0)) * (F.col(weight) if weight else F.lit(1.0)))
         drawn = near.where(F.col("distance") > 0).withColumn("_u", draw)
         drawn = top_rows(drawn, keys, [F.col("_u").desc(), "point"], 1).select(
             *keys, F.lit(j).cast("long").alias("label"), F.col("x").alias("centre")
@@ -403,101 +403,131 @@ def soft_kmeans(
 
 
 def constrained_assign(
+    points: DataFrame, centres: DataFrame, keys: Sequence[str], point: str, x: str, weight: str
+) -> DataFrame:
+    """Assign weighted points to clusters of capacity 1: (keys, point, label), -1 where nothing fits.
+
+    Priority is weight / distance. In each round every open point asks the cluster of its highest
+    priority that has room for it, ties going to the lower label; a cluster takes the askers
+    of highest priority up to the first that no longer fits, ties going to the lower point. The first
+    asker always fits, so each asked cluster fills up; a point that fits nowhere is left out,
+    as room never grows. The result does not depend on how rows are spread: an instance of any size
+    is ordered over all tasks, and the state between rounds is the room of each cluster.
+    """
+    keys = list(keys)
+    arrays = centre_arrays(centres, keys, "label", "centre")
+    rows = points.select(*keys, point, doubles(x).alias("_x"), F.col(weight).cast("double").alias("_w"))
+    priority = F.transform(
+        "_centres",
+        lambda s: F.struct(
+            (-F.col("_w") / F.greatest(F.sqrt(squared("_x", s["c"])), F.lit(1e-9))).alias("p"), s["label"].alias("label")
+        ),
+    )
+    ranked = rows.join(small_side(arrays), keys).select(*keys, point, "_w", F.array_sort(priority).alias("_p"))
+    open_ = materialise(ranked)
+    free = F.map_from_entries(F.transform("_centres", lambda s: F.struct(s["label"], F.lit(1.0))))
+    rooms = materialise(arrays.select(*keys, free.alias("_room")))
+    done = []
+    while True:
+        asks = open_.join(small_side(rooms), keys)
+        fits = F.filter("_p", lambda c: F.element_at("_room", c["label"]) >= F.col("_w") - 1e-12)
+        asks = materialise(asks.withColumn("_ask", F.get(fits, 0)))
+        done.append(asks.where("_ask is null").select(*keys, point, F.lit(-1).cast("long").alias("label")))
+        asks = asks.where("_ask is not null").withColumns({"label": F.col("_ask.label").cast("long"), "_pr": F.col("_ask.p")})
+        if asks.isEmpty():
+            break
+        run = order_rows(asks.select(*keys, point, "_w", "_p", "_room", "label", "_pr"), [*keys, "label"], ["_pr", point])
+        run = run.running(_load=F.col("_w")).df
+        taken = F.col("_load") <= F.element_at("_room", F.col("label")) + 1e-12
+        run = materialise(run.withColumn("_taken", taken).select(*keys, point, "_w", "_p", "label", "_taken"))
+        done.append(run.where("_taken").select(*keys, point, "label"))
+        loads = run.where("_taken").groupBy(*keys, "label").agg(F.sum("_w").alias("_used"))
+        loads = loads.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("label", "_used"))).alias("_used"))
+        left = F.transform_values(
+            "_room", lambda j, r: r - F.coalesce(F.element_at("_used", j.cast("long")), F.lit(0.0))
+        )
+        rooms = materialise(rooms.join(loads, keys, "left").select(*keys, left.alias("_room")))
+        open_ = run.where("not _taken").select(*keys, point, "_w", "_p")
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@dataclass
+class Constrained:
+    """`labels`: instance, point, label. `centres`: instance, label, centre. `instances`: instance,
+    infeasible (some point fits nowhere in every run), run kept and its inertia."""
+
+    labels: DataFrame
+    centres: DataFrame
+    instances: DataFrame
+
+
+def constrained_kmeans(
     points: DataFrame,
-    centres: DataFrame,
     instance: str,
     point: str,
     x: str,
     weight: str,
-    n_trials: int = 3,
-    instance_rows: int = 50_000,
-) -> DataFrame:
-    """Assign weighted points to clusters of capacity 1, near and heavy points first.
-
-    Priority is weight / distance. Among the `n_trials` points of highest priority the first whose
-    cluster has room is placed; if none fits, the heaviest remaining point goes to its best cluster
-    with room, or to -1. This order is sequential, so an instance is one task; an instance of more
-    than `instance_rows` points is assigned in rounds of proposals over all tasks instead.
+    k: int,
+    init: str = "rnd",
+    runs: int = 1,
+    max_iter: int = 10,
+    tol: float = 1e-4,
+    seed: int = 42,
+) -> Constrained:
+    """k-means whose clusters hold a total weight of at most 1 each.
+
+    Starts: `rnd` (random points), `k-means++`, `topk` (the heaviest points; one run), `ckm++` (as
+    k-means++, drawing by weight times squared distance). Points are assigned by
+    `constrained_assign` and centres moved to the plain mean of their points until they move less
+    than `tol`. Of the runs in which every point is placed the one of least inertia is kept; an
+    instance without such a run is flagged infeasible and keeps its least inertia over placed points.
     """
-    sizes = points.groupBy(instance).agg(F.count(F.lit(1)).alias("_size"))
-    arrays = centre_arrays(centres, [instance], "label", "centre")
-    rows = points.select(instance, point, doubles(x).alias("_x"), F.col(weight).cast("double").alias("_w"))
-    priority = F.transform(
-        "_centres",
-        lambda s: F.col("_w") / F.greatest(F.sqrt(squared("_x", s["c"])), F.lit(1e-9)),
+    if init not in ("rnd", "k-means++", "topk", "ckm++"):
+        raise ValueError(f"unknown init method {init!r}")
+    if init == "topk" and runs > 1:
+        raise ValueError("topk always gives the same start")
+    keys = ["instance", "run"]
+    base = points.select(
+        F.col(instance).alias("instance"), F.col(point).alias("point"), doubles(x).alias("x"),
+        F.col(weight).cast("double").alias("w"),
     )
-    rows = rows.join(small_side(arrays), instance).select(instance, point, "_w", priority.alias("_p"))
-    small = rows.join(small_side(sizes.where(F.col("_size") <= instance_rows).select(instance)), instance, "left_semi")
-    schema = T.StructType(
-        [points.schema[instance], points.schema[point], T.StructField("label", T.LongType())]
+    base = materialise(base)
+    if not base.where("w is null or w <= 0 or w > 1").isEmpty():
+        raise ValueError("weights must be positive and at most 1")
+    rows = base.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
+    if init in ("rnd", "topk"):
+        draw = u(seed, "run", "instance", "point") if init == "rnd" else -F.col("w")
+        drawn = top_rows(rows.withColumn("_o", draw), keys, ["_o", "point"], k)
+        centres = drawn.select(*keys, (F.col("rank") - 1).cast("long").alias("label"), F.col("x").alias("centre"))
+    else:
+        centres = _plus_plus(rows, k, distance_of("l2"), seed, "w" if init == "ckm++" else None)
+    centres = materialise(centres.select(*keys, "label", "centre"))
+    for _ in range(max_iter):
+        told = constrained_assign(rows, centres, keys, "point", "x", "w").where("label >= 0")
+        placed = rows.join(told, [*keys, "point"])
+        new = mean_vectors(placed, [*keys, "label"], "x").drop("weight").withColumnRenamed("centre", "_new")
+        moved = centres.join(new, [*keys, "label"], "left").withColumn("_new", F.coalesce("_new", "centre"))
+        moved = materialise(moved.withColumn("_shift", F.sqrt(squared("centre", "_new"))))
+        shift = moved.groupBy(*keys).agg(F.sum("_shift").alias("s")).agg(F.max("s")).first()[0]
+        centres = moved.select(*keys, "label", F.col("_new").alias("centre"))
+        if shift is None or shift < tol:
+            break
+    told = materialise(constrained_assign(rows, centres, keys, "point", "x", "w"))
+    near = rows.join(told, [*keys, "point"]).join(small_side(centres), [*keys, "label"], "left")
+    cost = near.groupBy(*keys).agg(
+        F.sum(squared("x", "centre")).alias("inertia"), F.bool_or(F.col("label") < 0).alias("infeasible")
     )
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(point, ignore_index=True)
-        prio, w = np.stack(pdf["_p"].to_numpy()), pdf["_w"].to_numpy()
-        room, label = np.ones(prio.shape[1]), np.full(len(w), -1)
-        open_ = np.ones(len(w), dtype=bool)
-        best, at = prio.max(1), prio.argmax(1)
-        while open_.any():
-            live = np.flatnonzero(open_)
-            first = live[np.argsort(-best[live], kind="stable")[:n_trials]]
-            fits = [i for i in first if room[at[i]] >= w[i] - 1e-12]
-            if fits:
-                i, j = fits[0], at[fits[0]]
-            else:
-                i = live[np.argmax(w[live])]
-                order = np.argsort(-prio[i], kind="stable")
-                ok = order[room[order] >= w[i] - 1e-12]
-                j = ok[0] if len(ok) else -1
-            open_[i] = False
-            label[i] = j
-            if j >= 0:
-                room[j] -= w[i]
-        return pd.DataFrame({instance: pdf[instance], point: pdf[point], "label": label})
-
-    out = small.groupBy(instance).applyInPandas(place, schema)
-    large = sizes.where(F.col("_size") > instance_rows).select(instance)
-    if large.isEmpty():
-        return out
-    big = materialise(rows.join(small_side(large), instance, "left_semi"))
-    return out.unionByName(_assign_rounds(big, instance, point).select(*out.columns))
-
-
-def _assign_rounds(rows: DataFrame, instance: str, point: str) -> DataFrame:
-    """Points ask their clusters in order of priority; a cluster takes the askers that fit.
-
-    A point heavier than the room left does not ask. Of the others a cluster takes the longest run
-    by priority that fits, so it takes at least the first. Cycles over all clusters go on until one
-    places nothing; then no point left over fits anywhere.
-    """
-    key = [instance, "label"]
-    clusters = rows.select(F.max(F.size("_p"))).first()[0]
-    ranked = F.array_sort(
-        F.transform("_p", lambda p, i: F.struct((-p).alias("p"), i.cast("long").alias("j")))
+    best = cost.groupBy("instance").agg(F.min(F.struct("infeasible", "inertia", "run")).alias("b"))
+    best = materialise(best.select("instance", "b.infeasible", "b.run", "b.inertia"))
+    keep = small_side(best.select(*keys))
+    return Constrained(
+        told.join(keep, keys).select(F.col("instance").alias(instance), F.col("point").alias(point), "label"),
+        centres.join(keep, keys).select(F.col("instance").alias(instance), "label", "centre"),
+        best.withColumnRenamed("instance", instance),
     )
-    open_ = rows.withColumn("_r", ranked).select(instance, point, "_w", "_r")
-    placed = open_.select(instance, point, "_w", F.lit(0).cast("long").alias("label")).limit(0)
-    progress = True
-    while progress and not open_.isEmpty():
-        progress = False
-        for turn in range(clusters):
-            used = materialise(placed.groupBy(*key).agg(F.sum("_w").alias("_used")))
-            asks = open_.where(F.size("_r") > turn).select(
-                instance, point, "_w", F.get("_r", turn)["j"].alias("label"), F.get("_r", turn)["p"].alias("_pr")
-            )
-            asks = asks.join(small_side(used), key, "left").withColumn(
-                "_room", 1 + 1e-12 - F.coalesce("_used", F.lit(0.0))
-            )
-            asks = materialise(asks.where(F.col("_w") <= F.col("_room")).drop("_used"))
-            if asks.isEmpty():
-                continue
-            run = order_rows(asks, key, ["_pr", point]).running(_load=F.col("_w")).df
-            won = materialise(run.where(F.col("_load") <= F.col("_room")).select(instance, point, "_w", "label"))
-            placed = materialise(placed.unionByName(won))
-            open_ = materialise(open_.join(won.select(instance, point), [instance, point], "left_anti"))
-            progress = True
-    rest = open_.select(instance, point, F.lit(-1).cast("long").alias("label"))
-    return placed.select(instance, point, "label").unionByName(rest)
 
 
 # ---- pooling, PCA, soft-DTW -------------------------------------------------------------------

@@ -42,19 +42,19 @@ def flatten_breakpoints(df: DataFrame, breakpoints: str = "breakpoint") -> DataF
     """One row per question with the segment `[start, end)` that precedes it.
 
     The start is the time of the question before it in the same record, so no shuffle is needed.
+    Records that hold one page of a longer list bring the start along as a field of that name.
     """
     item = F.col(breakpoints)
     fields = [f.name for f in df.schema[breakpoints].dataType.elementType.fields]
-    rows = F.transform(
-        item,
-        lambda x, i: F.struct(
-            F.when(i > 0, F.get(item, i - 1)["time"]).otherwise(F.lit(0)).alias("start"),
-            x["time"].alias("end"),
-            *[x[f].alias(f) for f in fields if f != "time"],
-        ),
-    )
+
+    def segment(x: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.get(item, i - 1)["time"]).otherwise(F.lit(0))
+        start = x["start"] if "start" in fields else before
+        rest = [x[f].alias(f) for f in fields if f not in ("time", "start")]
+        return F.struct(start.alias("start"), x["time"].alias("end"), *rest)
+
     rest = [c for c in df.columns if c != breakpoints]
-    return df.select(*rest, F.inline(rows))
+    return df.select(*rest, F.inline(F.transform(item, segment)))
 
 
 def flatten_nested(df: DataFrame, sep: str = "/") -> DataFrame:

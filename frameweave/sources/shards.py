@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import tarfile
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -49,53 +51,71 @@ class _Shard(InputPartition):
 
 
 class ShardReader(DataSourceReader):
-    """One input partition per archive; at most one sample is held at a time."""
+    """One input partition per archive; at most one sample is held at a time.
+
+    With errors="raise" an archive that cannot be read fails the task, which Spark tries again. With
+    errors="report" a damaged, absent or forbidden archive gives a row with its url and `error`
+    after the samples that could be read; other failures, such as a lost connection, still raise.
+    """
 
     def __init__(self, options, samples: bool):
         self.urls = options["paths"].split("\n")
         self.samples = samples
+        self.errors = options.get("errors", "raise")
+        if self.errors not in ("raise", "report"):
+            raise ValueError(f"unknown errors mode {self.errors!r}")
 
     def partitions(self) -> Sequence[InputPartition]:
         return [_Shard(u) for u in self.urls]
 
     def read(self, partition: _Shard) -> Iterator[tuple]:
-        # An unreadable rest of a shard is left out here and reported by `shard_catalog`.
         read = self._read_samples if self.samples else self._read_members
-        return read(partition.url)
+        blanks = (None,) * (2 if self.samples else 3)
+        if self.errors == "raise":
+            yield from read(partition.url)
+            return
+        try:
+            for row in read(partition.url):
+                yield (*row, None)
+        except (tarfile.TarError, EOFError, FileNotFoundError, PermissionError) as e:
+            yield (partition.url, *blanks, type(e).__name__)
 
     def _read_members(self, url: str) -> Iterator[tuple]:
-        try:
-            with open_stream(url) as raw, tarfile.open(fileobj=raw, mode="r|*") as tar:
-                for member in tar:
-                    name = split_name(member.name) if member.isfile() else None
-                    if name is not None:
-                        yield url, name[0], name[1], tar.extractfile(member).read()
-        except (tarfile.TarError, EOFError, OSError):
-            return
+        with open_stream(url) as raw, tarfile.open(fileobj=raw, mode="r|*") as tar:
+            for member in tar:
+                name = split_name(member.name) if member.isfile() else None
+                if name is not None:
+                    data = tar.extractfile(member).read()
+                    if len(data) != member.size:
+                        raise tarfile.ReadError(f"{url} ends within {member.name}")
+                    yield url, name[0], name[1], data
 
     def _read_samples(self, url: str) -> Iterator[tuple]:
         """Headers first, then the bytes sample by sample, as members need not be neighbours."""
-        try:
-            with open_file(url) as raw, tarfile.open(fileobj=raw, mode="r:*") as tar:
-                groups: dict[str, list] = {}
-                try:
-                    for member in tar:
-                        name = split_name(member.name) if member.isfile() else None
-                        if name is not None:
-                            groups.setdefault(name[0], []).append((name[1], member))
-                except (tarfile.TarError, EOFError, OSError):
-                    pass
-                for key, members in groups.items():
-                    held = {ext: tar.extractfile(member).read() for ext, member in members}
-                    if all(len(held[ext]) == member.size for ext, member in members):
-                        yield url, key, held
-        except (tarfile.TarError, EOFError, OSError):
-            return
+        with open_file(url) as raw, tarfile.open(fileobj=raw, mode="r:*") as tar:
+            groups: dict[str, list] = {}
+            damage = None
+            try:
+                for member in tar:
+                    name = split_name(member.name) if member.isfile() else None
+                    if name is not None:
+                        groups.setdefault(name[0], []).append((name[1], member))
+            except (tarfile.TarError, EOFError) as e:
+                damage = e  # raised once the samples before it are read
+            for key, members in groups.items():
+                held = {ext: tar.extractfile(member).read() for ext, member in members}
+                if all(len(held[ext]) == member.size for ext, member in members):
+                    yield url, key, held
+                else:
+                    damage = damage or tarfile.ReadError(f"{url} ends within {key}")
+            if damage:
+                raise damage
 
 
 class ShardSource(DataSource):
     """`spark.read.format("tar_shards").option("paths", "a.tar\nb.tar")`: one row per sample,
-    or per member with `.option("rows", "members")`."""
+    or per member with `.option("rows", "members")`. With `.option("errors", "report")` a column
+    `error` is added and unreadable archives are rows instead of failures."""
 
     @classmethod
     def name(cls) -> str:
@@ -105,28 +125,30 @@ class ShardSource(DataSource):
         return self.options.get("rows", "samples") == "samples"
 
     def schema(self) -> str:
-        return SAMPLE_SCHEMA if self._samples() else MEMBER_SCHEMA
+        schema = SAMPLE_SCHEMA if self._samples() else MEMBER_SCHEMA
+        return f"{schema}, error string" if self.options.get("errors") == "report" else schema
 
     def reader(self, schema) -> DataSourceReader:
         return ShardReader(self.options, self._samples())
 
 
-def _shard_reader(spark: SparkSession, urls: Sequence[str], rows: str) -> DataFrame:
+def _shard_reader(spark: SparkSession, urls: Sequence[str], rows: str, errors: str) -> DataFrame:
     spark.dataSource.register(ShardSource)
-    return spark.read.format("tar_shards").option("rows", rows).option("paths", "\n".join(urls)).load()
+    reader = spark.read.format("tar_shards").option("rows", rows).option("errors", errors)
+    return reader.option("paths", "\n".join(urls)).load()
 
 
-def read_members(spark: SparkSession, urls: Sequence[str]) -> DataFrame:
-    return _shard_reader(spark, urls, "members")
+def read_members(spark: SparkSession, urls: Sequence[str], errors: str = "raise") -> DataFrame:
+    return _shard_reader(spark, urls, "members", errors)
 
 
-def read_samples(spark: SparkSession, urls: Sequence[str]) -> DataFrame:
+def read_samples(spark: SparkSession, urls: Sequence[str], errors: str = "raise") -> DataFrame:
     """One row per sample: `members` maps extension to bytes.
 
     A sample never spans shards, so members are grouped where they are read and no bytes are
     shuffled.
     """
-    return _shard_reader(spark, urls, "samples")
+    return _shard_reader(spark, urls, "samples", errors)
 
 
 def list_shards(spark: SparkSession, folder: str) -> list[str]:
@@ -191,24 +213,21 @@ def write_shards(df: DataFrame, folder: str, shard: str, key: str, members: dict
 
     `members` maps an extension to the text column stored under it.
     """
-    import io
-    import os
-
     columns = [shard, key, *members.values()]
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = str(pdf[shard].iloc[0])
-        os.makedirs(folder, exist_ok=True)
-        url = os.path.join(folder, f"{name}.tar")
-        part = f"{url}.{os.getpid()}.part"
-        with tarfile.open(part, "w") as tar:
+        url = f"{folder.rstrip('/')}/{pdf[shard].iloc[0]}.tar"
+        fs, path = _locate(url)
+        fs.create_dir(path.rpartition("/")[0], recursive=True)
+        part = f"{path}.{uuid.uuid4().hex}.part"
+        with fs.open_output_stream(part) as out, tarfile.open(fileobj=out, mode="w|") as tar:
             for row in pdf.sort_values(key).itertuples(index=False):
                 for ext, column in members.items():
                     data = str(getattr(row, column)).encode()
                     info = tarfile.TarInfo(f"{getattr(row, key)}.{ext}")
                     info.size = len(data)
                     tar.addfile(info, io.BytesIO(data))
-        os.replace(part, url)  # a retried task leaves one whole archive
+        fs.move(part, path)  # a retried task leaves one whole archive
         return pd.DataFrame({"url": [url], "nsamples": [len(pdf)]})
 
     return df.select(*columns).groupBy(shard).applyInPandas(write, "url string, nsamples long")

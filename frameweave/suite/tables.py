@@ -72,6 +72,10 @@ def delimited_questions(t):
     )
 
 
+#: Turns that one nested record holds at most.
+PAGE = 10_000
+
+
 @query(
     "flatten_breakpoints_s3",
     """SELECT conv_id, role AS class, coalesce(lag(10 * turn + 10) OVER w, 0) AS start,
@@ -80,27 +84,19 @@ def delimited_questions(t):
 )
 def flatten_breakpoints(t):
     turns = t.conversations.withColumn("time", F.col("turn") * 10 + 10)
-    nested = (
-        order_rows(turns, ["conv_id"], ["turn"])
-        .pages(10_000, time=F.col("time"), question=F.col("text"), kind=F.col("role"))
-        .withColumn(
-            "breakpoint",
-            F.transform(
-                F.arrays_zip("time", "question", "kind"),
-                lambda x: F.struct(
-                    x["time"].alias("time"), x["question"].alias("question"), x["kind"].alias("class")
-                ),
-            ),
-        )
-        .select("conv_id", "breakpoint")
+    # The start is carried over before the rows are cut into pages.
+    ordered = order_rows(turns, ["conv_id"], ["turn"]).shift(1, before="time")
+    item = F.struct(
+        F.coalesce("before", F.lit(0)).alias("start"), "time", F.col("text").alias("question"), F.col("role").alias("class")
     )
+    nested = ordered.pages(PAGE, breakpoint=item).select("conv_id", "breakpoint")
     flat = A.flatten_breakpoints(nested)
     return flat.select(
-        "conv_id", "class", "start", "end", F.length("question").cast("long").alias("question_chars")
+        "conv_id", "class", F.col("start").cast("long").alias("start"), "end", F.length("question").cast("long").alias("question_chars")
     )
 
 
-def _document_shards(t, rows: int = 1000):
+def _document_shards(t, rows: int = 20):
     docs = order_rows(t.documents, ["source"], ["doc_id"]).df
     docs = docs.select(
         F.concat_ws("-", "source", F.floor(F.col("seq") / rows).cast("string")).alias("shard"),
@@ -128,11 +124,10 @@ def tar_samples(t):
 
 @query(
     "shard_catalog_s5",
-    """SELECT source || '-0.tar' AS shard, count(*) AS nsamples, true AS hashed
-       FROM documents GROUP BY source""",
+    """WITH d AS (SELECT source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 20 AS part FROM documents)
+       SELECT source || '-' || part || '.tar' AS shard, count(*) AS nsamples, true AS hashed FROM d GROUP BY source, part""",
 )
 def shard_catalog(t):
-    # The SQL names page 0 only: a source has at most 1000 documents at the compared scale.
     catalog = H.shard_catalog(t.spark, _document_shards(t))
     return catalog.select(
         F.element_at(F.split("url", "/"), -1).alias("shard"),

@@ -9,7 +9,7 @@ from frameweave.operators import clustering as C
 from frameweave.operators import retrieval as R
 from frameweave.operators import sequencing as W
 from frameweave.plans.ordering import order_rows
-from frameweave.plans.staging import spread
+from frameweave.plans.staging import materialise, spread
 from frameweave.suite.registry import query
 from frameweave.suite.texts import DIALOGUE, dialogue
 
@@ -243,20 +243,34 @@ def kmeans_runs(t):
 
 @query(
     "capacity_clusters_v5",
-    """SELECT label AS instance, count(*) AS points, true AS within_capacity FROM embeddings GROUP BY label""",
+    """SELECT label AS instance, count(*) AS points, round(sum((1 + vec_id % 5) / 40.0), 6) AS weight,
+              true AS within_capacity, true AS left_out_only_without_room, true AS flagged
+       FROM embeddings GROUP BY label""",
 )
 def capacity_clusters(t):
+    """No cluster is overfull, no point that still fits is left out, and the flag says whether some are."""
     p = points(t).withColumnRenamed("label", "instance")
     p = p.withColumn("w", (1 + F.col("vec_id") % 5) / 40.0)
-    fit = C.kmeans(p, "instance", "vec_id", "x", 4, max_iter=2)
-    told = C.constrained_assign(p, fit.centres, "instance", "vec_id", "x", "w")
-    load = told.join(p.select("vec_id", "w"), "vec_id").groupBy("instance", "label").agg(
-        F.sum("w").alias("load"), F.count(F.lit(1)).alias("n")
-    )
-    return load.groupBy("instance").agg(
+    fit = C.constrained_kmeans(p, "instance", "vec_id", "x", "w", 4, max_iter=1)
+    told = materialise(fit.labels.join(p.select("vec_id", "w"), "vec_id"))
+    load = told.groupBy("instance", "label").agg(F.sum("w").alias("load"), F.count(F.lit(1)).alias("n"), F.min("w").alias("least"))
+    out = load.groupBy("instance").agg(
         F.sum("n").alias("points"),
-        F.bool_and((F.col("label") < 0) | (F.col("load") <= 1 + 1e-9)).alias("within_capacity"),
-    ).withColumn("instance", F.col("instance").cast("int"))
+        F.round(F.sum("load"), 6).alias("weight"),
+        F.max(F.when(F.col("label") >= 0, F.col("load"))).alias("fullest"),
+        F.min(F.when(F.col("label") >= 0, F.col("load"))).alias("emptiest"),
+        F.count_if(F.col("label") >= 0).alias("used"),
+        F.min(F.when(F.col("label") < 0, F.col("least"))).alias("left"),
+    )
+    room = F.when(F.col("used") < 4, 1.0).otherwise(1 - F.col("emptiest"))
+    return out.join(fit.instances, "instance").select(
+        F.col("instance").cast("int").alias("instance"),
+        "points",
+        "weight",
+        (F.col("fullest") <= 1 + 1e-9).alias("within_capacity"),
+        (F.coalesce(F.col("left"), F.lit(9.0)) > room - 1e-9).alias("left_out_only_without_room"),
+        (F.col("infeasible") == F.col("left").isNotNull()).alias("flagged"),
+    )
 
 
 @query(

@@ -66,6 +66,38 @@ def test_shards(spark, tmp_path):
     assert catalog["s3.tar"].nsamples is None and catalog["s3.tar"].error
 
 
+def test_unreadable_shards_are_not_lost(spark, tmp_path):
+    _tar(tmp_path / "good.tar", [(f"{i}.txt", b"x" * 600) for i in range(3)])
+    (tmp_path / "cut.tar").write_bytes((tmp_path / "good.tar").read_bytes()[:2500])
+    urls = [str(tmp_path / f"{n}.tar") for n in ("good", "cut", "absent")]
+    for read, ok in ((H.read_samples, 4), (H.read_members, 4)):
+        for bad in urls[1:]:
+            with pytest.raises(Exception):
+                read(spark, [urls[0], bad]).collect()
+        rows = read(spark, urls, errors="report").collect()
+        assert sum(r.error is None for r in rows) == ok
+        assert {r.shard for r in rows if r.error} == set(urls[1:])
+
+
+def test_written_shards(spark, tmp_path):
+    df = spark.createDataFrame([(f"s{i % 3}", i, f"text {i}") for i in range(30)], "s string, k long, t string")
+    made = H.write_shards(df, str(tmp_path / "out"), "s", "k", {"txt": "t"}).collect()
+    assert sorted(r.nsamples for r in made) == [10, 10, 10]
+    assert H.read_samples(spark, H.list_shards(spark, str(tmp_path / "out"))).count() == 30
+    assert not list((tmp_path / "out").glob("*.part"))
+
+
+def test_segments_across_pages(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from frameweave.suite import tables
+
+    monkeypatch.setattr(tables, "PAGE", 2)
+    turns = spark.createDataFrame([(1, i, "user", "q") for i in range(5)], "conv_id long, turn long, role string, text string")
+    rows = tables.flatten_breakpoints(SimpleNamespace(conversations=turns)).orderBy("end").collect()
+    assert [r.start for r in rows] == [0, 10, 20, 30, 40]
+
+
 def test_catalog_of_catalogs(spark):
     shard = "array<struct<url: string, nsamples: bigint>>"
     df = spark.createDataFrame(

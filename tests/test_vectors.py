@@ -69,46 +69,72 @@ def test_chunk_kmeans(spark):
             assert np.allclose(r.centroid, X[r.members].mean(0))
 
 
-def constrained_by_hand(x, w, centres, trials=3):
+def constrained_by_hand(x, w, centres):
+    """Rounds of proposals, one instance at a time."""
     prio = w[:, None] / np.maximum(np.linalg.norm(x[:, None] - centres[None], axis=2), 1e-9)
     room, label, left = np.ones(len(centres)), {}, set(range(len(x)))
     while left:
-        ranked = sorted(left, key=lambda i: (-prio[i].max(), i))[:trials]
-        pick = next(((i, int(prio[i].argmax())) for i in ranked if room[prio[i].argmax()] >= w[i] - 1e-12), None)
-        if pick is None:
-            i = min(left, key=lambda i: (-w[i], i))
+        asks = {}
+        for i in sorted(left):
             ok = [j for j in np.argsort(-prio[i], kind="stable") if room[j] >= w[i] - 1e-12]
-            pick = (i, int(ok[0]) if ok else -1)
-        i, j = pick
-        left.remove(i)
-        label[i] = j
-        if j >= 0:
-            room[j] -= w[i]
+            if ok:
+                asks.setdefault(int(ok[0]), []).append(i)
+            else:
+                label[i] = -1
+        left -= set(label)
+        for j, askers in asks.items():
+            had, load = room[j], 0.0
+            for i in sorted(askers, key=lambda i: (-prio[i, j], i)):
+                load += w[i]
+                if load > had + 1e-12:
+                    break
+                label[i] = j
+                room[j] -= w[i]
+        left -= set(label)
     return label
 
 
-def test_constrained(spark):
-    w = np.round(0.05 + 0.1 * RNG.random(120), 3)
+@pytest.mark.parametrize("group_rows", [None, 7])
+def test_constrained(spark, monkeypatch, group_rows):
+    """The labels do not depend on the rows that a task may order."""
+    if group_rows:
+        plain = C.order_rows
+        monkeypatch.setattr(C, "order_rows", lambda *a, **k: plain(*a, **k, group_rows=group_rows))
+    w = np.round(0.05 + 0.1 * RNG.random(120), 3) if group_rows is None else test_constrained.w
+    test_constrained.w = w
     pts = spark.createDataFrame([(i % 2, i, X[i].tolist(), float(w[i])) for i in range(120)], "g long, id long, x array<double>, w double")
     centres = np.stack([X[0], X[31], X[62], X[93]])
     cen = spark.createDataFrame([(g, j, centres[j].tolist()) for g in (0, 1) for j in range(4)], "g long, label long, centre array<double>")
-    got = {r.id: r.label for r in C.constrained_assign(pts, cen, "g", "id", "x", "w").collect()}
+    rows = C.constrained_assign(pts, cen, ["g"], "id", "x", "w").collect()
+    got = {r.id: r.label for r in rows}
+    assert len(rows) == 120 and -1 in got.values()
     for g in (0, 1):
         at = np.arange(g, 120, 2)
         want = constrained_by_hand(X[at], w[at], centres)
         assert {int(at[i]): j for i, j in want.items()} == {i: got[i] for i in at}
-    # The distributed rounds place every point once and respect capacities as well.
-    large = {r.id: r.label for r in C.constrained_assign(pts, cen, "g", "id", "x", "w", instance_rows=10).collect()}
-    assert set(large) == set(range(120)) and -1 in large.values()
-    for labels in (got, large):
-        for g in (0, 1):
-            for j in range(4):
-                assert sum(w[i] for i in range(g, 120, 2) if labels[i] == j) <= 1 + 1e-9
-    # No point was left out that still fits somewhere.
-    for i, j in large.items():
-        if j < 0:
-            rooms = [1 - sum(w[k] for k in large if large[k] == c and k % 2 == i % 2) for c in range(4)]
-            assert max(rooms) < w[i]
+        for j in range(4):
+            load = sum(w[i] for i in at if got[i] == j)
+            assert load <= 1 + 1e-9
+            assert all(w[i] > 1 - load - 1e-9 for i in at if got[i] == -1)
+
+
+@pytest.mark.parametrize("init", ["rnd", "k-means++", "topk", "ckm++"])
+def test_constrained_kmeans(spark, init):
+    rows = [(0, i, X[i].tolist(), 0.03) for i in range(60)] + [(1, i, X[i].tolist(), 0.3) for i in range(20)]
+    pts = spark.createDataFrame(rows, "g long, id long, x array<double>, w double")
+    fit = C.constrained_kmeans(pts, "g", "id", "x", "w", 3, init=init, runs=1 if init == "topk" else 2, max_iter=3)
+    flags = {r.g: r.infeasible for r in fit.instances.collect()}
+    assert flags == {0: False, 1: True}
+    labels = fit.labels.collect()
+    assert len(labels) == 80
+    load = {}
+    for r in labels:
+        load[r.g, r.label] = load.get((r.g, r.label), 0) + (0.03 if r.g == 0 else 0.3)
+    assert all(v <= 1 + 1e-9 for (g, j), v in load.items() if j >= 0)
+    assert (0, -1) not in load and load[1, -1] == pytest.approx(20 * 0.3 - 9 * 0.3)
+    with pytest.raises(ValueError):
+        C.constrained_kmeans(pts, "g", "id", "x", "w", 3, init="topk", runs=2)
+
 
 
 @pytest.mark.parametrize("metric", R.METRICS)
