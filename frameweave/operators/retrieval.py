@@ -10,24 +10,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameweave.functions.vectors import doubles, unit
+from frameweave.functions.vectors import doubles, minmax, unit
 from frameweave.plans.ordering import order_rows, top_rows
+from frameweave.plans.staging import materialise
 
 # Bytes of vectors that one side may bring to a task.
 BLOCK_BYTES = 64 << 20
 
-METRICS = ("l2", "cosine", "dot")
+METRICS = ("l1", "l2", "lp", "cosine", "dot")
+# Queries and rows of one tile of scores.
+QUERY_TILE, ROW_TILE = 1024, 4096
 
 
-def _scores(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
+def _scores(queries: np.ndarray, rows: np.ndarray, metric: str, p: float = 2) -> np.ndarray:
     """Smaller is nearer: distance, 1 - cosine similarity, or negative dot product."""
-    if metric == "l2":
+    if metric in ("l1", "l2", "lp"):
         # Differences rather than the expanded square, so that equal vectors are at exactly 0.
         out = np.empty((len(queries), len(rows)))
-        step = max(1, (4 << 20) // max(rows.size, 1))
+        step = max(1, (1 << 20) // max(rows.size, 1))
         for i in range(0, len(queries), step):
             gap = queries[i : i + step, None, :] - rows[None, :, :]
-            out[i : i + step] = np.sqrt(np.einsum("qnd,qnd->qn", gap, gap))
+            if metric == "l2":
+                out[i : i + step] = np.sqrt(np.einsum("qnd,qnd->qn", gap, gap))
+            elif metric == "l1":
+                out[i : i + step] = np.abs(gap).sum(axis=2)
+            else:
+                out[i : i + step] = (np.abs(gap) ** p).sum(axis=2) ** (1 / p)
         return out
     if metric == "cosine":
         queries = queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
@@ -36,17 +44,41 @@ def _scores(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     return -(queries @ rows.T)
 
 
-def _top(qids, queries, ids, rows, k: int, metric: str, skip_self: bool) -> tuple:
-    """Best `k` rows per query as (query position, row position, score), nearest first by id."""
-    score = np.round(_scores(queries, rows, metric), 12)
-    if skip_self:
-        score[np.asarray(qids)[:, None] == np.asarray(ids)[None, :]] = np.inf
-    order = np.lexsort((np.broadcast_to(ids, score.shape), score), axis=1)[:, :k]
-    q = np.repeat(np.arange(len(queries)), order.shape[1])
-    r = order.ravel()
-    s = score[q, r]
-    keep = np.isfinite(s)
-    return q[keep], r[keep], s[keep]
+def _top(qids, queries, ids, rows, k: int, metric: str, skip_self: bool, p: float = 2) -> tuple:
+    """Best `k` rows per query as (query position, row position, score), nearest first by id.
+
+    Scores are made tile by tile. Of each tile only scores up to the k-th of their query are sorted,
+    together with the best so far, so a task holds a few tiles however many rows it reads.
+    """
+    qids, ids = np.asarray(qids), np.asarray(ids)
+    out: list[tuple] = []
+    for i in range(0, len(queries), QUERY_TILE):
+        part, own = queries[i : i + QUERY_TILE], qids[i : i + QUERY_TILE]
+        best: tuple | None = None
+        for j in range(0, len(rows), ROW_TILE):
+            near = ids[j : j + ROW_TILE]
+            score = np.round(_scores(part, rows[j : j + ROW_TILE], metric, p), 12)
+            if skip_self:
+                score[own[:, None] == near[None, :]] = np.inf
+            if score.shape[1] > k:
+                limit = np.partition(score, k - 1, axis=1)[:, k - 1 : k]
+                q, r = np.nonzero((score <= limit) & np.isfinite(score))
+            else:
+                q, r = np.nonzero(np.isfinite(score))
+            found = q, r + j, score[q, r]
+            if best is not None:
+                found = tuple(np.concatenate(x) for x in zip(best, found))
+            q, r, s = found
+            order = np.lexsort((ids[r], s, q))
+            q, r, s = q[order], r[order], s[order]
+            nth = np.arange(len(q)) - np.searchsorted(q, q)
+            keep = nth < k
+            best = q[keep], r[keep], s[keep]
+        if best is not None:
+            out.append((best[0] + i, best[1], best[2]))
+    if not out:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -63,9 +95,14 @@ def nearest(
     vector: str = "vector",
     skip_self: bool = False,
     block_bytes: int = BLOCK_BYTES,
+    p: float = 2,
+    scale: str | None = None,
 ) -> DataFrame:
     """Exact `k` nearest index rows of each query: query_id, row_id, score, rank.
 
+    Metrics: l1, l2, lp (with `p`), cosine, dot. `scale` normalises both sides row by row first:
+    `minmax` or `unit`; centring on the index's mean changes no distance and is left out.
+
     Ids are integers. Queries of a checked total size are sent to every index partition, which
     keeps its best `k` per query; only those are shuffled. More queries are cut into blocks, as is
     the index, and each pair of blocks is one bounded task that again emits at most `k` rows per
@@ -73,28 +110,32 @@ def nearest(
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
-    queries = queries.select(F.col(query_id).cast("long").alias("query_id"), doubles(vector).alias("q"))
-    index = index.select(F.col(row_id).cast("long").alias("row_id"), doubles(vector).alias("v"))
+    if scale not in (None, "minmax", "unit"):
+        raise ValueError(f"unknown normalisation {scale!r}")
+    values = {None: doubles, "minmax": minmax, "unit": unit}[scale](vector)
+    queries = queries.select(F.col(query_id).cast("long").alias("query_id"), values.alias("q"))
+    index = index.select(F.col(row_id).cast("long").alias("row_id"), values.alias("v"))
     probe = queries.select(F.size("q")).first()
     if probe is None:
         return queries.select("query_id", F.lit(0).cast("long").alias("row_id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
     block = max(1, block_bytes // (8 * max(probe[0], 1)))
-    n_queries = queries.limit(block + 1).count()
-    if n_queries <= block:
-        found = _search_sent(queries, index, k, metric, skip_self)
+    sent = queries.limit(block + 1).toArrow()  # at most one block and a row
+    options = (k, metric, skip_self, p)
+    if sent.num_rows <= block:
+        found = _search_sent(sent, index, options)
     else:
-        found = _search_blocks(queries, index, k, metric, skip_self, block)
+        found = _search_blocks(materialise(queries), materialise(index), options, block)
     return top_rows(found, ["query_id"], ["score", "row_id"], k)
 
 
 SCHEMA = "query_id long, row_id long, score double"
 
 
-def _search_sent(queries, index, k, metric, skip_self) -> DataFrame:
-    rows = queries.orderBy("query_id").toArrow()  # at most one block, checked by the caller
+def _search_sent(rows: pa.Table, index: DataFrame, options: tuple) -> DataFrame:
+    rows = rows.sort_by("query_id")
     qids = rows.column("query_id").to_numpy()
     matrix = _matrix(rows.column("q").combine_chunks())
-    sent = queries.sparkSession.sparkContext.broadcast((qids, matrix))
+    sent = index.sparkSession.sparkContext.broadcast((qids, matrix))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_q, vec_q = sent.value
@@ -102,7 +143,7 @@ def _search_sent(queries, index, k, metric, skip_self) -> DataFrame:
             if not batch.num_rows:
                 continue
             ids = batch.column(0).to_numpy()
-            q, r, s = _top(ids_q, vec_q, ids, _matrix(batch.column(1)), k, metric, skip_self)
+            q, r, s = _top(ids_q, vec_q, ids, _matrix(batch.column(1)), *options)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids_q[q]), pa.array(ids[r]), pa.array(s)], ["query_id", "row_id", "score"]
             )
@@ -110,7 +151,7 @@ def _search_sent(queries, index, k, metric, skip_self) -> DataFrame:
     return index.mapInArrow(search, SCHEMA)
 
 
-def _search_blocks(queries, index, k, metric, skip_self, block: int) -> DataFrame:
+def _search_blocks(queries: DataFrame, index: DataFrame, options: tuple, block: int) -> DataFrame:
     # Half-full blocks on average leave room for uneven hashing.
     nq = -(-2 * queries.count() // block)
     ni = -(-2 * index.count() // block)
@@ -125,15 +166,9 @@ def _search_blocks(queries, index, k, metric, skip_self, block: int) -> DataFram
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "row_id": [], "score": []})
         qids, ids = left["query_id"].to_numpy(), right["row_id"].to_numpy()
-        best = []
-        for i in range(0, len(qids), 1024):
-            part = slice(i, i + 1024)
-            vec = np.stack(left["q"].to_numpy()[part])
-            q_at, r_at, s = _top(
-                qids[part], vec, ids, np.stack(right["v"].to_numpy()), k, metric, skip_self
-            )
-            best.append(pd.DataFrame({"query_id": qids[part][q_at], "row_id": ids[r_at], "score": s}))
-        return pd.concat(best)
+        vectors, rows = np.stack(left["q"].to_numpy()), np.stack(right["v"].to_numpy())
+        q_at, r_at, s = _top(qids, vectors, ids, rows, *options)
+        return pd.DataFrame({"query_id": qids[q_at], "row_id": ids[r_at], "score": s})
 
     return q.groupBy("qb", "ib").cogroup(x.groupBy("qb", "ib")).applyInPandas(search, SCHEMA)
 

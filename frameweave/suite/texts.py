@@ -303,10 +303,15 @@ def day_documents(t):
     return C.day_documents(dialogue(t), day_summaries(t))
 
 
+#: Turns of history that a prompt holds.
+HISTORY = 1_000
+
+
 @query(
     "memory_prompt_t15",
-    """WITH h AS (SELECT conv_id, string_agg(chr(10) || ' [|' || role || '|]: ' || text, '' ORDER BY turn) AS history,
-                    max(CASE WHEN role = 'system' THEN text END) AS personality, min(turn) AS d FROM conversations GROUP BY conv_id),
+    """WITH h AS (SELECT conv_id, string_agg(chr(10) || ' [|' || role || '|]: ' || text, '' ORDER BY turn) FILTER (seq <= 1000) AS history,
+                    max(CASE WHEN role = 'system' THEN text END) AS personality, min(turn) AS d
+                    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS seq FROM conversations) GROUP BY conv_id),
             r AS (SELECT item_id AS conv_id, text AS related FROM benchmark),
             p AS (SELECT h.*, related, CASE WHEN conv_id % 2 = 0 THEN 'calm talks' ELSE '' END AS summary, history || chr(10) || ' [|User|]: And then? ' || chr(10) || ' [|AI|]: ' AS ask FROM h LEFT JOIN r USING (conv_id))
        SELECT conv_id, CASE WHEN summary <> '' AND trim(related) <> '' AND trim(personality) <> ''
@@ -314,8 +319,11 @@ def day_documents(t):
                 WHEN trim(related) <> '' THEN 'Related memory (' || d || '):' || chr(10) || related || chr(10) || ask ELSE ask END AS prompt FROM p""",
 )
 def memory_prompt(t):
+    # One prompt per conversation: its last HISTORY turns, which bounds what is gathered.
     line = F.concat(F.lit("\n [|"), F.col("role"), F.lit("|]: "), F.col("text"))
-    pages = order_rows(t.conversations, ["conv_id"], ["turn"]).pages(10_000, line=line)
+    last = order_rows(t.conversations, ["conv_id"], [F.col("turn").desc()]).df.where(F.col("seq") < HISTORY)
+    pages = last.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("l"))
+    pages = pages.select("conv_id", F.col("l.line").alias("line"))
     who = t.conversations.groupBy("conv_id").agg(
         F.max(F.when(F.col("role") == "system", F.col("text"))).alias("personality"), F.min("turn").alias("d")
     )

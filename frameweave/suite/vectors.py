@@ -60,6 +60,36 @@ def knn_blocks(t):
     return out.withColumn("score", F.round("score", 6))
 
 
+@query(
+    "knn_manhattan_j13",
+    """WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+            d AS (SELECT a.vec_id AS query_id, b.vec_id AS row_id, round(list_sum(list_transform(range(1, len(a.x) + 1), lambda i: abs(a.x[i] - b.x[i]))), 12) AS s
+                  FROM p a JOIN p b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+            r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s, row_id) AS rank FROM d)
+       SELECT query_id, row_id, round(s, 6) AS score, rank FROM r WHERE rank <= 5""",
+)
+def knn_manhattan(t):
+    """Every hundredth vector, against all vectors."""
+    p = points(t)
+    out = R.nearest(p.where("vec_id % 100 = 0"), p, 5, "l1", "vec_id", "vec_id", "x", skip_self=True)
+    return out.withColumn("score", F.round("score", 6))
+
+
+@query(
+    "knn_cubic_unit_j13",
+    """WITH p AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda v: v / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS x FROM embeddings),
+            d AS (SELECT a.vec_id AS query_id, b.vec_id AS row_id, round(pow(list_sum(list_transform(range(1, len(a.x) + 1), lambda i: pow(abs(a.x[i] - b.x[i]), 3))), 1 / 3.0), 12) AS s
+                  FROM p a JOIN p b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+            r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s, row_id) AS rank FROM d)
+       SELECT query_id, row_id, round(s, 6) AS score, rank FROM r WHERE rank <= 5""",
+)
+def knn_cubic_unit(t):
+    """As before, on vectors of length 1 with the cubic distance."""
+    p = points(t)
+    out = R.nearest(p.where("vec_id % 100 = 0"), p, 5, "lp", "vec_id", "vec_id", "x", skip_self=True, p=3, scale="unit")
+    return out.withColumn("score", F.round("score", 6))
+
+
 @query(
     "vector_search_v12",
     MEANS

@@ -141,8 +141,8 @@ def test_constrained_kmeans(spark, init):
 @pytest.mark.parametrize("block", [64 << 20, 25 * 6 * 8])
 def test_nearest(spark, points, metric, block):
     got = R.nearest(points, points, 4, metric, "id", "id", "x", skip_self=True, block_bytes=block).collect()
-    if metric == "l2":
-        d = np.linalg.norm(X[:, None] - X[None], axis=2)
+    if metric in ("l1", "l2", "lp"):
+        d = np.linalg.norm(X[:, None] - X[None], axis=2, ord=1 if metric == "l1" else 2)
     else:
         n = X / np.linalg.norm(X, axis=1, keepdims=True) if metric == "cosine" else X
         d = (1 if metric == "cosine" else 0) - n @ n.T
@@ -154,6 +154,19 @@ def test_nearest(spark, points, metric, block):
     assert by == want
 
 
+def test_tiles_give_the_same_top(monkeypatch):
+    ids, k = np.arange(120)[::-1].copy(), 7
+    rows = np.round(X, 0)  # many ties
+    whole = [np.asarray(v) for v in R._top(ids, rows, ids, rows, k, "l2", True)]
+    monkeypatch.setattr(R, "QUERY_TILE", 50)
+    monkeypatch.setattr(R, "ROW_TILE", 16)
+    tiled = R._top(ids, rows, ids, rows, k, "l2", True)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, tiled))
+    d = np.round(np.linalg.norm(rows[:, None] - rows[None], axis=2), 12)
+    np.fill_diagonal(d, np.inf)
+    assert np.array_equal(tiled[1].reshape(120, k), np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k])
+
+
 def slow_soft_dtw(a, b, gamma, band):
     n, m = len(a), len(b)
     r = np.full((n + 1, m + 1), np.inf)
