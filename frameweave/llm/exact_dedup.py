@@ -99,8 +99,10 @@ def copy_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max
         "text_sha256",
     )
     suspects = marked.where("_maybe").drop("_maybe")
-    groups = suspects.groupBy("text_sha256").agg(
-        F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
+    # Written out: otherwise the join would share the partitioning of the aggregation, and a large
+    # group of copies could not be split over tasks.
+    groups = materialise(
+        suspects.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     )
     resolved = suspects.join(groups, "text_sha256").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
