@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from frameweave.functions.hashing import u
-from frameweave.plans.ordering import GROUP_ROWS, order_rows
+from frameweave.plans.ordering import GROUP_ROWS, order_rows, top_rows
 from frameweave.plans.staging import small_side
 
 # ---- mixtures ---------------------------------------------------------------------------------
@@ -94,14 +94,17 @@ def length_groups(
 
     In a megabatch the longest row goes to the lane with the least length that still has room; an
     incomplete megabatch is dealt in turn. Modalities never share a megabatch, except that their
-    incomplete last ones are joined as `megabatch` -1. One task holds one megabatch.
+    incomplete last ones are joined and dealt together as `megabatch` -1, which is smaller than one
+    megabatch per modality. One task holds one megabatch. `turn` orders the megabatches at random.
     """
     mega = batch_size * world_size
     rows = df.select(row_id, F.abs(length).cast("long").alias("length"), modality)
     rows = rows.withColumn("_u", u(seed, row_id))
     rows = order_rows(rows, [modality], ["_u", row_id], size="_n").df
-    rows = rows.withColumn("megabatch", F.floor(F.col("seq") / mega)).withColumn(
-        "whole", (F.col("megabatch") + 1) * mega <= F.col("_n")
+    rows = rows.withColumn("megabatch", F.floor(F.col("seq") / mega))
+    whole = (F.col("megabatch") + 1) * mega <= F.col("_n")
+    rows = rows.withColumns(
+        {"megabatch": F.when(whole, F.col("megabatch")).otherwise(-1), "_kind": F.when(whole, F.col(modality))}
     )
     schema = T.StructType(
         [
@@ -111,8 +114,10 @@ def length_groups(
             T.StructField("megabatch", T.LongType()),
             T.StructField("lane", T.LongType()),
             T.StructField("place", T.LongType()),
+            T.StructField("turn", T.DoubleType()),
         ]
     )
+    rows = rows.withColumn("turn", u(f"{seed}/turn", F.coalesce(F.col("_kind").cast("string"), F.lit("")), "megabatch"))
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", row_id], ascending=[False, True], ignore_index=True)
@@ -130,10 +135,9 @@ def length_groups(
                 room[j] -= 1
         pdf["lane"] = lane
         pdf["place"] = pdf.groupby("lane").cumcount()
-        pdf["megabatch"] = np.where(pdf["whole"], pdf["megabatch"], -1)
         return pdf[[f.name for f in schema]]
 
-    return rows.select(row_id, "length", modality, "megabatch", "whole").groupBy(modality, "megabatch").applyInPandas(
+    return rows.select(row_id, "length", modality, "megabatch", "turn", "_kind").groupBy("_kind", "megabatch").applyInPandas(
         deal, schema
     )
 
@@ -159,14 +163,10 @@ def stratified_sample(
     quotas = sizes.select(stratum, F.floor(F.col("_c") * n / F.lit(total) + 1e-9).alias("_quota"))
     pool = df if exclude is None else df.join(exclude.select(row_id), row_id, "left_anti")
     pool = pool.withColumn("_u", u(seed, row_id))
-    ranked = order_rows(pool, [stratum], ["_u", row_id], seq="_r").df.join(small_side(quotas), stratum)
-    rank = F.when(F.col("_r") < F.col("_quota"), 0).otherwise(1)
-    filled = order_rows(ranked.withColumn("_pass", rank), [], ["_pass", "_u", row_id], seq="_at").df
-    return (
-        filled.where(F.col("_at") < n)
-        .withColumn("pass", F.col("_pass") + 1)
-        .drop("_u", "_r", "_quota", "_pass", "_at")
-    )
+    # No stratum gives more than its quota and then n rows, so only those are kept and ordered.
+    ranked = top_rows(pool, [stratum], ["_u", row_id], 2 * n).join(small_side(quotas), stratum)
+    ranked = ranked.withColumn("pass", F.when(F.col("rank") <= F.col("_quota"), 1).otherwise(2))
+    return ranked.orderBy("pass", "_u", row_id).limit(n).drop("_u", "rank", "_quota")
 
 
 def fixed_groups(

@@ -117,12 +117,17 @@ def grouping_accuracy(
     sets = [[outer, i] for i in inner] + [[i] for i in inner] + [[outer], []]
     cols = [[F.col(c) for c in s] for s in sets]
     rows = df.select(*keys, answered.alias("_answered"), correct.alias("_right"))
-    right, told = F.count_if(F.col("_answered") & F.col("_right")), F.count_if("_answered")
-    return rows.groupingSets(cols, *[F.col(k) for k in keys]).agg(
+    # Counted by all keys first, so that the grouping sets multiply a few sums and not the rows.
+    sums = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if("_answered").alias("_told"),
+        F.count_if(F.col("_answered") & F.col("_right")).alias("_good"),
+    )
+    right, told = F.sum("_good"), F.sum("_told")
+    return sums.groupingSets(cols, *[F.col(k) for k in keys]).agg(
         F.grouping_id().alias("level"),
-        F.count(F.lit(1)).alias("questions"),
-        told.alias("answered"),
-        right.alias("right"),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("questions"),
+        F.coalesce(told, F.lit(0)).alias("answered"),
+        F.coalesce(right, F.lit(0)).alias("right"),
         ratio(right, told).alias("acc"),
     )
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from frameweave.functions.binding import let
+
 from frameweave.plans.ordering import order_rows
 from frameweave.sources.annotations import is_missing
 
@@ -108,15 +110,19 @@ def keep_readable_words(
     vertical: str | None = None,
 ) -> DataFrame:
     """OCR words that are legible, horizontal, not a lone dot, and large enough."""
-    out = words.withColumns(polygon_box(F.col(vertices)))
-    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
-    out = out.withColumn("area", area).where(F.col(text) != ".")
-    out = out.where((F.col("area") >= image_area * min_share) & (F.col("area") >= min_pixels))
+    out = words.where(F.col(text) != ".")
     if legible:
         out = out.where(F.col(legible))
     if vertical:
         out = out.where(~F.col(vertical))
-    return out
+    # The box is made once for each word that passed the tests above.
+    box = F.struct(*[c.alias(k) for k, c in polygon_box(F.col(vertices)).items()])
+    sized = let(box, lambda b: F.struct(
+        *[b[k].alias(k) for k in ("x1", "y1", "x2", "y2")], ((b["x2"] - b["x1"]) * (b["y2"] - b["y1"])).alias("area")
+    ))
+    out = out.withColumn("_box", F.explode(F.array(sized)))
+    out = out.where((F.col("_box.area") >= image_area * min_share) & (F.col("_box.area") >= min_pixels))
+    return out.select(*words.columns, "_box.x1", "_box.y1", "_box.x2", "_box.y2", "_box.area")
 
 
 def nest_rows(

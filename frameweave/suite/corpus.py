@@ -129,15 +129,15 @@ def fixed_groups(t):
 
 @query(
     "equal_share_k3",
-    """WITH s AS (SELECT source, count(*) AS c, row_number() OVER (ORDER BY source) - 1 AS s, count(*) OVER () AS k FROM documents WHERE n_chars > 300 GROUP BY source),
+    """WITH s AS (SELECT source, count(*) AS c, row_number() OVER (ORDER BY source) - 1 AS s, count(*) OVER () AS k FROM documents GROUP BY source),
             w AS (SELECT source, c, s // (k // 3) AS worker FROM s WHERE s < k // 3 * 3),
             m AS (SELECT min(x) AS least FROM (SELECT sum(c) AS x FROM w GROUP BY worker)),
             r AS (SELECT d.doc_id, d.source, worker, row_number() OVER (PARTITION BY worker ORDER BY d.source, doc_id) - 1 AS place
-                  FROM documents d JOIN w USING (source) WHERE n_chars > 300)
+                  FROM documents d JOIN w USING (source))
        SELECT doc_id, source, worker, place FROM r, m WHERE place < least""",
 )
 def equal_share(t):
-    rows = t.documents.where("n_chars > 300").select("doc_id", "source")
+    rows = t.documents.select("doc_id", "source")
     return C.equal_share(rows, "source", ["doc_id"], 3).select("doc_id", "source", "worker", "place")
 
 

@@ -27,6 +27,11 @@ def test_length_groups(spark):
                 assert [r.id for r in got] == [r.id for r in lane]
 
 
+    rest = [r for r in out if r.megabatch == -1]
+    assert len({(r.lane, r.place) for r in rest}) == len(rest) and {r.m for r in rest} == {True, False}
+    assert len({r.turn for r in out}) == len({(r.m if r.megabatch >= 0 else None, r.megabatch) for r in out})
+
+
 @pytest.mark.parametrize("group_rows", [30, 10**6])
 def test_packs(spark, group_rows):
     rows = [(i, int(RNG.integers(1, 60)), int(RNG.integers(0, 4))) for i in range(150)]
