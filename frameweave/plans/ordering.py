@@ -28,18 +28,21 @@ def as_columns(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows in the largest group; map-side combined, reads only the keys."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
+def group_extent(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """Rows of the largest group and bytes of the widest, in one map-side combined aggregation.
+
+    Only texts, arrays and binaries are measured; other columns are not read for it.
+    """
+    wide = [f.name for f in df.schema if isinstance(f.dataType, (T.ArrayType, T.BinaryType, T.StringType))]
+    width = row_bytes(df.select(*[F.col(f"`{c}`") for c in wide])) if wide else F.lit(0)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.sum(width).alias("_bytes"))
+    most = sizes.agg(F.max("_rows"), F.max("_bytes")).first()
+    return most[0] or 0, most[1] or 0
 
 
-def rows_per_task(df: DataFrame, group_rows: int) -> int:
+def rows_per_task(group_rows: int, rows: int, size: int) -> int:
     """`group_rows`, or fewer where rows are wide, such as frames with long vectors."""
-    if not any(isinstance(f.dataType, (T.ArrayType, T.BinaryType, T.StringType)) for f in df.schema):
-        return group_rows
-    width = df.limit(64).agg(F.avg(row_bytes(df))).first()[0] or 1
-    return max(1, min(group_rows, int(GROUP_BYTES / width)))
+    return group_rows if size <= GROUP_BYTES else max(1, min(group_rows, GROUP_BYTES * rows // size))
 
 
 @dataclass(frozen=True)
@@ -73,7 +76,7 @@ class Ordered:
         # Rows within `offset` of a block edge are also placed in the neighbouring block.
         size, reach = self.block_rows, abs(offset)
         if reach > size:
-            raise ValueError("offset is larger than a block")
+            return self._shift_far(offset, exprs)
         inside = F.col(self.seq) % size
         near, step = (inside >= size - reach, 1) if offset > 0 else (inside < reach, -1)
         home = self._block()
@@ -84,6 +87,19 @@ class Ordered:
         df = df.withColumns({k: F.lag(v, offset).over(w) for k, v in exprs.items()})
         return self.with_df(df.where(F.col("_home") == F.col("_block")).drop("_home", "_block"))
 
+    def _shift_far(self, offset: int, exprs: dict[str, Column]) -> "Ordered":
+        """A shift across whole blocks: rows meet by (keys, number), which is unique."""
+        away = self.df.select(
+            *[F.col(k).alias(f"_k{i}") for i, k in enumerate(self.keys)],
+            (F.col(self.seq) + offset).alias("_to"),
+            *[v.alias(f"_far_{k}") for k, v in exprs.items()],
+        )
+        cond = F.col(self.seq) == F.col("_to")
+        for i, k in enumerate(self.keys):
+            cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        df = self.df.join(away, cond, "left").withColumns({k: F.col(f"_far_{k}") for k in exprs})
+        return self.with_df(df.drop("_to", *[f"_k{i}" for i in range(len(self.keys))], *[f"_far_{k}" for k in exprs]))
+
     def running(self, inclusive: bool = True, **columns: Column) -> "Ordered":
         """Running sums from the start of the group up to this row."""
         if not self.blocked:
@@ -187,8 +203,9 @@ def order_rows(
 ) -> Ordered:
     """Number rows from 0 within `keys` by the total order `order`; `size` adds the group count."""
     keys, order = tuple(keys), as_columns(order)
-    group_rows = rows_per_task(df, group_rows)
-    if largest_group(df, keys) <= group_rows:
+    rows, width = group_extent(df, keys)
+    group_rows = rows_per_task(group_rows, rows, width)
+    if rows <= group_rows:
         whole = Window.partitionBy(*keys)
         out = df.withColumn(seq, F.row_number().over(whole.orderBy(*order)).cast("long") - 1)
         if size:

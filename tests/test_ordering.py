@@ -53,7 +53,7 @@ def test_null_key_is_a_group(spark):
     assert rows(out, "k", "i", "seq") == rows(out, "k", "i", "i")
 
 
-@pytest.mark.parametrize("offset", [1, 3, -2])
+@pytest.mark.parametrize("offset", [1, 3, -2, 57, -57])
 def test_shift(df, offset):
     small = order_rows(df, ["k"], ["ts", "id"], group_rows=SMALL).shift(offset, p="v").df
     plain = order_rows(df, ["k"], ["ts", "id"]).shift(offset, p="v").df
@@ -191,7 +191,11 @@ def test_staging_folder_comes_from_the_session():
 def test_wide_rows_lower_the_window_bound(spark):
     from frameweave.plans import ordering
 
-    narrow = spark.range(10)
-    wide = narrow.withColumn("v", F.array_repeat(F.lit(1.0), 4096))
-    assert ordering.rows_per_task(narrow, 1_000_000) == 1_000_000
-    assert ordering.rows_per_task(wide, 1_000_000) < 20_000
+    narrow = spark.range(100).withColumn("k", F.col("id") % 2)
+    # Only the last rows are wide: all rows are measured, not the first ones.
+    wide = narrow.withColumn("v", F.array_repeat(F.lit(1.0), F.when(F.col("id") < 90, 0).otherwise(4096)))
+    assert ordering.group_extent(narrow, ["k"]) == (50, 0)
+    rows, size = ordering.group_extent(wide, ["k"])
+    assert rows == 50 and size == 5 * 4096 * 8
+    assert ordering.rows_per_task(1_000_000, rows, size) == 1_000_000
+    assert ordering.rows_per_task(1_000_000, 10_000_000, 4 << 40) < 2_000
