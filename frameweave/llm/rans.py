@@ -169,15 +169,17 @@ class ChunkEncoder:
         self.model, self.width = self.library.model, width
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self._whole = re.compile("|".join([UNUSUAL.pattern, *map(re.escape, special)]))
-        self._chunk = Memory(self._of_chunk, CHUNKS)
+        self._after_space = Memory(lambda chunk: self._of_chunk(" " + chunk), CHUNKS)
         self._piece = Memory(self._of_piece, PIECES)
 
     def _of_piece(self, piece: str) -> bytes:
         return packed([t.id for t in self.model.tokenize(in_letters(piece))], self.width)
 
     def _of_chunk(self, chunk: str) -> bytes:
-        if chunk[1:].isalpha() and chunk.isascii() and chunk[0] == " ":
-            return self._piece[chunk]
+        # Most new chunks are a word, or a word and a stop or comma.
+        word, end = (chunk[:-1], chunk[-1]) if chunk[-1:] in _STOPS else (chunk, "")
+        if word[:1] == " " and word[1:].isalpha() and (word.isascii() or not UNUSUAL.search(word)):
+            return self._piece[word] + self._piece[end] if end else self._piece[word]
         if self._whole.search(chunk):
             return packed(self.library.encode(chunk, add_special_tokens=False).ids, self.width)
         return b"".join(map(self._piece.__getitem__, _PRE_TOKEN.findall(chunk)))
@@ -185,13 +187,12 @@ class ChunkEncoder:
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian integers."""
         if _SPACE_AFTER_SPACE.search(text):
-            chunks = _CUT.split(text)
-        else:
-            head, *rest = text.split(" ")
-            chunks = [head, *map(" ".__add__, rest)]
-        return b"".join(map(self._chunk.__getitem__, chunks))
+            return b"".join(map(self._of_chunk, _CUT.split(text)))
+        head, *rest = text.split(" ")
+        return self._of_chunk(head) + b"".join(map(self._after_space.__getitem__, rest))
 
 
+_STOPS = (".", ",")
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
 # Fixed by the byte-level tokenizer, with the letters and digits of usual signs spelled out.
