@@ -158,16 +158,20 @@ def _after_marker(ids: Column, marker: Sequence[int]) -> Column:
 # ---- interleaved and multi-turn records -------------------------------------------------------
 
 
+def _first(items: Column, n: int | None) -> Column:
+    return items if n is None else F.slice(items, 1, n)
+
+
 def interleaved_text(
-    sentences: Column, matched: Column, token: str = "<image>", max_images: int = 6, end: str = ""
+    sentences: Column, matched: Column, token: str = "<image>", max_images: int | None = None, end: str = ""
 ) -> Column:
     """Sentences joined by spaces with an image mark before each matched sentence.
 
-    `matched` holds one 0-based sentence index per image; only the first `max_images` count.
+    `matched` holds one 0-based sentence index per image; only the first `max_images` count, if given.
     """
     clean = F.transform(sentences, lambda s: F.replace(s, F.lit(token), F.lit(token.upper())))
     marked = let(
-        F.slice(matched, 1, max_images),
+        _first(matched, max_images),
         lambda used: F.transform(
             clean,
             lambda s, i: F.concat(F.repeat(F.lit(token + "\n"), F.size(F.filter(used, lambda m: m == i))), s),
@@ -179,9 +183,9 @@ def interleaved_text(
     return F.concat(text, F.lit(end))
 
 
-def image_order(matched: Column, max_images: int = 6) -> Column:
+def image_order(matched: Column, max_images: int | None = None) -> Column:
     """Positions of the used images sorted by their sentence, then by position."""
-    used = F.slice(matched, 1, max_images)
+    used = _first(matched, max_images)
     keyed = F.transform(used, lambda m, i: F.struct(m.alias("m"), i.alias("i")))
     return F.transform(F.array_sort(keyed), lambda x: x["i"])
 
@@ -249,9 +253,9 @@ def length_estimates(
     )
 
 
-def interleaved_length(sentences: Column, matched: Column, image_tokens: int, max_images: int = 6) -> Column:
+def interleaved_length(sentences: Column, matched: Column, image_tokens: int, max_images: int | None = None) -> Column:
     """Half the image tokens plus the characters of the matched sentences."""
-    used = F.slice(matched, 1, max_images)
+    used = _first(matched, max_images)
     chars = F.aggregate(
         used, F.lit(0).cast("long"), lambda s, m: s + F.length(F.get(sentences, m.cast("int"))).cast("long")
     )

@@ -239,17 +239,19 @@ def pack_sequences(
     max_length: int,
     max_images: int,
     seed: int,
-    bucket_rows: int = 10_000,
+    bucket_rows: int,
     group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Rows packed into sequences of at most `max_length` tokens and `max_images` images.
 
     Inside a bucket of at most `bucket_rows` random rows the longest come first and a pack closes
-    as soon as the next row does not fit. Rows that exceed a limit alone are left out. `start` is
-    the offset of a row in its pack; positions restart at 0 for every row.
+    as soon as the next row does not fit. `start` is the offset of a row in its pack; positions
+    restart at 0 for every row. Rows that exceed a limit alone come back without a bucket or pack.
     """
     rows = df.select(row_id, length.cast("long").alias("length"), images.cast("long").alias("images"))
-    rows = rows.where((F.col("length") <= max_length) & (F.col("images") <= max_images))
+    fits = F.coalesce((F.col("length") <= max_length) & (F.col("images") <= max_images), F.lit(False))
+    over = rows.where(~fits)
+    rows = rows.where(fits)
     rows = order_rows(rows.withColumn("_u", u(seed, row_id)), [], ["_u", row_id], group_rows=group_rows).df
     rows = rows.withColumn("bucket", F.floor(F.col("seq") / bucket_rows)).drop("_u", "seq")
     schema = T.StructType(
@@ -277,7 +279,8 @@ def pack_sequences(
             used, shown, place = used + size, shown + pics, place + 1
         return pdf.assign(pack=packs, place=places, start=starts)[[f.name for f in schema]]
 
-    return rows.groupBy("bucket").applyInPandas(pack, schema)
+    packed = rows.groupBy("bucket").applyInPandas(pack, schema)
+    return packed.unionByName(over, allowMissingColumns=True)
 
 
 def pad_batches(

@@ -94,26 +94,26 @@ def frame_plan(
     max_fps: float = 2.0,
     fps: float = 2.0,
     rate: float = 0.2,
-    chunk: int = 40,
-    cap_over: int = 900,
-    cap_to: int = 200,
+    chunk: int | None = None,
+    cap: tuple[int, int] | None = None,
     min_frames: int = 4,
-    max_frames: int = 768,
+    max_frames: int | None = None,
     factor: int = 2,
 ) -> DataFrame:
     """Frames to take per stream, by each of three rules.
 
-    `segment`: all rows of a segment up to `chunk` rows, else `int(n*rate)`, and `cap_to` where
-    that exceeds `cap_over`. `rate_capped`: `min(n, int(duration*max_fps))`. `clamped`:
+    `segment`: all rows of a segment up to `chunk` rows if given, else `int(n*rate)`; `cap` (over,
+    to) takes `to` frames where that exceeds `over`. `rate_capped`: `min(n, int(duration*max_fps))`. `clamped`:
     `duration*fps` between bounds that are multiples of `factor`, rounded to a multiple.
     """
     seconds = F.lit(0.0) if duration is None else duration
     plan = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), seconds.alias("duration"))
     n = F.col("n")
     share = F.floor(n * F.lit(rate) + 1e-9)
-    segment = F.when(n <= chunk, n).otherwise(F.when(share > cap_over, cap_to).otherwise(share))
+    segment = share if cap is None else F.when(share > cap[0], cap[1]).otherwise(share)
+    segment = segment if chunk is None else F.when(n <= chunk, n).otherwise(segment)
     low = F.ceil(F.lit(min_frames) / factor) * factor
-    high = F.floor(F.least(F.lit(max_frames), n) / factor) * factor
+    high = F.floor((n if max_frames is None else F.least(F.lit(max_frames), n)) / factor) * factor
     want = F.bround(F.least(F.greatest(F.col("duration") * fps, low), high) / factor) * factor
     return plan.withColumns(
         {

@@ -31,25 +31,28 @@ class ChangeGate(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "vector array<double>")
 
-    def _moved(self, a: np.ndarray, b: np.ndarray) -> bool:
+    def _moved(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Row by row, whether the distance exceeds the threshold."""
         if self.distance == "l1":
-            return float(np.abs(a - b).sum()) > self.threshold
-        if self.distance == "cosine":
-            size = np.linalg.norm(a) * np.linalg.norm(b)
-            return (1 - float(a @ b) / size if size > 0 else 1.0) > self.threshold
-        return float(np.sqrt(((a - b) ** 2).sum())) > self.threshold
+            gap = np.abs(a - b).sum(axis=1)
+        elif self.distance == "cosine":
+            size = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
+            gap = 1 - np.divide((a * b).sum(axis=1), size, out=np.zeros(len(a)), where=size > 0)
+        else:
+            gap = np.sqrt(((a - b) ** 2).sum(axis=1))
+        return gap > self.threshold
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _ordered(rows)
         if batch.empty:
             return
-        last = np.asarray(self.last.get()[0], float) if self.last.exists() else None
-        keep = []
-        for vector in batch["vector"]:
-            vector = np.asarray(vector, float)
-            keep.append(last is None or self._moved(last, vector))
-            last = vector
-        self.last.update((last.tolist(),))
+        vectors = np.stack([np.asarray(v, float) for v in batch["vector"]])
+        before = np.asarray(self.last.get()[0], float) if self.last.exists() else None
+        earlier = np.vstack([vectors[:1] if before is None else before[None], vectors[:-1]])
+        keep = self._moved(earlier, vectors)
+        if before is None:
+            keep[0] = True
+        self.last.update((vectors[-1].tolist(),))
         kept = batch[keep]
         if len(kept):
             yield pd.DataFrame({"stream": key[0], "id": kept["id"], "ts": kept["ts"]})

@@ -165,7 +165,7 @@ def sequence_packs(t):
     rows = spread(t.documents.select("doc_id", "text")).select(
         "doc_id", F.size(words(F.col("text"))).alias("l"), (F.col("doc_id") % 4).alias("i")
     )
-    packs = C.pack_sequences(rows, "doc_id", F.col("l"), F.col("i"), 2048, 8, 42)
+    packs = C.pack_sequences(rows, "doc_id", F.col("l"), F.col("i"), 2048, 8, 42, bucket_rows=10_000).where("pack is not null")
     per = packs.groupBy("bucket", "pack").agg(
         F.count(F.lit(1)).alias("k"), F.count_distinct("doc_id").alias("d"), F.sum("length").alias("l"), F.sum("images").alias("i")
     )

@@ -96,7 +96,7 @@ PLAN = """, p AS (SELECT user_id, count(*) AS n, (epoch_us(max(ts)) - epoch_us(m
 def _plan(t):
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     days = F.floor((micros(F.max("ts")) - micros(F.min("ts"))) / 86_400_000_000)
-    return W.frame_plan(frames(t), ["user_id"], days.cast("double"))
+    return W.frame_plan(frames(t), ["user_id"], days.cast("double"), chunk=40, cap=(900, 200), max_frames=768)
 
 
 @query("frame_plan_w3", NUMBERED + PLAN + "SELECT * FROM f")

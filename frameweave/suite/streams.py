@@ -19,7 +19,8 @@ def _folders(t) -> tuple[str, str]:
 
 
 def _events(t):
-    return S.read_frames(t.spark, t.folder, t.events.schema, "events.parquet")
+    # One file per micro-batch bounds what a batch holds.
+    return S.read_frames(t.spark, t.folder, t.events.schema, "events.parquet", files_per_trigger=1)
 
 
 def _frames(t):

@@ -422,10 +422,10 @@ def _interleaved(t):
               array_to_string(list_transform(list_sort(list_transform(m[:6], lambda k, i: k * 1000 + i - 1)), lambda k: k % 1000), ',') AS image_order FROM b""",
 )
 def interleaved_text(t):
-    order = F.transform(C.image_order(F.col("m")), lambda i: i.cast("string"))
+    order = F.transform(C.image_order(F.col("m"), 6), lambda i: i.cast("string"))
     return _interleaved(t).select(
         "doc_id",
-        C.interleaved_text(F.col("s"), F.col("m"), end="</s>").alias("text"),
+        C.interleaved_text(F.col("s"), F.col("m"), max_images=6, end="</s>").alias("text"),
         F.array_join(order, ",").alias("image_order"),
     )
 
@@ -479,7 +479,7 @@ def length_estimates(t):
     + """SELECT doc_id, len(m[:6]) * 196 // 2 + coalesce(list_sum(list_transform(m[:6], lambda k: length(s[k + 1]))), 0)::BIGINT AS length FROM b""",
 )
 def interleaved_length(t):
-    return _interleaved(t).select("doc_id", C.interleaved_length(F.col("s"), F.col("m"), 196).alias("length"))
+    return _interleaved(t).select("doc_id", C.interleaved_length(F.col("s"), F.col("m"), 196, max_images=6).alias("length"))
 
 
 @query(

@@ -37,7 +37,9 @@ def test_packs(spark, group_rows):
     rows = [(i, int(RNG.integers(1, 60)), int(RNG.integers(0, 4))) for i in range(150)]
     df = spark.createDataFrame(rows, "id long, n long, i long")
     out = C.pack_sequences(df, "id", F.col("n"), F.col("i"), 50, 5, 1, bucket_rows=40, group_rows=group_rows).collect()
-    assert sorted(r.id for r in out) == sorted(i for i, n, _ in rows if n <= 50)
+    assert sorted(r.id for r in out) == [i for i, _, _ in rows]
+    assert {r.id for r in out if r.pack is None} == {i for i, n, _ in rows if n > 50}
+    out = [r for r in out if r.pack is not None]
     packs = {}
     for r in out:
         packs.setdefault((r.bucket, r.pack), []).append(r)
