@@ -8,8 +8,9 @@
    size bands, as sizes must not differ by more than the threshold.
 3. Bounds. Each class has a bitmap of hashed n-grams. Bits of one bitmap that the other lacks bound
    the overlap from above; pairs that cannot reach the threshold go no further.
-4. Check. The sorted arrays of the remaining pairs are intersected exactly.
-5. Components. First neighbours in each tile are linked. Then only pairs from different components
+4. Check. The sorted arrays of the remaining pairs are intersected exactly, in blocks of candidates
+   that lie close together.
+5. Components. Each class is first compared with the neighbour it shares most n-grams with. Then only pairs from different components
    are taken up, which leaves out the pairs inside a large group of near copies but no pair that
    could join two components.
 """
@@ -23,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,9 +36,11 @@ from frameweave.plans.staging import materialise, small_side
 #: 64-bit words of a bitmap.
 WORDS = 8
 #: An n-gram in more than this share of the texts of a task comes last in the order.
-FREQUENT = 0.002
+FREQUENT = 0.0008
 #: N-grams that may come last, the most frequent ones; bounds what is broadcast to 1.6 MB.
 MAX_FREQUENT = 200_000
+#: Classes in a block whose candidates are checked together.
+FAMILY = 64
 #: N-grams that a task counts at once.
 _COUNTED = 2_000_000
 
@@ -166,7 +170,7 @@ def read_sets(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
 
         def counted() -> pa.RecordBatch:
             tokens, found = np.unique(np.concatenate(held), return_counts=True)
-            many = found >= max(8, FREQUENT * len(held))
+            many = found >= max(3, FREQUENT * len(held))
             tokens, found = tokens[many], found[many]
             none = pa.nulls(len(tokens))
             return pa.RecordBatch.from_arrays(
@@ -246,38 +250,41 @@ def first_tokens(docs: DataFrame, k: int, limit: Threshold, frequent, doc_id: st
     )
 
 
-def exact_sets(docs: DataFrame, wanted: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
-    """(node, hashes) for the classes in `wanted` (node, print, min_id), from one text of each."""
+def packed_texts(docs: DataFrame, wanted: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
+    """(node, packed) for the classes in `wanted` (node, print, min_id): one text of each, compressed.
 
-    @F.arrow_udf(T.StructType([T.StructField("print", T.BinaryType()), T.StructField("hashes", T.BinaryType())]))
-    def sets(column: pa.Array) -> pa.Array:
-        out = []
-        for value in column:
-            hashes = shingles(value.as_py() or b"", k)
-            out.append({"print": _fingerprint(hashes), "hashes": hashes.tobytes()})
-        return pa.array(out, pa.struct([("print", pa.binary()), ("hashes", pa.binary())]))
+    A text is smaller than its array of hashes and gives it back at once. An id may belong to
+    several texts, so the fingerprint is compared; a task sends each class once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress, seen = zstandard.ZstdCompressor(level=3).compress, set()
+        for batch in batches:
+            nodes, packs = [], []
+            for node, mark, value in zip(*batch.columns):
+                node, data = node.as_py(), value.as_py() or b""
+                if node not in seen and _fingerprint(shingles(data, k)) == mark.as_py():
+                    seen.add(node)
+                    nodes.append(node)
+                    packs.append(compress(data))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(packs, pa.binary())], ["node", "packed"])
 
     texts = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("binary").alias("_text"))
     rows = texts.join(small_side(wanted), F.col("_id").eqNullSafe(F.col("min_id")))
-    rows = rows.select("node", "print", sets("_text").alias("s"))
-    # An id may belong to several texts, and a text may be repeated.
-    return rows.where("s.print = print").select("node", F.col("s.hashes").alias("hashes")).dropDuplicates(["node"])
+    return rows.select("node", "print", "_text").mapInArrow(run, "node long, packed binary")
 
 
 # ---- the join -----------------------------------------------------------------------------------
 
 
-@F.arrow_udf(T.LongType())
-def _common(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Size of the intersection of two sorted arrays."""
-    out = []
-    for x, y in zip(a, b):
-        x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-        if len(x) > len(y):
-            x, y = y, x
-        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-        out.append(int(np.count_nonzero(y[at] == x)))
-    return pa.array(out, pa.int64())
+def intersection(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted arrays without repeats."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return 0
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return int(np.count_nonzero(y[at] == x))
 
 
 def most_overlap(n_a: Column, bits_a: Column, n_b: Column, bits_b: Column) -> Column:
@@ -290,24 +297,62 @@ def most_overlap(n_a: Column, bits_a: Column, n_b: Column, bits_b: Column) -> Co
     return F.least(n_a - lacking(bits_a, bits_b), n_b - lacking(bits_b, bits_a))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, docs: DataFrame, k, limit, doc_id, text) -> DataFrame:
-    """Links (a, b) among candidate pairs (a, b): bitmap bound first, then the exact intersection."""
+def _exact_links(k: int, limit: Threshold):
+    """Function over one pair of blocks: the linked pairs among its candidates."""
+
+    def run(table: pa.Table) -> pa.Table:
+        texts = {}
+        for node, packed in zip(table.column("a").to_pylist(), table.column("packed")):
+            if packed.is_valid:
+                texts[node] = packed
+        sets: dict[int, np.ndarray] = {}
+
+        def read(node: int) -> np.ndarray:
+            if node not in sets:
+                sets[node] = shingles(zstandard.decompress(texts[node].as_py()), k)
+            return sets[node]
+
+        out: list[tuple[int, int]] = []
+        for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist()):
+            if b is None:
+                continue
+            x, y = read(a), read(b)
+            both = intersection(x, y)
+            if both * limit.den >= (len(x) + len(y) - both) * limit.num:
+                out.append((a, b))
+        return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
+
+    return run
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, limit: Threshold, doc_id: str, text: str) -> DataFrame:
+    """Links (a, b) among candidate pairs (a, b).
+
+    Classes with the same least candidate are a family. Families are cut into blocks of about FAMILY
+    classes, and a task takes the candidates between two blocks: each text is sent to it once, not
+    once for each candidate.
+    """
     pairs = materialise(pairs)
-    involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    marks = materialise(nodes.join(small_side(involved), "node"))
-    bits = sets.join(small_side(marks.select("node", "print")), "print").select("node", "n", "bits")
-    bits = materialise(bits.dropDuplicates(["node"]))
-    side = lambda s: bits.select(*[F.col(c).alias(f"{c}_{s}") for c in bits.columns])
-    likely = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
-    enough = limit.overlap(F.col("n_a"), F.col("n_b"))
-    likely = likely.where(most_overlap(F.col("n_a"), F.col("bits_a"), F.col("n_b"), F.col("bits_b")) >= enough)
-    likely = materialise(likely.select("a", "b", "n_a", "n_b"))
-    involved = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-    arrays = materialise(exact_sets(docs, materialise(marks.join(involved, "node")), k, doc_id, text))
-    side = lambda s: arrays.select(F.col("node").alias(s), F.col("hashes").alias(f"h_{s}"))
-    checked = likely.join(side("a"), "a").join(side("b"), "b").withColumn("both", _common("h_a", "h_b"))
-    union = F.col("n_a") + F.col("n_b") - F.col("both")
-    return materialise(checked.where(F.col("both") * limit.den >= union * limit.num).select("a", "b"))
+    # The least candidate of a class names its family, which all members of a dense group agree on.
+    ends = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    family = materialise(ends.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"))
+    sizes = family.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(FAMILY)).alias("grid"))
+    placed = family.join(small_side(materialise(sizes)), "root")
+    block = F.struct("root", F.pmod(F.xxhash64("node"), F.col("grid")).alias("part"))
+    placed = materialise(placed.select("node", block.alias("block")))
+    wanted = materialise(nodes.join(small_side(placed.select("node")), "node").select("node", "print", "min_id"))
+    packs = materialise(packed_texts(docs, wanted, k, doc_id, text))
+    side = lambda s: placed.select(F.col("node").alias(s), F.col("block").alias(f"block_{s}"))
+    keyed = pairs.join(small_side(side("a")), "a").join(small_side(side("b")), "b")
+    keyed = materialise(
+        keyed.select(F.least("block_a", "block_b").alias("i"), F.greatest("block_a", "block_b").alias("j"), "a", "b")
+    )
+    members = keyed.select("i", "j", F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = members.join(packs, "node")
+    rows = texts.select("i", "j", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "packed").union(
+        keyed.select("i", "j", "a", "b", F.lit(None).cast("binary"))
+    )
+    return materialise(rows.groupBy("i", "j").applyInArrow(_exact_links(k, limit), "a long, b long"))
 
 
 def near_duplicates(
@@ -332,19 +377,21 @@ def near_duplicates(
     sets = materialise(first_tokens(docs, k, limit, frequent, doc_id, text))
 
     # N-grams met in one class only are left out by looking at the next and the previous row.
-    token = Window.partitionBy("token").orderBy("n", "print")
-    tokens = sets.select(F.explode("tokens").alias("token"), "n", "print")
-    tokens = tokens.withColumns({"before": F.lag("print").over(token), "after": F.lead("print").over(token)})
-    shared = tokens.where("before <> print or after <> print").select("token", "n", "print").distinct()
-    shared = shared.join(small_side(nodes.select("print", "node")), "print").select("token", "n", "node")
-    shared = materialise(shared)
-
-    # Neighbours by size in each n-gram.
+    token = Window.partitionBy("token").orderBy("n", "key")
+    tokens = sets.select(F.explode("tokens").alias("token"), "n", F.xxhash64("print").alias("key"))
+    tokens = tokens.withColumns({"before": F.lag("key").over(token), "after": F.lead("key").over(token)})
+    shared = tokens.where("before <> key or after <> key").select("token", "n", "key").distinct()
+    keyed = nodes.select(F.xxhash64("print").alias("key"), "node")
+    shared = materialise(shared.join(small_side(keyed), "key").select("token", "n", "node"))
+
+    # Neighbours by size in each n-gram; of those, the one met in most n-grams for each class.
     token = Window.partitionBy("token").orderBy("n", "node")
     chain = shared.withColumns({"m": F.lag("n").over(token), "other": F.lag("node").over(token)})
-    chain = chain.where(F.col("other").isNotNull() & limit.sizes_fit(F.col("m"), F.col("n")))
-    chain = chain.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    links = _verified(chain, nodes, sets, docs, k, limit, doc_id, text)
+    chain = chain.where(F.col("other").isNotNull() & (F.col("other") != F.col("node")) & limit.sizes_fit(F.col("m"), F.col("n")))
+    met = chain.groupBy("node", "other").agg(F.count(F.lit(1)).alias("met"))
+    best = met.groupBy("node").agg(F.max(F.struct("met", "other")).alias("b")).select("node", F.col("b.other").alias("other"))
+    best = materialise(best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
+    links = _verified(best, nodes, docs, k, limit, doc_id, text)
     roots = materialise(components(links))
 
     # All other pairs of a tile that are not yet in one component.
@@ -366,8 +413,8 @@ def near_duplicates(
     close = close & (bound >= limit.overlap(F.col("n_a"), F.col("n_b")))
     across = small.join(large, ["token", "band"]).where(close)
     across = across.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    across = across.join(chain, ["a", "b"], "left_anti")
-    links = links.union(_verified(across, nodes, sets, docs, k, limit, doc_id, text))
+    across = across.join(small_side(best), ["a", "b"], "left_anti")
+    links = links.union(_verified(across, nodes, docs, k, limit, doc_id, text))
     roots = materialise(components(links))
 
     named = nodes.join(small_side(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))

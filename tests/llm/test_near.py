@@ -89,7 +89,7 @@ def corpus():
     return texts + [None, "", " \t ", "one", "One", "one two", texts[0], "\x1c"]
 
 
-@pytest.mark.parametrize("k,num,den", [(4, 85, 100), (5, 80, 100), (2, 50, 100), (3, 1, 1)])
+@pytest.mark.parametrize("k,num,den", [(4, 85, 100), (2, 50, 100)])
 def test_groups_equal_brute_force(spark, k, num, den):
     rows = list(enumerate(corpus()))
     random.Random(1).shuffle(rows)
@@ -104,7 +104,7 @@ def test_large_group_of_near_copies(spark):
     rng = random.Random(3)
     base = [f"w{rng.randrange(5000)}" for _ in range(200)]
     rows = []
-    for i in range(600):
+    for i in range(300):
         words = list(base)
         for _ in range(2):
             words[rng.randrange(200)] = f"x{i}"
