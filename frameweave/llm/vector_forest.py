@@ -2,8 +2,10 @@
 
 The trees are fitted on a bounded sample: each inner node draws a random direction and splits its
 sample at a random quantile near the middle. Every vector then goes down every tree; near a split
-it takes both sides (spill), so that close vectors seldom part in all trees. Vectors that share a
-leaf and a label are compared exactly, in blocks, and links join into components.
+it takes both sides (spill), so that close vectors seldom part in all trees. The spill zone is at least
+as wide as linked vectors can lie apart, and a node that no direction parts without sending many
+rows both ways is a dense group and stays one leaf. Vectors that share a leaf and a label are
+compared exactly, in blocks, and links join into components.
 
 Equal vectors of a label are one class and only classes are compared. Where two classes share several
 leaves only the first counts the link, so no pair list is made: a block returns, per class, its
@@ -30,6 +32,10 @@ TREES = 10
 LEAF = 48
 #: Share of a node's sample on each side of the split that takes both ways.
 SPILL = 0.03
+#: Share of a node's sample that may take both ways besides; a node with more is a dense group and stays a leaf.
+BOTH = 0.2
+#: Directions tried before a node stays a leaf.
+TRIES = 8
 #: Classes of one leaf and label that a task holds on each side of a comparison.
 BLOCK = 2048
 
@@ -37,42 +43,51 @@ BLOCK = 2048
 class Forest:
     """Trees as arrays: direction, lower and upper bound of the spill zone, and children.
 
+    `reach` is the least half width of the spill zone; directions have components of variance 1, so a
+    pair of unit vectors at distance d lies d apart on one in the root mean square.
+
     A child below zero is leaf number -child - 1; leaves are numbered over all trees.
     """
 
-    def __init__(self, sample: np.ndarray, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, seed: int = 5):
+    def __init__(self, sample: np.ndarray, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, seed: int = 5, reach: float = 0.0):
         rng = np.random.default_rng(seed)
         self.dim = sample.shape[1] if sample.ndim == 2 else 0
         self.roots, self.n_leaves, self.tree_of = [], 0, []
         self._dirs, self.low, self.high, self.left, self.right = [], [], [], [], []
         for tree in range(trees):
-            self.roots.append(self._grow(sample, rng, leaf, spill, tree))
+            self.roots.append(self._grow(sample, rng, leaf, spill, reach, tree))
         self.dirs = np.array(self._dirs).reshape(-1, self.dim)
         del self._dirs
 
-    def _grow(self, rows: np.ndarray, rng, leaf: int, spill: float, tree: int) -> int:
-        if len(rows) > leaf:
-            direction = rng.standard_normal(self.dim)
-            at = rows @ direction
-            split = rng.uniform(0.4, 0.6)
-            low, high = np.quantile(at, [split - spill, split + spill])
-            goes_left, goes_right = at <= high, at >= low
-            if goes_left.all() or goes_right.all():  # equal or nearly equal vectors are not parted
-                goes_left = goes_right = None
-        else:
-            goes_left = None
-        if goes_left is None:
+    def _grow(self, rows: np.ndarray, rng, leaf: int, spill: float, reach: float, tree: int) -> int:
+        found = self._split(rows, rng, spill, reach) if len(rows) > leaf else None
+        if found is None:
             self.tree_of.append(tree)
             self.n_leaves += 1
             return -self.n_leaves
+        direction, low, high, goes_left, goes_right = found
         node = len(self._dirs)
         self._dirs.append(direction)
         for column, v in zip((self.low, self.high, self.left, self.right), (low, high, 0, 0)):
             column.append(v)
-        self.left[node] = self._grow(rows[goes_left], rng, leaf, spill, tree)
-        self.right[node] = self._grow(rows[goes_right], rng, leaf, spill, tree)
+        self.left[node] = self._grow(rows[goes_left], rng, leaf, spill, reach, tree)
+        self.right[node] = self._grow(rows[goes_right], rng, leaf, spill, reach, tree)
         return node
 
+    @staticmethod
+    def _split(rows: np.ndarray, rng, spill: float, reach: float):
+        """Direction, spill zone and sides; None where each direction tried sends too many rows both ways."""
+        for _ in range(TRIES):
+            direction = rng.standard_normal(rows.shape[1])
+            at = rows @ direction
+            split = rng.uniform(0.4, 0.6)
+            low, middle, high = np.quantile(at, [split - spill, split, split + spill])
+            low, high = min(low, middle - reach), max(high, middle + reach)
+            goes_left, goes_right = at <= high, at >= low
+            if goes_left.sum() + goes_right.sum() <= (1 + 2 * spill + BOTH) * len(rows):
+                return direction, low, high, goes_left, goes_right
+        return None
+
     def leaves(self, rows: np.ndarray) -> list[list[int]]:
         """Sorted leaf numbers of each row, over all trees."""
         out: list[list[int]] = [[] for _ in range(len(rows))]
@@ -240,6 +255,7 @@ def near_vectors(
         F.first("x").alias("x"), F.count(F.lit(1)).alias("size"), F.min("vec_id").alias("min_id")
     )
     classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()))  # fixed by the write
+    options = {"reach": math.sqrt(max(0.0, 2 - 2 * least)) / 2} | options  # half the distance of the farthest link
     placed = materialise(_find_leaves(classes, fit_forests(classes, sample, **options)))
     spots = placed.select("node", "label", "dim", F.explode("leaves").alias("leaf"))
     sizes = spots.groupBy("label", "dim", "leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

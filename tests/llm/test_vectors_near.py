@@ -64,6 +64,22 @@ def test_one_leaf_is_exact(spark):
         assert sum(r.n_links for r in got) == 2 * len(links)
 
 
+@pytest.mark.parametrize("size", [300, 3000])
+def test_dense_group_keeps_its_links(spark, size):
+    """Near vectors, all different, among others: trees do not cut the group apart."""
+    rng = np.random.default_rng(4)
+    group = rng.standard_normal(64) + 0.13 * rng.standard_normal((size, 64))
+    x = np.vstack([rng.standard_normal((3000, 64)), group]).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    assert np.median(want[3000:]) > size // 2
+    rows = [(i, v, 0) for i, v in enumerate(x.tolist())]
+    got = {r.vec_id: r for r in V.near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()}
+    found = np.array([got[i].n_links for i in range(len(rows))])
+    assert (found <= want).all()
+    assert (found >= 0.9 * want).all()
+
+
 def test_odd_vectors(spark):
     rows = [
         (1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 2), (4, [1.0, 0.0], None), (5, None, 1),
