@@ -162,8 +162,11 @@ def _fingerprint(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def read_sets(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
-    """Rows (doc_id, n, print) of each document and rows (token, found) of frequent n-grams."""
+def read_sets(docs: DataFrame, k: int, doc_id: str, text: str, row: Column | None = None) -> DataFrame:
+    """Rows (doc_id, n, print, row) of each document and rows (token, found) of frequent n-grams.
+
+    `row` is a binary column that is passed on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -174,11 +177,11 @@ def read_sets(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
             tokens, found = tokens[many], found[many]
             none = pa.nulls(len(tokens))
             return pa.RecordBatch.from_arrays(
-                [none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.binary()), pa.array(tokens.view(np.int64)), pa.array(found)],
+                [none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.binary()), pa.array(tokens.view(np.int64)), pa.array(found), none.cast(pa.binary())],
                 names,
             )
 
-        names = ["doc_id", "n", "print", "token", "found"]
+        names = ["doc_id", "n", "print", "token", "found", "row"]
         size = 0
         for batch in batches:
             ns, prints = [], []
@@ -190,7 +193,7 @@ def read_sets(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
                 size += len(hashes)
             none = pa.nulls(len(ns)).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ns, pa.int32()), pa.array(prints, pa.binary()), none, none], names
+                [batch.column(0), pa.array(ns, pa.int32()), pa.array(prints, pa.binary()), none, none, batch.column(2)], names
             )
             if size >= _COUNTED:
                 yield counted()
@@ -198,8 +201,9 @@ def read_sets(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
         if held:
             yield counted()
 
-    columns = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary"))
-    return columns.mapInArrow(run, "doc_id long, n int, print binary, token long, found long")
+    row = F.lit(None).cast("binary") if row is None else row
+    columns = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary"), row)
+    return columns.mapInArrow(run, "doc_id long, n int, print binary, token long, found long, row binary")
 
 
 def frequent_tokens(rows: DataFrame) -> np.ndarray:
@@ -367,11 +371,19 @@ def near_duplicates(
     the smallest id of their group, null if it has none. Repeated rows each give a row. An
     empty table gives no rows; other columns are not read.
     """
+    grouped = _grouped(docs, k, num, den, doc_id, text)
+    return grouped.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
+def _grouped(
+    docs: DataFrame, k: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text", row: Column | None = None
+) -> DataFrame:
+    """(doc_id, n, row, root, component_id) of every row; root tells groups apart, null without words."""
     limit = Threshold(num, den)
     spark = docs.sparkSession
-    rows = materialise(read_sets(docs, k, doc_id, text))
+    rows = materialise(read_sets(docs, k, doc_id, text, row))
     frequent = spark.sparkContext.broadcast(frequent_tokens(rows))
-    texts = rows.where("print is not null").select("doc_id", "n", "print")
+    texts = rows.where("print is not null").select("doc_id", "n", "print", "row")
     nodes = texts.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("min_id"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()))  # fixed by the write
     sets = materialise(first_tokens(docs, k, limit, frequent, doc_id, text))
@@ -419,17 +431,34 @@ def near_duplicates(
 
     named = nodes.join(small_side(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = named.groupBy("root").agg(F.min("min_id").alias("component_id"))
-    named = materialise(named.join(groups, "root").select("print", "component_id"))
-    found = texts.where("n > 0").join(named, "print").select("doc_id", "n", "component_id")
-    alone = texts.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return found.union(alone).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    named = materialise(named.join(groups, "root").select("print", "root", "component_id"))
+    found = texts.where("n > 0").join(named, "print").select("doc_id", "n", "row", "root", "component_id")
+    none = F.lit(None).cast("long").alias("root")
+    alone = texts.where("n = 0").select("doc_id", "n", "row", none, F.col("doc_id").alias("component_id"))
+    return found.union(alone)
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """`docs` with one document of each group, that of the smallest id; same columns.
+    """`docs` with exactly one row of each group, that of the smallest id; same columns.
 
-    Documents without words and rows without an id stay, and so do repeats of the row that stays,
-    which exact deduplication removes.
+    Rows are told apart by id and text, as ids may repeat; of several texts with the smallest id the
+    one of the least SHA-256 stays, of repeats of one text any. Rows without an id come last in a
+    group. Documents without words stay.
     """
-    groups = near_duplicates(docs, k, num, den).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(small_side(groups), "doc_id", "left_anti")
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    rows = _grouped(docs, k, num, den, row=digest).where("root is not null")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    rows = materialise(rows.groupBy("root", "doc_id", "row").agg(F.count(F.lit(1)).alias("copies")))
+    first = rows.groupBy("root").agg(F.min(place).alias("first"))
+    rows = rows.join(first, "root").withColumn("stays", place.eqNullSafe(F.col("first")))
+    rows = materialise(
+        rows.select(F.col("doc_id").alias("_id"), F.col("row").alias("_print"), "stays", "copies").where("not stays or copies > 1")
+    )
+    keyed = docs.withColumn("_row", digest)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_print"))
+    out = keyed.join(small_side(rows.select("_id", "_print")), same, "left_anti")
+    repeated = rows.where("stays").select("_id", "_print")
+    if not repeated.isEmpty():
+        once = keyed.join(small_side(repeated), same, "left_semi").dropDuplicates(["doc_id", "_row"])
+        out = out.union(once)
+    return out.drop("_row")

@@ -123,3 +123,14 @@ def test_ids_and_empty_tables(spark):
     assert got == sorted(map(str, [(None, 3), (7, 3), (7, 3), (7, 7), (3, 3), (None, None)]))
     assert ngram_join.near_duplicates(docs.limit(0)).count() == 0
     assert ngram_join.keep_one(docs).columns == docs.columns
+
+
+def test_keep_one_row_of_each_group(spark):
+    text = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(None, text), (7, text), (7, text), (7, "other words here"), (3, text + " z1"), (None, "alone it is"), (8, " ")]
+    other = " ".join(f"w{i}" for i in range(40))  # id 3 is a later member here
+    rows += [(1, other), (3, other + " end"), (5, "Same id and Set"), (5, "same id and set"), (6, "twice the same"), (6, "twice the same")]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((str(r.doc_id), r.text.lower()) for r in kept)
+    want = [(3, text + " z1"), (7, "other words here"), (None, "alone it is"), (8, " "), (1, other), (5, "same id and set"), (6, "twice the same")]
+    assert got == sorted((str(i), t) for i, t in want)
