@@ -45,6 +45,34 @@ def mod97(value: Column) -> Column:
     return F.char_length(plain).between(15, 34) & (rest == 1)
 
 
+#: Characters of an account number written in words at most: 34 with blanks between them.
+ACCOUNT = 67
+
+
+def account(text: Column, span: Column) -> Column:
+    """The longest account number that begins at a span and ends at a word border; null value if none."""
+    near = F.substring(text, span["start"] + 1, F.lit(ACCOUNT + 1))
+    run = F.regexp_extract(near, r"^[A-Z0-9]++\b(?: [A-Z0-9]++\b)*+", 0)
+    longest = F.least(F.char_length(run), F.lit(ACCOUNT))
+    lengths = F.when(longest >= 15, F.sequence(longest, F.lit(15), F.lit(-1)))
+    whole = lambda n: F.substring(run, n + 1, F.lit(1)).isin("", " ") & (F.substring(run, n, F.lit(1)) != " ")
+    good = F.filter(lengths, lambda n: whole(n) & mod97(F.substring(run, F.lit(1), n)))
+    n = F.get(good, F.lit(0))
+    return F.struct(
+        span["start"].alias("start"), (span["start"] + n).alias("end"), F.substring(run, F.lit(1), n).alias("value")
+    ).cast(SPAN)
+
+
+def _apart(spans: Column) -> Column:
+    """Spans without those that begin inside an earlier one."""
+
+    def step(acc: Column, s: Column) -> Column:
+        inside = F.coalesce(s["start"] < F.get(acc, F.size(acc) - 1)["end"], F.lit(False))
+        return F.when(inside, acc).otherwise(F.concat(acc, F.array(s)))
+
+    return F.aggregate(spans, F.array().cast(f"array<{SPAN}>"), step)
+
+
 def _octets(value: Column) -> Column:
     parts = F.transform(F.split(value, r"\."), lambda p: F.ltrim(p, F.lit("0")))
     return F.forall(parts, lambda p: (F.char_length(p) <= 3) & (F.coalesce(p.try_cast("int"), F.lit(0)) <= 255))
@@ -62,6 +90,8 @@ class Kind:
     context: str
     score: float
     least: float = 0.0
+    #: Makes the whole span from the text and what the pattern found, which is then only its beginning.
+    whole: Callable[[Column, Column], Column] | None = None
 
 
 # A match can only begin where a run of its first class begins or where the last match ended, which
@@ -93,8 +123,9 @@ KINDS = (
     ),
     Kind(
         "iban",
-        r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b",
-        lambda t: t.rlike(r"\b[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"), mod97, "iban|account|bank|transfer", 0.7,
+        r"\b[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])",
+        lambda t: t.rlike(r"\b[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"), lambda v: v.isNotNull(), "iban|account|bank|transfer", 0.7,
+        whole=account,
     ),
     Kind(
         "ssn",
@@ -107,7 +138,11 @@ SCORED = "array<struct<start:int,no:int,end:int,kind:string,score:double>>"
 
 
 def _scored(text: Column, spans: Column, no: int, kind: Kind) -> Column:
-    good = F.filter(F.coalesce(spans, F.array().cast(f"array<{SPAN}>")), lambda s: kind.valid(s["value"]))
+    spans = F.coalesce(spans, F.array().cast(f"array<{SPAN}>"))
+    if kind.whole:
+        spans = F.transform(spans, lambda s: kind.whole(text, s))
+    good = F.filter(spans, lambda s: kind.valid(s["value"]))
+    good = _apart(good) if kind.whole else good
 
     def score(s: Column) -> Column:
         start = F.greatest(s["start"] - WINDOW, F.lit(0))

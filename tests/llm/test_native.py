@@ -120,3 +120,14 @@ def test_empty_tables(spark, tmp_path, columns):
     assert pii.personal_data_report(docs).count() == 0
     assert exact_dedup.copy_report(docs).count() == 0
     assert exact_dedup.drop_copies(docs).count() == 0
+
+
+def test_account_numbers_before_capital_words(spark):
+    texts = [
+        "DE89370400440532013000 EUR 50", "DE89 3704 0044 0532 0130 00 BIC COBADEFF", "x GB29 NWBK 6016 1331 9268 19 Euro",
+        "DE89 3704 0044 0532 0130 00 GB29 NWBK 6016 1331 9268 19", "DE88370400440532013000 EUR 50", "AB12 DE89370400440532013000",
+    ]
+    got = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("iban")] for r in pii.personal_data_report(frame(spark, texts)).collect()}
+    assert got == {
+        0: ["iban:0:22"], 1: ["iban:0:27"], 2: ["iban:2:29"], 3: ["iban:0:27", "iban:28:55"], 4: [], 5: ["iban:5:27"]
+    }
