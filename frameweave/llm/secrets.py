@@ -50,7 +50,7 @@ RULES = (
     Rule("access", 1, r"AKIA[A-Z0-9]{12,}+", lambda t: t.contains("AKIA")),
     Rule("hex", 1, r"[0-9a-f]{32,}+", lambda t: t.rlike(r"[0-9a-f]{32}")),
     Rule("pem", 1, r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----", lambda t: t.contains("PRIVATE KEY-----")),
-    Rule("url", 1, r"[a-z][a-z0-9+]{1,9}://[^\s:/@]{1,64}:[^\s:/@]{3,64}@", lambda t: t.contains("://")),
+    Rule("url", 2, r"[a-z][a-z0-9+]{1,9}://[^\s:/@]{1,64}:[^\s:/@]{3,}+@", lambda t: t.contains("://")),
 )
 FOUND = "array<struct<kind:string,start:int,end:int>>"
 LEDGER = T.StructType(
@@ -132,7 +132,8 @@ def scan_history(
     found.write.mode("append").parquet(ledger_path)
     current = F.array(*[F.lit(r.key) for r in rules])
     ledger = read_ledger(spark, ledger_path).where(F.arrays_overlap("rules", current))
-    merged = ledger.groupBy("blob").agg(F.flatten(F.collect_list("found")).alias("found"))
+    # A rule's new version finds again what the old one found.
+    merged = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
     return versions.select("path", "blob").join(merged, "blob").select("path", "blob", "found")
 
 

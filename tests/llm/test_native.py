@@ -131,3 +131,11 @@ def test_account_numbers_before_capital_words(spark):
     assert got == {
         0: ["iban:0:22"], 1: ["iban:0:27"], 2: ["iban:2:29"], 3: ["iban:0:27", "iban:28:55"], 4: [], 5: ["iban:5:27"]
     }
+
+
+def test_long_password_in_address(spark, tmp_path):
+    token = "github_pat_" + "a1B2" * 20 + "zz"
+    ledger = secrets.create_ledger(spark, str(tmp_path / "ledger"))
+    docs = frame(spark, [f"see https://x:{token}@host/a", "https://x:" + "y" * 5000 + " @host"])
+    got = {r.doc_id: r.spans for r in secrets.scan_report(secrets.scan_history(docs, ledger, path="doc_id")).collect()}
+    assert got == {0: f"url:4:{4 + len('https://x:') + len(token) + 1}", 1: ""}
