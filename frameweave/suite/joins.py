@@ -227,11 +227,14 @@ def question_segments(t):
 def review_display(t):
     c = t.conversations.withColumn("qid", F.col("conv_id") * 1000 + F.floor(F.col("turn") / 2))
     q = c.where("turn % 2 = 0").select("qid", "conv_id", "turn", F.length("text").cast("long").alias("question_chars"))
+    # By conversation and turn: qid alone repeats after 2,000 turns.
     a = c.where("turn % 2 = 1").select(
-        "qid", F.col("role").alias("answer_role"), F.length("text").cast("long").alias("answer_chars")
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("answer_role"),
+        F.length("text").cast("long").alias("answer_chars"),
     )
     r = t.benchmark.select(F.col("item_id").alias("conv_id"), J.strip_score_line(F.col("text")).alias("review"))
-    return q.join(a, "qid").join(r, "conv_id").drop("conv_id")
+    shown = q.join(a, ["conv_id", "turn"]).join(r, "conv_id")
+    return shown.select("qid", "turn", "question_chars", "answer_role", "answer_chars", "review")
 
 
 WORDS_SQL = "list_transform(list_filter(string_split_regex({0}, '[^A-Za-z]+'), lambda x: x <> ''), lambda x: x)"
