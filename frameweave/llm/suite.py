@@ -8,7 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameweave.llm import bpe, chat_format, exact_dedup, mixing, ngram_join, pii, rans, secrets, toxicity, vector_forest
+from frameweave.llm import (
+    bpe,
+    chat_format,
+    exact_dedup,
+    hard_negatives,
+    mixing,
+    ngram_join,
+    pii,
+    quality,
+    rans,
+    secrets,
+    toxicity,
+    vector_forest,
+    whitening,
+)
 from frameweave.plans.staging import materialise, staging_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +153,44 @@ def op5(spark, folder):
 @query("op10_vector_forest")
 def op10(spark, folder):
     return vector_forest.near_vectors(_table(spark, folder, "embeddings"))
+
+
+HARD_SQL = """
+WITH f AS (
+  SELECT * FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len([c for c in embedding if c IS NOT NULL AND isfinite(c)]) = len(embedding)),
+v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * c::DOUBLE) for c in embedding] AS x
+  FROM f),
+a AS (SELECT * FROM v WHERE vec_id % 100 = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, list_inner_product(a.x, v.x)::BIGINT AS score
+  FROM a JOIN v ON a.vec_id <> v.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id,
+  row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INT AS rank,
+  s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+  AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+QUALIFY rank <= 5
+"""
+
+
+@query("op11_hard_negatives", HARD_SQL)
+def op11(spark, folder):
+    vectors = _table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+@query("op12_quality")
+def op12(spark, folder):
+    return quality.quality_report(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+@query("op13_whitening")
+def op13(spark, folder):
+    return whitening.whitening_report(_table(spark, folder, "embeddings"))
