@@ -20,15 +20,15 @@ from frameweave.llm.templates import Template, unescape
 from frameweave.plans.ordering import order_rows
 
 #: Marks every turn and trains on the texts of the assistant. Texts and roles are escaped, so a
-#: `<` or `#` without a backslash always belongs to the template.
+#: `<` or `#` without a backslash always belongs to the template, and so does the first such `:`.
 TEMPLATE = (
     "{% for m in messages %}{% if loop.first %}<chat>\n{% endif %}"
-    "### {{ m.role | escape }}: "
+    "### {{ m.role | escape_name }}: "
     "{% if m.role == 'assistant' %}{% generation %}{{ m.text | escape }}{% endgeneration %}"
     "{% else %}{{ m.text | escape }}{% endif %}"
     "</turn>\n{% endfor %}</chat>"
 )
-_TURN = re.compile(r"(?:<chat>\n)?### ((?:[^\\<#:]|\\.|:(?! ))*): ((?:[^\\<#]|\\.)*)</turn>\n(?:</chat>)?", re.S)
+_TURN = re.compile(r"(?:<chat>\n)?### ((?:[^\\<#:]|\\.)*): ((?:[^\\<#]|\\.)*)</turn>\n(?:</chat>)?", re.S)
 
 
 def format_turns(turns: DataFrame, template: str = TEMPLATE) -> DataFrame:

@@ -7,7 +7,7 @@ A template is text with `{{ expression }}` and `{% statement %}`:
 
 Expressions have texts, integers, true, false, none, names, attributes of the message and of `loop`
 (index, index0, first, last), == != < <= > >= in, and or not, + ~ (join) %, parentheses and the filters
-escape, trim, upper, lower and default(e). There are no calls, no indexing and no access to
+escape, escape_name, trim, upper, lower and default(e). There are no calls, no indexing and no access to
 Python objects, so a template can only read its message and its variables.
 
 The text is parsed into a syntax tree, constant parts are folded, and every node becomes a Python
@@ -498,8 +498,13 @@ def escape(text: str) -> str:
     return _NEEDS.sub(r"\\\g<0>", text)
 
 
+def escape_name(text: str) -> str:
+    """`escape` for a name that a colon ends: its own colons are escaped too."""
+    return escape(text).replace(":", "\\:")
+
+
 def unescape(text: str) -> str:
     return _ESCAPE.sub(r"\1", text)
 
 
-FILTERS |= {"escape": escape, "trim": str.strip, "upper": str.upper, "lower": str.lower}
+FILTERS |= {"escape": escape, "escape_name": escape_name, "trim": str.strip, "upper": str.upper, "lower": str.lower}

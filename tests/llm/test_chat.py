@@ -55,8 +55,6 @@ def test_escaping_is_reversible():
         text = "".join(rng.choices(["\\", "<", "#", "###", "</turn>", ": ", "\n", "a", "é", "<chat>"], k=rng.randint(0, 12)))
         assert unescape(escape(text)) == text
         role = "".join(rng.choices(["user", ":", " ", "#", "\\", ": ", "<"], k=rng.randint(0, 4)))
-        if ": " in role or role.endswith(":"):
-            continue
         made = "".join(t for t, _ in Template(chat_format.TEMPLATE).render([{"role": role, "text": text}]))
         assert chat_format.read_turn(made) == (role, text)
 
@@ -76,7 +74,7 @@ def test_conversations(spark):
     turns = [
         (1, 1, "assistant", "b"), (1, 0, "user", "a"), (2, 0, None, None), (2, 0, "assistant", ""), (3, 5, "tool", "x" * 100_000),
         (3, 5, "tool", "x"), (4, 0, "assistant", suite.HOSTILE), (4, 0, "assistant", suite.HOSTILE), (None, 0, "user", "n"),
-        (None, 1, "assistant", "😀</turn>"), (0, 0, "user", "zero"), (5, None, "user", "é"),
+        (None, 1, "assistant", "😀</turn>"), (6, 0, "a: b", "hi"), (6, 1, ": ", ": "), (6, 2, "user:", "x"), (0, 0, "user", "zero"), (5, None, "user", "é"),
     ] + [(9, i, "user" if i % 2 else "assistant", f"t{i}") for i in range(3000)]
     random.Random(2).shuffle(turns)
     docs = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as place", "2 as n")
