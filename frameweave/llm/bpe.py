@@ -19,7 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frameweave.llm.chunks import CHUNKS, LETTERS, PIECES, UNUSUAL, Memory, in_letters, packed
+from frameweave.llm.chunks import LETTERS, UNUSUAL, Memory, in_letters, packed
+
+#: Runs between white space, words and fragments that a Python worker remembers, about 200 bytes each
+#: and so at most about 120 MB.
+CHUNKS, WORDS, FRAGMENTS = 200_000, 200_000, 200_000
+#: Bytes of text whose ids are held at once.
+SLICE = 4 << 20
 
 # Fixed by the vocabulary file: contractions, runs of letters, single digits, runs of other signs.
 _PIECES = re.compile(rf"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\s0-9{LETTERS}]+")
@@ -52,9 +58,9 @@ class WordBpe:
         self._cut_special = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
         self.width = 2 if len(self.token) <= 1 << 16 else 4
         self.inside = self._inside_pairs()
-        self._fragment = Memory(self._of_fragment, PIECES)
+        self._fragment = Memory(self._of_fragment, FRAGMENTS)
         self._chunk = Memory(self._of_chunk, CHUNKS)
-        self._word = Memory(self._of_word, PIECES)
+        self._word = Memory(self._of_word, WORDS)
         self._library = Tokenizer.from_file(path)
 
     def _inside_pairs(self) -> frozenset[str]:
@@ -100,13 +106,16 @@ class WordBpe:
         return b"".join(map(self._chunk.__getitem__, chunks))
 
     def encode(self, text: str) -> list[int]:
-        """Ids of a whole text, special tokens in it included."""
+        return self.encode_array(text).tolist()
+
+    def encode_array(self, text: str) -> np.ndarray:
+        """Ids of a whole text, special tokens in it included, two or four bytes each."""
         parts, at = [], 0
         for m in self._cut_special.finditer(text):
             parts += [self._plain(text[at : m.start()]), packed([self.special[m[0]]], self.width)]
             at = m.end()
         parts.append(self._plain(text[at:]))
-        return np.frombuffer(b"".join(parts), f"<u{self.width}").tolist()
+        return np.frombuffer(b"".join(parts), f"<u{self.width}")
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.token.__getitem__, ids))
@@ -122,26 +131,80 @@ def codec(path: str) -> WordBpe:
     return _codecs[path]
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    """Arrays of numbers as one column, without a Python object per number."""
+    offsets = np.r_[0, np.cumsum([len(a) for a in arrays], dtype=np.int64)].astype(np.int32)
+    values = np.concatenate(arrays) if arrays else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
+
+
 def encode_texts(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Adds `out` (array<int>): the ids of each whole text; a null text counts as empty.
 
     Rows are handled one by one in Arrow batches, so empty tables, repeated rows, null ids and
-    other columns pass through. A column named `out` must not exist.
+    other columns pass through. A column named `out` must not exist (ValueError).
     """
+    _absent(docs, out)
+
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def ids(column: pa.Array) -> pa.Array:
         bpe = codec(path)
-        return pa.array([bpe.encode(x or "") for x in column.to_pylist()], pa.list_(pa.int32()))
+        return _lists([bpe.encode_array(x.as_py() or "") for x in column])
 
     return docs.withColumn(out, ids(F.col(text)))
 
 
+def _absent(docs: DataFrame, *names: str) -> None:
+    there = {c.lower() for c in docs.columns} & {n.lower() for n in names}
+    if there:
+        raise ValueError(f"columns {sorted(there)} exist")
+
+
+def encode_and_check(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """`docs` without `text` but with ids (array<int>), n_tokens and decoded_sha256, each text encoded once.
+
+    decoded_sha256 is the digest of the decoded ids, which are not kept. A null text counts as empty;
+    empty tables, repeated rows, nulls in and other columns pass through; columns named like an
+    added one must not exist (ValueError). Ids of SLICE bytes of text, or of one longer text, are
+    held at once.
+    """
+    keep = docs.drop(text)
+    _absent(keep, "ids", "n_tokens", "decoded_sha256")
+    names = [*keep.columns, "ids", "n_tokens", "decoded_sha256"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = codec(path)
+        for batch in batches:
+            ids, digests, held, start = [], [], 0, 0
+            for i, value in enumerate(batch.column(batch.num_columns - 1)):
+                value = value.as_py() or ""
+                ids.append(bpe.encode_array(value))
+                digests.append(hashlib.sha256(bpe.decode(ids[-1].tolist()).encode()).hexdigest())
+                held += len(value)
+                if held >= SLICE or i == batch.num_rows - 1:
+                    counts = pa.array([len(a) for a in ids], pa.int64())
+                    kept = batch.slice(start, i + 1 - start).columns[:-1]
+                    yield pa.RecordBatch.from_arrays([*kept, _lists(ids), counts, pa.array(digests, pa.string())], names)
+                    ids, digests, held, start = [], [], 0, i + 1
+
+    schema = T.StructType(
+        [*keep.schema, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()),
+         T.StructField("decoded_sha256", T.StringType())]
+    )
+    return docs.select(*keep.columns, text).mapInArrow(run, schema)
+
+
 def decode_ids(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds `out`: the text of each id array, special tokens included; null ids give empty text."""
+    """Adds `out`: the text of each id array, special tokens included; null ids give empty text.
+
+    A column named `out` must not exist (ValueError).
+    """
+    _absent(docs, out)
+
     @F.arrow_udf(T.StringType())
     def texts(column: pa.Array) -> pa.Array:
         bpe = codec(path)
-        return pa.array([bpe.decode(x or []) for x in column.to_pylist()], pa.string())
+        return pa.array([bpe.decode(x.as_py() or []) for x in column], pa.string())
 
     return docs.withColumn(out, texts(F.col(ids)))
 

@@ -64,6 +64,25 @@ def test_words_columns(spark):
     assert bpe.round_trip_report(docs.limit(0), WORDS).count() == 0
 
 
+def test_one_pass_over_texts(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "SLICE", 500)
+    texts = [*TEXTS, None, "", "word " * 300_000, TEXTS[0]]
+    docs = frame(spark, texts).withColumns({"source": F.lit(None).cast("string"), "_row": F.lit(1)}).coalesce(2)
+    library = Tokenizer.from_file(WORDS)
+    got = bpe.encode_and_check(docs, WORDS)
+    assert got.columns == ["doc_id", "source", "_row", "ids", "n_tokens", "decoded_sha256"]
+    rows = got.collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    for r in rows:
+        ids = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert r.ids == ids and r.n_tokens == len(ids) and r.source is None
+        assert r.decoded_sha256 == brute.sha(library.decode(ids, skip_special_tokens=False))
+    assert bpe.encode_and_check(docs.limit(0), WORDS).collect() == []
+    for clash in ("ids", "IDS", "n_tokens"):
+        with pytest.raises(ValueError):
+            bpe.encode_and_check(docs.withColumn(clash, F.lit(1)), WORDS)
+
+
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 5000, 140_000])
 def test_blocks_round_trip(n):
     rng = np.random.default_rng(n)
