@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from frameweave.llm.columns import shielded
 from frameweave.plans.staging import materialise
 
 #: Bits of one filter at most: 32 MiB, the most that is broadcast.
@@ -110,20 +111,21 @@ def copy_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max
     return alone.unionByName(resolved)
 
 
-def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+@shielded("doc_id", "text")
+def drop_copies(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """`docs` with one row per distinct text, the one of the largest id; same columns.
 
     Rows that both filters clear are passed on without a shuffle. Of repeated rows with the
     same id and text exactly one stays.
     """
-    marked_docs = docs.withColumn("_sha", digest(F.col(text)))
-    keys = materialise(marked_docs.select(F.col(doc_id).alias("_id"), "_sha"))
+    marked_docs = docs.withColumn("_sha", digest(F.col("text")))
+    keys = materialise(marked_docs.select(F.col("doc_id").alias("_id"), "_sha"))
     filters = build_filters(keys, "_sha", keys.count(), max_bits)
     marked = apply_filters(marked_docs, filters, "_sha")
     alone = marked.where(~F.col("_maybe")).select(*docs.columns)
     groups = apply_filters(keys, filters, "_sha").where("_maybe").groupBy("_sha").agg(F.max("_id").alias("_keep"))
     groups = groups.withColumnRenamed("_sha", "_key")
     suspects = marked.where("_maybe")
-    on = (F.col("_sha") == F.col("_key")) & F.col(f"`{doc_id}`").eqNullSafe(F.col("_keep"))
+    on = (F.col("_sha") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_keep"))
     kept = suspects.join(groups, on).dropDuplicates(["_sha"]).select(*docs.columns)
     return alone.unionByName(kept)

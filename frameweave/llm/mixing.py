@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from frameweave.llm.columns import shielded
 from frameweave.llm.ranges import running_total
 from frameweave.plans.staging import materialise, small_side
 
@@ -116,13 +117,14 @@ def mix(
     )
 
 
-def repeat_mixed(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+@shielded("doc_id", "source", "text")
+def repeat_mixed(docs: DataFrame, **options) -> DataFrame:
     """`docs` (doc_id, source, text and more) with each row as often as the mix takes it.
 
     Only the numbers of a row go through the mix; its text is written once with a row number and
     joined back by it. Options go to `mix`. Rows without words are not taken.
     """
-    rows = docs.withColumns({"_row": F.monotonically_increasing_id(), "_size": word_count(text)})
+    rows = docs.withColumns({"_row": F.monotonically_increasing_id(), "_size": word_count("text")})
     rows = materialise(rows)  # fixes the row numbers
     narrow = rows.select("doc_id", "source", F.col("_size").alias("size"), F.col("_row").alias("row"))
     taken = mix(narrow, **options).where("taken > 0")

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from frameweave.llm.columns import shielded
 from frameweave.llm.components import components
 from frameweave.plans.staging import materialise, small_side
 
@@ -438,6 +439,7 @@ def _grouped(
     return found.union(alone)
 
 
+@shielded("doc_id", "text")
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """`docs` with exactly one row of each group, that of the smallest id; same columns.
 

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from frameweave.llm.columns import shielded
 from frameweave.plans.staging import materialise
 
 #: Labelled rows that are fitted on at most; documented bound of the sample.
@@ -388,6 +389,7 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     )
 
 
+@shielded("doc_id", "text")
 def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """`docs` without those that the model calls toxic; same columns."""
     model = train(docs, labels, sample)

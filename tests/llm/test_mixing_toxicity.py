@@ -184,3 +184,34 @@ def test_pipeline_equals_brute_force(spark):
         assert r.ids == ids and r.n_tokens == len(ids)
         assert r.decoded_sha256 == brute.sha(library.decode(ids, skip_special_tokens=False))
     assert corpus_pipeline.run(spark, SMALL).count() == len(last)
+
+
+def test_pipeline_on_odd_documents(spark, tmp_path):
+    """Null texts, repeated and null ids, an empty table, and columns named like helper columns."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[i % 7 * 10 : i % 7 * 10 + 60 + i]), "en", f"s{i % 3}") for i in range(20)]
+    rows += [(3, None, None, None), (3, "", "x", "s1"), (None, "some other words here now", "x", None), (None, None, None, "s2")]
+    rows += [rows[5], rows[5], (5, "different words under the same id", "x", "s1")]
+    rows = [(*r, len(r[1] or "")) for r in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    clash = ("_sha", "_row", "_size", "_toxicity", "_maybe", "kept2", "root", "ids", "n_tokens", "taken")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for folder, part, extra in (("plain", rows, ()), ("wide", rows, clash), ("none", [], ())):
+        docs = spark.createDataFrame(part, schema)
+        for name in extra:
+            docs = docs.withColumn(name, F.concat(F.lit(f"{name}="), F.coalesce("text", F.lit(""))))
+        first = docs.columns
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(tmp_path))
+            docs = spark.createDataFrame(docs.collect(), docs.schema)  # as if written and read again
+            assert docs.columns == first
+            for name in extra:
+                assert all(r[name] == f"{name}={r.text or ''}" for r in docs.collect())
+        out = corpus_pipeline.encoded(spark, docs, str(tmp_path)).collect()
+        assert len(out) == docs.count() and bool(out) == bool(part)
+        if folder == "plain":
+            plain = sorted((str(r.doc_id), r.decoded_sha256) for r in out)
+            assert len({d for _, d in plain}) > 1
+        elif part:
+            assert sorted((str(r.doc_id), r.decoded_sha256) for r in out) == plain
