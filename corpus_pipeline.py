@@ -1,7 +1,9 @@
 """A training corpus from `documents`: clean, deduplicated, mixed and encoded.
 
 Each stage takes (session, docs, folder) and returns a DataFrame; `run` writes every stage as
-Parquet on the shared storage and gives what it reads back to the next one.
+Parquet on the shared storage and gives what it reads back to the next one. All stages but the last
+return the columns of their input, whatever other columns there are and however these are named; rows
+with repeated or null ids are rows of their own, and an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -20,33 +22,31 @@ SHINGLE, SIMILAR = 5, 80
 
 
 def clean(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that the model, learned from `labels` outside the held-out fifth, does not call toxic."""
+    """Documents that the model, learned from `labels` outside the held-out fifth, does not call toxic.
+
+    A null text counts as empty. Without labels of both classes nothing is dropped.
+    """
     return toxicity.keep_clean(docs, spark.read.parquet(f"{folder}/labels.parquet"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document per distinct text."""
+    """One document per distinct text, that of the largest id; null and empty texts are one text."""
     return exact_dedup.drop_copies(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near copies; documents without words stay."""
+    """One document of each group of near copies, that of the smallest id; documents without words stay."""
     return ngram_join.keep_one(docs, SHINGLE, SIMILAR, 100)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents as often as the mix takes them (0, 1 or 2 times)."""
+    """Documents as often as the mix takes them (0, 1 or 2 times); documents without words are not taken."""
     return mixing.repeat_mixed(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """doc_id, source, ids, n_tokens and the decoded text's SHA-256 of each mixed document."""
-    path = public_tokenizers.path("word_bpe_49k.json")
-    out = bpe.encode_texts(docs.select("doc_id", "source", "text"), path).drop("text")
-    out = bpe.decode_ids(out, path)
-    return out.select(
-        "doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    return bpe.encode_and_check(docs.select("doc_id", "source", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
