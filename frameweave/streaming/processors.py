@@ -1,7 +1,8 @@
-"""Keyed state for unbounded streams: change gate, short memory and forest, recall strength.
+"""Keyed state for unbounded streams, applied as rows arrive: change gate, forest, recall strength.
 
-Each processor holds a bounded state per stream key. Rows of a micro-batch are put in order of
-(ts, id) before they are applied; the number of rows per micro-batch is bounded by the source
+Rows of a micro-batch are put in order of (ts, id) before they are applied, and a row that comes in a
+later micro-batch counts as newer. `ordered` has the forms that keep event time, with late rows
+dropped and idle keys forgotten. The number of rows per micro-batch is bounded by the source
 (`maxFilesPerTrigger` and the like).
 """
 
