@@ -314,21 +314,37 @@ def day_documents(
     )
 
 
-def memory_prompt(
-    question: Column, history: Column, related: Column, dates: Column, summary: Column, personality: Column
-) -> Column:
-    """Prompt whose parts depend on which of memory, summary and personality are known."""
+def prompt_ends(question: Column, related: Column, dates: Column, summary: Column, personality: Column) -> tuple[Column, Column]:
+    """What stands before and after the history in a prompt, as columns head and tail.
+
+    The head depends on which of memory, summary and personality are known.
+    """
 
     def known(c: Column) -> Column:
         return c.isNotNull() & (F.trim(c) != "")
 
-    ask = F.concat(history, F.lit("\n [|User|]: "), question, F.lit(" \n [|AI|]: "))
     memory = F.concat(F.lit("Related memory ("), dates, F.lit("):\n"), related, F.lit("\n"))
-    full = F.concat(
-        F.lit("Summary of past talks: "), summary, F.lit("\nUser: "), personality, F.lit("\n"), memory, ask
-    )
-    return (
-        F.when(known(summary) & known(related) & known(personality), full)
-        .when(known(related), F.concat(memory, ask))
-        .otherwise(ask)
-    )
+    full = F.concat(F.lit("Summary of past talks: "), summary, F.lit("\nUser: "), personality, F.lit("\n"), memory)
+    head = F.when(known(summary) & known(related) & known(personality), full).when(known(related), memory).otherwise("")
+    return head.alias("head"), F.concat(F.lit("\n [|User|]: "), question, F.lit(" \n [|AI|]: ")).alias("tail")
+
+
+def memory_prompt(
+    question: Column, history: Column, related: Column, dates: Column, summary: Column, personality: Column
+) -> Column:
+    """The whole prompt as one text, for histories of bounded length."""
+    head, tail = prompt_ends(question, related, dates, summary, personality)
+    return F.concat(head, history, tail)
+
+
+def memory_prompt_rows(history: DataFrame, ends: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """Prompts over histories of any length: `key`, `order`, piece, seq, to be joined in the order of seq.
+
+    `history`: key, order, piece. `ends`: key, head, tail (as from `prompt_ends`). Empty pieces are left out.
+    """
+    def end(name: str, part: int) -> DataFrame:
+        none = [F.lit(None).cast(history.schema[c].dataType).alias(c) for c in order]
+        return ends.select(key, *none, F.col(name).alias("piece"), F.lit(part).alias("_part"))
+
+    rows = end("head", 0).unionByName(history.withColumn("_part", F.lit(1))).unionByName(end("tail", 2))
+    return order_rows(rows.where("piece <> ''"), [key], ["_part", *order]).df.drop("_part")

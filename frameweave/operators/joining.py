@@ -180,6 +180,14 @@ def uncovered(have: Column, wanted: Column) -> Column:
     )
 
 
+def uncovered_counts(have: DataFrame, wanted: DataFrame, keys: Sequence[str], item: str, n: str) -> DataFrame:
+    """Rows of `wanted` (keys, item, n) whose item `have` lacks under the same keys; items are compared as they are.
+
+    One hashed anti join, linear in both sides however many items a key has.
+    """
+    return wanted.join(have.select(*keys, item).distinct(), [*keys, item], "left_anti").select(*keys, item, n)
+
+
 def shard_ranges(shards: DataFrame, order: Sequence[str], n: str) -> DataFrame:
     """Half-open row range `[lo, hi)` of every shard in catalog order."""
     rows = order_rows(shards, [], order).running(inclusive=False, lo=F.col(n)).df

@@ -329,9 +329,12 @@ def hallucination_rates(
 ) -> DataFrame:
     """Share of captions with an invented object, share of invented objects, mean lengths."""
     n_said, n_bad = F.size(said), F.size(F.filter(F.col(invented), lambda x: x != ""))
-    rows = df.select(
-        *by, n_said.alias("_said"), n_bad.alias("_bad"), F.size(F.split(F.trim(caption), " ")).alias("_len")
-    )
+    return hallucination_counts(df, F.size(F.split(F.trim(caption), " ")), n_said, n_bad, by)
+
+
+def hallucination_counts(df: DataFrame, length: Column, said: Column, invented: Column, by: Sequence[str] = ()) -> DataFrame:
+    """The same from the numbers of words, of objects and of invented ones of each caption."""
+    rows = df.select(*by, said.alias("_said"), invented.alias("_bad"), length.alias("_len"))
     return rows.groupBy(*by).agg(
         share(F.col("_bad") > 0).alias("chair_s"),
         ratio(F.sum("_bad"), F.sum("_said")).alias("chair_i"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from frameweave.operators import joining as J
 from frameweave.plans.ordering import order_rows
+from frameweave.plans.staging import materialise, small_side
 from frameweave.suite.registry import query
 
 
@@ -168,7 +169,7 @@ WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, event_type FROM
            FROM e WHERE event_type = 'purchase'),
      h AS (SELECT e.user_id, e.event_id, e.ms, min_by(s.text, s.ord) AS text FROM e JOIN s
            ON e.user_id = s.user_id AND s.start_ms < e.ms AND e.ms < s.end_ms AND trim(s.text) <> ''
-           WHERE e.event_type = 'view' GROUP BY ALL)
+           GROUP BY ALL)
 """
 
 
@@ -183,7 +184,7 @@ def _subtitled(t):
         .otherwise(F.concat(F.lit("cue "), F.col("event_id").cast("string")))
         .alias("text"),
     )
-    points = e.where("event_type = 'view'").drop("event_type")
+    points = e.drop("event_type")
     return J.active_spans(
         points, spans, "user_id", "event_id", "ms", "start_ms", "end_ms", "ord", "text", 3_600_000
     )
@@ -197,7 +198,8 @@ def subtitle_at_time(t):
 @query(
     "subtitle_text_j10",
     SPAN_SQL
-    + """SELECT user_id, 0 AS page, string_agg(text, chr(10) ORDER BY ms, event_id) AS text FROM h GROUP BY user_id""",
+    + """SELECT user_id, page, string_agg(text, chr(10) ORDER BY ms, event_id) AS text
+           FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) - 1) // 10000 AS page FROM h) GROUP BY user_id, page""",
 )
 def subtitle_text(t):
     pages = order_rows(_subtitled(t), ["user_id"], ["ms", "event_id"]).pages(10_000, text=F.col("text"))
@@ -221,8 +223,8 @@ def question_segments(t):
     """WITH c AS (SELECT *, conv_id * 1000 + turn // 2 AS qid FROM conversations)
        SELECT q.qid, q.turn, length(q.text) AS question_chars, a.role AS answer_role, length(a.text) AS answer_chars,
               CASE WHEN contains(r.text, chr(10)) THEN substr(r.text, instr(r.text, chr(10)) + 1) ELSE r.text END AS review
-       FROM c q JOIN c a ON q.qid = a.qid AND a.turn = q.turn + 1
-       JOIN benchmark r ON r.item_id = q.conv_id WHERE q.turn % 2 = 0""",
+       FROM c q JOIN c a ON q.conv_id = a.conv_id AND a.turn = q.turn + 1
+       JOIN (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS i, count(*) OVER () AS n FROM benchmark) r ON r.i = q.conv_id % n WHERE q.turn % 2 = 0""",
 )
 def review_display(t):
     c = t.conversations.withColumn("qid", F.col("conv_id") * 1000 + F.floor(F.col("turn") / 2))
@@ -232,36 +234,54 @@ def review_display(t):
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("answer_role"),
         F.length("text").cast("long").alias("answer_chars"),
     )
-    r = t.benchmark.select(F.col("item_id").alias("conv_id"), J.strip_score_line(F.col("text")).alias("review"))
-    shown = q.join(a, ["conv_id", "turn"]).join(r, "conv_id")
+    # Every conversation has a review: the benchmark's items in turn.
+    r = order_rows(t.benchmark, [], ["item_id"], seq="place").df.select("place", J.strip_score_line(F.col("text")).alias("review"))
+    q = q.withColumn("place", F.col("conv_id") % F.lit(r.count()))
+    shown = q.join(a, ["conv_id", "turn"]).join(small_side(r), "place")
     return shown.select("qid", "turn", "question_chars", "answer_role", "answer_chars", "review")
 
 
-WORDS_SQL = "list_transform(list_filter(string_split_regex({0}, '[^A-Za-z]+'), lambda x: x <> ''), lambda x: x)"
+#: Each document beside the next one of its source, the last beside the first; and its words by count.
+PARTNERS_SQL = """
+WITH p AS (SELECT doc_id, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS other FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+     c AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '')) AS w FROM documents) GROUP BY ALL),
+     o AS (SELECT p.doc_id, w, n FROM p JOIN c ON c.doc_id = p.other),
+     a AS (SELECT doc_id, sum(n) AS n FROM c GROUP BY doc_id),
+     b AS (SELECT doc_id, sum(n) AS n FROM o GROUP BY doc_id),
+     m AS (SELECT doc_id, sum(n) AS n FROM o ANTI JOIN c USING (doc_id, w) GROUP BY doc_id),
+     i AS (SELECT doc_id, sum(n) AS n FROM c ANTI JOIN o USING (doc_id, w) GROUP BY doc_id)
+"""
+
+
+def compared_words(t):
+    """(doc_id, n_a, n_b, missed, invented): words of each document and of its partner, and those that only one has."""
+    w = order_rows(t.documents.select("source", "doc_id"), ["source"], ["doc_id"]).shift(-1, other="doc_id").df
+    first = t.documents.groupBy("source").agg(F.min("doc_id").alias("first"))
+    pairs = w.join(small_side(first), w["source"].eqNullSafe(first["source"])).select("doc_id", F.coalesce("other", "first").alias("other"))
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != "")
+    # Counted before they are shuffled.
+    own = materialise(t.documents.select("doc_id", F.explode(words).alias("w")).groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("n")))
+    other = own.withColumnRenamed("doc_id", "other").join(pairs, "other").select("doc_id", "w", "n")
+    sides = {
+        "n_a": own, "n_b": other,
+        "missed": J.uncovered_counts(own, other, ["doc_id"], "w", "n"), "invented": J.uncovered_counts(other, own, ["doc_id"], "w", "n"),
+    }
+    parts = [df.select("doc_id", F.lit(name).alias("side"), "n") for name, df in sides.items()]
+    sums = parts[0].union(parts[1]).union(parts[2]).union(parts[3]).groupBy("doc_id").agg(
+        *[F.coalesce(F.sum(F.when(F.col("side") == name, F.col("n"))), F.lit(0)).alias(name) for name in sides]
+    )
+    none = {name: 0 for name in sides}
+    return t.documents.select("doc_id").join(sums, "doc_id", "left").na.fill(none)
 
 
 @query(
     "uncovered_objects_j14",
-    f"""WITH j AS (SELECT d.doc_id, {WORDS_SQL.format('d.text')} AS a, {WORDS_SQL.format('b.text')} AS b
-                   FROM documents d JOIN benchmark b ON b.item_id = d.doc_id),
-             u AS (SELECT doc_id, a, b, list_filter(b, lambda x: NOT list_contains(list_transform(a, lambda y: lower(y)), lower(x))) AS missed,
-                   list_filter(a, lambda x: NOT list_contains(list_transform(b, lambda y: lower(y)), lower(x))) AS invented FROM j)
-        SELECT doc_id, len(a) AS n_a, len(b) AS n_b, len(missed) AS missed, len(invented) AS invented FROM u""",
+    PARTNERS_SQL
+    + """SELECT doc_id, coalesce(a.n, 0)::BIGINT AS n_a, coalesce(b.n, 0)::BIGINT AS n_b, coalesce(m.n, 0)::BIGINT AS missed, coalesce(i.n, 0)::BIGINT AS invented
+         FROM documents LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN i USING (doc_id)""",
 )
 def uncovered_objects(t):
-    def words(c):
-        return F.filter(F.split(c, "[^A-Za-z]+"), lambda x: x != "")
-
-    notes = t.benchmark.select(F.col("item_id").alias("doc_id"), words(F.col("text")).alias("b"))
-    j = t.documents.select("doc_id", words(F.col("text")).alias("a")).join(notes, "doc_id")
-    a, b = F.col("a"), F.col("b")
-    return j.select(
-        "doc_id",
-        F.size(a).cast("long").alias("n_a"),
-        F.size(b).cast("long").alias("n_b"),
-        F.size(J.uncovered(a, b)).cast("long").alias("missed"),
-        F.size(J.uncovered(b, a)).cast("long").alias("invented"),
-    )
+    return compared_words(t)
 
 
 RANGE_SQL = """

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from frameweave.functions import text as X
-from frameweave.operators import joining as J
 from frameweave.operators import scoring as M
 from frameweave.plans.ordering import order_rows
+from frameweave.suite.joins import PARTNERS_SQL, compared_words
 from frameweave.suite.registry import query
 
 
@@ -307,22 +307,14 @@ def detection(t):
 
 @query(
     "hallucination_a14",
-    """WITH w AS (SELECT d.doc_id, d.lang, d.text, list_filter(string_split_regex(lower(d.text), '[^a-z]+'), lambda x: x <> '') AS said,
-                    list_filter(string_split_regex(lower(b.text), '[^a-z]+'), lambda x: x <> '') AS seen
-                  FROM documents d JOIN benchmark b ON b.item_id = d.doc_id),
-            c AS (SELECT lang, len(said) AS n, len(list_filter(said, lambda x: NOT list_contains(seen, x))) AS bad,
-                    len(string_split(trim(text), ' ')) AS l FROM w)
-       SELECT lang, round(avg(CASE WHEN bad > 0 THEN 1.0 ELSE 0 END), 6) AS chair_s, round(sum(bad) / sum(n), 6) AS chair_i,
-              round(avg(l), 6) AS sentence_len, round(avg(n), 6) AS avg_objects FROM c GROUP BY lang""",
+    PARTNERS_SQL
+    + """SELECT lang, round(avg(CASE WHEN i.n > 0 THEN 1.0 ELSE 0 END), 6) AS chair_s, round(sum(i.n) / sum(a.n), 6) AS chair_i,
+              round(avg(len(string_split(trim(text), ' '))), 6) AS sentence_len, round(avg(coalesce(a.n, 0)), 6) AS avg_objects
+         FROM documents LEFT JOIN a USING (doc_id) LEFT JOIN i USING (doc_id) GROUP BY lang""",
 )
 def hallucination(t):
-    def objects(c):
-        return F.filter(F.split(F.lower(c), "[^a-z]+"), lambda x: x != "")
-
-    seen = t.benchmark.select(F.col("item_id").alias("doc_id"), objects(F.col("text")).alias("seen"))
-    rows = t.documents.select("doc_id", "lang", "text", objects(F.col("text")).alias("said")).join(seen, "doc_id")
-    rows = rows.withColumn("invented", J.uncovered(F.col("seen"), F.col("said")))
-    out = M.hallucination_rates(rows, "text", "said", "invented", ["lang"])
+    rows = t.documents.select("doc_id", "lang", F.size(F.split(F.trim("text"), " ")).alias("length")).join(compared_words(t), "doc_id")
+    out = M.hallucination_counts(rows, F.col("length"), F.col("n_a"), F.col("invented"), ["lang"])
     return r6(out, "chair_s", "chair_i", "sentence_len", "avg_objects")
 
 

@@ -303,41 +303,29 @@ def day_documents(t):
     return C.day_documents(dialogue(t), day_summaries(t))
 
 
-#: Turns of history that a prompt holds.
-HISTORY = 1_000
-
-
 @query(
     "memory_prompt_t15",
-    """WITH h AS (SELECT conv_id, string_agg(chr(10) || ' [|' || role || '|]: ' || text, '' ORDER BY turn) FILTER (seq <= 1000) AS history,
-                    max(CASE WHEN role = 'system' THEN text END) AS personality, min(turn) AS d
-                    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS seq FROM conversations) GROUP BY conv_id),
-            r AS (SELECT item_id AS conv_id, text AS related FROM benchmark),
-            p AS (SELECT h.*, related, CASE WHEN conv_id % 2 = 0 THEN 'calm talks' ELSE '' END AS summary, history || chr(10) || ' [|User|]: And then? ' || chr(10) || ' [|AI|]: ' AS ask FROM h LEFT JOIN r USING (conv_id))
-       SELECT conv_id, CASE WHEN summary <> '' AND trim(related) <> '' AND trim(personality) <> ''
-                THEN 'Summary of past talks: ' || summary || chr(10) || 'User: ' || personality || chr(10) || 'Related memory (' || d || '):' || chr(10) || related || chr(10) || ask
-                WHEN trim(related) <> '' THEN 'Related memory (' || d || '):' || chr(10) || related || chr(10) || ask ELSE ask END AS prompt FROM p""",
+    """WITH w AS (SELECT conv_id, max(CASE WHEN role = 'system' THEN text END) AS personality, min(turn) AS d FROM conversations GROUP BY conv_id),
+            p AS (SELECT w.*, text AS related, CASE WHEN conv_id % 2 = 0 THEN 'calm talks' ELSE '' END AS summary FROM w LEFT JOIN benchmark ON item_id = conv_id),
+            x AS (SELECT conv_id, 0 AS part, 0 AS turn, CASE WHEN summary <> '' AND trim(related) <> '' AND trim(personality) <> ''
+                    THEN 'Summary of past talks: ' || summary || chr(10) || 'User: ' || personality || chr(10) || 'Related memory (' || d || '):' || chr(10) || related || chr(10)
+                    WHEN trim(related) <> '' THEN 'Related memory (' || d || '):' || chr(10) || related || chr(10) ELSE '' END AS piece FROM p
+                  UNION ALL SELECT conv_id, 1, turn, chr(10) || ' [|' || role || '|]: ' || text FROM conversations
+                  UNION ALL SELECT conv_id, 2, 0, chr(10) || ' [|User|]: And then? ' || chr(10) || ' [|AI|]: ' FROM w)
+       SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, turn) - 1 AS seq, piece FROM x WHERE piece <> ''""",
 )
 def memory_prompt(t):
-    # One prompt per conversation: its last HISTORY turns, which bounds what is gathered.
+    """Prompts over whole histories, as ordered pieces: a writer streams them, and none is gathered."""
     line = F.concat(F.lit("\n [|"), F.col("role"), F.lit("|]: "), F.col("text"))
-    last = order_rows(t.conversations, ["conv_id"], [F.col("turn").desc()]).df.where(F.col("seq") < HISTORY)
-    pages = last.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("l"))
-    pages = pages.select("conv_id", F.col("l.line").alias("line"))
     who = t.conversations.groupBy("conv_id").agg(
         F.max(F.when(F.col("role") == "system", F.col("text"))).alias("personality"), F.min("turn").alias("d")
     )
     related = t.benchmark.select(F.col("item_id").alias("conv_id"), F.col("text").alias("related"))
-    rows = pages.join(who, "conv_id").join(related, "conv_id", "left")
-    prompt = C.memory_prompt(
-        F.lit("And then?"),
-        F.array_join("line", ""),
-        F.col("related"),
-        F.col("d").cast("string"),
-        F.when(F.col("conv_id") % 2 == 0, "calm talks").otherwise(""),
-        F.col("personality"),
-    )
-    return rows.select("conv_id", prompt.alias("prompt"))
+    rows = who.join(related, "conv_id", "left")
+    summary = F.when(F.col("conv_id") % 2 == 0, "calm talks").otherwise("")
+    ends = C.prompt_ends(F.lit("And then?"), F.col("related"), F.col("d").cast("string"), summary, F.col("personality"))
+    history = t.conversations.select("conv_id", "turn", line.alias("piece"))
+    return C.memory_prompt_rows(history, rows.select("conv_id", *ends), "conv_id", ["turn"]).drop("turn")
 
 
 def _turns(t):
@@ -432,16 +420,16 @@ def interleaved_text(t):
 
 @query(
     "recover_turns_t19",
-    """WITH c AS (SELECT a.conv_id, replace(a.text, chr(10), ' ') AS q1, replace(b.text, chr(10), ' ') AS a1 FROM conversations a JOIN conversations b
-                  ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1)
-       SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 'human=<image>' || chr(10) || q1 || '|gpt=' || a1 || '|human=and more' || '|gpt=the end'
+    """WITH c AS (SELECT a.conv_id, a.turn, replace(a.text, chr(10), ' ') AS q1, replace(b.text, chr(10), ' ') AS a1 FROM conversations a JOIN conversations b
+                  ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
+       SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN 'human=<image>' || chr(10) || q1 || '|gpt=' || a1 || '|human=and more' || '|gpt=the end'
               ELSE 'human=' || repeat('<image>' || chr(10), (conv_id % 3)::INT) || q1 || '|gpt=the end' END AS turns FROM c""",
 )
 def recover_turns(t):
     flat = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
-    first = t.conversations.where("turn = 0").select("conv_id", flat.alias("q1"))
-    second = t.conversations.where("turn = 1").select("conv_id", flat.alias("a1"))
-    rows = first.join(second, "conv_id")
+    first = t.conversations.select("conv_id", "turn", flat.alias("q1"))
+    second = t.conversations.select("conv_id", (F.col("turn") - 1).alias("turn"), flat.alias("a1"))
+    rows = first.join(second, ["conv_id", "turn"])
     question = F.when(
         F.col("conv_id") % 2 == 0,
         F.concat(
@@ -450,7 +438,7 @@ def recover_turns(t):
     ).otherwise(F.concat(F.lit("<image>\n"), "q1"))
     turns = C.recover_turns(question, F.lit("the end"), F.col("conv_id") % 3)
     shown = F.transform(turns, lambda x: F.concat(x["from"], F.lit("="), x["value"]))
-    return rows.select("conv_id", F.array_join(shown, "|").alias("turns"))
+    return rows.select("conv_id", "turn", F.array_join(shown, "|").alias("turns"))
 
 
 @query(

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from frameweave.functions import vectors as V
 from frameweave.operators import clustering as C
 from frameweave.operators import retrieval as R
 from frameweave.operators import sequencing as W
+from frameweave.operators.conversations import memory_documents
+from frameweave.operators.vector_index import VectorIndex
 from frameweave.plans.ordering import order_rows
-from frameweave.plans.staging import materialise, spread
+from frameweave.plans.staging import materialise, spread, staging_root
 from frameweave.suite.registry import query
-from frameweave.suite.texts import DIALOGUE, dialogue
+from frameweave.suite.texts import DIALOGUE, SUMMARIES, day_summaries, dialogue
 
 MEANS = """
 WITH p AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
@@ -103,6 +107,22 @@ def vector_search(t):
     return out.withColumn("score", F.round("score", 6))
 
 
+@query(
+    "indexed_search_v12",
+    MEANS
+    + """, s AS (SELECT c.label AS query_id, vec_id AS row_id, round(list_distance(c.c, p.x), 12) AS s FROM c, p),
+       r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s, row_id) AS rank FROM s)
+       SELECT query_id, row_id, round(s, 6) AS score, rank FROM r WHERE rank <= 4""",
+)
+def indexed_search(t):
+    """The same over a stored index of cells, a fifth of it appended later; cells out of reach are not read."""
+    index = VectorIndex(t.spark, f"{staging_root(t.spark)}/index-{uuid.uuid4().hex}")
+    index.create(points(t).where("vec_id % 5 > 0"), "vec_id", "x", cells=32)
+    index.append(points(t).where("vec_id % 5 = 0"), "vec_id", "x")
+    out = index.search(label_means(t), 4, "label", "centre")
+    return out.withColumn("score", F.round("score", 6))
+
+
 @query(
     "question_frames_w8",
     """WITH p AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
@@ -370,19 +390,15 @@ def text_vectors(t):
 
 
 def memory_index(t):
-    """Dialogue turns of all users in one order: pos, source (user and date), content."""
-    rows = order_rows(dialogue(t), [], ["user", "date", "ord"], seq="pos").df
-    return rows.select(
-        "pos",
-        F.concat_ws("/", F.col("user").cast("string"), F.date_format("date", "yyyy-MM-dd")).alias("source"),
-        F.col("query").alias("content"),
-        "query",
-    )
+    """Dialogue turns and day summaries of all users in one order: pos, source (user and date), content."""
+    docs = memory_documents(dialogue(t), day_summaries(t))
+    rows = order_rows(docs, [], ["user", "source", F.col("ord").asc_nulls_last()], seq="pos").df
+    return rows.select("pos", F.concat_ws("/", F.col("user").cast("string"), "source").alias("source"), "content")
 
 
 def memory_hits(t, k: int = 3):
     docs = memory_index(t)
-    vec = R.text_vectors(docs, "pos", "query")
+    vec = R.text_vectors(docs, "pos", "content")
     asked = R.text_vectors(t.benchmark, "item_id", "text")
     found = R.nearest(asked, vec, k, "l2", "item_id", "pos", "vector")
     return found.select("query_id", F.col("row_id").alias("pos"), "score"), docs
@@ -390,9 +406,11 @@ def memory_hits(t, k: int = 3):
 
 HITS = (
     DIALOGUE
-    + """, o AS (SELECT *, row_number() OVER (ORDER BY "user", date, ord) - 1 AS pos FROM q),
-     docs AS (SELECT pos, "user" || '/' || date AS source, query AS content, query FROM o), """
-    + HASHED.format(src="SELECT pos AS id, query AS text FROM docs UNION ALL SELECT -1 - item_id, text FROM benchmark")
+    + SUMMARIES
+    + """, o AS (SELECT "user", date, ord, 'Conversation content on ' || date || ':[|User|]: ' || trim(query) || '; [|AI|]: ' || trim(response) AS content FROM q
+                 UNION ALL SELECT "user", date, NULL, 'The summary of the conversation on ' || date || ' is: ' || content FROM s),
+     docs AS (SELECT row_number() OVER (ORDER BY "user", date, ord NULLS LAST) - 1 AS pos, "user" || '/' || date AS source, content FROM o), """
+    + HASHED.format(src="SELECT pos AS id, content AS text FROM docs UNION ALL SELECT -1 - item_id, text FROM benchmark")
     + """, f AS (SELECT id, slot, v / n AS v FROM v JOIN n USING (id)),
      ids AS (SELECT pos AS id FROM docs UNION ALL SELECT -1 - item_id FROM benchmark),
      z AS (SELECT id, list(val ORDER BY s) AS x FROM (SELECT ids.id, r.range AS s, coalesce(f.v, 0) AS val FROM ids CROSS JOIN range(64) r
@@ -421,15 +439,15 @@ WIDE = """, w AS (SELECT h.query_id, h.pos AS hit, h.score, r.range AS step, r.r
            FROM fold f JOIN i ON i.query_id = f.query_id AND i.hit = f.hit AND i.k = f.k + 1),
      a AS (SELECT query_id, hit AS pos, score FROM fold WHERE k = 0 UNION ALL SELECT query_id, took, score FROM fold WHERE took >= 0),
      b AS (SELECT query_id, pos, min(score) AS score FROM a GROUP BY ALL),
-     s AS (SELECT *, pos - row_number() OVER (PARTITION BY query_id ORDER BY pos) AS run FROM b),
+     u AS (SELECT *, pos - row_number() OVER (PARTITION BY query_id ORDER BY pos) AS run FROM b),
      p AS (SELECT query_id, min(pos) AS first, max(pos) AS last, round(min(score), 6) AS score, min_by(source, pos) AS source, string_agg(content, '' ORDER BY pos) AS content
-           FROM s JOIN docs USING (pos) GROUP BY query_id, run)
+           FROM u JOIN docs USING (pos) GROUP BY query_id, run)
 """
 
 
 def _passages(t):
     hits, docs = memory_hits(t)
-    return R.merge_passages(R.widen_hits(hits, docs, 3, 1500), docs.drop("query"))
+    return R.merge_passages(R.widen_hits(hits, docs, 3, 1500), docs)
 
 
 @query("widened_passages_v13", HITS.replace("WITH q", "WITH RECURSIVE q", 1) + WIDE + "SELECT * FROM p")
