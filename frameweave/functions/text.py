@@ -549,11 +549,11 @@ def judge_reply(reply: Column) -> Column:
 def cut_repetition(text: Column) -> Column:
     """Text up to the first sentence that was said before, ignoring case."""
     parts, low = F.split(text, r"\."), F.split(F.lower(text), r"\.")
+    # Distinct sentences stand in the order of their first use, so both lists part at the first repeat;
+    # telling them apart is a hash look-up per sentence.
     first = let(
-        low,
-        lambda all_low: F.array_position(
-            F.transform(all_low, lambda x, i: F.array_position(all_low, x) < i + 1), True
-        ),
+        F.struct(low.alias("all"), F.array_distinct(low).alias("once")),
+        lambda s: F.array_position(F.transform(s["all"], lambda x, i: ~x.eqNullSafe(F.get(s["once"], i))), True),
     )
     return let(
         first.cast("int"),

@@ -161,10 +161,12 @@ def kmeans(
     only state carried from round to round; they are written out, which cuts the lineage. An
     instance with no more than `k` points keeps them all as centres. `start` (instance, vector)
     resumes from given centres, each moved to its nearest point. The run of least inertia is kept.
+    `init="k-means++"` goes through the points once per centre; "k-means||" a fixed number of
+    times, for many clusters or points.
     """
     if k < 1 or runs < 1 or max_iter < 1:
         raise ValueError("k, runs and max_iter must be positive")
-    if init not in ("rnd", "k-means++"):
+    if init not in ("rnd", "k-means++", "k-means||"):
         raise ValueError(f"unknown init method {init!r}")
     d = distance_of(distance)
     base = points.select(
@@ -189,8 +191,10 @@ def kmeans(
         centres = top_rows(
             spread.withColumn("_u", u(seed, "run", "instance", "point")), ["instance", "run"], ["_u", "point"], k
         ).select("instance", "run", (F.col("rank") - 1).cast("long").alias("label"), F.col("x").alias("centre"))
-    else:
+    elif init == "k-means++":
         centres = _plus_plus(spread, k, d, seed)
+    else:
+        centres = _parallel_seeds(spread, k, d, seed)
     centres = materialise(centres.select("instance", "run", "label", "centre"))
 
     done = 0
@@ -258,6 +262,65 @@ def _plus_plus(spread: DataFrame, k: int, d: Distance, seed: int, weight: str |
     return centres
 
 
+#: Rounds of oversampling, and points drawn in a round per centre wanted.
+ROUNDS, OVERSAMPLE = 5, 2
+
+
+def _parallel_seeds(spread: DataFrame, k: int, d: Distance, seed: int) -> DataFrame:
+    """k centres from about ROUNDS * OVERSAMPLE * k candidates (k-means||).
+
+    Every point keeps its least distance to the candidates so far, so a round compares it with the
+    round's new ones only, and draws it with probability proportional to weight times squared
+    distance. The candidates, weighted by the points nearest to them, are few; one task per
+    (instance, run) picks k of them by weighted k-means++.
+    """
+    keys = ["instance", "run"]
+    draw = lambda r: u(f"{seed}/par/{r}", "run", "instance", "point")
+    new = top_rows(spread.withColumn("_u", draw(0)), keys, ["_u", "point"], 1)
+    new = materialise(new.select(*keys, F.lit(0).cast("long").alias("label"), F.col("x").alias("centre")))
+    candidates, counted = new, new.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+    near = materialise(assign(spread, centre_arrays(new, keys, "label", "centre"), "x", keys, d))
+    for r in range(1, ROUNDS + 1):
+        cost = F.col("w") * F.col("distance") * F.col("distance")
+        total = materialise(near.groupBy(*keys).agg(F.sum(cost).alias("_phi")).where("_phi > 0"))
+        drawn = near.join(small_side(total), keys).where(draw(r) * F.col("_phi") < OVERSAMPLE * k * cost)
+        drawn = order_rows(drawn.select(*keys, "point", "x"), keys, ["point"], seq="_i").df.join(small_side(counted), keys)
+        new = materialise(drawn.select(*keys, (F.col("_c") + F.col("_i")).alias("label"), F.col("x").alias("centre")))
+        if new.isEmpty():
+            break
+        candidates = candidates.unionByName(new)
+        counted = materialise(candidates.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")))
+        # An instance without new candidates is compared with its first one again.
+        again = candidates.where("label = 0").join(new.select(*keys).distinct(), keys, "left_anti")
+        arrays = materialise(centre_arrays(new.unionByName(again), keys, "label", "centre"))
+        old = near.withColumnsRenamed({"label": "_label", "distance": "_distance"})
+        told = assign(old, arrays, "x", keys, d)
+        closer = F.col("distance") < F.col("_distance")
+        near = told.withColumns(
+            {"label": F.when(closer, F.col("label")).otherwise(F.col("_label")), "distance": F.least("distance", "_distance")}
+        ).drop("_label", "_distance")
+        near = materialise(near)
+    mass = near.groupBy(*keys, "label").agg(F.sum("w").alias("mass"))
+
+    def pick(part: pd.DataFrame) -> pd.DataFrame:
+        x, w = np.stack(part["centre"].to_numpy()), part["mass"].to_numpy(float)
+        rng = np.random.default_rng([seed, int(part["run"].iloc[0])])
+        chosen, gap = [int(rng.choice(len(x), p=w / w.sum()))], np.full(len(x), np.inf)
+        while len(chosen) < min(k, len(x)):
+            gap = np.minimum(gap, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+            share = gap * w
+            if share.sum() <= 0:
+                break
+            chosen.append(int(rng.choice(len(x), p=share / share.sum())))
+        out = part.iloc[chosen][["instance", "run", "centre"]].copy()
+        out["label"] = np.arange(len(chosen))
+        return out[["instance", "run", "label", "centre"]]
+
+    few = candidates.join(mass, [*keys, "label"])
+    kind = spread.schema["instance"].dataType.simpleString()
+    return few.groupBy(*keys).applyInPandas(pick, f"instance {kind}, run int, label long, centre array<double>")
+
+
 def chunk_kmeans(
     frames: DataFrame,
     keys: Sequence[str],

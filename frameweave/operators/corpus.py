@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from frameweave.functions.hashing import u
-from frameweave.plans.ordering import GROUP_ROWS, order_rows, top_rows
-from frameweave.plans.staging import small_side
+from frameweave.plans.ordering import GROUP_ROWS, as_columns, order_rows, top_rows
+from frameweave.plans.staging import materialise, small_side
 
 # ---- mixtures ---------------------------------------------------------------------------------
 
@@ -214,11 +214,17 @@ def token_blocks(
     """All samples' tokens, an end token after each, cut into blocks of exactly `length`.
 
     The offset of a sample is a running sum of lengths; a sample is cut only at block borders, so
-    one row is shuffled per (sample, block) and not per token. The last partial block is dropped.
+    one row is shuffled per (sample, block) and not per token. Ties in `order` are broken by the
+    place of a row in the input. The last partial block is dropped.
     """
-    rows = df.withColumn("_t", F.concat(F.col(tokens), F.array(end))).drop(tokens)
-    rows = rows.withColumn("_n", F.size("_t").cast("long"))
-    run = order_rows(rows, [], order, group_rows=group_rows).running(inclusive=False, _at=F.col("_n")).df
+    rows = df.withColumns({f"_o{i}": c for i, c in enumerate(as_columns(order))})
+    names = [f"_o{i}" for i in range(len(order))]
+    rows = rows.select(*names, F.concat(F.col(tokens), F.array(end)).alias("_t"), F.monotonically_increasing_id().alias("_id"))
+    rows = materialise(rows.withColumn("_n", F.size("_t").cast("long")))  # fixes the row numbers
+    # Lengths alone go through the global order; the tokens meet their offset by row number.
+    run = order_rows(rows.select(*names, "_id", "_n"), [], [*names, "_id"], group_rows=group_rows)
+    at = materialise(run.running(inclusive=False, _at=F.col("_n")).df.select("_id", "_at"))
+    run = rows.join(small_side(at), "_id")
     first, last = F.floor(F.col("_at") / length), F.floor((F.col("_at") + F.col("_n") - 1) / length)
     pieces = run.withColumn("block", F.explode(F.sequence(first, last)))
     start = F.greatest(F.col("block") * length, F.col("_at"))

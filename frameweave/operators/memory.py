@@ -16,7 +16,7 @@ from frameweave.functions.hashing import u
 from frameweave.functions.vectors import Distance, cosine, euclidean, squared, ssim
 from frameweave.operators.clustering import lloyd
 from frameweave.operators.sequencing import chunk_rows
-from frameweave.plans.ordering import GROUP_ROWS, order_rows, top_rows
+from frameweave.plans.ordering import GROUP_ROWS, last_rows, order_rows, top_rows
 from frameweave.plans.staging import (
     BROADCAST_BYTES,
     BROADCAST_ROWS,
@@ -61,7 +61,6 @@ def short_memory(
     tau: float = 5.0,
     seed: int = 42,
     mode: str = "literal",
-    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """`remember` of the last `window` frames, drawn without replacement by retention weights.
 
@@ -69,8 +68,7 @@ def short_memory(
     mode and from the newest in `recent` mode. The largest ln(u)/weight are drawn, which has the
     distribution of one draw after another. Both sizes shrink to what a stream has.
     """
-    rows = order_rows(frames, keys, order, size="_n", group_rows=group_rows).df
-    tail = rows.where(F.col("seq") >= F.col("_n") - window)
+    tail = last_rows(frames, keys, order, window, size="_n")
     return _draw(tail, keys, row_id, F.least(F.col("_n"), F.lit(window)), F.col("_n"), remember, tau, seed, mode)
 
 

@@ -263,3 +263,15 @@ def top_rows(
         )
     final = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(final)).where(F.col(rank) <= k)
+
+
+def last_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int, seq: str = "seq", size: str = "n") -> DataFrame:
+    """The last `k` rows per group with their number from 0 and the group's size, without ordering the rest."""
+    rows = top_rows(df, keys, [F.col(c).desc() for c in order], k, "_back")
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(size))
+    same = None
+    for c in keys:
+        one = rows[c].eqNullSafe(sizes[c])
+        same = one if same is None else same & one
+    out = rows.join(sizes, same).drop(*[sizes[c] for c in keys]) if keys else rows.join(F.broadcast(sizes))
+    return out.withColumn(seq, F.col(size) - F.col("_back")).drop("_back")

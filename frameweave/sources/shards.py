@@ -9,11 +9,15 @@ import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from frameweave.plans.ordering import order_rows
+from frameweave.plans.staging import materialise
+
 MEMBER_SCHEMA = "shard string, key string, ext string, bytes binary"
 SAMPLE_SCHEMA = "shard string, key string, members map<string, binary>"
 CATALOG_SCHEMA = "url string, nsamples long, filesize long, md5sum string, error string"
@@ -151,32 +155,154 @@ def read_samples(spark: SparkSession, urls: Sequence[str], errors: str = "raise"
     return _shard_reader(spark, urls, "samples", errors)
 
 
+def shard_listing(spark: SparkSession, folder: str) -> DataFrame:
+    """(url, length) of every archive below a folder, without reading any; stays a table."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar").option("recursiveFileLookup", "true").load(folder)
+    return files.select(F.regexp_replace("path", "^file:/*", "/").alias("url"), "length")
+
+
 def list_shards(spark: SparkSession, folder: str) -> list[str]:
-    """Archive urls in name order, from a listing that reads no content."""
-    rows = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.tar")
-        .option("recursiveFileLookup", "true")
-        .load(folder)
-        .select("path")
-        .orderBy("path")
-        .collect()
-    )
-    return [r[0].removeprefix("file:") for r in rows]
+    """The urls in name order, for folders of few archives."""
+    return [r.url for r in shard_listing(spark, folder).select("url").orderBy("url").collect()]
 
 
-def shard_catalog(spark: SparkSession, urls: Sequence[str]) -> DataFrame:
-    """Samples, bytes and md5 of every archive; a broken one gets `error` and no count."""
+#: Bytes of archives that one task reads, and of samples that it holds at once.
+SPLIT_BYTES, HELD_BYTES = 128 << 20, 16 << 20
+
+
+def _in_splits(rows: DataFrame, order: list[str], size: str, split_bytes: int) -> DataFrame:
+    """`rows` in partitions of about `split_bytes` by the running sum of `size`, neighbours together."""
+    laid = order_rows(rows, [], order).running(inclusive=False, _at=F.col(size)).df
+    laid = materialise(laid.withColumn("split", F.floor(F.col("_at") / split_bytes)).drop("_at", "seq"))
+    parts = (laid.agg(F.max("split")).first()[0] or 0) + 1
+    return laid.repartitionByRange(parts, "split").sortWithinPartitions(*order)
+
+
+_INDEX = {"url": "string", "key": "string", "ext": "string", "start": "long", "size": "long", "error": "string"}
+
+
+def member_index(listing: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """(url, key, ext, start, size, error) of all members in the archives of a table (url, length).
 
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Only headers are read. A compressed archive, whose members cannot be found by position, is one row
+    without a key. An archive that is damaged, absent or forbidden gives a last row with `error`.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame(
-                [_describe(u) for u in batch["url"]], columns=["url", "nsamples", "filesize", "md5sum", "error"]
-            ).astype({"nsamples": "Int64", "filesize": "Int64"})
+            for url in batch.column(0).to_pylist():
+                held: list[tuple] = []
+                for row in _headers(url):
+                    held.append(row)
+                    if len(held) == 10_000:
+                        yield _rows(held, _INDEX)
+                        held = []
+                yield _rows(held, _INDEX)
+
+    packed = _in_splits(listing.select("url", "length"), ["url"], "length", split_bytes)
+    return packed.select("url").mapInArrow(run, ", ".join(map(" ".join, _INDEX.items())))
+
+
+def _rows(rows: list[tuple], columns: dict[str, str]) -> pa.RecordBatch:
+    types = {"string": pa.string(), "long": pa.int64(), "map<string,binary>": pa.map_(pa.string(), pa.binary())}
+    parts = zip(*rows) if rows else [[]] * len(columns)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), types[t]) for c, t in zip(parts, columns.values())], list(columns))
+
 
+def _headers(url: str) -> Iterator[tuple]:
+    try:
+        with open_file(url) as raw:
+            total = raw.size()
+            try:
+                tar = tarfile.open(fileobj=raw, mode="r:")
+            except tarfile.ReadError:
+                tarfile.open(fileobj=open_file(url), mode="r:*").close()  # raises for what is no archive at all
+                yield url, None, None, None, total, None
+                return
+            for member in tar:
+                name = split_name(member.name) if member.isfile() else None
+                if name is not None:
+                    if member.offset_data + member.size > total:
+                        raise tarfile.ReadError(f"{url} ends within {member.name}")
+                    yield url, *name, member.offset_data, member.size, None
+    except (tarfile.TarError, EOFError, FileNotFoundError, PermissionError) as e:
+        yield url, None, None, None, 0, type(e).__name__
+
+
+_SAMPLES = {"shard": "string", "key": "string", "members": "map<string,binary>", "error": "string"}
+
+
+def read_listed(listing: DataFrame, errors: str = "raise", split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Samples (shard, key, members) of the archives in a table (url, length), as `read_samples` gives them.
+
+    Names never leave the table, and samples are dealt to tasks by bytes: small archives share a task,
+    a large one is read by several, each by the members' positions. With errors="report" a column
+    `error` is added and unreadable archives are rows; with "raise" they fail the job.
+    """
+    if errors not in ("raise", "report"):
+        raise ValueError(f"unknown errors mode {errors!r}")
+    index = materialise(member_index(listing, split_bytes))
+    bad = index.where("error IS NOT NULL")
+    if errors == "raise":
+        first = bad.limit(1).collect()
+        if first:
+            raise OSError(f"{first[0].url}: {first[0].error}")
+    # A sample's members are few; they need not be neighbours in the archive.
+    item = F.struct("start", "ext", "size")
+    good = index.where("error IS NULL").groupBy("url", "key").agg(
+        F.min("start").alias("first"), F.sum("size").alias("bytes"), F.array_sort(F.collect_list(item)).alias("members")
+    )
+    good = _in_splits(good, ["url", "first", "key"], "bytes", split_bytes).select("url", "key", "members")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, raw, opened = [], 0, None, None
+        for batch in batches:
+            for row in batch.to_pylist():
+                url = row["url"]
+                if row["key"] is None:
+                    found = ((u, k, m) for u, k, m in _whole_archive(url))
+                else:
+                    if url != opened:
+                        if raw is not None:
+                            raw.close()
+                        raw, opened = open_file(url), url
+                    found = [(url, row["key"], {m["ext"]: raw.read_at(m["size"], m["start"]) for m in row["members"]})]
+                for sample in found:
+                    held.append((*sample[:2], list(sample[2].items()), None))
+                    size += sum(map(len, sample[2].values()))
+                    if size >= HELD_BYTES:
+                        yield _rows(held, _SAMPLES)
+                        held, size = [], 0
+        yield _rows(held, _SAMPLES)
+
+    samples = good.mapInArrow(run, ", ".join(map(" ".join, _SAMPLES.items())))
+    if errors == "raise":
+        return samples.drop("error")
+    none = [F.lit(None).cast(t).alias(c) for c, t in list(_SAMPLES.items())[1:3]]
+    return samples.unionByName(bad.select(F.col("url").alias("shard"), *none, "error"))
+
+
+def _whole_archive(url: str) -> Iterator[tuple]:
+    return ShardReader({"paths": url}, samples=True)._read_samples(url)
+
+
+def catalog_listed(listing: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """`shard_catalog` of the archives in a table (url, length), dealt to tasks by bytes."""
+    return _in_splits(listing.select("url", "length"), ["url"], "length", split_bytes).select("url").mapInPandas(_describe_all, CATALOG_SCHEMA)
+
+
+def _describe_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame(
+            [_describe(u) for u in batch["url"]], columns=["url", "nsamples", "filesize", "md5sum", "error"]
+        ).astype({"nsamples": "Int64", "filesize": "Int64"})
+
+
+def shard_catalog(spark: SparkSession, urls: Sequence[str]) -> DataFrame:
+    """Samples, bytes and md5 of every archive; a broken one gets `error` and no count."""
     paths = spark.createDataFrame([(u,) for u in urls], "url string")
     spread = paths.repartition(max(1, min(len(urls), 10_000)), "url")
-    return spread.mapInPandas(describe, CATALOG_SCHEMA)
+    return spread.mapInPandas(_describe_all, CATALOG_SCHEMA)
 
 
 class _Tee:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from frameweave.functions import vectors as V
 from frameweave.operators import sequencing as W
-from frameweave.plans.ordering import order_rows
+from frameweave.plans.ordering import last_rows, order_rows
 from frameweave.suite.registry import query
 
 ORDER = ["ts", "event_id"]
@@ -218,6 +218,6 @@ def probe_grid(t):
          FROM e WHERE seq >= n - 20""",
 )
 def retention_weights(t):
-    rows = order_rows(frames(t), ["user_id"], ORDER, size="n").df.where(F.col("seq") >= F.col("n") - 20)
+    rows = last_rows(frames(t), ["user_id"], ORDER, 20)
     out = W.retention_weights(rows, ["user_id"], F.col("n") - 1 - F.col("seq"), 5)
     return out.select("user_id", "event_id", F.round("weight", 6).alias("weight"))

@@ -106,7 +106,7 @@ def _document_shards(t, rows: int = 20):
     )
     folder = scratch(t.spark, "shards")
     H.write_shards(docs, folder, "shard", "doc_id", {"txt": "text", "lang": "lang"}).count()
-    return H.list_shards(t.spark, folder)
+    return H.shard_listing(t.spark, folder)
 
 
 @query(
@@ -114,7 +114,7 @@ def _document_shards(t, rows: int = 20):
     """SELECT doc_id, lang, length(text) AS chars FROM documents""",
 )
 def tar_samples(t):
-    samples = H.read_samples(t.spark, _document_shards(t))
+    samples = H.read_listed(_document_shards(t))
     return samples.select(
         F.col("key").cast("long").alias("doc_id"),
         F.col("members")["lang"].cast("string").alias("lang"),
@@ -128,7 +128,7 @@ def tar_samples(t):
        SELECT source || '-' || part || '.tar' AS shard, count(*) AS nsamples, true AS hashed FROM d GROUP BY source, part""",
 )
 def shard_catalog(t):
-    catalog = H.shard_catalog(t.spark, _document_shards(t))
+    catalog = H.catalog_listed(_document_shards(t))
     return catalog.select(
         F.element_at(F.split("url", "/"), -1).alias("shard"),
         "nsamples",

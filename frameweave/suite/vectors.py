@@ -11,6 +11,7 @@ from frameweave.operators import clustering as C
 from frameweave.operators import retrieval as R
 from frameweave.operators import sequencing as W
 from frameweave.operators.conversations import memory_documents
+from frameweave.operators.sequence_clustering import sequence_kmeans
 from frameweave.operators.vector_index import VectorIndex
 from frameweave.plans.ordering import order_rows
 from frameweave.plans.staging import materialise, spread, staging_root
@@ -323,8 +324,22 @@ def capacity_clusters(t):
     )
 
 
+def _dtw_sql(a: str, b: str) -> str:
+    """Soft-DTW of two lists: rows of the recurrence folded one by one, cells folded inside a row."""
+    cell = "least(p[j[1]::INT + 1], p[j[1]::INT], r[-1])"
+    soft = f"{cell} - ln(exp({cell} - p[j[1]::INT + 1]) + exp({cell} - p[j[1]::INT]) + exp({cell} - r[-1]))"
+    row = f"""list_reduce(list_transform(range(1, len({b}) + 1), lambda i: [i::DOUBLE]),
+                lambda r, j: list_append(r, pow(x[1] - {b}[j[1]::INT], 2) + {soft}), ['inf'::DOUBLE])"""
+    first = f"list_prepend(0.0::DOUBLE, list_transform({b}, lambda v: 'inf'::DOUBLE))"
+    return f"(list_reduce(list_transform({a}, lambda v: [v]), lambda p, x: {row}, {first}))[-1]"
+
+
 @query(
     "soft_dtw_v9",
+    """WITH d AS (SELECT user_id, ts::DATE AS day, avg(value) / 100 AS v FROM events GROUP BY ALL),
+            s AS (SELECT user_id, list(v ORDER BY day) AS a FROM d GROUP BY user_id),
+            p AS (SELECT s.user_id, s.a, b.a AS b FROM s JOIN s AS b ON b.user_id = s.user_id - 1)
+       SELECT user_id, round(""" + _dtw_sql("a", "b") + " - 0.5 * (" + _dtw_sql("a", "a") + " + " + _dtw_sql("b", "b") + "), 6) AS distance FROM p",
 )
 def soft_dtw(t):
     """Each user's daily mean values against those of the user before."""
@@ -337,6 +352,16 @@ def soft_dtw(t):
     return out.select("user_id", F.round("distance", 6).alias("distance"))
 
 
+@query("sequence_clusters_v3")
+def sequence_clusters(t):
+    """Users clustered by their mean values per weekday under soft-DTW; compared with plain loops in the tests."""
+    daily = t.events.groupBy("user_id", F.dayofweek("ts").alias("day")).agg(F.avg("value").alias("v"))
+    known = daily.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("day", "v"))).alias("m"))
+    week = F.array(*[F.array(F.coalesce(F.try_element_at("m", F.lit(d)), F.lit(0.0)) / 100) for d in range(1, 8)])
+    fit = sequence_kmeans(known.select("user_id", week.alias("s")), "user_id", "s", 4, gamma=0.1)
+    return fit.labels.select("user_id", "label", F.round("distance", 6).alias("distance"))
+
+
 @query(
     "pooled_patches_v10",
     """WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),

@@ -79,6 +79,38 @@ def test_unreadable_shards_are_not_lost(spark, tmp_path):
         assert {r.shard for r in rows if r.error} == set(urls[1:])
 
 
+def test_listed_shards(spark, tmp_path):
+    """Samples by position: an archive read by several tasks, members apart, compressed and broken archives."""
+    import gzip
+
+    for s in range(3):
+        _tar(tmp_path / f"s{s}.tar", [(f"d/{i}.{e}", f"{s}{i}{e}".encode() * 50) for e in ("txt", "json") for i in range(40)])
+    _tar(tmp_path / "odd.tar", [("nodot", b"x"), ("a.seg.txt", b"y"), ("b.txt", b"")])
+    (tmp_path / "packed.tar").write_bytes(gzip.compress((tmp_path / "odd.tar").read_bytes()))
+    listing = H.shard_listing(spark, str(tmp_path))
+    urls = H.list_shards(spark, str(tmp_path))
+    assert sorted(r.url for r in listing.collect()) == urls and len(urls) == 5
+    want = {(r.shard, r.key): r.members for r in H.read_samples(spark, urls).collect()}
+    for split in (1 << 30, 4000):
+        got = H.read_listed(listing, split_bytes=split)
+        assert {(r.shard, r.key): {k: bytes(v) for k, v in r.members.items()} for r in got.collect()} == {
+            k: {e: bytes(v) for e, v in m.items()} for k, m in want.items()
+        }
+        # One archive of about 10 kB of content is read by several tasks.
+        tasks = {(r.shard, r.p) for r in got.select("shard", F.spark_partition_id().alias("p")).collect()}
+        assert (len({p for u, p in tasks if u.endswith("s1.tar")}) > 1) == (split == 4000)
+    (tmp_path / "cut.tar").write_bytes((tmp_path / "s0.tar").read_bytes()[:9000])
+    (tmp_path / "junk.tar").write_bytes(b"junk" * 300)
+    listing = H.shard_listing(spark, str(tmp_path)).unionByName(spark.createDataFrame([(str(tmp_path / "none.tar"), 9)], "url string, length long"))
+    with pytest.raises(Exception):
+        H.read_listed(listing).collect()
+    rows = H.read_listed(listing, errors="report").collect()
+    assert {r.shard.rsplit("/", 1)[1] for r in rows if r.error} == {"cut.tar", "junk.tar", "none.tar"}
+    assert sum(r.error is None for r in rows) > len(want)
+    a = {r.url: (r.nsamples, r.md5sum) for r in H.catalog_listed(listing).collect()}
+    assert a == {r.url: (r.nsamples, r.md5sum) for r in H.shard_catalog(spark, [r.url for r in listing.collect()]).collect()}
+
+
 def test_written_shards(spark, tmp_path):
     df = spark.createDataFrame([(f"s{i % 3}", i, f"text {i}") for i in range(30)], "s string, k long, t string")
     made = H.write_shards(df, str(tmp_path / "out"), "s", "k", {"txt": "t"}).collect()
