@@ -9,6 +9,7 @@ from frameweave.operators import clustering as C
 from frameweave.operators import memory as M
 from frameweave.suite.registry import query
 from frameweave.suite.sequences import NUMBERED, ORDER, frames
+from frameweave.suite.streams import FOREST, MEMORY_ROWS, PATHS, U_QUERY
 from frameweave.suite.texts import DIALOGUE, SUMMARIES, day_summaries, dialogue
 
 U42 = "('0x' || substr(md5('42:' || {0}), 1, 8))::BIGINT / 4294967296.0"
@@ -177,11 +178,8 @@ def dot_product_search(t):
 
 
 def _asked(t):
-    kinds = ["view", "click", "error", "signup", "purchase"]
-    vector = F.array(
-        F.col("value") / 100, *[F.when(F.col("event_type") == k, 1.0).otherwise(0.0) for k in kinds[:4]]
-    )
-    rows = t.events.select("user_id", "ts", "event_id", "event_type", vector.alias("x"), F.col("props").alias("text"))
+    """Purchases ask about the other events of their user before them; the nearest value is the best."""
+    rows = t.events.select("user_id", "ts", "event_id", "event_type", F.array("value").alias("x"), F.col("event_id").cast("string").alias("text"))
     return M.stream_question_context(
         rows.where("event_type <> 'purchase'"),
         rows.where("event_type = 'purchase'").withColumnRenamed("event_id", "qid").select("user_id", "ts", F.col("qid").alias("event_id"), "qid", "x"),
@@ -194,40 +192,37 @@ def _asked(t):
         interval=3,
         window=20,
         remember=5,
+        score=lambda node, asked: -V.euclidean(node, asked),
     )
 
 
-SEEN = """
-WITH q AS (SELECT user_id, event_id AS query_id, count(CASE WHEN event_type <> 'purchase' THEN 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seen, event_type FROM events),
-     a AS (SELECT query_id, seen, seen // 4 AS leaves FROM q WHERE event_type = 'purchase'),
-     d AS (SELECT query_id, seen, list_sum(list_transform(range(1, 9), lambda d: (leaves // pow(3, d)::BIGINT) % 3 * d)) + CASE WHEN leaves % 3 > 0 THEN 1 ELSE 0 END AS path FROM a)
+ITEMS = (
+    "WITH RECURSIVE "
+    + MEMORY_ROWS.format(every=1, u=U_QUERY, turn=1)
+    + ","
+    + FOREST
+    + ","
+    + PATHS
+    + """,
+     items AS (SELECT query_id, 'short' AS kind, NULL::INT AS depth, seq::VARCHAR AS item, text FROM short
+               UNION ALL SELECT query_id, 'tree', depth, depth || ':' || seq, text FROM path WHERE (depth, seq) <> (rd, rs)
+               UNION ALL SELECT query_id, 'tree', depth, depth || ':' || seq, text FROM flat),
+     placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kind, depth DESC NULLS LAST, item) - 1 AS place FROM items)
 """
+)
 
 
-@query(
-    "question_context_m10",
-    SEEN
-    + """SELECT query_id, least(seen, 5) AS short_items, path::BIGINT AS tree_items, least(seen, 5) + path::BIGINT AS places FROM d WHERE seen > 0""",
-)
+@query("question_context_m10", ITEMS + "SELECT query_id, place, kind, depth, item, text FROM placed")
 def question_context(t):
-    rows = _asked(t)["context"]
-    return rows.groupBy("query_id").agg(
-        F.count_if(F.col("kind") == "short").alias("short_items"),
-        F.count_if(F.col("kind") == "tree").alias("tree_items"),
-        (F.max("place") + 1).alias("places"),
-    )
+    return _asked(t)["context"].select("query_id", "place", "kind", "depth", "item", "text")
 
 
-@query("stream_answers_m15", SEEN + "SELECT query_id, least(seen, 5) + path::BIGINT AS parts, true AS answered FROM d WHERE seen > 0")
+@query("stream_answers_m15", ITEMS + "SELECT query_id, count(*) AS parts, arg_max(text, place) AS answer FROM placed GROUP BY query_id")
 def stream_answers(t):
-    """Context texts of a question in order, and an answer taken from the finest one."""
+    """The batch driver: the answer of a question is the finest text of its context."""
     rows = _asked(t)["context"]
     # A question's context is at most `remember` frames and one node per level and root.
-    packed = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("c"))
-    answer = F.element_at(F.col("c.text"), -1)
-    return packed.select(
-        "query_id", F.size("c").cast("long").alias("parts"), answer.isNotNull().alias("answered")
-    )
+    return rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("parts"), F.max_by("text", "place").alias("answer"))
 
 
 # ---- dialogue ----------------------------------------------------------------------------------

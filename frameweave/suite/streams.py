@@ -114,7 +114,7 @@ U42 = "('0x' || substr(md5('42:' || {0}), 1, 8))::BIGINT / 4294967296.0"
 #: Rows of the streams in order: questions (purchases), turns (signups), and frames, of which every
 #: second one since the last question is taken.
 MEMORY_ROWS = """
-     e AS (SELECT user_id AS stream, event_id AS id, ts, value AS v, CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN 2 ELSE 1 END AS kind FROM events),
+     e AS (SELECT user_id AS stream, event_id AS id, ts, value AS v, CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN {turn} ELSE 1 END AS kind FROM events),
      g AS (SELECT *, count(CASE WHEN kind = 0 THEN 1 END) OVER (PARTITION BY stream ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS asked FROM e),
      h AS (SELECT *, row_number() OVER (PARTITION BY stream, asked, kind = 1 ORDER BY ts, id) - 1 AS i FROM g),
      m AS (SELECT *, count(CASE WHEN kind = 1 THEN 1 END) OVER w AS seen, count(CASE WHEN kind <> 1 THEN 1 END) OVER w - 1 AS pos
@@ -135,32 +135,40 @@ def _memory_rows(t):
 
 @query(
     "streamed_short_memory_m3",
-    "WITH " + MEMORY_ROWS.format(every=1, u=U_QUERY) + "SELECT q.stream, query_id, seq, id FROM short JOIN q USING (query_id)",
+    "WITH " + MEMORY_ROWS.format(every=1, u=U_QUERY, turn=2) + "SELECT q.stream, query_id, seq, id FROM short JOIN q USING (query_id)",
 )
 def streamed_short_memory(t):
     rows = _memory_rows(t).where("kind <> 2 OR id IS NULL")
     return _drained(t, O.short_memory_in_order(rows)).select("stream", "query_id", "seq", "id")
 
 
+#: Nodes that a descent of the forest gives each question: chosen children (path), best root that is a leaf (flat).
+PATHS = """
+     roots AS (SELECT query_id, stream, x, d::INT AS depth, unnest(range(leaves // pow(3, d + 1)::BIGINT * 3, leaves // pow(3, d)::BIGINT)) AS seq
+               FROM q, range(0, 12) AS r(d)),
+     path AS (SELECT query_id, stream, x, depth AS rd, seq AS rs, depth, seq, NULL::VARCHAR AS text FROM roots WHERE depth > 0
+              UNION ALL
+              SELECT query_id, p.stream, x, rd, rs, n.depth, n.seq, n.text FROM path p
+              JOIN nodes n ON n.stream = p.stream AND n.depth = p.depth - 1 AND n.seq // 3 = p.seq
+              QUALIFY row_number() OVER (PARTITION BY query_id, rd, rs ORDER BY round(abs(n.v - x), 12), n.seq) = 1),
+     flat AS (SELECT query_id, n.depth, n.seq, n.text FROM roots r JOIN nodes n USING (stream, depth, seq) WHERE depth = 0
+              QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(abs(n.v - x), 12), n.seq) = 1)
+"""
+
+
 @query(
     "streamed_answers_m15",
     "WITH RECURSIVE "
-    + MEMORY_ROWS.format(every=2, u=U_QUERY)
+    + MEMORY_ROWS.format(every=2, u=U_QUERY, turn=2)
     + ","
     + FOREST
     + """,
      said AS (SELECT stream, id, pos, v FROM m WHERE kind <> 1),
      told AS (SELECT query_id, s.pos, s.id FROM q JOIN said s ON s.stream = q.stream AND s.pos < q.pos
               QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(abs(s.v - x), 12), s.pos) <= 2),
-     roots AS (SELECT query_id, stream, x, d::INT AS depth, unnest(range(leaves // pow(3, d + 1)::BIGINT * 3, leaves // pow(3, d)::BIGINT)) AS seq
-               FROM q, range(0, 12) AS r(d)),
-     path AS (SELECT query_id, stream, x, depth AS rd, seq AS rs, depth, seq, NULL::VARCHAR AS text FROM roots WHERE depth > 0
-              UNION ALL
-              SELECT query_id, p.stream, x, rd, rs, n.depth, n.seq, n.text FROM path p
-              JOIN nodes n ON n.stream = p.stream AND n.depth = p.depth - 1 AND n.seq // 3 = p.seq
-              QUALIFY row_number() OVER (PARTITION BY query_id, rd, rs ORDER BY round(abs(n.v - x), 12), n.seq) = 1),
-     flat AS (SELECT query_id, n.depth, n.seq, n.text FROM roots r JOIN nodes n USING (stream, depth, seq) WHERE depth = 0
-              QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(abs(n.v - x), 12), n.seq) = 1),
+"""
+    + PATHS
+    + """,
      items AS (SELECT query_id, 0 AS o, 0 AS d, pos AS s, 'dialogue' AS kind, id::VARCHAR AS item, NULL AS text FROM told
                UNION ALL SELECT query_id, 1, 0, seq, 'short', seq::VARCHAR, text FROM short
                UNION ALL SELECT query_id, 2, -depth, seq, 'tree', depth || ':' || seq, text FROM path WHERE (depth, seq) <> (rd, rs)

@@ -294,15 +294,16 @@ def kmeans_runs(t):
 
 @query(
     "capacity_clusters_v5",
-    """SELECT label AS instance, count(*) AS points, round(sum((1 + vec_id % 5) / 40.0), 6) AS weight,
-              true AS within_capacity, true AS left_out_only_without_room, true AS flagged
-       FROM embeddings GROUP BY label""",
+    """SELECT label AS instance, count(*) AS points, 3.2::DOUBLE AS weight, true AS within_capacity,
+              true AS left_out_only_without_room, true AS flagged FROM embeddings GROUP BY label""",
 )
 def capacity_clusters(t):
     """No cluster is overfull, no point that still fits is left out, and the flag says whether some are."""
     p = points(t).withColumnRenamed("label", "instance")
-    p = p.withColumn("w", (1 + F.col("vec_id") % 5) / 40.0)
-    fit = C.constrained_kmeans(p, "instance", "vec_id", "x", "w", 4, max_iter=1)
+    # Four clusters of capacity 1 share a total weight of 3.2 at every size.
+    total = p.groupBy("instance").agg(F.sum(1 + F.col("vec_id") % 5).alias("total"))
+    p = p.join(total, "instance").withColumn("w", (1 + F.col("vec_id") % 5) / F.col("total") * 3.2)
+    fit = C.constrained_kmeans(p, "instance", "vec_id", "x", "w", 4, init="ckm++", runs=2)
     told = materialise(fit.labels.join(p.select("vec_id", "w"), "vec_id"))
     load = told.groupBy("instance", "label").agg(F.sum("w").alias("load"), F.count(F.lit(1)).alias("n"), F.min("w").alias("least"))
     out = load.groupBy("instance").agg(
