@@ -52,12 +52,14 @@ RULES = (
     Rule("pem", 1, r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----", lambda t: t.contains("PRIVATE KEY-----")),
     Rule("url", 2, r"[a-z][a-z0-9+]{1,9}://[^\s:/@]{1,64}:[^\s:/@]{3,}+@", lambda t: t.contains("://")),
 )
-FOUND = "array<struct<kind:string,start:int,end:int>>"
+#: Findings in the ledger name the rule version that made them; what a scan returns does not.
+FOUND = "array<struct<rule:string,kind:string,start:int,end:int>>"
 LEDGER = T.StructType(
     [
         T.StructField("blob", T.StringType()),
         T.StructField("rules", T.ArrayType(T.StringType())),
         T.StructField("found", T.ArrayType(T.StructType([
+            T.StructField("rule", T.StringType()),
             T.StructField("kind", T.StringType()),
             T.StructField("start", T.IntegerType()),
             T.StructField("end", T.IntegerType()),
@@ -93,7 +95,7 @@ def unseen(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...]) -> D
 def _kept(spans: Column, rule: Rule) -> Column:
     spans = F.coalesce(spans, F.array().cast(f"array<{SPAN}>"))
     good = F.filter(spans, lambda s: rule.keep(s["value"]))
-    named = F.transform(good, lambda s: F.struct(F.lit(rule.kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    named = F.transform(good, lambda s: F.struct(F.lit(rule.key).alias("rule"), F.lit(rule.kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return named.cast(FOUND)
 
 
@@ -114,7 +116,7 @@ def scan_history(
 
     `history` has a row per path and version. A null text counts as empty; null paths, repeated
     rows and ties each give their own row; an empty table gives none. `found` lists all findings of
-    the current rules as (kind, start, end) in code points. Texts are moved once, and only to pick
+    the current rule versions as (kind, start, end) in code points. Texts are moved once, and only to pick
     one copy of each unseen blob; findings travel by blob id. The ledger at `ledger_path` must exist
     (`create_ledger`) on storage that all executors share.
     """
@@ -132,8 +134,12 @@ def scan_history(
     found.write.mode("append").parquet(ledger_path)
     current = F.array(*[F.lit(r.key) for r in rules])
     ledger = read_ledger(spark, ledger_path).where(F.arrays_overlap("rules", current))
-    # A rule's new version finds again what the old one found.
-    merged = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
+    # What replaced or removed rules have found stays in the ledger but is no finding any more.
+    mine = F.filter("found", lambda s: F.array_contains(current, s["rule"]))
+    plain = F.transform(mine, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    # Written out: otherwise the join would share the aggregation's partitioning, and a blob with very many
+    # paths could not be split over tasks.
+    merged = materialise(ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list(plain))).alias("found")))
     return versions.select("path", "blob").join(merged, "blob").select("path", "blob", "found")
 
 
