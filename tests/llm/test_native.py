@@ -1,10 +1,14 @@
 """Exact dedup, secret scans and personal data against plain Python."""
 
+import re
+
 import brute
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from frameweave.llm import exact_dedup, pii, secrets
+from frameweave.llm.spans import find
 
 DOCS = "doc_id long, text string, source string"
 TEXTS = [
@@ -64,6 +68,36 @@ def test_ledger_scans_each_pair_once(spark, tmp_path):
     assert {tuple(r.todo) for r in todo.collect()} == {("hex@2",)}
 
 
+def test_findings_follow_the_rules(spark, tmp_path):
+    """A narrowed, a widened, a removed and an added rule: findings are those of the rules of the scan."""
+    def rule(kind, version, pattern):
+        return secrets.Rule(kind, version, pattern, lambda t: t.rlike(pattern))
+
+    texts = ["id 0123456789abcdef0123456789abcdef and ab12ab12 end", "key-77 key-7", None, "nothing", "key-77 key-7"]
+    path = secrets.create_ledger(spark, str(tmp_path / "ledger"))
+    sets = [
+        [rule("hex", 1, "[0-9a-f]{8,}+"), rule("key", 1, "key-[0-9]{2}")],
+        [rule("hex", 2, "[0-9a-f]{32,}+"), rule("key", 1, "key-[0-9]{2}")],  # narrowed
+        [rule("hex", 2, "[0-9a-f]{32,}+"), rule("key", 2, "key-[0-9]+")],  # widened
+        [rule("key", 2, "key-[0-9]+"), rule("word", 1, "nothing")],  # one removed, one added
+        [rule("hex", 1, "[0-9a-f]{8,}+"), rule("key", 1, "key-[0-9]{2}")],  # the first again: nothing is scanned
+    ]
+    for rules in sets:
+        rows = secrets.scan_history(frame(spark, texts), path, path="doc_id", rules=tuple(rules)).collect()
+        got = {r.path: sorted((f.kind, f.start, f.end) for f in r.found) for r in rows}
+        want = {i: sorted((r.kind, *m.span()) for r in rules for m in re.finditer(r.pattern, t or "")) for i, t in enumerate(texts)}
+        assert got == want
+    assert secrets.read_ledger(spark, path).where(F.array_contains("rules", "hex@1")).groupBy().count().first()[0] == 4
+
+
+def test_very_many_hits(spark):
+    n = 100_000
+    docs = frame(spark, ["é a@b.cd" * n, None, "a@b.cd"])
+    rows = {r.doc_id: r for r in docs.select("doc_id", find(F.col("text"), "[a-z]@[a-z]\\.cd").alias("s")).collect()}
+    assert [(x.start, x.end) for x in rows[0].s] == [(8 * i + 2, 8 * i + 8) for i in range(n)]
+    assert rows[1].s is None and [(x.start, x.end, x.value) for x in rows[2].s] == [(0, 6, "a@b.cd")]
+
+
 def test_personal_data_equals_brute_force(spark):
     rows = pii.personal_data_report(frame(spark, TEXTS)).collect()
     assert len(rows) == len(TEXTS)
