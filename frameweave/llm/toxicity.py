@@ -47,8 +47,7 @@ REPORTING = re.compile(
 )
 ADDRESS = re.compile(r"\b(?:you|your|you're|u|du|dein|dich|ihr|tu|toi|vous|ton|tú|usted|eres|ti)\b")
 _WORD = re.compile(r"[^\W_]+")
-#: Words whose hits a Python worker remembers, ten times as many as states of the automaton; about 40 MB.
-MEMORY = 100_000
+MEMORY = 500_000
 
 
 # ---- matching -----------------------------------------------------------------------------------
