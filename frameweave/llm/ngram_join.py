@@ -6,13 +6,16 @@
    order. N-grams found in many texts come last in that order, so that shared passages seldom open
    a tile; the order only affects the work, not the result. Within an n-gram, classes are tiled by
    size bands, as sizes must not differ by more than the threshold.
-3. Bounds. Each class has a bitmap of hashed n-grams. Bits of one bitmap that the other lacks bound
-   the overlap from above; pairs that cannot reach the threshold go no further.
+3. Bounds. The first n-grams that two sets share are counted over their tiles: with the rest of a
+   set they bound the overlap from above. Then bitmaps of hashed n-grams are compared, as long as the
+   set asks for: bits of one that the other lacks bound the overlap again. Pairs that cannot reach
+   the threshold go no further.
 4. Check. The sorted arrays of the remaining pairs are intersected exactly, in blocks of candidates
    that lie close together.
-5. Components. Each class is first compared with the neighbour it shares most n-grams with. Then only pairs from different components
-   are taken up, which leaves out the pairs inside a large group of near copies but no pair that
-   could join two components.
+5. Components. Each class is first compared with the neighbour it shares most n-grams with, if these
+   are more than chance would give. Then only pairs from different components are taken up, which
+   leaves out the pairs inside a large group of near copies but no pair that could join two
+   components.
 """
 
 from __future__ import annotations
@@ -34,8 +37,10 @@ from frameweave.llm.columns import shielded
 from frameweave.llm.components import components
 from frameweave.plans.staging import materialise, small_side
 
-#: 64-bit words of a bitmap.
-WORDS = 8
+#: Bits of a bitmap for each n-gram, and its least 64-bit words.
+BITS, WORDS = 2, 8
+#: Neighbours are compared first where they met in one of this many of the first n-grams, or more.
+MET = 8
 #: An n-gram in more than this share of the texts of a task comes last in the order.
 FREQUENT = 0.0008
 #: N-grams that may come last, the most frequent ones; bounds what is broadcast to 1.6 MB.
@@ -126,9 +131,10 @@ def shingles(data: bytes, k: int) -> np.ndarray:
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
-    """WORDS 64-bit words in which each hash sets one bit."""
-    bits = np.zeros(WORDS * 64, np.uint8)
-    bits[(hashes >> np.uint64(40)) % np.uint64(WORDS * 64)] = 1
+    """64-bit words in which each hash sets one bit; their number is a power of two that fits the set."""
+    words = max(WORDS, 1 << (BITS * len(hashes) // 64).bit_length())
+    bits = np.zeros(words * 64, np.uint8)
+    bits[(hashes >> np.uint64(24)) % np.uint64(words * 64)] = 1
     return np.packbits(bits).view(np.int64)
 
 
@@ -147,6 +153,18 @@ class Threshold:
         """Least intersection of linked sets of these sizes."""
         return F.ceil((self.num * (a + b)) / F.lit(self.num + self.den))
 
+    def rest(self, n: Column) -> Column:
+        """N-grams of a set of `n` beyond its first ones."""
+        return F.ceil(self.num * n / F.lit(self.den)) - 1
+
+    def shared(self, a: Column, b: Column) -> Column:
+        """Least number of their first n-grams that linked sets of these sizes share.
+
+        Take the set whose first n-grams end earlier in the order: those it shares at all are among
+        the first ones of the other set too, so the overlap is at most their number and its rest.
+        """
+        return self.overlap(a, b) - F.greatest(self.rest(a), self.rest(b))
+
     def sizes_fit(self, small: Column, large: Column) -> Column:
         return small * self.den >= large * self.num
 
@@ -293,13 +311,23 @@ def intersection(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def most_overlap(n_a: Column, bits_a: Column, n_b: Column, bits_b: Column) -> Column:
-    """Upper bound of the intersection: each bit that only one side has is an n-gram of its own."""
+    """Upper bound of the intersection: each bit that only one side has is an n-gram of its own.
+
+    A bitmap twice as long as the other is folded first; the bound is not tried for other lengths.
+    """
+
+    def folded(x: Column, y: Column) -> Column:
+        half = F.size(y)
+        both = F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseOR(v))
+        return F.when(F.size(x) == 2 * half, both).otherwise(x)
 
     def lacking(x: Column, y: Column) -> Column:
-        each = [F.bit_count(F.get(x, i).bitwiseAND(F.bitwise_not(F.get(y, i)))) for i in range(WORDS)]
-        return sum(each[1:], each[0])
+        each = F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v))))
+        return F.aggregate(each, F.lit(0), lambda total, c: total + c)
 
-    return F.least(n_a - lacking(bits_a, bits_b), n_b - lacking(bits_b, bits_a))
+    x, y = folded(bits_a, bits_b), folded(bits_b, bits_a)
+    bound = F.least(n_a - lacking(x, y), n_b - lacking(y, x))
+    return F.when(F.size(x) == F.size(y), bound).otherwise(F.least(n_a, n_b))
 
 
 def _exact_links(k: int, limit: Threshold):
@@ -352,8 +380,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, limit
     keyed = materialise(
         keyed.select(F.least("block_a", "block_b").alias("i"), F.greatest("block_a", "block_b").alias("j"), "a", "b")
     )
-    members = keyed.select("i", "j", F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = members.join(packs, "node")
+    # Distinct on each side first, so that a class with many candidates is one row of a task early.
+    members = [keyed.select("i", "j", F.col(s).alias("node")).distinct() for s in ("a", "b")]
+    texts = members[0].union(members[1]).distinct().join(packs, "node")
     rows = texts.select("i", "j", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "packed").union(
         keyed.select("i", "j", "a", "b", F.lit(None).cast("binary"))
     )
@@ -401,8 +430,10 @@ def _grouped(
     token = Window.partitionBy("token").orderBy("n", "node")
     chain = shared.withColumns({"m": F.lag("n").over(token), "other": F.lag("node").over(token)})
     chain = chain.where(F.col("other").isNotNull() & (F.col("other") != F.col("node")) & limit.sizes_fit(F.col("m"), F.col("n")))
-    met = chain.groupBy("node", "other").agg(F.count(F.lit(1)).alias("met"))
-    best = met.groupBy("node").agg(F.max(F.struct("met", "other")).alias("b")).select("node", F.col("b.other").alias("other"))
+    met = chain.groupBy("node", "n", "other", "m").agg(F.count(F.lit(1)).alias("met"))
+    firsts = F.least("n", "m") - limit.rest(F.least("n", "m"))
+    best = met.where(F.col("met") * MET >= firsts).groupBy("node").agg(F.max(F.struct("met", "other")).alias("b"))
+    best = best.select("node", F.col("b.other").alias("other"))
     best = materialise(best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
     links = _verified(best, nodes, docs, k, limit, doc_id, text)
     roots = materialise(components(links))
@@ -412,21 +443,25 @@ def _grouped(
     mixed = rooted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
     mixed = materialise(mixed)
     open_rows = rooted.join(small_side(mixed), "token")
-    involved = materialise(open_rows.select("node").distinct().join(nodes, "node").select("node", "print"))
-    bits = sets.join(small_side(involved), "print").select("node", "bits").dropDuplicates(["node"])
-    tiles = materialise(open_rows.join(bits, "node").withColumn("band", limit.band(F.col("n"))))
-    small = tiles.select("token", "band", *[F.col(c).alias(f"{c}_a") for c in ("n", "node", "root", "bits")])
+    tiles = materialise(open_rows.withColumn("band", limit.band(F.col("n"))))
+    small = tiles.select("token", "band", *[F.col(c).alias(f"{c}_a") for c in ("n", "node", "root")])
     large = tiles.select(
         "token", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"),
-        *[F.col(c).alias(f"{c}_b") for c in ("n", "node", "root", "bits")],
+        *[F.col(c).alias(f"{c}_b") for c in ("n", "node", "root")],
     )
-    first = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
-    close = limit.sizes_fit(F.col("n_a"), F.col("n_b")) & (F.col("root_a") != F.col("root_b")) & first
-    bound = most_overlap(F.col("n_a"), F.col("bits_a"), F.col("n_b"), F.col("bits_b"))
-    close = close & (bound >= limit.overlap(F.col("n_a"), F.col("n_b")))
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    first = (n_a < n_b) | ((n_a == n_b) & (F.col("node_a") < F.col("node_b")))
+    close = limit.sizes_fit(n_a, n_b) & (F.col("root_a") != F.col("root_b")) & first
     across = small.join(large, ["token", "band"]).where(close)
-    across = across.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    across = across.join(small_side(best), ["a", "b"], "left_anti")
+    across = across.groupBy("node_a", "n_a", "node_b", "n_b").agg(F.count(F.lit(1)).alias("met"))
+    across = materialise(across.where(F.col("met") >= limit.shared(n_a, n_b)).drop("met"))
+    ends = across.select(F.col("node_a").alias("node")).union(across.select(F.col("node_b").alias("node"))).distinct()
+    involved = materialise(ends.join(nodes, "node").select("node", "print"))
+    bits = materialise(sets.join(small_side(involved), "print").select("node", "bits").dropDuplicates(["node"]))
+    for side in ("a", "b"):
+        across = across.join(bits.select(F.col("node").alias(f"node_{side}"), F.col("bits").alias(f"bits_{side}")), f"node_{side}")
+    across = across.where(most_overlap(n_a, F.col("bits_a"), n_b, F.col("bits_b")) >= limit.overlap(n_a, n_b))
+    across = across.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
     links = links.union(_verified(across, nodes, docs, k, limit, doc_id, text))
     roots = materialise(components(links))
 
