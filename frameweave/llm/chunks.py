@@ -6,6 +6,8 @@ import re
 from array import array
 from collections.abc import Callable
 
+import pyarrow as pa
+
 #: Runs between spaces and pieces of them that a Python worker remembers (about 200 bytes each). A
 #: full memory is emptied and refilled.
 CHUNKS, PIECES = 500_000, 800_000
@@ -16,6 +18,22 @@ LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ʯⱥⱦ"
 UNUSUAL = re.compile("[^\t-\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧‰-›]")
 
 
+_remembered: list[dict] = []
+
+
+def remembered() -> dict:
+    """A dictionary for what an operator remembers in a Python worker until another one calls `release`."""
+    _remembered.append({})
+    return _remembered[-1]
+
+
+def release() -> None:
+    """Let go of what other operators remember: workers are used again by the next stage."""
+    for held in _remembered:
+        held.clear()
+    pa.default_memory_pool().release_unused()
+
+
 class Memory(dict):
     """A dictionary that computes what it lacks and never holds more than `most` entries."""
 

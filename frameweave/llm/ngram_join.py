@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from frameweave.llm.chunks import release
 from frameweave.llm.columns import shielded
 from frameweave.llm.components import components
 from frameweave.plans.staging import materialise, small_side
@@ -200,6 +201,7 @@ def read_sets(docs: DataFrame, k: int, doc_id: str, text: str, row: Column | Non
                 names,
             )
 
+        release()
         names = ["doc_id", "n", "print", "token", "found", "row"]
         size = 0
         for batch in batches:
@@ -236,6 +238,7 @@ def first_tokens(docs: DataFrame, k: int, limit: Threshold, frequent, doc_id: st
     """(print, n, bits, tokens): the n-grams by which a set is found; a task names each set once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         many = frequent.value
         order = np.argsort(many)
         known, seen = many[order], set()

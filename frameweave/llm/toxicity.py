@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from frameweave.llm.chunks import remembered
 from frameweave.llm.columns import shielded
 from frameweave.plans.staging import materialise
 
@@ -368,7 +369,7 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text", out: str = "t
     return docs.withColumn(out, scores(F.col(text)))
 
 
-_matchers: dict[tuple, Matcher] = {}
+_matchers: dict[tuple, Matcher] = remembered()
 
 
 def _matcher(model: Model) -> Matcher:

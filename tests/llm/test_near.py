@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import brute
-from frameweave.llm import components, ngram_join
+from frameweave.llm import chunks, components, ngram_join
 
 
 def word_set(text, k):
@@ -134,3 +134,25 @@ def test_keep_one_row_of_each_group(spark):
     got = sorted((str(r.doc_id), r.text.lower()) for r in kept)
     want = [(3, text + " z1"), (7, "other words here"), (None, "alone it is"), (8, " "), (1, other), (5, "same id and set"), (6, "twice the same")]
     assert got == sorted((str(i), t) for i, t in want)
+
+
+def test_memories_of_other_operators_are_released():
+    held = chunks.remembered()
+    held["words"] = 1
+    chunks.release()
+    assert not held
+
+
+def test_shared_first_ngrams_of_linked_sets():
+    rng = random.Random(9)
+    limit = ngram_join.Threshold(85, 100)
+    need = lambda a, b: -(-85 * (a + b) // 185) - max(-(-85 * a // 100) - 1, -(-85 * b // 100) - 1)
+    linked = 0
+    for _ in range(400):
+        x = set(rng.sample(range(10_000), rng.choice([7, 40, 300])))
+        y = set(rng.sample(sorted(x), len(x) - rng.randint(0, len(x) // 8))) | set(rng.sample(range(10_000), rng.randint(0, len(x) // 9)))
+        if 100 * len(x & y) >= 85 * len(x | y):
+            linked += 1
+            firsts = [set(sorted(s)[: limit.prefix(len(s))]) for s in (x, y)]
+            assert len(firsts[0] & firsts[1]) >= need(len(x), len(y))
+    assert linked > 50
