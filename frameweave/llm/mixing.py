@@ -10,10 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from frameweave.llm.columns import shielded
@@ -21,15 +19,15 @@ from frameweave.llm.ranges import running_total
 from frameweave.plans.staging import materialise, small_side
 
 
-@F.arrow_udf(T.LongType())
-def _words(text: pa.Array) -> pa.Array:
-    # bytes.split() cuts at space and \t \n \v \f \r only, which is the definition of a word here
-    return pa.array([len(x.as_py().split()) if x.is_valid else 0 for x in text], pa.int64())
+_SPACES = " \t\n\v\f\r"
 
 
 def word_count(text: str | Column) -> Column:
     """Number of maximal runs without space and \\t..\\r; null and empty texts have 0."""
-    return _words((F.col(text) if isinstance(text, str) else text).cast("binary"))
+    text = F.col(text) if isinstance(text, str) else text
+    bare = F.btrim(text, F.lit(_SPACES))  # a text of spaces alone becomes empty
+    marks = F.regexp_replace(bare, r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+", "x")
+    return F.coalesce(F.length(marks), F.lit(0)).cast("long")
 
 
 def source_targets(
