@@ -6,16 +6,17 @@
    order. N-grams found in many texts come last in that order, so that shared passages seldom open
    a tile; the order only affects the work, not the result. Within an n-gram, classes are tiled by
    size bands, as sizes must not differ by more than the threshold.
-3. Bounds. The first n-grams that two sets share are counted over their tiles: with the rest of a
-   set they bound the overlap from above. Then bitmaps of hashed n-grams are compared, as long as the
-   set asks for: bits of one that the other lacks bound the overlap again. Pairs that cannot reach
-   the threshold go no further.
-4. Check. The sorted arrays of the remaining pairs are intersected exactly, in blocks of candidates
-   that lie close together.
-5. Components. Each class is first compared with the neighbour it shares most n-grams with, if these
-   are more than chance would give. Then only pairs from different components are taken up, which
-   leaves out the pairs inside a large group of near copies but no pair that could join two
-   components.
+3. Neighbours. Each class is first compared with the neighbour it shares most n-grams with, if these
+   are more than chance would give. What is linked then is a component; only pairs from different
+   components are taken up from here on, which leaves out no pair that could join two of them.
+4. Blocks. Each class has a home, its most frequent first n-gram. The classes of a home and size band
+   are cut into blocks, large components into blocks of their own, and a task takes the classes of two
+   blocks that meet in some n-gram. Tables hold classes per pair of blocks, never pairs of classes.
+5. Bounds. In a pair of blocks, the first n-grams that two sets share are counted: with the rest of a
+   set they bound the overlap from above. Then bitmaps of hashed n-grams are compared: bits of one
+   that the other lacks bound the overlap again. Classes without a pair that could reach the
+   threshold go no further.
+6. Check. The sorted arrays of the remaining classes of a pair of blocks are intersected exactly.
 """
 
 from __future__ import annotations
@@ -48,8 +49,12 @@ FREQUENT = 0.0008
 MAX_FREQUENT = 200_000
 #: Classes in a block whose candidates are checked together.
 FAMILY = 64
+#: Classes of a block in which components meet, and n-grams of all of them.
+BLOCK, BLOCK_NGRAMS = 512, 1 << 18
 #: N-grams that a task counts at once.
 _COUNTED = 2_000_000
+#: Cells of the matrices that a task multiplies at once, 4 bytes each.
+_CELLS = 1 << 22
 
 # ---- hashing ------------------------------------------------------------------------------------
 
@@ -150,21 +155,22 @@ class Threshold:
         """N-grams of a set of `n` of which any partner must have one among its own first ones."""
         return n - -(-self.num * n // self.den) + 1
 
-    def overlap(self, a: Column, b: Column) -> Column:
+    def overlap(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Least intersection of linked sets of these sizes."""
-        return F.ceil((self.num * (a + b)) / F.lit(self.num + self.den))
+        return -(-self.num * (a + b) // (self.num + self.den))
 
-    def rest(self, n: Column) -> Column:
-        """N-grams of a set of `n` beyond its first ones."""
-        return F.ceil(self.num * n / F.lit(self.den)) - 1
+    def rest(self, n):
+        """N-grams of a set of `n` beyond its first ones; of a column or of numbers."""
+        most = F.ceil(self.num * n / F.lit(self.den)) if isinstance(n, Column) else -(-self.num * n // self.den)
+        return most - 1
 
-    def shared(self, a: Column, b: Column) -> Column:
+    def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Least number of their first n-grams that linked sets of these sizes share.
 
         Take the set whose first n-grams end earlier in the order: those it shares at all are among
         the first ones of the other set too, so the overlap is at most their number and its rest.
         """
-        return self.overlap(a, b) - F.greatest(self.rest(a), self.rest(b))
+        return self.overlap(a, b) - np.maximum(self.rest(a), self.rest(b))
 
     def sizes_fit(self, small: Column, large: Column) -> Column:
         return small * self.den >= large * self.num
@@ -313,24 +319,49 @@ def intersection(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(y[at] == x))
 
 
-def most_overlap(n_a: Column, bits_a: Column, n_b: Column, bits_b: Column) -> Column:
-    """Upper bound of the intersection: each bit that only one side has is an n-gram of its own.
+def overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each array of `xs` with each of `ys`; arrays hold no repeats.
 
-    A bitmap twice as long as the other is folded first; the bound is not tried for other lengths.
+    What occurs on both sides is numbered, and the rows of zeros and ones over these numbers are
+    multiplied, some columns at a time.
     """
-
-    def folded(x: Column, y: Column) -> Column:
-        half = F.size(y)
-        both = F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseOR(v))
-        return F.when(F.size(x) == 2 * half, both).otherwise(x)
-
-    def lacking(x: Column, y: Column) -> Column:
-        each = F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v))))
-        return F.aggregate(each, F.lit(0), lambda total, c: total + c)
-
-    x, y = folded(bits_a, bits_b), folded(bits_b, bits_a)
-    bound = F.least(n_a - lacking(x, y), n_b - lacking(y, x))
-    return F.when(F.size(x) == F.size(y), bound).otherwise(F.least(n_a, n_b))
+    out = np.zeros((len(xs), len(ys)), np.int64)
+    both = np.intersect1d(np.concatenate(xs), np.concatenate(ys))
+    if not len(both):
+        return out
+
+    def numbered(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        values = np.concatenate(arrays)
+        rows = np.repeat(np.arange(len(arrays)), [len(x) for x in arrays])
+        at = np.minimum(np.searchsorted(both, values), len(both) - 1)
+        found = both[at] == values
+        order = np.argsort(at[found], kind="stable")
+        return at[found][order], rows[found][order]
+
+    sides = [numbered(xs), numbered(ys)]
+    step = max(1, _CELLS // (len(xs) + len(ys)))
+    for start in range(0, len(both), step):
+        ones = []
+        for (at, rows), size in zip(sides, out.shape):
+            cut = slice(*np.searchsorted(at, (start, start + step)))
+            m = np.zeros((size, min(step, len(both) - start)), np.float32)
+            m[rows[cut], at[cut] - start] = 1
+            ones.append(m)
+        out += (ones[0] @ ones[1].T).astype(np.int64)
+    return out
+
+
+def most_overlap(n_a: np.ndarray, bits_a: list[np.ndarray], n_b: np.ndarray, bits_b: list[np.ndarray]) -> np.ndarray:
+    """Upper bounds of the intersections: each bit that only one side has is an n-gram of its own.
+
+    Longer bitmaps are folded to the length of the shortest.
+    """
+    words = min(len(x) for x in bits_a + bits_b)
+    fold = lambda x: np.bitwise_or.reduce(x.view(np.uint64).reshape(-1, words), axis=0)
+    x, y = (np.array([fold(row) for row in side]) for side in (bits_a, bits_b))
+    common = np.array([np.bitwise_count(row & y).sum(axis=1, dtype=np.int64) for row in x])
+    own_x, own_y = (np.bitwise_count(side).sum(axis=1, dtype=np.int64) for side in (x, y))
+    return np.minimum((n_a - own_x)[:, None], (n_b - own_y)[None, :]) + common
 
 
 def _exact_links(k: int, limit: Threshold):
@@ -361,6 +392,119 @@ def _exact_links(k: int, limit: Threshold):
     return run
 
 
+class _Sides:
+    """The classes of two blocks, or of one, as index arrays `a` and `b` and the pairs `open` to a link."""
+
+    def __init__(self, table: pa.Table, limit: Threshold):
+        column = lambda c: table.column(c).to_numpy()
+        self.node, self.n, self.root, block = (column(c) for c in ("node", "n", "root", "block"))
+        self.n = self.n.astype(np.int64)
+        self.i, self.j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        self.a, self.b = np.flatnonzero(block == self.i), np.flatnonzero(block == self.j)
+        self.n_a, self.n_b = self.n[self.a][:, None], self.n[self.b][None, :]
+        fits = np.minimum(self.n_a, self.n_b) * limit.den >= np.maximum(self.n_a, self.n_b) * limit.num
+        self.open = fits & (self.root[self.a][:, None] != self.root[self.b][None, :])
+
+    def narrow(self) -> bool:
+        """Leave out classes without open pairs; false if none are left."""
+        rows, columns = self.open.any(axis=1), self.open.any(axis=0)
+        self.a, self.b, self.open = self.a[rows], self.b[columns], self.open[rows][:, columns]
+        self.n_a, self.n_b = self.n_a[rows], self.n_b[:, columns]
+        return self.open.size > 0
+
+
+def _bounded(limit: Threshold):
+    """Function over one pair of blocks: the classes with a pair that the bounds leave open."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sides = _Sides(table, limit)
+        array = lambda c, at: [table.column(c)[int(x)].values.to_numpy() for x in at]
+        left = sides.narrow()
+        if left:
+            met = overlaps(array("tokens", sides.a), array("tokens", sides.b))
+            sides.open &= met >= np.maximum(1, limit.shared(sides.n_a, sides.n_b))
+            left = sides.narrow()
+        if left:
+            most = most_overlap(sides.n_a[:, 0], array("bits", sides.a), sides.n_b[0], array("bits", sides.b))
+            sides.open &= most >= limit.overlap(sides.n_a, sides.n_b)
+            left = sides.narrow()
+        nodes = np.unique(sides.node[np.concatenate([sides.a, sides.b])]) if left else np.zeros(0, np.int64)
+        size = len(nodes)
+        return pa.table({"i": np.full(size, sides.i, np.int64), "j": np.full(size, sides.j, np.int64), "node": nodes})
+
+    return run
+
+
+def _joined(k: int, limit: Threshold):
+    """Function over one pair of blocks: links that join the components its linked pairs join."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sides, links = _Sides(table, limit), []
+        if sides.narrow():
+            kept = np.union1d(sides.a, sides.b)
+            sets = {int(x): shingles(zstandard.decompress(table.column("packed")[int(x)].as_py()), k) for x in kept}
+            both = overlaps([sets[int(x)] for x in sides.a], [sets[int(x)] for x in sides.b])
+            linked = sides.open & (both * limit.den >= (sides.n_a + sides.n_b - both) * limit.num)
+            x, y = np.nonzero(linked)
+            ends = np.unique(np.stack([sides.root[sides.a[x]], sides.root[sides.b[y]]], axis=1), axis=0)
+            above: dict[int, int] = {}
+
+            def top(node: int) -> int:
+                while node in above:
+                    above[node] = node = above.get(above[node], above[node])
+                return node
+
+            for a, b in ends.tolist():
+                u, v = top(a), top(b)
+                if u != v:
+                    above[max(u, v)] = min(u, v)
+                    links.append((a, b))
+        return pa.table({s: pa.array([e[at] for e in links], pa.int64()) for at, s in enumerate("ab")})
+
+    return run
+
+
+def _blocks(tiles: DataFrame) -> DataFrame:
+    """(node, n, root, block) of the classes in `tiles` (token, band, node, n, root)."""
+    found = materialise(tiles.groupBy("token").agg(F.count(F.lit(1)).alias("found")))
+    home = tiles.join(small_side(found), "token").groupBy("node", "n", "root", "band")
+    home = home.agg(F.max(F.struct("found", "token")).alias("home"))
+    home = materialise(home.withColumn("home", F.col("home.token")))
+    weight = F.greatest(F.count(F.lit(1)) / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_NGRAMS))
+    per = home.groupBy("home", "band", "root").agg(weight.alias("weight"))
+    per = per.withColumn("own", F.when(F.col("weight") >= 1, F.col("root")).otherwise(-1))
+    parts = per.groupBy("home", "band", "own").agg(F.ceil(F.sum("weight")).alias("parts"))
+    per = materialise(per.join(parts, ["home", "band", "own"]).drop("weight"))
+    part = F.pmod(F.xxhash64(F.when(F.col("own") < 0, F.col("root")).otherwise(F.col("node"))), F.col("parts"))
+    placed = home.join(small_side(per), ["home", "band", "root"])
+    return placed.select("node", "n", "root", F.xxhash64("home", "band", "own", part).alias("block"))
+
+
+def _links_across(
+    tiles: DataFrame, nodes: DataFrame, sets: DataFrame, docs: DataFrame, k: int, limit: Threshold, doc_id: str, text: str
+) -> DataFrame:
+    """Links (a, b) that join the components in `tiles` (token, band, node, n, root) wherever two of their classes link."""
+    placed = materialise(_blocks(tiles))
+    rows = materialise(tiles.join(small_side(placed.select("node", "block")), "node").select("token", "band", "node", "root", "block"))
+    cells = rows.groupBy("token", "band", "block").agg(F.min("root").alias("x"), F.max("root").alias("y"))
+    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
+    cells = cells.select("token", near, F.col("block").alias("other"), "x", "y")
+    meet = rows.join(cells, ["token", "band"]).where((F.col("x") != F.col("root")) | (F.col("y") != F.col("root")))
+    meet = meet.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node").distinct()
+    meet = materialise(meet)
+
+    def marked(node: DataFrame) -> DataFrame:
+        return materialise(nodes.join(small_side(node.select("node").distinct()), "node").select("node", "print", "min_id"))
+
+    first = sets.join(small_side(marked(meet).select("node", "print")), "print").select("node", "bits", "tokens")
+    first = materialise(first.dropDuplicates(["node"]).join(placed, "node"))
+    left = meet.join(first, "node").groupBy("i", "j").applyInArrow(_bounded(limit), "i long, j long, node long")
+    left = materialise(left)
+    packs = materialise(packed_texts(docs, marked(left), k, doc_id, text).dropDuplicates(["node"]).join(placed, "node"))
+    links = left.join(packs, "node").groupBy("i", "j").applyInArrow(_joined(k, limit), "a long, b long")
+    return materialise(links)
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, limit: Threshold, doc_id: str, text: str) -> DataFrame:
     """Links (a, b) among candidate pairs (a, b).
 
@@ -441,31 +585,13 @@ def _grouped(
     links = _verified(best, nodes, docs, k, limit, doc_id, text)
     roots = materialise(components(links))
 
-    # All other pairs of a tile that are not yet in one component.
+    # All other pairs of a tile that are not yet in one component, by blocks of classes.
     rooted = shared.join(small_side(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
     mixed = materialise(mixed)
     open_rows = rooted.join(small_side(mixed), "token")
     tiles = materialise(open_rows.withColumn("band", limit.band(F.col("n"))))
-    small = tiles.select("token", "band", *[F.col(c).alias(f"{c}_a") for c in ("n", "node", "root")])
-    large = tiles.select(
-        "token", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"),
-        *[F.col(c).alias(f"{c}_b") for c in ("n", "node", "root")],
-    )
-    n_a, n_b = F.col("n_a"), F.col("n_b")
-    first = (n_a < n_b) | ((n_a == n_b) & (F.col("node_a") < F.col("node_b")))
-    close = limit.sizes_fit(n_a, n_b) & (F.col("root_a") != F.col("root_b")) & first
-    across = small.join(large, ["token", "band"]).where(close)
-    across = across.groupBy("node_a", "n_a", "node_b", "n_b").agg(F.count(F.lit(1)).alias("met"))
-    across = materialise(across.where(F.col("met") >= limit.shared(n_a, n_b)).drop("met"))
-    ends = across.select(F.col("node_a").alias("node")).union(across.select(F.col("node_b").alias("node"))).distinct()
-    involved = materialise(ends.join(nodes, "node").select("node", "print"))
-    bits = materialise(sets.join(small_side(involved), "print").select("node", "bits").dropDuplicates(["node"]))
-    for side in ("a", "b"):
-        across = across.join(bits.select(F.col("node").alias(f"node_{side}"), F.col("bits").alias(f"bits_{side}")), f"node_{side}")
-    across = across.where(most_overlap(n_a, F.col("bits_a"), n_b, F.col("bits_b")) >= limit.overlap(n_a, n_b))
-    across = across.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-    links = links.union(_verified(across, nodes, docs, k, limit, doc_id, text))
+    links = links.union(_links_across(tiles, nodes, sets, docs, k, limit, doc_id, text))
     roots = materialise(components(links))
 
     named = nodes.join(small_side(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))

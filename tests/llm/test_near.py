@@ -65,6 +65,19 @@ def test_bound_holds():
         assert len(np.intersect1d(a, b)) <= len(a) - only
 
 
+def test_overlaps_of_many_arrays(monkeypatch):
+    monkeypatch.setattr(ngram_join, "_CELLS", 300)  # some columns at a time
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 1 << 62, 400, dtype=np.uint64)
+    xs, ys = ([np.unique(rng.choice(pool, n)) for n in sizes] for sizes in ((3, 90, 200), (1, 150, 260, 40)))
+    got = ngram_join.overlaps(xs, ys)
+    assert got.tolist() == [[len(np.intersect1d(x, y)) for y in ys] for x in xs]
+    assert ngram_join.overlaps(xs, [np.array([5], np.uint64)]).tolist() == [[0]] * 3
+    bits = [[ngram_join.bitmap(x) for x in side] for side in (xs, ys)]
+    n_a, n_b = (np.array([len(x) for x in side]) for side in (xs, ys))
+    assert (ngram_join.most_overlap(n_a, bits[0], n_b, bits[1]) >= got).all()
+
+
 def corpus():
     rng = random.Random(11)
     vocabulary = [f"w{i}" for i in range(3000)]
@@ -115,6 +128,50 @@ def test_large_group_of_near_copies(spark):
     assert got == {i: v[1] for i, v in want.items()}
 
 
+@pytest.mark.parametrize("block", [8, 512])
+def test_groups_below_the_threshold_meet_in_blocks(spark, monkeypatch, block):
+    """Texts between 0.6 and 0.9 alike: many share first n-grams, some link across blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(8)
+    rows = []
+    for group in range(2):
+        base = [f"w{group}_{rng.randrange(5000)}" for _ in range(220)]
+        for i in range(90):
+            words = list(base)
+            for _ in range(rng.choice([2, 6, 9, 12])):
+                words[rng.randrange(220)] = f"x{group}_{rng.randrange(60)}"
+            rows.append((len(rows), " ".join(words[: 220 - rng.randrange(25)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs, 4, 85, 100).collect()}
+    want, links = brute_groups(rows, 4, 85, 100)
+    assert got == {i: v[1] for i, v in want.items()}
+    assert 10 < len(set(got.values())) < 170
+
+
+def test_no_table_holds_pairs_of_classes(spark, monkeypatch):
+    """Classes that share first n-grams without a link are rows per pair of blocks."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(9000)}" for _ in range(200)]
+    rows = []
+    for i in range(700):
+        words = list(base)
+        for j in range(12):
+            words[rng.randrange(200)] = f"x{i}_{j}"
+        rows.append((i, " ".join(words)))
+    sizes, write = [], ngram_join.materialise
+
+    def counted(df):
+        out = write(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialise", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ngram_join.near_duplicates(docs, 4, 85, 100).agg({"component_id": "sum"}).first()[0]
+    assert got == sum(range(700))
+    assert max(sizes) <= 700 * 200  # first n-grams; pairs would be 244,650
+
+
 def test_ids_and_empty_tables(spark):
     text = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
     rows = [(None, text), (7, text), (7, text), (7, "other words here"), (3, text + " z1"), (None, "alone it is")]
