@@ -12,8 +12,8 @@
 4. Blocks. Each class has a home, its most frequent first n-gram. The classes of a home and size band
    are cut into blocks, large components into blocks of their own, and a task takes the classes of two
    blocks that meet in some n-gram. Tables hold classes per pair of blocks, never pairs of classes.
-5. Bounds. In a pair of blocks, the first n-grams that two sets share are counted: with the rest of a
-   set they bound the overlap from above. Then bitmaps of hashed n-grams are compared: bits of one
+5. Bounds. The first n-grams that a class shares with a block are counted: with the rest of a set
+   they bound the overlap from above. Then bitmaps of hashed n-grams are compared: bits of one
    that the other lacks bound the overlap again. Classes without a pair that could reach the
    threshold go no further.
 6. Check. The sorted arrays of the remaining classes of a pair of blocks are intersected exactly.
@@ -144,6 +144,11 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
+def _up(x, y: int):
+    """x / y rounded up, of a column or of numbers."""
+    return F.ceil(x / F.lit(y)) if isinstance(x, Column) else -(-x // y)
+
+
 @dataclass(frozen=True)
 class Threshold:
     """Two sets link when den * |intersection| >= num * |union|."""
@@ -155,22 +160,30 @@ class Threshold:
         """N-grams of a set of `n` of which any partner must have one among its own first ones."""
         return n - -(-self.num * n // self.den) + 1
 
-    def overlap(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Least intersection of linked sets of these sizes."""
-        return -(-self.num * (a + b) // (self.num + self.den))
+    def overlap(self, a, b):
+        """Least intersection of linked sets of these sizes, which are columns or numbers."""
+        return _up(self.num * (a + b), self.num + self.den)
 
     def rest(self, n):
-        """N-grams of a set of `n` beyond its first ones; of a column or of numbers."""
-        most = F.ceil(self.num * n / F.lit(self.den)) if isinstance(n, Column) else -(-self.num * n // self.den)
-        return most - 1
+        """N-grams of a set of `n` beyond its first ones."""
+        return _up(self.num * n, self.den) - 1
 
-    def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def shared(self, a, b):
         """Least number of their first n-grams that linked sets of these sizes share.
 
         Take the set whose first n-grams end earlier in the order: those it shares at all are among
         the first ones of the other set too, so the overlap is at most their number and its rest.
         """
-        return self.overlap(a, b) - np.maximum(self.rest(a), self.rest(b))
+        larger = F.greatest if isinstance(a, Column) else np.maximum
+        return self.overlap(a, b) - larger(self.rest(a), self.rest(b))
+
+    def shared_within(self, n: Column, least: Column, most: Column) -> Column:
+        """No more than `shared` of `n` and any size from `least` to `most`.
+
+        Up to `n`, the number grows with the other size; from there on it falls, but for rounding.
+        """
+        ends = F.least(self.shared(n, least), self.shared(n, most))
+        return F.when(least == most, ends).otherwise(ends - 1)
 
     def sizes_fit(self, small: Column, large: Column) -> Column:
         return small * self.den >= large * self.num
@@ -420,10 +433,6 @@ def _bounded(limit: Threshold):
         sides = _Sides(table, limit)
         array = lambda c, at: [table.column(c)[int(x)].values.to_numpy() for x in at]
         left = sides.narrow()
-        if left:
-            met = overlaps(array("tokens", sides.a), array("tokens", sides.b))
-            sides.open &= met >= np.maximum(1, limit.shared(sides.n_a, sides.n_b))
-            left = sides.narrow()
         if left:
             most = most_overlap(sides.n_a[:, 0], array("bits", sides.a), sides.n_b[0], array("bits", sides.b))
             sides.open &= most >= limit.overlap(sides.n_a, sides.n_b)
@@ -485,18 +494,29 @@ def _links_across(
 ) -> DataFrame:
     """Links (a, b) that join the components in `tiles` (token, band, node, n, root) wherever two of their classes link."""
     placed = materialise(_blocks(tiles))
-    rows = materialise(tiles.join(small_side(placed.select("node", "block")), "node").select("token", "band", "node", "root", "block"))
-    cells = rows.groupBy("token", "band", "block").agg(F.min("root").alias("x"), F.max("root").alias("y"))
+    rows = materialise(tiles.join(small_side(placed.select("node", "block")), "node"))
+    cells = rows.groupBy("token", "band", "block").agg(
+        F.min("root").alias("x"), F.max("root").alias("y"), F.min("n").alias("least"), F.max("n").alias("most")
+    )
     near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
-    cells = cells.select("token", near, F.col("block").alias("other"), "x", "y")
+    cells = cells.select("token", near, F.col("block").alias("other"), "x", "y", "least", "most")
     meet = rows.join(cells, ["token", "band"]).where((F.col("x") != F.col("root")) | (F.col("y") != F.col("root")))
-    meet = meet.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node").distinct()
+    # A class goes on if it shares as many first n-grams with the other block as sizes there ask for.
+    meet = meet.groupBy("block", "other", "node", "n").agg(
+        F.count(F.lit(1)).alias("met"), F.min("least").alias("least"), F.max("most").alias("most")
+    )
+    meet = meet.where(F.col("met") >= limit.shared_within(F.col("n"), F.col("least"), F.col("most")))
+    meet = meet.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block")
     meet = materialise(meet)
+    # Both blocks must have such classes, a block on its own two of them.
+    both = meet.groupBy("i", "j").agg(F.min("block").alias("x"), F.max("block").alias("y"), F.count(F.lit(1)).alias("c"))
+    both = materialise(both.where("c > 1 and x = i and y = j").select("i", "j"))
+    meet = materialise(meet.join(small_side(both), ["i", "j"]).select("i", "j", "node"))
 
     def marked(node: DataFrame) -> DataFrame:
         return materialise(nodes.join(small_side(node.select("node").distinct()), "node").select("node", "print", "min_id"))
 
-    first = sets.join(small_side(marked(meet).select("node", "print")), "print").select("node", "bits", "tokens")
+    first = sets.join(small_side(marked(meet).select("node", "print")), "print").select("node", "bits")
     first = materialise(first.dropDuplicates(["node"]).join(placed, "node"))
     left = meet.join(first, "node").groupBy("i", "j").applyInArrow(_bounded(limit), "i long, j long, node long")
     left = materialise(left)

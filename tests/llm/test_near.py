@@ -213,3 +213,17 @@ def test_shared_first_ngrams_of_linked_sets():
             firsts = [set(sorted(s)[: limit.prefix(len(s))]) for s in (x, y)]
             assert len(firsts[0] & firsts[1]) >= need(len(x), len(y))
     assert linked > 50
+
+
+@pytest.mark.parametrize("num,den", [(85, 100), (80, 100), (50, 100), (100, 100)])
+def test_shared_within_is_a_lower_bound(spark, num, den):
+    limit = ngram_join.Threshold(num, den)
+    rows = []
+    for n in [*range(1, 60), 333, 1000]:
+        sizes = range(-(-num * n // den), den * n // num + 1)
+        need = [int(limit.shared(np.int64(n), np.int64(m))) for m in sizes]
+        for x, y in ((0, len(sizes) - 1), (len(sizes) // 3, len(sizes) // 2), (len(sizes) // 2, len(sizes) - 1)):
+            rows.append((n, sizes[x], sizes[y], min(need[x : y + 1])))
+    table = spark.createDataFrame(rows, "n int, least int, most int, need int")
+    bound = limit.shared_within(*(ngram_join.F.col(c) for c in ("n", "least", "most")))
+    assert table.where(bound > ngram_join.F.col("need")).count() == 0
