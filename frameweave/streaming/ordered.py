@@ -24,90 +24,158 @@ from frameweave.operators.clustering import lloyd
 QUESTION, FRAME, TURN = 0, 1, 2
 
 
+#: Groups that the keys are dealt to by hash. A call of Python and a trip to the store cost far more than a
+#: row, so a processor is called for a group of keys. A checkpoint keeps the number it began with.
+GROUPS = 2048
+
+
 class InOrder(StatefulProcessor):
-    """Subclasses set `fields` (name: type of what a row holds after at and id) and define `apply`.
+    """Subclasses set `fields` (name: type of what a row holds after key, at and id), `held` (name: type of the
+    bounded state of a key) and `out` (the output's columns), and define `apply`.
 
-    `apply(key, rows)` gets the rows that have become final, as tuples (at, id, *fields) in order,
-    and yields output frames; `forget` clears what it holds.
+    `apply(key, rows, held)` gets the rows of a key that have become final, as tuples (at, id, *fields) in
+    order, and what the key holds, None at first; it returns what the key holds now and output rows as
+    tuples. What a key holds is read and written once a call. `drop` removes what else it keeps.
     """
 
     fields: dict[str, str] = {}
+    held: dict[str, str] = {}
+    out: tuple[str, ...] = ()
+    types: dict[str, str] = {}
 
     def __init__(self, idle: int | None = None):
         self.idle = idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        held = {"at": "long", "id": "long", **self.fields}
-        self.waiting = handle.getListState("waiting", ", ".join(map(" ".join, held.items())))
-        self.clock = handle.getValueState("clock", "timer long, last long")
+        waits = {"key": "long", "at": "long", "id": "long", **self.fields}
+        self.whole = [t in ("int", "long") for t in waits.values()]
+        self.waiting = handle.getListState("waiting", _schema(waits))
+        #: The group's timer, and a time that no key becomes idle before.
+        self.clock = handle.getValueState("clock", "timer long, idle long")
+        self.cells = handle.getMapState("cells", "key long", _schema({"last": "long", **self.held}))
         self.start(handle)
 
     def start(self, handle: StatefulProcessorHandle) -> None:
         """Further state of the subclass."""
 
-    def apply(self, key, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+    def apply(self, key, rows: list[tuple], held: tuple | None) -> tuple[tuple, list[tuple]]:
         raise NotImplementedError
 
-    def forget(self) -> None:
+    def drop(self, key, held: tuple) -> None:
         pass
 
-    def _wait_until(self, ms: int, last: int) -> None:
-        """One timer per key: the earlier of the given one and the one that is set."""
-        timer = self.clock.get()[0] if self.clock.exists() else None
-        if timer is not None and timer != ms:
-            self.handle.deleteTimer(timer)
-        if timer != ms:
-            self.handle.registerTimer(ms)
-        self.clock.update((ms, last))
+    def _wait(self, old: int | None, first: int | None, idle: int | None) -> None:
+        """One timer per group: the earlier of the first waiting row's and the idle one."""
+        times = [t for t in (first, idle) if t is not None]
+        timer = min(times) if times else None
+        if old is not None and old != timer:
+            self.handle.deleteTimer(old)
+        if timer is None:
+            self.clock.clear()
+            return
+        if old != timer:
+            self.handle.registerTimer(timer)
+        self.clock.update((timer, idle))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        names = ["key", "at", "id", *self.fields]
         new = [
-            tuple(_plain(v) for v in row)
+            tuple(int(v) if w and v is not None else v for v, w in zip(map(_plain, row), self.whole))
             for part in rows
-            for row in part[["at", "id", *self.fields]].itertuples(index=False, name=None)
+            for row in part[names].itertuples(index=False, name=None)
         ]
         if new:
             self.waiting.appendList(new)
-            first = math.ceil(min(r[0] for r in new) / 1000)
-            timer, last = self.clock.get() if self.clock.exists() else (None, 0)
-            idle_timer = timer is not None and self.idle is not None and timer == last // 1000 + self.idle
-            self._wait_until(first if timer is None or idle_timer else min(timer, first), last)
+            first = math.ceil(min(r[1] for r in new) / 1000)
+            timer, idle = self.clock.get() if self.clock.exists() else (None, None)
+            if timer is None or first < timer:
+                self._wait(timer, first, idle)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         reached = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(self.waiting.get(), key=_place) if self.waiting.exists() else []
-        ready = [r for r in rows if r[0] <= reached * 1000]
-        rest = rows[len(ready) :]
-        last = self.clock.get()[1] if self.clock.exists() else 0
+        ready: dict[int | None, list[tuple]] = {}
+        rest: list[tuple] = []
+        for row in self.waiting.get() if self.waiting.exists() else ():
+            if row[1] <= reached * 1000:
+                ready.setdefault(row[0], []).append(tuple(row[1:]))
+            else:
+                rest.append(tuple(row))
+        idle = self.clock.get()[1] if self.clock.exists() else None
+        made: list[tuple] = []
+        for one, rows in ready.items():
+            last = self._run(one, sorted(rows, key=_place), made)
+            if self.idle is not None:
+                idle = last // 1000 + self.idle if idle is None else min(idle, last // 1000 + self.idle)
+            if len(made) >= 10_000:
+                yield self._frame(made)
+                made = []
+        if made:
+            yield self._frame(made)
+        if ready or not rest:
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        if idle is not None and idle <= reached:
+            idle = self._sweep(reached, {r[0] for r in rest})
+        # The timer that has expired is gone.
+        self._wait(None, math.ceil(min(r[1] for r in rest) / 1000) if rest else None, idle)
+
+    def _run(self, key, rows: list[tuple], made: list[tuple]) -> int:
+        """Apply a key's rows; returns the time of its last one."""
+        cell = self.cells.getValue((key,))
+        last, held = (cell[0], tuple(cell[1:])) if cell is not None else (0, None)
         run: list[tuple] = []
-        for row in ready:
+
+        def flush():
+            nonlocal held
+            if run:
+                held, out = self.apply(key, run, held)
+                made.extend(out)
+
+        for row in rows:
             # A gap in event time ends what a key holds, wherever micro-batches are cut.
             if self.idle is not None and last and row[0] - last >= self.idle * 1000:
-                if run:
-                    yield from self.apply(key, run)
-                self.forget()
-                run = []
+                flush()
+                if held is not None:
+                    self.drop(key, held)
+                held, run = None, []
             run.append(row)
             last = max(last, row[0])
-        if run:
-            yield from self.apply(key, run)
-        if ready or not rest:
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        self.clock.update((None, last))
-        if rest:
-            self._wait_until(math.ceil(rest[0][0] / 1000), last)
-        elif self.idle is not None and last // 1000 + self.idle > reached:
-            self._wait_until(last // 1000 + self.idle, last)
-        elif self.idle is not None:
-            self.forget()
-            self.clock.clear()
+        flush()
+        self.cells.updateValue((key,), (last, *held))
+        return last
+
+    def _sweep(self, reached: int, waiting: set) -> int | None:
+        """Forget keys that got no rows for `idle`; returns when the next one may become idle."""
+        following = None
+        for one, cell in list(self.cells.iterator()):
+            until = cell[0] // 1000 + self.idle
+            if one[0] in waiting:
+                continue  # its rows come first, and set a new time
+            if until > reached:
+                following = until if following is None else min(following, until)
+            else:
+                self.drop(one[0], tuple(cell[1:]))
+                self.cells.removeKey((one[0],))
+        return following
+
+    def _frame(self, made: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(made, columns=list(self.out)).astype(self.types)
 
     def close(self) -> None:
         pass
 
 
+def _schema(columns: dict[str, str]) -> str:
+    return ", ".join(map(" ".join, columns.items()))
+
+
+def _grouped(rows: DataFrame, key: str, groups: int) -> DataFrame:
+    """`key` as `key`, and the group it is dealt to. Rows without a key have a group of their own."""
+    dealt = F.when(F.col(key).isNotNull(), F.pmod(F.xxhash64(key), F.lit(groups))).otherwise(F.lit(-1))
+    return rows.withColumns({"key": F.col(key), "_group": dealt.cast("long")})
+
+
 def _plain(v):
     """Values as the state encoder takes them: Python numbers, lists and None."""
     if isinstance(v, np.ndarray):
@@ -121,12 +189,13 @@ def _place(row: tuple) -> tuple:
     return row[:3] if len(row) > 2 and isinstance(row[2], int) else row[:2]
 
 
-def apply_in_order(rows: DataFrame, key: str, processor: InOrder, schema: str, late: str) -> DataFrame:
+def apply_in_order(rows: DataFrame, key: str, processor: InOrder, schema: str, late: str, groups: int = GROUPS) -> DataFrame:
     """`rows` (ts timestamp, id long, `key` and the processor's fields) through a processor; rows more than
     `late` behind the newest are dropped.
     """
-    timed = rows.withWatermark("ts", late).withColumn("at", F.unix_micros("ts"))
-    return timed.groupBy(key).transformWithStateInPandas(processor, schema, "Append", "eventTime")
+    timed = _grouped(rows.withWatermark("ts", late).withColumn("at", F.unix_micros("ts")), key, groups)
+    timed = timed.select("_group", "key", "ts", "at", "id", *processor.fields)
+    return timed.groupBy("_group").transformWithStateInPandas(processor, schema, "Append", "eventTime")
 
 
 def draw(seed: int, *ids) -> float:
@@ -163,6 +232,8 @@ class OrderedGate(InOrder):
     """Frames that differ from the frame before them; the twin of `operators.memory.change_gate`."""
 
     fields = {"vector": "array<double>"}
+    held = {"before": "array<double>"}
+    out = ("stream", "id", "at")
 
     def __init__(self, threshold: float, distance: str = "l2", idle: int | None = None):
         super().__init__(idle)
@@ -170,23 +241,15 @@ class OrderedGate(InOrder):
             raise ValueError(f"unknown distance {distance!r}")
         self.threshold, self.distance = threshold, distance
 
-    def start(self, handle) -> None:
-        self.before = handle.getValueState("before", "vector array<double>")
-
-    def forget(self) -> None:
-        self.before.clear()
-
-    def apply(self, key, rows):
-        before = np.array(self.before.get()[0]) if self.before.exists() else None
+    def apply(self, key, rows, held):
+        before = np.array(held[0]) if held is not None else None
         kept = []
         for at, i, vector in rows:
             vector = np.array(vector)
             if before is None or MOVED[self.distance](before, vector, self.threshold):
-                kept.append((key[0], i, at))
+                kept.append((key, i, at))
             before = vector
-        self.before.update((before.tolist(),))
-        if kept:
-            yield pd.DataFrame(kept, columns=["stream", "id", "at"])
+        return (before.tolist(),), kept
 
 
 def gate_in_order(frames: DataFrame, threshold: float, distance: str = "l2", late: str = "10 minutes", idle: int | None = None) -> DataFrame:
@@ -200,17 +263,12 @@ def gate_in_order(frames: DataFrame, threshold: float, distance: str = "l2", lat
 class OrderedRecalls(InOrder):
     """One row per recall: the memory's strength and last recall after it. Strength starts at 1."""
 
-    def start(self, handle) -> None:
-        self.strength = handle.getValueState("strength", "n long")
-
-    def forget(self) -> None:
-        self.strength.clear()
+    held = {"n": "long"}
+    out = ("memory_id", "id", "strength", "at")
 
-    def apply(self, key, rows):
-        n = self.strength.get()[0] if self.strength.exists() else 1
-        out = [(key[0], i, n + j, at) for j, (at, i) in enumerate(rows, 1)]
-        self.strength.update((n + len(rows),))
-        yield pd.DataFrame(out, columns=["memory_id", "id", "strength", "at"])
+    def apply(self, key, rows, held):
+        n = held[0] if held is not None else 1
+        return (n + len(rows),), [(key, i, n + j, at) for j, (at, i) in enumerate(rows, 1)]
 
 
 def recalls_in_order(recalls: DataFrame, late: str = "10 minutes", idle: int | None = None) -> DataFrame:
@@ -229,11 +287,10 @@ class Window:
             raise ValueError(f"unknown mode {mode!r}")
         self.width, self.remember, self.tau, self.seed, self.mode = width, remember, tau, seed, mode
 
-    def open(self, handle) -> None:
-        self.state = handle.getValueState("window", "seen long, rows array<struct<id:long,text:string>>")
+    held = {"seen": "long", "window": "array<struct<id:long,text:string>>"}
 
-    def load(self) -> None:
-        seen, rows = self.state.get() if self.state.exists() else (0, [])
+    def load(self, held: tuple | None) -> None:
+        seen, rows = held if held is not None else (0, [])
         self.seen, self.rows = seen, [tuple(r) for r in rows]
 
     def add(self, i: int, text: str | None) -> None:
@@ -241,8 +298,8 @@ class Window:
         self.seen += 1
         del self.rows[: -self.width]
 
-    def save(self) -> None:
-        self.state.update((self.seen, self.rows))
+    def save(self) -> tuple:
+        return self.seen, self.rows
 
     def chosen(self, *ids) -> list[tuple]:
         """(seq, id, text) of at most `remember` frames by retention weight, oldest first; `ids` seed the draw."""
@@ -268,26 +325,31 @@ class Nodes:
             raise ValueError("interval must be at least 2")
         self.chunk, self.interval, self.k, self.summarise, self.seed = chunk, interval, k, summarise, seed
 
+    held = {"leaves": "long", "open": "array<struct<vector:array<double>,text:string>>"}
+
     def open(self, handle) -> None:
-        self.ends = handle.getValueState("ends", "leaves long, rows array<struct<vector:array<double>,text:string>>")
-        self.nodes = handle.getMapState("nodes", "depth int, seq long", "vector array<double>, centroids array<array<double>>, text string")
+        self.nodes = handle.getMapState("nodes", "key long, depth int, seq long", "vector array<double>, centroids array<array<double>>, text string")
 
-    def load(self) -> None:
-        leaves, rows = self.ends.get() if self.ends.exists() else (0, [])
+    def load(self, key, held: tuple | None) -> None:
+        self.key = key
+        leaves, rows = held if held is not None else (0, [])
         self.leaves, self.rows = leaves, [(np.array(r[0]), r[1]) for r in rows]
         self.near: dict[tuple, tuple] = {}
 
-    def save(self) -> None:
-        self.ends.update((self.leaves, [(v.tolist(), t) for v, t in self.rows]))
+    def save(self) -> tuple:
+        return self.leaves, [(v.tolist(), t) for v, t in self.rows]
 
-    def forget(self) -> None:
-        self.ends.clear()
-        self.nodes.clear()
+    def drop(self, key, leaves: int) -> None:
+        depth, count = 0, leaves
+        while count:
+            for seq in range(count):
+                self.nodes.removeKey((key, depth, seq))
+            depth, count = depth + 1, count // self.interval
 
     def get(self, depth: int, seq: int) -> tuple:
         """(vector, centroids, text) of a node; each is read from the store once per call."""
         if (depth, seq) not in self.near:
-            vector, centroids, text = self.nodes.getValue((depth, seq))
+            vector, centroids, text = self.nodes.getValue((self.key, depth, seq))
             self.near[depth, seq] = np.array(vector), [list(c) for c in centroids], text
         return self.near[depth, seq]
 
@@ -307,7 +369,7 @@ class Nodes:
             order = np.random.default_rng(self.seed).permutation(len(x))
             centroids = lloyd(x, np.ones(len(x)), order, self.k)[0].tolist()
         self.near[depth, seq] = mean, centroids, text
-        self.nodes.updateValue((depth, seq), (mean.tolist(), centroids, text))
+        self.nodes.updateValue((self.key, depth, seq), (mean.tolist(), centroids, text))
         return depth, seq, mean.tolist(), centroids, text
 
     def add(self, vector: np.ndarray, text: str | None) -> list[tuple]:
@@ -359,6 +421,9 @@ class MemoryForest(InOrder):
     """Node rows with centroids and text, as they are closed."""
 
     fields = {"vector": "array<double>", "text": "string"}
+    held = Nodes.held
+    out = ("stream", "depth", "seq", "vector", "centroids", "text")
+    types = {"depth": "int32"}
 
     def __init__(self, forest: Nodes, idle: int | None = None):
         super().__init__(idle)
@@ -367,15 +432,13 @@ class MemoryForest(InOrder):
     def start(self, handle) -> None:
         self.forest.open(handle)
 
-    def forget(self) -> None:
-        self.forest.forget()
+    def drop(self, key, held) -> None:
+        self.forest.drop(key, held[0])
 
-    def apply(self, key, rows):
-        self.forest.load()
-        made = [(key[0], *n) for _, _, vector, text in rows for n in self.forest.add(vector, text)]
-        self.forest.save()
-        if made:
-            yield pd.DataFrame(made, columns=["stream", "depth", "seq", "vector", "centroids", "text"]).astype({"depth": "int32"})
+    def apply(self, key, rows, held):
+        self.forest.load(key, held)
+        made = [(key, *n) for _, _, vector, text in rows for n in self.forest.add(vector, text)]
+        return self.forest.save(), made
 
 
 FOREST_SCHEMA = "stream long, depth int, seq long, vector array<double>, centroids array<array<double>>, text string"
@@ -393,28 +456,22 @@ class ShortMemory(InOrder):
     """At each question what the short memory holds: a weighted draw from the last frames before it."""
 
     fields = {"kind": "int", "text": "string"}
+    held = Window.held
+    out = ("stream", "query_id", "seq", "id", "text")
 
     def __init__(self, window: Window, idle: int | None = None):
         super().__init__(idle)
         self.window = window
 
-    def start(self, handle) -> None:
-        self.window.open(handle)
-
-    def forget(self) -> None:
-        self.window.state.clear()
-
-    def apply(self, key, rows):
-        self.window.load()
+    def apply(self, key, rows, held):
+        self.window.load(held)
         out = []
         for _, i, kind, text in rows:
             if kind == FRAME:
                 self.window.add(i, text)
             else:
-                out += [(key[0], i, *chosen) for chosen in self.window.chosen(i)]
-        self.window.save()
-        if out:
-            yield pd.DataFrame(out, columns=["stream", "query_id", "seq", "id", "text"])
+                out += [(key, i, *chosen) for chosen in self.window.chosen(i)]
+        return self.window.save(), out
 
 
 def short_memory_in_order(
@@ -426,6 +483,10 @@ def short_memory_in_order(
     return apply_in_order(rows, "stream", processor, "stream long, query_id long, seq long, id long, text string", late)
 
 
+#: Turns of a stream that are stored and read together.
+PAGE_TURNS = 64
+
+
 class StreamAnswers(InOrder):
     """Questions answered where they stand in the stream, from all memories that it has by then.
 
@@ -435,11 +496,14 @@ class StreamAnswers(InOrder):
       draws from the window, descends the forest, and gets an answer from these texts in this order,
       the finest last. Question and answer are then stored as a turn, so later questions find them.
 
-    The window and a forest's open chunk are bounded; nodes and turns stay in the store until the
+    The window and a forest's open chunk are bounded; nodes and pages of turns stay in the store until the
     stream has been idle, are read by key, and a question reads a node per child on its path.
     """
 
     fields = {"kind": "int", "vector": "array<double>", "text": "string"}
+    held = {**Window.held, **Nodes.held, "since": "long", "said": "long"}
+    out = ("stream", "query_id", "place", "kind", "depth", "item", "text")
+    types = {"place": "int32", "depth": "Int32"}
 
     def __init__(
         self, window: Window, forest: Nodes, every: int = 1, recall: int = 3, radius: int = 0, score: str = "cosine",
@@ -450,15 +514,13 @@ class StreamAnswers(InOrder):
         self.score, self.answer = score, answer or finest
 
     def start(self, handle) -> None:
-        self.window.open(handle)
         self.forest.open(handle)
-        self.turns = handle.getListState("turns", "id long, vector array<double>, text string")
-        self.since = handle.getValueState("since", "n long")
+        self.turns = handle.getMapState("turns", "key long, page long", "rows array<struct<id:long,vector:array<double>,text:string>>")
 
-    def forget(self) -> None:
-        for state in (self.window.state, self.turns, self.since):
-            state.clear()
-        self.forest.forget()
+    def drop(self, key, held) -> None:
+        self.forest.drop(key, held[2])
+        for page in range(-(-held[5] // PAGE_TURNS)):
+            self.turns.removeKey((key, page))
 
     def _recalled(self, turns: list[tuple], query: np.ndarray) -> list[tuple]:
         """Turns near the question, in the order they were said."""
@@ -469,11 +531,12 @@ class StreamAnswers(InOrder):
         places = {p for h in hits.tolist() for p in range(h - self.radius, h + self.radius + 1)}
         return [turns[p] for p in sorted(places) if 0 <= p < len(turns)]
 
-    def apply(self, key, rows):
-        self.window.load()
-        self.forest.load()
-        turns = [(t[0], np.array(t[1]), t[2]) for t in self.turns.get()] if self.turns.exists() else []
-        known, since = len(turns), self.since.get()[0] if self.since.exists() else 0
+    def apply(self, key, rows, held):
+        self.window.load(held[:2] if held is not None else None)
+        self.forest.load(key, held[2:4] if held is not None else None)
+        since, known = held[4:] if held is not None else (0, 0)
+        pages = [self.turns.getValue((key, page))[0] for page in range(-(-known // PAGE_TURNS))]
+        turns = [(t[0], np.array(t[1]), t[2]) for page in pages for t in page]
         out = []
         for _, i, kind, vector, text in rows:
             vector = np.array(vector, float)
@@ -489,17 +552,13 @@ class StreamAnswers(InOrder):
                 context += [("short", None, str(seq), t) for seq, _, t in self.window.chosen(i)]
                 context += [("tree", d, f"{d}:{s}", t) for d, s, t in self.forest.descend(vector, SCORES[self.score])]
                 said = self.answer(text, [c[-1] for c in context])
-                out += [(key[0], i, place, *c) for place, c in enumerate([*context, ("answer", None, str(i), said)])]
+                out += [(key, i, place, *c) for place, c in enumerate([*context, ("answer", None, str(i), said)])]
                 text = "\n".join(t for t in (text, said) if t is not None)
             turns.append((i, vector, text))
-        self.window.save()
-        self.forest.save()
-        self.since.update((since,))
-        if len(turns) > known:
-            self.turns.appendList([(i, v.tolist(), t) for i, v, t in turns[known:]])
-        if out:
-            frame = pd.DataFrame(out, columns=["stream", "query_id", "place", "kind", "depth", "item", "text"])
-            yield frame.astype({"place": "int32", "depth": "Int32"})
+        for page in range(known // PAGE_TURNS, -(-len(turns) // PAGE_TURNS)) if len(turns) > known else ():
+            part = turns[page * PAGE_TURNS : (page + 1) * PAGE_TURNS]
+            self.turns.updateValue((key, page), ([(i, v.tolist(), t) for i, v, t in part],))
+        return (*self.window.save(), *self.forest.save(), since, len(turns)), out
 
 
 def finest(question: str | None, texts: Sequence[str | None]) -> str | None:
@@ -537,27 +596,39 @@ class RewardBuffer(StatefulProcessor):
         self.size = size
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "rewards array<double>")
+        self.last = handle.getMapState("last", "key long", "rewards array<double>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(rows)).sort_values(["batch", "id"], ignore_index=True)
-        last = list(self.last.get()[0]) if self.last.exists() else []
-        for batch, part in rows.groupby("batch", sort=True):
-            last = (last + part["reward"].tolist())[-self.size :]
-            yield pd.DataFrame(
-                {"prompt": key[0], "batch": batch, "id": part["id"], "reward": part["reward"],
-                 "known": len(last), "mean": np.mean(last), "std": np.std(last)}
-            )
-        self.last.update((last,))
+        rows = pd.concat(list(rows)).sort_values(["key", "batch", "id"], ignore_index=True)
+        prompts = rows["key"].tolist()
+        batches, rewards = rows["batch"].to_numpy(), rows["reward"].tolist()
+        new = np.flatnonzero((rows["key"].ne(rows["key"].shift()) | rows["batch"].ne(rows["batch"].shift())).to_numpy())
+        if pd.isna(prompts[0]):  # rows without a key are a group of their own
+            prompts, new = [None] * len(rows), np.flatnonzero(rows["batch"].ne(rows["batch"].shift()).to_numpy())
+        ends = [*new[1:].tolist(), len(rows)]
+        known, mean, std = np.empty(len(rows), np.int64), np.empty(len(rows)), np.empty(len(rows))
+        for a, b in zip(new.tolist(), ends):
+            if a == 0 or prompts[a] != prompts[a - 1]:
+                prompt = prompts[a]
+                cell = self.last.getValue((prompt,))
+                last = list(cell[0]) if cell is not None else []
+            last = (last + rewards[a:b])[-self.size :]
+            known[a:b], mean[a:b], std[a:b] = len(last), np.mean(last), np.std(last)
+            if b == len(rows) or prompts[b] != prompt:
+                self.last.updateValue((prompt,), (last,))
+        yield pd.DataFrame(
+            {"prompt": prompts, "batch": batches, "id": rows["id"], "reward": rows["reward"], "known": known, "mean": mean, "std": std}
+        )
 
     def close(self) -> None:
         pass
 
 
-def buffered_rewards(rewards: DataFrame, size: int) -> DataFrame:
+def buffered_rewards(rewards: DataFrame, size: int, groups: int = GROUPS) -> DataFrame:
     """`rewards` (prompt long, batch long, id long, reward double) with the buffer's known, mean and std."""
     schema = "prompt long, batch long, id long, reward double, known long, mean double, std double"
-    return rewards.groupBy("prompt").transformWithStateInPandas(RewardBuffer(size), schema, "Append", "None")
+    dealt = _grouped(rewards, "prompt", groups).select("_group", "key", "batch", "id", "reward")
+    return dealt.groupBy("_group").transformWithStateInPandas(RewardBuffer(size), schema, "Append", "None")
 
 
 def batch_advantage(buffered: DataFrame, min_count: int) -> DataFrame:

@@ -126,7 +126,8 @@ def dialogue_sink(df: DataFrame, folder: str, checkpoint: str, keys: list[str],
 def staged_files(rows: DataFrame, order: list[str], files: int, ts: str = "ts", late: str = "10 minutes") -> str:
     """Write `rows` as `files` files in the order of `order`, and a last file with one row of nulls whose
     time lies beyond `late`, which makes all others final. Returns a pattern for `read_frames`, to be
-    read one file per trigger. A file is sorted by one task, so large tables take more of them.
+    read one file per trigger. All tasks read for a file, one sorts it, so
+    large tables take more of them.
     """
     spark, folder = rows.sparkSession, f"{staging_root(rows.sparkSession)}/feed-{uuid.uuid4().hex}"
     shares = [i / files for i in range(1, files)]
@@ -135,7 +136,7 @@ def staged_files(rows: DataFrame, order: list[str], files: int, ts: str = "ts",
     for i, (a, b) in enumerate(zip(edges, edges[1:])):
         at = F.unix_micros(ts)
         inside = (F.lit(True) if a is None else at > a) & (F.lit(True) if b is None else at <= b)
-        rows.where(inside).coalesce(1).sortWithinPartitions(*order).write.parquet(f"{folder}/{i:04d}")
+        rows.where(inside).repartition(1).sortWithinPartitions(*order).write.parquet(f"{folder}/{i:04d}")
     end = rows.agg((F.max(ts) + F.expr(f"INTERVAL {late}") + F.expr("INTERVAL 1 SECOND")).alias(ts))
     names = [F.col(ts) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]
     end.select(*names).coalesce(1).write.parquet(f"{folder}/{files:04d}")

@@ -236,3 +236,20 @@ def test_advantage_equals_the_batch_form(spark, tmp_path):
         want = prompt_advantage(spark.createDataFrame(rows, schema), "prompt", "batch", ["id"], "reward", 8, 5).collect()
         assert len(got) == len(want) == 180
         assert all(abs(got[r.id] - r.advantage) < 1e-6 for r in want)
+
+
+def test_keys_of_a_group_do_not_meet(spark, tmp_path):
+    """Keys are dealt to few groups; what each of them gives is the same for one group and for many."""
+    rows = [(None if r[1] % 23 == 0 else r[1] % 19, *r[1:]) for r in ROWS]
+    results = []
+    for groups in (1, 64):
+        def job(r, groups=groups):
+            return O.apply_in_order(r, "stream", O.OrderedGate(1.5), "stream long, id long, at long", "10 minutes", groups=groups)
+
+        results.append(run(spark, tmp_path / str(groups), [*cut(shaken(rows), 2), end()], job)[0])
+    before, want = {}, 0
+    for r in sorted(rows, key=lambda r: (r[2], r[1])):
+        last = before.get(r[0])
+        want += last is None or float(np.linalg.norm(np.array(last) - np.array(r[4]))) > 1.5
+        before[r[0]] = r[4]
+    assert results[0] == results[1] and len(results[0]) == want
