@@ -180,12 +180,28 @@ def uncovered(have: Column, wanted: Column) -> Column:
     )
 
 
-def uncovered_counts(have: DataFrame, wanted: DataFrame, keys: Sequence[str], item: str, n: str) -> DataFrame:
-    """Rows of `wanted` (keys, item, n) whose item `have` lacks under the same keys; items are compared as they are.
+def compared_items(rows: DataFrame, key: str, ours: Column, theirs: Column) -> DataFrame:
+    """(key, n_a, n_b, missed, invented): items of the arrays `ours` and `theirs` of a row, and those that only one has.
 
-    One hashed anti join, linear in both sides however many items a key has.
+    `key` is unique. Rows partitioned by it stay where they are: items are counted by (key, item), which is
+    linear in the arrays, and neither count needs a shuffle of its own.
     """
-    return wanted.join(have.select(*keys, item).distinct(), [*keys, item], "left_anti").select(*keys, item, n)
+
+    def marked(items: Column, side: int) -> Column:
+        items = F.coalesce(items, F.array().cast("array<string>"))
+        return F.transform(items, lambda x: F.struct(F.lit(side).alias("b"), x.alias("w")))
+
+    # An item that no array has keeps rows without any.
+    start = F.array(F.struct(F.lit(0).alias("b"), F.lit(None).cast("string").alias("w")))
+    items = rows.select(key, F.explode(F.concat(start, marked(ours, 0), marked(theirs, 1))).alias("_i")).select(key, F.col("_i.b").alias("_b"), F.col("_i.w").alias("_w"))
+    seen = F.col("_w").isNotNull()
+    counts = items.groupBy(key, "_w").agg(F.count_if(seen & (F.col("_b") == 0)).alias("_x"), F.count_if(seen & (F.col("_b") == 1)).alias("_y"))
+    return counts.groupBy(key).agg(
+        F.sum("_x").alias("n_a"),
+        F.sum("_y").alias("n_b"),
+        F.sum(F.when(F.col("_x") == 0, F.col("_y")).otherwise(0)).alias("missed"),
+        F.sum(F.when(F.col("_y") == 0, F.col("_x")).otherwise(0)).alias("invented"),
+    )
 
 
 def shard_ranges(shards: DataFrame, order: Sequence[str], n: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from frameweave.operators import joining as J
 from frameweave.plans.ordering import order_rows
-from frameweave.plans.staging import materialise, small_side
+from frameweave.plans.staging import small_side
 from frameweave.suite.registry import query
 
 
@@ -253,25 +253,27 @@ WITH p AS (SELECT doc_id, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER
 """
 
 
+#: Text of a task that counts the words of documents and of their partners; as rows, words take ten times that.
+TEXT_BYTES = 8 << 20
+
+
 def compared_words(t):
     """(doc_id, n_a, n_b, missed, invented): words of each document and of its partner, and those that only one has."""
     w = order_rows(t.documents.select("source", "doc_id"), ["source"], ["doc_id"]).shift(-1, other="doc_id").df
     first = t.documents.groupBy("source").agg(F.min("doc_id").alias("first"))
     pairs = w.join(small_side(first), w["source"].eqNullSafe(first["source"])).select("doc_id", F.coalesce("other", "first").alias("other"))
-    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != "")
-    # Counted before they are shuffled.
-    own = materialise(t.documents.select("doc_id", F.explode(words).alias("w")).groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("n")))
-    other = own.withColumnRenamed("doc_id", "other").join(pairs, "other").select("doc_id", "w", "n")
-    sides = {
-        "n_a": own, "n_b": other,
-        "missed": J.uncovered_counts(own, other, ["doc_id"], "w", "n"), "invented": J.uncovered_counts(other, own, ["doc_id"], "w", "n"),
-    }
-    parts = [df.select("doc_id", F.lit(name).alias("side"), "n") for name, df in sides.items()]
-    sums = parts[0].union(parts[1]).union(parts[2]).union(parts[3]).groupBy("doc_id").agg(
-        *[F.coalesce(F.sum(F.when(F.col("side") == name, F.col("n"))), F.lit(0)).alias(name) for name in sides]
-    )
-    none = {name: 0 for name in sides}
-    return t.documents.select("doc_id").join(sums, "doc_id", "left").na.fill(none)
+    texts = t.documents.select("doc_id", "text")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(t.spark.sparkContext.defaultParallelism, size // TEXT_BYTES)
+    # Texts are shuffled, once to their own id and once to the document they are the partner of, and cut into
+    # words where they meet, so no word is shuffled.
+    theirs = texts.withColumnRenamed("doc_id", "other").join(pairs, "other").select("doc_id", F.col("text").alias("their_text"))
+    met = texts.repartition(tasks, "doc_id").join(theirs.repartition(tasks, "doc_id").hint("merge"), "doc_id", "left")
+    return J.compared_items(met, "doc_id", _words("text"), _words("their_text"))
+
+
+def _words(c):
+    return F.filter(F.split(F.lower(c), "[^a-z]+"), lambda x: x != "")
 
 
 @query(

@@ -2,6 +2,9 @@
 
 from types import SimpleNamespace
 
+from pyspark.sql import functions as F
+
+from frameweave.operators import joining as J
 from frameweave.suite import joins
 
 
@@ -14,3 +17,14 @@ def test_review_display_of_long_conversations(spark):
     )
     got = sorted((r.qid, r.turn, r.question_chars, r.answer_chars) for r in joins.review_display(t).collect())
     assert got == [(1000, 0, 1, 2), (2000, 0, 5, 6), (2000, 2000, 3, 4)]
+
+
+def test_compared_items_shuffle_no_items(spark):
+    rows = spark.createDataFrame(
+        [(1, ["a", "b", "a"], ["b", "c", "c"]), (2, [], ["x"]), (3, ["y"], None), (4, None, None)], "id long, a array<string>, b array<string>"
+    ).repartition(3, "id")
+    out = J.compared_items(rows, "id", F.col("a"), F.col("b"))
+    got = {r.id: (r.n_a, r.n_b, r.missed, r.invented) for r in out.collect()}
+    assert got == {1: (3, 3, 2, 2), 2: (0, 1, 1, 0), 3: (1, 0, 0, 1), 4: (0, 0, 0, 0)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("Exchange") == 1  # the one made above
