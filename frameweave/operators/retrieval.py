@@ -17,6 +17,9 @@ from frameweave.plans.staging import materialise
 # Bytes of vectors that one side may bring to a task.
 BLOCK_BYTES = 64 << 20
 
+# Bytes of text that one task cuts into words.
+TEXT_BYTES = 8 << 20
+
 METRICS = ("l1", "l2", "lp", "cosine", "dot")
 # Queries and rows of one tile of scores.
 QUERY_TILE, ROW_TILE = 1024, 4096
@@ -304,9 +307,12 @@ def hashed_vectors(df: DataFrame, row_id: str, text: str, dim: int = 64, out: st
     """Signed feature hashing of the words of a text to a unit vector; a stand-in for a model.
 
     Words are counted per (row, slot), so a long text costs one small row per slot and not an
-    array update per word. A text without words gives the zero vector.
+    array update per word. A text without words gives the zero vector. Texts are dealt to tasks of
+    some `TEXT_BYTES` before they are cut, so words are counted where they are and not shuffled.
     """
-    tokens = df.select(
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, size // TEXT_BYTES)
+    tokens = df.select(row_id, text).repartition(tasks, row_id).select(
         row_id, F.explode(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")).alias("_w")
     )
     # A word is hashed once per row it occurs in, however often it is repeated there.

@@ -19,9 +19,11 @@ from pyspark.sql.window import Window
 
 from frameweave.plans.staging import materialise, row_bytes
 
-# Rows and bytes of one group that a single task may sort in a window.
+# Rows and bytes of one group that a single task may sort in a window. Without keys the group is the
+# whole table, which other tasks could share, so fewer rows are left to one.
 GROUP_ROWS = 1_000_000
-GROUP_BYTES = 512 << 20
+GROUP_BYTES = 64 << 20
+TABLE_ROWS = 20_000
 
 
 def as_columns(order: Sequence[str | Column]) -> list[Column]:
@@ -204,7 +206,7 @@ def order_rows(
     """Number rows from 0 within `keys` by the total order `order`; `size` adds the group count."""
     keys, order = tuple(keys), as_columns(order)
     rows, width = group_extent(df, keys)
-    group_rows = rows_per_task(group_rows, rows, width)
+    group_rows = rows_per_task(group_rows if keys else min(group_rows, TABLE_ROWS), rows, width)
     if rows <= group_rows:
         whole = Window.partitionBy(*keys)
         out = df.withColumn(seq, F.row_number().over(whole.orderBy(*order)).cast("long") - 1)

@@ -219,3 +219,12 @@ def test_widen_hits_by_hand(spark):
     assert got == [0, 2, 3, 4, 5]
     passages = R.merge_passages(R.widen_hits(hits, docs, 3, 60), docs).orderBy("first").collect()
     assert [(p["first"], p["last"], len(p.content)) for p in passages] == [(0, 0, 5), (2, 5, 25)]
+
+
+def test_hashed_vectors_shuffle_no_words(spark):
+    rows = spark.createDataFrame([(1, "a b a"), (2, None), (3, "")], "id long, text string")
+    out = R.hashed_vectors(rows, "id", "text", 8)
+    got = {r.id: r.vector for r in out.collect()}
+    assert sum(v * v for v in got[1]) == pytest.approx(1) and got[2] == got[3] == [0.0] * 8
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning(id") <= 2  # texts, and ids for those without words
