@@ -298,9 +298,9 @@ def pad_batches(
     max_length: int | None = None,
 ) -> DataFrame:
     """Token arrays cut to the model maximum and padded to the longest of their batch."""
-    rows = order_rows(df, [], order).df.withColumn("batch", F.floor(F.col("seq") / batch_size))
-    if max_length:
-        rows = rows.withColumn(ids, F.slice(ids, 1, max_length))
+    # Cut before they are put in order, so that no more than is kept travels.
+    cut = df.withColumn(ids, F.slice(ids, 1, max_length)) if max_length else df
+    rows = order_rows(cut, [], order).df.withColumn("batch", F.floor(F.col("seq") / batch_size))
     widths = rows.groupBy("batch").agg(F.max(F.size(ids)).alias("_width"))
     joined = rows.join(widths, "batch")
     missing = F.col("_width") - F.size(ids)
