@@ -61,14 +61,16 @@ def short_memory(
     tau: float = 5.0,
     seed: int = 42,
     mode: str = "literal",
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """`remember` of the last `window` frames, drawn without replacement by retention weights.
 
     The weight of window position i is exp(-i/tau): counted from the oldest frame in `literal`
     mode and from the newest in `recent` mode. The largest ln(u)/weight are drawn, which has the
-    distribution of one draw after another. Both sizes shrink to what a stream has.
+    distribution of one draw after another. Both sizes shrink to what a stream has. A window of more
+    than `group_rows` is cut by many tasks first.
     """
-    tail = last_rows(frames, keys, order, window, size="_n")
+    tail = last_rows(frames, keys, order, window, size="_n", group_rows=group_rows)
     return _draw(tail, keys, row_id, F.least(F.col("_n"), F.lit(window)), F.col("_n"), remember, tau, seed, mode)
 
 

@@ -247,15 +247,16 @@ def order_rows(
 
 
 def top_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], k: int, rank: str = "rank"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], k: int, rank: str = "rank", group_rows: int = 1000
 ) -> DataFrame:
     """Best `k` rows per group.
 
     Up to Spark's group-limit bound (1000) every map task already cuts each group to `k` rows
-    before the shuffle. A larger `k` is cut per salt first, so a hot group is ranked by many tasks.
+    before the shuffle. A larger `k` is cut per salt first, so a hot group is ranked by many tasks; so is
+    a `k` beyond a smaller `group_rows`.
     """
     order = as_columns(order)
-    if k > 1000:
+    if k > min(1000, group_rows):
         first = Window.partitionBy(*keys, "_salt").orderBy(*order)
         df = (
             df.withColumn("_salt", F.spark_partition_id())
@@ -267,9 +268,11 @@ def top_rows(
     return df.withColumn(rank, F.row_number().over(final)).where(F.col(rank) <= k)
 
 
-def last_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int, seq: str = "seq", size: str = "n") -> DataFrame:
+def last_rows(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int, seq: str = "seq", size: str = "n", group_rows: int = GROUP_ROWS
+) -> DataFrame:
     """The last `k` rows per group with their number from 0 and the group's size, without ordering the rest."""
-    rows = top_rows(df, keys, [F.col(c).desc() for c in order], k, "_back")
+    rows = top_rows(df, keys, [F.col(c).desc() for c in order], k, "_back", group_rows)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(size))
     same = None
     for c in keys:
