@@ -22,6 +22,7 @@ from frameweave.plans.staging import (
     BROADCAST_ROWS,
     materialise,
     row_bytes,
+    shuffled,
     small_side,
 )
 from frameweave.sources.sinks import merge_keep_saved
@@ -299,19 +300,19 @@ def descend(
     small = {r.depth for r in sizes.collect() if r.n <= BROADCAST_ROWS and r.b <= BROADCAST_BYTES}
 
     def hinted(level: DataFrame, depth: int) -> DataFrame:
-        return F.broadcast(level) if depth in small else level
+        return F.broadcast(level) if depth in small else shuffled(level)
 
     if roots is None:
         tops = queries.join(small_side(forest_roots(table)), "stream")
     else:
-        tops = roots.join(queries, ["query_id", "stream"]).join(table, ["stream", "depth", "seq"])
+        tops = roots.join(shuffled(queries), ["query_id", "stream"]).join(small_side(table), ["stream", "depth", "seq"])
     similarity = F.round(score(F.col("vector"), F.col("query")), 12)
     tops = tops.withColumn("similarity", similarity)
     if single_root:
         tops = top_rows(tops.where("depth > 0"), ["query_id"], [F.col("similarity").desc(), "depth", "seq"], 1).drop("rank")
-    else:
-        flat = top_rows(tops.where("depth = 0"), ["query_id"], [F.col("similarity").desc(), "seq"], 1)
     tops = materialise(tops.select("query_id", "stream", "query", "depth", "seq", "similarity", "text"))
+    if not single_root:
+        flat = top_rows(tops.where("depth = 0"), ["query_id"], [F.col("similarity").desc(), "seq"], 1)
     deepest = tops.agg(F.max("depth")).first()[0] or 0
     frontier = tops.where("depth > 0").select(
         "query_id", "stream", "query", F.col("depth").alias("root_depth"), F.col("seq").alias("root_seq"), "depth", "seq"
@@ -443,10 +444,10 @@ def stream_question_context(
         "seen",
         F.explode(F.sequence(F.greatest(F.col("seen") - window, F.lit(0)), F.col("seen") - 1)).alias("seq"),
     )
-    tail = spots.join(numbered.select("stream", "seq", "text"), ["stream", "seq"])
+    tail = spots.join(shuffled(numbered.select("stream", "seq", "text")), ["stream", "seq"])
     width = F.least(F.col("seen"), F.lit(window))
     short = _draw(tail, ["query_id"], "seq", width, F.col("seen"), remember, tau, seed, "literal")
-    short = short.select("query_id", F.col("seq").alias("item"), "text")
+    short = materialise(short.select("query_id", F.col("seq").alias("item"), "text"))
 
     leaves = build_leaves(
         f, "stream", keys, "vector", chunk, k, "text", whole_only=True, seed=seed, group_rows=group_rows

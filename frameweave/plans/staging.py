@@ -86,4 +86,13 @@ def fits(df: DataFrame, rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_B
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint behind a size check; above the bound the join shuffles instead."""
-    return F.broadcast(df) if fits(df, rows) else df
+    return F.broadcast(df) if fits(df, rows) else shuffled(df)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """Hint that an equi join with `df` shuffles both sides.
+
+    Spark takes the compressed size of files for that of the rows, and a table that is exploded for as
+    large as before, so without the hint it may send millions of rows through the driver.
+    """
+    return df.hint("merge")

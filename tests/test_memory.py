@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frameweave.operators import memory as M
+from frameweave.plans.staging import materialise, small_side
 from frameweave.streaming.processors import merge_depth
 
 RNG = np.random.default_rng(11)
@@ -161,3 +162,13 @@ def test_bank_round_trip(spark):
     docs = turns.select("user", "date", F.col("query").alias("content"))
     none = sums.select("user", "date", "content").limit(0)
     assert M.add_summaries(docs.limit(1), none, F.upper).first().content == "Q1"
+
+
+def test_a_side_beyond_the_bound_is_not_sent_by_its_file_size(spark):
+    """Files are small when compressed; Spark alone would send such a side through the driver."""
+    rows = materialise(spark.range(20_000).select("id", (F.col("id") % 7).alias("v")))
+    other = materialise(spark.range(20_000).select("id", F.lit("x").alias("t")))
+    joined = other.join(small_side(rows, 1_000), "id")
+    assert joined.count() == 20_000
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in other.join(small_side(rows), "id")._jdf.queryExecution().executedPlan().toString()
