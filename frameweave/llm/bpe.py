@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frameweave.llm.chunks import LETTERS, UNUSUAL, Memory, in_letters, packed
+from frameweave.llm.chunks import LETTERS, UNUSUAL, Memory, in_letters, packed, release, remembered
 
 #: Runs between white space, words and fragments that a Python worker remembers, about 200 bytes each
 #: and so at most about 120 MB.
@@ -121,12 +121,13 @@ class WordBpe:
         return " ".join(map(self.token.__getitem__, ids))
 
 
-_codecs: dict[str, WordBpe] = {}
+_codecs: dict[str, WordBpe] = remembered()
 
 
 def codec(path: str) -> WordBpe:
     """One codec per Python worker and file."""
     if path not in _codecs:
+        release()
         _codecs[path] = WordBpe(path)
     return _codecs[path]
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameweave.llm.chunks import remembered
+from frameweave.llm.chunks import release, remembered
 from frameweave.llm.columns import shielded
 from frameweave.plans.staging import materialise
 
@@ -95,8 +96,9 @@ class Matcher:
         self._reset()
 
     def _reset(self) -> None:
-        self._number: dict[frozenset, int] = {}
-        self._sets: list[dict[int, int]] = []
+        # A set of (node, least edits) is held as packed numbers: some ten times smaller than as objects.
+        self._number: dict[bytes, int] = {}
+        self._sets: list[bytes] = []
         self._next: list[dict[str, int]] = []
         self._at_end: list[tuple[int, int] | None] = []  # best (edits, term) of words that end here
         self._passing: list[tuple[int, int] | None] = []  # best (edits, stem) reached so far
@@ -114,7 +116,7 @@ class Matcher:
                 if e + 1 <= self._most[child] and e + 1 < nodes.get(child, 99):
                     nodes[child] = e + 1
                     open_nodes.append((child, e + 1))
-        key = frozenset(nodes.items())
+        key = array("I", sorted(node << 2 | e for node, e in nodes.items())).tobytes()
         if key in self._number:
             return self._number[key]
         ends, passing = [], []
@@ -123,7 +125,7 @@ class Matcher:
                 if e <= self.terms[no].edits:
                     (passing if self.terms[no].stem else ends).append((e, no))
         self._number[key] = len(self._sets)
-        self._sets.append(nodes)
+        self._sets.append(key)
         self._next.append({})
         self._at_end.append(min(ends, default=None))
         self._passing.append(min(passing, default=None))
@@ -131,7 +133,8 @@ class Matcher:
 
     def _step(self, state: int, c: str) -> int:
         out: dict[int, int] = {}
-        for node, e in self._sets[state].items():
+        for packed in array("I", self._sets[state]):
+            node, e = packed >> 2, packed & 3
             if e + 1 <= self._most[node]:
                 out[node] = min(out.get(node, 99), e + 1)  # a letter too many
             for letter, child in self._children[node].items():
@@ -233,6 +236,7 @@ def count_terms(rows: DataFrame) -> DataFrame:
     """(term, stem, toxic, clean): documents of each class with a word or a beginning of a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         counts = {True: Counter(), False: Counter()}
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1)):
@@ -291,6 +295,7 @@ def accidental_terms(rows: DataFrame, terms: list[Term], n_clean: int) -> set[in
     """Terms whose misspellings occur in clean texts too often to be taken for them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         matcher, counts = Matcher(terms), Counter()
         for batch in batches:
             for text in batch.column(0):
@@ -343,6 +348,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     terms = [replace(t, edits=0) if i in strict else t for i, t in enumerate(terms)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         matcher = Matcher(terms)
         for batch in batches:
             x = [features(matcher, v.as_py()) for v in batch.column(0)]
@@ -376,7 +382,7 @@ def _matcher(model: Model) -> Matcher:
     """One matcher per Python worker and lexicon."""
     key = tuple(model.terms)
     if key not in _matchers:
-        _matchers.clear()
+        release()
         _matchers[key] = Matcher(model.terms)
     return _matchers[key]
 

@@ -4,10 +4,11 @@ import random
 import re
 
 import numpy as np
+import public_tokenizers
 import pytest
 
 import brute
-from frameweave.llm import chunks, components, ngram_join
+from frameweave.llm import bpe, chunks, components, ngram_join, toxicity
 
 
 def word_set(text, k):
@@ -200,6 +201,16 @@ def test_memories_of_other_operators_are_released():
     assert not held
 
 
+def test_toxicity_lets_go_of_what_encoding_remembers():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    first = bpe.codec(path)
+    assert bpe.codec(path) is first
+    toxicity._matcher(toxicity.Model([toxicity.Term("vile", False, 0)]))
+    assert not bpe._codecs
+    bpe.codec(path)
+    assert not toxicity._matchers
+
+
 def test_shared_first_ngrams_of_linked_sets():
     rng = random.Random(9)
     limit = ngram_join.Threshold(85, 100)
