@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from array import array
+import struct
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 
 #: Runs between spaces and pieces of them that a Python worker remembers (about 200 bytes each). A
@@ -62,15 +63,14 @@ _TABLE = dict(enumerate(byte_letters()))
 
 def in_letters(text: str) -> str:
     """The bytes of a text, each as its stand-in."""
+    if text.isascii() and text.isprintable():
+        return text.replace(" ", _TABLE[32])
     return text.encode().decode("latin-1").translate(_TABLE)
 
 
-_BIG = array("H", [1]).tobytes()[0] == 0
+_LAYOUTS = {(w, n): struct.Struct(f"<{n}{c}") for w, c in ((2, "H"), (4, "I")) for n in range(64)}
 
 
 def packed(ids: list[int], width: int) -> bytes:
     """Ids as little-endian unsigned integers of 2 or 4 bytes."""
-    out = array("H" if width == 2 else "I", ids)
-    if _BIG:
-        out.byteswap()
-    return out.tobytes()
+    return _LAYOUTS[width, len(ids)].pack(*ids) if len(ids) < 64 else np.array(ids, f"<u{width}").tobytes()

@@ -169,12 +169,19 @@ class ChunkEncoder:
         self.model, self.width = self.library.model, width
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self._whole = re.compile("|".join([UNUSUAL.pattern, *map(re.escape, special)]))
-        self._after_space = Memory(lambda chunk: self._of_chunk(" " + chunk), CHUNKS)
+        self._after_space = Memory(self._of_later, CHUNKS)
         self._piece = Memory(self._of_piece, PIECES)
 
     def _of_piece(self, piece: str) -> bytes:
         return packed([t.id for t in self.model.tokenize(in_letters(piece))], self.width)
 
+    def _of_later(self, chunk: str) -> bytes:
+        if chunk.isalpha() and (chunk.isascii() or not UNUSUAL.search(chunk)):
+            return self._piece[" " + chunk]
+        if chunk[-1:].isspace() or not chunk:
+            raise _NotApart
+        return self._of_chunk(" " + chunk)
+
     def _of_chunk(self, chunk: str) -> bytes:
         # Most new chunks are a word, or a word and a stop or comma.
         word, end = (chunk[:-1], chunk[-1]) if chunk[-1:] in _STOPS else (chunk, "")
@@ -186,14 +193,20 @@ class ChunkEncoder:
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian integers."""
-        if _SPACE_AFTER_SPACE.search(text):
-            return b"".join(map(self._of_chunk, _CUT.split(text)))
         head, *rest = text.split(" ")
-        return self._of_chunk(head) + b"".join(map(self._after_space.__getitem__, rest))
+        if not head[-1:].isspace():
+            try:
+                return self._of_chunk(head) + b"".join(map(self._after_space.__getitem__, rest))
+            except _NotApart:
+                pass
+        return b"".join(map(self._of_chunk, _CUT.split(text)))
+
+
+class _NotApart(Exception):
+    """A run ends in white space, or is empty, so a space after it is no place to cut a text."""
 
 
 _STOPS = (".", ",")
-_SPACE_AFTER_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
 # Fixed by the byte-level tokenizer, with the letters and digits of usual signs spelled out.
 _PRE_TOKEN = re.compile(

@@ -150,3 +150,14 @@ def test_no_documents(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, start int")
     rans.write_tokens(rans.tokenize(docs, BYTES, 0, 50257), path, 50257)
     assert rans.token_report(spark, path).count() == 0
+
+
+@pytest.mark.parametrize("text", ["a  b", " a", "a\n b", "a\t b c", "\xa0 a", "a ", "  ", "a\x1c b", "one\u3000 two three", "word. " * 99])
+def test_runs_that_end_in_white_space_are_not_cut_apart(text):
+    encoder = rans.ChunkEncoder(BYTES, 2)
+    got = np.frombuffer(encoder.encode(text), "<u2").tolist()
+    assert got == encoder.library.encode(text, add_special_tokens=False).ids
+    with pytest.raises(rans._NotApart):
+        encoder._after_space[""]
+    with pytest.raises(rans._NotApart):
+        encoder._after_space["x\n"]
