@@ -47,6 +47,32 @@ def _scores(queries: np.ndarray, rows: np.ndarray, metric: str, p: float = 2) ->
     return -(queries @ rows.T)
 
 
+def _near_l2(queries: np.ndarray, rows: np.ndarray, k: int, own: np.ndarray | None) -> tuple | None:
+    """(query, row, distance) of every pair that could be among a query's best `k`, ties at 12 digits included.
+
+    The expanded square picks the pairs by a matrix product; what it may be wrong by is added to the
+    limit, and distances of the picked pairs are taken from differences. None if a number overflows.
+    """
+    qq, rr = np.einsum("qd,qd->q", queries, queries), np.einsum("nd,nd->n", rows, rows)
+    rough = queries @ rows.T
+    rough *= -2
+    rough += qq[:, None]
+    rough += rr
+    if not np.isfinite(rough).all():
+        return None
+    if own is not None:
+        rough[own] = np.inf
+    error = 8 * (rows.shape[1] + 8) * np.finfo(float).eps * (qq + rr.max())[:, None]
+    limit = np.partition(rough, k - 1, axis=1)[:, k - 1 : k]
+    limit = limit + 2 * error + 4e-12 * (np.sqrt(np.maximum(limit, 0) + error) + 1)
+    q, r = np.nonzero((rough <= limit) & np.isfinite(rough))
+    s = np.empty(len(q))
+    for i in range(0, len(q), 1 << 14):
+        gap = queries[q[i : i + (1 << 14)]] - rows[r[i : i + (1 << 14)]]
+        s[i : i + (1 << 14)] = np.sqrt(np.einsum("nd,nd->n", gap, gap))
+    return q, r, np.round(s, 12)
+
+
 def _top(qids, queries, ids, rows, k: int, metric: str, skip_self: bool, p: float = 2) -> tuple:
     """Best `k` rows per query as (query position, row position, score), nearest first by id.
 
@@ -60,15 +86,20 @@ def _top(qids, queries, ids, rows, k: int, metric: str, skip_self: bool, p: floa
         best: tuple | None = None
         for j in range(0, len(rows), ROW_TILE):
             near = ids[j : j + ROW_TILE]
-            score = np.round(_scores(part, rows[j : j + ROW_TILE], metric, p), 12)
-            if skip_self:
-                score[own[:, None] == near[None, :]] = np.inf
-            if score.shape[1] > k:
-                limit = np.partition(score, k - 1, axis=1)[:, k - 1 : k]
-                q, r = np.nonzero((score <= limit) & np.isfinite(score))
-            else:
-                q, r = np.nonzero(np.isfinite(score))
-            found = q, r + j, score[q, r]
+            same = own[:, None] == near[None, :] if skip_self else None
+            picked = _near_l2(part, rows[j : j + ROW_TILE], k, same) if metric == "l2" and len(near) > k else None
+            if picked is None:
+                score = np.round(_scores(part, rows[j : j + ROW_TILE], metric, p), 12)
+                if skip_self:
+                    score[same] = np.inf
+                if score.shape[1] > k:
+                    limit = np.partition(score, k - 1, axis=1)[:, k - 1 : k]
+                    q, r = np.nonzero((score <= limit) & np.isfinite(score))
+                else:
+                    q, r = np.nonzero(np.isfinite(score))
+                picked = q, r, score[q, r]
+            q, r, s = picked
+            found = q, r + j, s
             if best is not None:
                 found = tuple(np.concatenate(x) for x in zip(best, found))
             q, r, s = found

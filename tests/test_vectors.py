@@ -228,3 +228,20 @@ def test_hashed_vectors_shuffle_no_words(spark):
     assert sum(v * v for v in got[1]) == pytest.approx(1) and got[2] == got[3] == [0.0] * 8
     plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Exchange hashpartitioning(id") <= 2  # texts, and ids for those without words
+
+
+def test_l2_takes_differences_of_picked_pairs_only(monkeypatch):
+    """All pairs are not held as differences; results, copies and far-off vectors included, are those of all pairs."""
+    rng = np.random.default_rng(5)
+    for shift in (0.0, 1e6):
+        x = rng.normal(size=(600, 8)) + shift
+        x[100:160] = x[7]
+        ids = rng.permutation(600)
+        score = np.round(R._scores(x, x, "l2"), 12)
+        np.fill_diagonal(score, np.inf)
+        want = [sorted(zip(score[i], ids))[:4] for i in range(600)]
+        with monkeypatch.context() as m:
+            m.setattr(R, "_scores", None)
+            q, r, s = R._top(ids, x, ids, x, 4, "l2", True)
+        assert [sorted(zip(s[q == i], ids[r[q == i]])) for i in range(600)] == want
+    assert R._near_l2(np.full((2, 2), 1e200), np.full((9, 2), 1.0), 2, None) is None
