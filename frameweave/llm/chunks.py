@@ -11,7 +11,7 @@ import pyarrow as pa
 
 #: Runs between spaces and pieces of them that a Python worker remembers (about 200 bytes each). A
 #: full memory is emptied and refilled.
-CHUNKS, PIECES = 500_000, 800_000
+CHUNKS, PIECES = 1_000_000, 200_000
 
 # Letters and digits of Latin script; with the signs below, the only ones in usual texts.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ʯⱥⱦ"

@@ -151,12 +151,13 @@ def decode_block(row: dict, table: Table, segment: int | None = None, step: int
 # ---- tables -------------------------------------------------------------------------------------
 
 class ChunkEncoder:
-    """Byte-level tokenizer of the tokenizers library, with memories of chunks and pre-tokens.
+    """Byte-level tokenizer of the tokenizers library, with memories of runs and pre-tokens.
 
     A pre-token of the byte-level pattern holds a space only at its beginning or within a run of
-    white space, so a text may be cut before any space that follows another sign, and the ids of the
-    chunks concatenated. A new chunk is cut by the pattern, and the library's model merges each new
-    pre-token. Chunks with special tokens or signs of other scripts go to the library whole.
+    white space, so a text may be cut before any space that follows another sign, and around a line
+    break between other signs, and the ids of the runs concatenated. A new run is cut by the pattern,
+    and the library's model merges each new pre-token. Runs with special tokens or signs of other
+    scripts go to the library whole.
     """
 
     def __init__(self, path: str, width: int):
@@ -169,44 +170,80 @@ class ChunkEncoder:
         self.model, self.width = self.library.model, width
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self._whole = re.compile("|".join([UNUSUAL.pattern, *map(re.escape, special)]))
-        self._after_space = Memory(self._of_later, CHUNKS)
-        self._piece = Memory(self._of_piece, PIECES)
+        self._after_space = Runs(self._of_later, CHUNKS)
+        self._piece = self._after_space.ends = Memory(self._of_piece, PIECES)
+        self._after_space.signs = "".join(c for c in _SIGNS if not any(c in s for s in special))
+        self._break = self._of_piece("\n")
+        self._by_line = not any("\n" in s for s in special)
 
     def _of_piece(self, piece: str) -> bytes:
         return packed([t.id for t in self.model.tokenize(in_letters(piece))], self.width)
 
     def _of_later(self, chunk: str) -> bytes:
-        if chunk.isalpha() and (chunk.isascii() or not UNUSUAL.search(chunk)):
-            return self._piece[" " + chunk]
+        """Ids of a run that follows a space, with that space."""
+        if _is_word(chunk):
+            return self._of_piece(" " + chunk)  # the run itself is remembered
         if chunk[-1:].isspace() or not chunk:
             raise _NotApart
         return self._of_chunk(" " + chunk)
 
     def _of_chunk(self, chunk: str) -> bytes:
-        # Most new chunks are a word, or a word and a stop or comma.
-        word, end = (chunk[:-1], chunk[-1]) if chunk[-1:] in _STOPS else (chunk, "")
-        if word[:1] == " " and word[1:].isalpha() and (word.isascii() or not UNUSUAL.search(word)):
-            return self._piece[word] + self._piece[end] if end else self._piece[word]
+        if _is_word(chunk):
+            return self._piece[chunk]
         if self._whole.search(chunk):
             return packed(self.library.encode(chunk, add_special_tokens=False).ids, self.width)
         return b"".join(map(self._piece.__getitem__, _PRE_TOKEN.findall(chunk)))
 
+    def _of_line(self, line: str) -> bytes:
+        head, *rest = line.split(" ")
+        if head[-1:].isspace():
+            raise _NotApart
+        return self._of_chunk(head) + b"".join(map(self._after_space.__getitem__, rest))
+
+    def _of_lines(self, text: str) -> bytes:
+        first, *later = text.split("\n")
+        if not all(later) or any(line[0].isspace() for line in later):
+            raise _NotApart
+        return self._break.join(map(self._of_line, [first, *later]))
+
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian integers."""
-        head, *rest = text.split(" ")
-        if not head[-1:].isspace():
+        for cut in (self._of_lines, self._of_line) if self._by_line and "\n" in text else (self._of_line,):
             try:
-                return self._of_chunk(head) + b"".join(map(self._after_space.__getitem__, rest))
+                return cut(text)
             except _NotApart:
                 pass
         return b"".join(map(self._of_chunk, _CUT.split(text)))
 
 
 class _NotApart(Exception):
-    """A run ends in white space, or is empty, so a space after it is no place to cut a text."""
+    """A run ends in white space, or is empty, so what follows it is no place to cut a text."""
+
+
+def _is_word(run: str) -> bool:
+    """Whether a run holds usual letters alone, and so is one pre-token."""
+    return run.isalpha() and (run.isascii() or not UNUSUAL.search(run))
+
+
+class Runs(Memory):
+    """A memory of runs that looks up a run that ends in signs without them, and does not remember it.
+
+    Signs after a usual letter or digit are one pre-token, up to the end of the run.
+    """
+
+    signs: str
+    ends: Memory
+
+    def __missing__(self, run: str) -> bytes:
+        word = run.rstrip(self.signs)
+        if word[-1:] in _USUAL and len(word) < len(run) and word:
+            return self[word] + self.ends[run[len(word) :]]
+        return super().__missing__(run)
 
 
-_STOPS = (".", ",")
+#: Signs that often end a run.
+_SIGNS = ".,!?;:&%$*#)"
+_USUAL = frozenset(re.findall(f"[0-9{LETTERS}]", "".join(map(chr, range(0x2c70)))))
 _CUT = re.compile(r"(?<=\S)(?= )")
 # Fixed by the byte-level tokenizer, with the letters and digits of usual signs spelled out.
 _PRE_TOKEN = re.compile(

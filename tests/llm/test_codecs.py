@@ -161,3 +161,13 @@ def test_runs_that_end_in_white_space_are_not_cut_apart(text):
         encoder._after_space[""]
     with pytest.raises(rans._NotApart):
         encoder._after_space["x\n"]
+
+
+def test_runs_are_remembered_without_their_signs():
+    library, encoder, rng = Tokenizer.from_file(BYTES), rans.ChunkEncoder(BYTES, 2), random.Random(4)
+    encoder.encode("The house, the house!!\nA house.\nThe end &&& the house***")
+    assert set(encoder._after_space) == {"house", "the", "end", "&&&"}
+    parts = ["\n", " ", "a", "house", "Foo", "é", "'s", "!!", ".", ",", "\t", "\r\n", "\x1c", "\xa0", "&&&", "5", "<|endoftext|>", "漢", "don't"]
+    for _ in range(2000):
+        text = "".join(rng.choices(parts, k=rng.randrange(1, 14)))
+        assert np.frombuffer(encoder.encode(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
