@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameweave.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
-from frameweave.plans.staging import staging_root
+from frameweave.plans.staging import small_batches, staging_root
 
 #: Words in an n-gram, and the similarity in percent from which two documents are near copies.
 SHINGLE, SIMILAR = 5, 80
@@ -26,6 +26,7 @@ def clean(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
     A null text counts as empty. Without labels of both classes nothing is dropped.
     """
+    small_batches(spark)
     return toxicity.keep_clean(docs, spark.read.parquet(f"{folder}/labels.parquet"))
 
 
@@ -36,6 +37,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group of near copies, that of the smallest id; documents without words stay."""
+    small_batches(spark)
     return ngram_join.keep_one(docs, SHINGLE, SIMILAR, 100)
 
 
@@ -46,6 +48,7 @@ def mixed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """doc_id, source, ids, n_tokens and the decoded text's SHA-256 of each mixed document."""
+    small_batches(spark)
     return bpe.encode_and_check(docs.select("doc_id", "source", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 

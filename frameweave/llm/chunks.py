@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import struct
 from collections.abc import Callable
@@ -29,10 +30,16 @@ def remembered() -> dict:
 
 
 def release() -> None:
-    """Let go of what other operators remember: workers are used again by the next stage."""
+    """Let go of what other operators remember: workers are used again by the next stage.
+
+    Freed memory is given back to the system, as an allocator may keep it for a worker that waits.
+    """
     for held in _remembered:
         held.clear()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+    if trim:
+        trim(0)
 
 
 class Memory(dict):

@@ -13,6 +13,10 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 
+# Bytes of rows that are sent to a Python worker at once.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _local_roots: dict[str, str] = {}
 
 
@@ -43,6 +47,16 @@ def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Limit the session's Arrow batches to BATCH_BYTES, unless a limit is set.
+
+    Spark alone sends up to 10,000 rows whatever their size, and both JVM and Python hold some batches.
+    Plans look the limit up when they are run, so it stays set.
+    """
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Repartition a table just read, before costly per-row work, if it has fewer splits than cores.
 

@@ -4,6 +4,8 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import corpus_pipeline
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -171,3 +173,19 @@ def test_runs_are_remembered_without_their_signs():
     for _ in range(2000):
         text = "".join(rng.choices(parts, k=rng.randrange(1, 14)))
         assert np.frombuffer(encoder.encode(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_pipeline_sends_batches_of_bounded_bytes(spark):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 40, 1, 1).selectExpr("id AS doc_id", "'s' AS source", "repeat('a ', 1 << 19) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], ["n"])
+
+    before = spark.conf.get(limit, None)
+    try:
+        corpus_pipeline.encoded(spark, docs, "")
+        assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) < 8 << 20
+    finally:
+        spark.conf.unset(limit) if before is None else spark.conf.set(limit, before)
