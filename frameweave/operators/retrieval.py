@@ -5,17 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frameweave.functions.vectors import doubles, minmax, unit
 from frameweave.plans.ordering import order_rows, top_rows
-from frameweave.plans.staging import materialise
+from frameweave.plans.staging import materialise, small_batches
 
 # Bytes of vectors that one side may bring to a task.
 BLOCK_BYTES = 64 << 20
+# Bytes of vectors in one row of packed vectors, and of queries that one task compares with its part of the index.
+PACK_BYTES, QUERY_BYTES = 2 << 20, 4 << 20
 
 # Bytes of text that one task cuts into words.
 TEXT_BYTES = 8 << 20
@@ -26,28 +29,53 @@ QUERY_TILE, ROW_TILE = 1024, 4096
 
 
 def _scores(queries: np.ndarray, rows: np.ndarray, metric: str, p: float = 2) -> np.ndarray:
-    """Smaller is nearer: distance, 1 - cosine similarity, or negative dot product."""
-    if metric in ("l1", "l2", "lp"):
-        # Differences rather than the expanded square, so that equal vectors are at exactly 0.
-        out = np.empty((len(queries), len(rows)))
-        step = max(1, (1 << 20) // max(rows.size, 1))
-        for i in range(0, len(queries), step):
-            gap = queries[i : i + step, None, :] - rows[None, :, :]
-            if metric == "l2":
-                out[i : i + step] = np.sqrt(np.einsum("qnd,qnd->qn", gap, gap))
-            elif metric == "l1":
-                out[i : i + step] = np.abs(gap).sum(axis=2)
-            else:
-                out[i : i + step] = (np.abs(gap) ** p).sum(axis=2) ** (1 / p)
-        return out
-    if metric == "cosine":
-        queries = queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
-        rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
-        return 1 - queries @ rows.T
-    return -(queries @ rows.T)
-
-
-def _near_l2(queries: np.ndarray, rows: np.ndarray, k: int, own: np.ndarray | None) -> tuple | None:
+    """Distances by l1, l2 or lp."""
+    # Differences rather than the expanded square, so that equal vectors are at exactly 0.
+    out = np.empty((len(queries), len(rows)))
+    step = max(1, (1 << 20) // max(rows.size, 1))
+    for i in range(0, len(queries), step):
+        gap = queries[i : i + step, None, :] - rows[None, :, :]
+        if metric == "l2":
+            out[i : i + step] = np.sqrt(np.einsum("qnd,qnd->qn", gap, gap))
+        elif metric == "l1":
+            out[i : i + step] = np.abs(gap).sum(axis=2)
+        else:
+            out[i : i + step] = (np.abs(gap) ** p).sum(axis=2) ** (1 / p)
+    return out
+
+
+def _scaled(vectors: np.ndarray, metric: str) -> np.ndarray:
+    """Vectors of length 1 for cosine, so that its similarity is a product."""
+    if metric != "cosine":
+        return vectors
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+
+
+def _near_product(
+    queries: np.ndarray, rows: np.ndarray, k: int, metric: str, own: tuple | None, limit: np.ndarray
+) -> tuple:
+    """(query, row, score) of every pair that could be among a query's best `k`, ties at 12 digits included.
+
+    The score is 1 - cosine similarity of scaled vectors, or the negative dot product. Only pairs up to
+    the query's `limit`, its k-th score so far, are rounded; a query without one gets the k-th of `rows`.
+    """
+    score = queries @ rows.T
+    np.subtract(1.0 if metric == "cosine" else 0.0, score, out=score)
+    if own is not None:
+        score[own] = np.inf
+    new = np.flatnonzero(np.isinf(limit))
+    if len(new) and len(rows) > k:
+        kth = np.partition(score[new], k - 1, axis=1)[:, k - 1]
+        limit = limit.copy()
+        limit[new] = np.where(np.isfinite(kth), kth, np.inf)
+    at = np.flatnonzero(score <= (limit + 2e-12)[:, None])  # much faster than by two dimensions
+    q, r = np.divmod(at, len(rows))
+    s = np.round(score.ravel()[at], 12)
+    keep = np.isfinite(s)
+    return q[keep], r[keep], s[keep]
+
+
+def _near_l2(queries: np.ndarray, rows: np.ndarray, k: int, own: tuple | None) -> tuple | None:
     """(query, row, distance) of every pair that could be among a query's best `k`, ties at 12 digits included.
 
     The expanded square picks the pairs by a matrix product; what it may be wrong by is added to the
@@ -73,6 +101,50 @@ def _near_l2(queries: np.ndarray, rows: np.ndarray, k: int, own: np.ndarray | No
     return q, r, np.round(s, 12)
 
 
+def _own(qids: np.ndarray, ids: np.ndarray) -> tuple | None:
+    """Positions of the pairs of equal ids."""
+    at = np.flatnonzero(np.isin(ids, qids))
+    if not len(at):
+        return None
+    q, r = np.nonzero(qids[:, None] == ids[at])
+    return q, at[r]
+
+
+def _picked(
+    queries: np.ndarray, rows: np.ndarray, own: tuple | None, limit: np.ndarray, k: int, metric: str, p: float
+) -> tuple:
+    """(query, row, score) of the pairs of a tile that could be among a query's best `k`, without those in `own`."""
+    if metric in ("cosine", "dot"):
+        return _near_product(queries, rows, k, metric, own, limit)
+    picked = _near_l2(queries, rows, k, own) if metric == "l2" and len(rows) > k else None
+    if picked is not None:
+        return picked
+    score = np.round(_scores(queries, rows, metric, p), 12)
+    if own is not None:
+        score[own] = np.inf
+    if score.shape[1] > k:
+        nth = np.partition(score, k - 1, axis=1)[:, k - 1 : k]
+        q, r = np.nonzero((score <= nth) & np.isfinite(score))
+    else:
+        q, r = np.nonzero(np.isfinite(score))
+    return q, r, score[q, r]
+
+
+def _merged(best: tuple | None, found: tuple, limit: np.ndarray, k: int) -> tuple:
+    """Best `k` per query of both lots of (query, score, id, ..), by score and id; `limit` gets the k-th scores."""
+    near = found[1] <= limit[found[0]]
+    found = tuple(x[near] for x in found)
+    if best is not None:
+        if not len(found[0]):
+            return best
+        found = tuple(np.concatenate(x) for x in zip(best, found))
+    order = np.lexsort((found[2], found[1], found[0]))
+    q = found[0][order]
+    nth = np.arange(len(q)) - np.searchsorted(q, q)
+    limit[q[nth == k - 1]] = found[1][order[nth == k - 1]]
+    return tuple(x[order[nth < k]] for x in found)
+
+
 def _top(qids, queries, ids, rows, k: int, metric: str, skip_self: bool, p: float = 2) -> tuple:
     """Best `k` rows per query as (query position, row position, score), nearest first by id.
 
@@ -80,36 +152,18 @@ def _top(qids, queries, ids, rows, k: int, metric: str, skip_self: bool, p: floa
     together with the best so far, so a task holds a few tiles however many rows it reads.
     """
     qids, ids = np.asarray(qids), np.asarray(ids)
+    queries, rows = _scaled(queries, metric), _scaled(rows, metric)
     out: list[tuple] = []
     for i in range(0, len(queries), QUERY_TILE):
-        part, own = queries[i : i + QUERY_TILE], qids[i : i + QUERY_TILE]
-        best: tuple | None = None
+        part, names = queries[i : i + QUERY_TILE], qids[i : i + QUERY_TILE]
+        best, limit = None, np.full(len(part), np.inf)
         for j in range(0, len(rows), ROW_TILE):
             near = ids[j : j + ROW_TILE]
-            same = own[:, None] == near[None, :] if skip_self else None
-            picked = _near_l2(part, rows[j : j + ROW_TILE], k, same) if metric == "l2" and len(near) > k else None
-            if picked is None:
-                score = np.round(_scores(part, rows[j : j + ROW_TILE], metric, p), 12)
-                if skip_self:
-                    score[same] = np.inf
-                if score.shape[1] > k:
-                    limit = np.partition(score, k - 1, axis=1)[:, k - 1 : k]
-                    q, r = np.nonzero((score <= limit) & np.isfinite(score))
-                else:
-                    q, r = np.nonzero(np.isfinite(score))
-                picked = q, r, score[q, r]
-            q, r, s = picked
-            found = q, r + j, s
-            if best is not None:
-                found = tuple(np.concatenate(x) for x in zip(best, found))
-            q, r, s = found
-            order = np.lexsort((ids[r], s, q))
-            q, r, s = q[order], r[order], s[order]
-            nth = np.arange(len(q)) - np.searchsorted(q, q)
-            keep = nth < k
-            best = q[keep], r[keep], s[keep]
+            own = _own(names, near) if skip_self else None
+            q, r, s = _picked(part, rows[j : j + ROW_TILE], own, limit, k, metric, p)
+            best = _merged(best, (q, s, near[r], r + j), limit, k)
         if best is not None:
-            out.append((best[0] + i, best[1], best[2]))
+            out.append((best[0] + i, best[3], best[1]))
     if not out:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     return tuple(np.concatenate(x) for x in zip(*out))
@@ -139,8 +193,9 @@ def nearest(
 
     Ids are integers. Queries of a checked total size are sent to every index partition, which
     keeps its best `k` per query; only those are shuffled. More queries are cut into blocks, as is
-    the index, and each pair of blocks is one bounded task that again emits at most `k` rows per
-    query, so no pair list is ever produced.
+    the index, and pairs of blocks are compared one at a time. A task takes some blocks of queries and
+    `BLOCK_BYTES` of the index, and again emits at most `k` rows per query, so neither a pair list nor
+    copies of a block for the blocks it meets are ever written.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
@@ -158,7 +213,7 @@ def nearest(
     if sent.num_rows <= block:
         found = _search_sent(sent, index, options)
     else:
-        found = _search_blocks(materialise(queries), materialise(index), options, block)
+        found = _search_blocks(queries, index, options, block, probe[0])
     return top_rows(found, ["query_id"], ["score", "row_id"], k)
 
 
@@ -185,26 +240,106 @@ def _search_sent(rows: pa.Table, index: DataFrame, options: tuple) -> DataFrame:
     return index.mapInArrow(search, SCHEMA)
 
 
-def _search_blocks(queries: DataFrame, index: DataFrame, options: tuple, block: int) -> DataFrame:
-    # Half-full blocks on average leave room for uneven hashing.
-    nq = -(-2 * queries.count() // block)
-    ni = -(-2 * index.count() // block)
-    q = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq))).withColumn(
-        "ib", F.explode(F.sequence(F.lit(0), F.lit(ni - 1)))
-    )
-    x = index.withColumn("ib", F.pmod(F.xxhash64("row_id"), F.lit(ni)).cast("int")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long")))
+PACKED = "tile long, n long, ids array<long>, vectors binary"
+
+
+def _packed(df: DataFrame, rows: int, dim: int, metric: str) -> DataFrame:
+    """Ids and vectors of `df` in rows of up to `rows` each, written once."""
+    rows = max(1, min(rows, PACK_BYTES // (8 * max(dim, 1))))
+
+    def tile(number: int, part: pa.Table) -> pa.RecordBatch:
+        ids, vectors = (c.combine_chunks() for c in part.columns)
+        if vectors.null_count or pc.any(pc.not_equal(pc.list_value_length(vectors), dim)).as_py():
+            raise ValueError("all vectors must have the same length")
+        matrix = _scaled(_matrix(vectors), metric)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([number]),
+                pa.array([len(ids)]),
+                pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                pa.array([matrix.tobytes()], pa.binary()),
+            ],
+            ["tile", "n", "ids", "vectors"],
+        )
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = TaskContext.get().partitionId() << 32, None
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            held = part if held is None else pa.concat_tables([held, part])
+            while held.num_rows >= rows:
+                yield tile(number, held.slice(0, rows))
+                number, held = number + 1, held.slice(rows)
+        if held is not None and held.num_rows:
+            yield tile(number, held)
+
+    return materialise(df.mapInArrow(pack, PACKED))
+
+
+def _search_blocks(queries: DataFrame, index: DataFrame, options: tuple, block: int, dim: int) -> DataFrame:
+    """Every task reads its part of the index once and compares all of it with each of its blocks of queries.
+
+    Vectors travel in packed rows; a worker holds a pair of these and compares their blocks pair by pair.
+    """
+    spark = queries.sparkSession
+    small_batches(spark)  # a row is a pair of packed ones
+    k, metric, skip_self, p = options
+    q_block, x_block = min(block, QUERY_TILE), min(block, ROW_TILE)
+    q, x = _packed(queries, QUERY_TILE, dim, metric), _packed(index, ROW_TILE, dim, metric)
+    (q_rows, q_tiles), (x_rows, x_tiles) = (
+        df.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first() for df in (q, x)
     )
+    nx = max(1, min(x_tiles, -(-x_rows * 8 * dim // BLOCK_BYTES)))
+    nq = max(-(-q_rows * 8 * dim // QUERY_BYTES), -(-4 * spark.sparkContext.defaultParallelism // nx))
+    q = q.select("tile", F.col("ids").alias("qids"), F.col("vectors").alias("q"))
+    x = x.select("ids", F.col("vectors").alias("v"))
+
+    def unpacked(ids: pa.Scalar, vectors: pa.Scalar) -> tuple:
+        return ids.values, np.frombuffer(vectors.as_buffer(), dtype=float).reshape(len(ids.values), dim)
+
+    def compared(queries: np.ndarray, rows: np.ndarray, own: tuple | None, limit: np.ndarray) -> tuple:
+        out, inside = [], None
+        for i in range(0, len(queries), q_block):
+            for j in range(0, len(rows), x_block):
+                if own is not None:
+                    here = (own[0] // q_block == i // q_block) & (own[1] // x_block == j // x_block)
+                    inside = own[0][here] - i, own[1][here] - j
+                part, limits = queries[i : i + q_block], limit[i : i + q_block]
+                at, r, s = _picked(part, rows[j : j + x_block], inside, limits, k, metric, p)
+                out.append((at + i, r + j, s))
+        return tuple(np.concatenate(c) for c in zip(*out))
+
+    def found(qids: pa.Array, best: tuple) -> pa.RecordBatch:
+        at, s, ids, none = best
+        columns = [qids.take(pa.array(at)), pa.array(ids, mask=none), pa.array(s)]
+        return pa.RecordBatch.from_arrays(columns, ["query_id", "row_id", "score"])
 
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "row_id": [], "score": []})
-        qids, ids = left["query_id"].to_numpy(), right["row_id"].to_numpy()
-        vectors, rows = np.stack(left["q"].to_numpy()), np.stack(right["v"].to_numpy())
-        q_at, r_at, s = _top(qids, vectors, ids, rows, *options)
-        return pd.DataFrame({"query_id": qids[q_at], "row_id": ids[r_at], "score": s})
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = best = None
+        for batch in batches:
+            for tile, q_ids, q_vectors, x_ids, x_vectors in zip(*batch.columns):
+                if tile.as_py() != now:
+                    if best is not None:
+                        yield found(qids, best)
+                    qids, vectors = unpacked(q_ids, q_vectors)
+                    now, best, limit = tile.as_py(), None, np.full(len(qids), np.inf)
+                    # A vector without an id is no other's own.
+                    known = np.flatnonzero(qids.is_valid().to_numpy(zero_copy_only=False))
+                    names = qids.drop_null().to_numpy()
+                ids, rows = unpacked(x_ids, x_vectors)
+                none = ids.is_null().to_numpy(zero_copy_only=False)
+                ids = ids.fill_null(np.iinfo(np.int64).min).to_numpy()
+                own = _own(names, ids) if skip_self else None
+                if own is not None:
+                    own = tuple(c[~none[own[1]]] for c in (known[own[0]], own[1]))
+                at, r, s = compared(vectors, rows, own, limit)
+                best = _merged(best, (at, s, ids[r], none[r]), limit, k)
+        if best is not None:
+            yield found(qids, best)
 
-    return q.groupBy("qb", "ib").cogroup(x.groupBy("qb", "ib")).applyInPandas(search, SCHEMA)
+    # The order of the pairs is by tile of queries; another order would only keep more rows for `top_rows`.
+    pairs = q.repartition(max(1, min(q_tiles, nq))).hint("shuffle_replicate_nl").crossJoin(x.repartition(nx))
+    return pairs.mapInArrow(search, SCHEMA)
 
 
 def append_index(index_path: str, rows: DataFrame) -> None:

@@ -245,3 +245,56 @@ def test_l2_takes_differences_of_picked_pairs_only(monkeypatch):
             q, r, s = R._top(ids, x, ids, x, 4, "l2", True)
         assert [sorted(zip(s[q == i], ids[r[q == i]])) for i in range(600)] == want
     assert R._near_l2(np.full((2, 2), 1e200), np.full((9, 2), 1.0), 2, None) is None
+
+
+@pytest.mark.parametrize("metric", R.METRICS)
+def test_blocks_are_not_copied_for_the_blocks_they_meet(spark, points, monkeypatch, metric):
+    """Each task writes k rows a query for its part of the index, and no row of vectors is exploded."""
+    with monkeypatch.context() as m:
+        m.setattr(R, "top_rows", lambda found, *a: found)
+        found = R.nearest(points, points, 4, metric, "id", "id", "x", skip_self=True, block_bytes=10 * 6 * 8)
+        assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert found.count() == 120 * 4
+        m.setattr(R, "BLOCK_BYTES", 40 * 6 * 8)  # three parts of the index
+        found = R.nearest(points, points, 4, metric, "id", "id", "x", skip_self=True, block_bytes=10 * 6 * 8)
+        assert 120 * 4 < found.count() <= 120 * 4 * 3
+        parts = R.nearest(points, points, 4, metric, "id", "id", "x", skip_self=True, block_bytes=10 * 6 * 8)
+    parts = sorted(map(tuple, R.top_rows(parts, ["query_id"], ["score", "row_id"], 4).collect()))
+    sent = R.nearest(points, points, 4, metric, "id", "id", "x", skip_self=True).collect()
+    assert [(r[0], r[1], r[3]) for r in parts] == [(r[0], r[1], r[3]) for r in sorted(sent)]
+    assert np.allclose([r[2] for r in parts], [r[2] for r in sorted(sent)], atol=1e-11)
+
+
+def test_blocks_with_odd_ids_and_vectors(spark):
+    """Ids may repeat or be null beside large ones; a vector with gaps is no one's neighbour; a ragged one is refused."""
+    big = (1 << 62) + 1
+    rows = [(big, [1.0, 0.0]), (None, [1.0, 0.1]), (2, [0.0, 1.0]), (2, [0.1, 1.0]), (3, [None, 1.0]), (4, [-1.0, -1.0])]
+    df = spark.createDataFrame(rows, "id long, x array<double>").coalesce(1)
+    got = R.nearest(df, df, 2, "cosine", "id", "id", "x", skip_self=True, block_bytes=4 * 2 * 8).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        by.setdefault(r.query_id, []).append((r.row_id, round(r.score, 3)))
+    assert by[big] == [(None, 0.005), (2, 0.9)]
+    assert by[None] == [(None, 0.0), (big, 0.005)]  # without an id it is not known to be the same row
+    assert by[2] == [(None, 0.802), (None, 0.9)] and by[4][0][0] == 2 and 3 not in by
+    for bad in ([1.0], None):
+        odd = spark.createDataFrame([*rows, (5, bad)], "id long, x array<double>")
+        with pytest.raises(Exception, match="same length"):
+            R.nearest(df, odd, 2, "cosine", "id", "id", "x", block_bytes=4 * 2 * 8).count()
+
+
+def test_products_keep_ties_and_the_best_of_any_tile(monkeypatch):
+    """Cosine and dot scores up to the k-th so far are enough, with ties, copies and rows that have no score."""
+    monkeypatch.setattr(R, "ROW_TILE", 16)
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(90, 3)), 0)
+    x[20:50], x[7, 1], x[8] = x[3], np.nan, 0
+    ids = rng.permutation(90)
+    for metric in ("cosine", "dot"):
+        n = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) if metric == "cosine" else x
+        d = np.round((metric == "cosine") - n @ n.T, 12)
+        d[np.eye(90, dtype=bool) | np.isnan(d)] = np.inf
+        q, r, s = R._top(ids, x, ids, x, 5, metric, True)
+        for i in range(90):
+            want = [(v, j) for v, j in sorted(zip(d[i], ids)) if v < np.inf][:5]
+            assert [(v, j) for v, j in zip(s[q == i], ids[r[q == i]])] == want
