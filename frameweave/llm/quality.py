@@ -130,7 +130,8 @@ class Network:
         return np.hstack([top, total / counts, least, fill])
 
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
-        return _sigmoid(self.features(texts) @ self.weights + self.offset)
+        # Summed row by row: a product of the whole matrix may round equal rows apart.
+        return _sigmoid((self.features(texts) * self.weights).sum(axis=1) + self.offset)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
